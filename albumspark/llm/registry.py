@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import media, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,21 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
     sized = mixing.checkpointed(docs.select("doc_id", "source", mixing.word_count().alias("size")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    slim = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(packing.checkpointed(slim))
+
+
+@query()
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media_columns(read(spark, sf_dir, "documents", "doc_id", "text")))
