@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing
+from . import media, mixing, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query(topk.ORACLE)
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
