@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, topk
+from . import media, mixing, packing, quality, topk
+from .common import crc32_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,3 +57,13 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
+@query()
+def op4_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = (crc32_id() % 3 == 1).alias("held_out")
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label")
+    classifier = quality.fit(docs, labels.filter(crc32_id() % 3 != 1))
+    scored = quality.score(docs, classifier)
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
