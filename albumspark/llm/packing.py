@@ -27,7 +27,9 @@ END = 0
 #: Grid cells of a sequence when patterns are enumerated, and lengths in a pattern at most.
 CELLS, PARTS = 128, 3
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Documents tokenized at once.
+SLICE = 500
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
@@ -50,7 +52,7 @@ class ChunkTokenizer:
 
     def encode(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)
             yield from zip(new[at : at + 4096], (np.array(e.ids, "<u4").tobytes() for e in found), strict=True)
 
     def learn(self, chunks: set[bytes]) -> None:
@@ -62,10 +64,10 @@ class ChunkTokenizer:
                 made[c] = m[1].lower(), m[2]
             else:
                 rest.append(text)
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > 2 * REMEMBERED:
             self.parts = {"": b""}
         parts = self.parts
-        parts.update(self.encode([*{p for two in made.values() for p in two} - parts.keys()]))
+        parts.update(self.encode([*{p for two in made.values() for p in two}.difference(parts)]))
         self.known.update((c, parts[a] + parts[b]) for c, (a, b) in made.items())
         self.known.update((c.encode(), ids) for c, ids in self.encode(rest))
 
@@ -73,9 +75,18 @@ class ChunkTokenizer:
         split = [x.split() for x in documents]
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
-        self.learn({c for chunks in split for c in chunks} - self.known.keys())
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        self.learn(set().union(*split).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+
+
+_OPEN: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """The worker's tokenizer of that file; it and what it remembers last from task to task."""
+    if path not in _OPEN:
+        _OPEN[path] = ChunkTokenizer(path)
+    return _OPEN[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
@@ -86,17 +97,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokenize, end = ChunkTokenizer(tokenizer), np.array([END], "<u4").tobytes()
-        for b in batches:
-            out = ([], [], [], [], [])
-            ids_of = tokenize(texts(b.column("text")))
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), ids_of, strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, part), strict=True):
-                        column.append(v)
-            yield batch(_SCHEMA, *out)
+        tokenize, end = tokenizer_of(tokenizer), np.array([END], "<u4").tobytes()
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                out = ([], [], [], [], [])
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokenize(texts(b.column("text"))), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, part), strict=True):
+                            column.append(v)
+                yield batch(_SCHEMA, *out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
