@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quality, topk
+from . import lines, media, mixing, packing, quality, topk, toxicity
 from .common import crc32_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,13 @@ def op4_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = (crc32_id() % 5 == 0).alias("held_out")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").withColumnRenamed("toxic", "label")
+    scorer = toxicity.fit(docs, labels.filter(crc32_id() % 5 != 0))
+    scored = toxicity.score(docs, scorer)
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted")
