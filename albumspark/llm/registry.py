@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quality, simhash, topk, toxicity
+from . import ctw, lines, media, mixing, packing, quality, simhash, topk, toxicity
 from .common import crc32_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op3_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents", "doc_id", "text"), crc32_id() % 5 == 1)
