@@ -225,7 +225,7 @@ def _ordered(t: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
     return ids, [lower_ascii(x) for x in texts(t.column("text"))], train
 
 
-def _cut(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def cut_by(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
     by = np.argsort(shard, kind="stable")
     own, first = np.unique(shard[by], return_index=True)
     return [(int(s), by[a:b]) for s, a, b in zip(own, first, [*first[1:], len(by)], strict=True)]
@@ -268,15 +268,15 @@ def _arrays(docs: DataFrame, shards: int) -> DataFrame:
         _, lowered, train = _ordered(t)
         rows = []
         g, n = block_grams(lowered, train)
-        rows += [(GRAM, s, block, shrink(g[at]), shrink(n[at].astype("<i8"))) for s, at in _cut(shard_of_grams(g, shards))]
+        rows += [(GRAM, s, block, shrink(g[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(shard_of_grams(g, shards))]
         _, h, n = block_words(lowered, train)
-        rows += [(WORD, s, block, shrink(h[at]), shrink(n[at].astype("<i8"))) for s, at in _cut(shard_of_words(h, shards))]
+        rows += [(WORD, s, block, shrink(h[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(shard_of_words(h, shards))]
         return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
     return docs.groupBy("block").applyInArrow(run, _ARRAYS_DDL)
 
 
-def _merged(arrays: DataFrame, blocks: int) -> DataFrame:
+def merged_arrays(arrays: DataFrame, blocks: int) -> DataFrame:
     """One array for each kind and shard: FAN arrays become one, as often as it takes."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -343,7 +343,7 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
         # The block's keys again, in the order in which they were asked.
         g, _ = block_grams(lowered, train)
         value = np.empty(len(g), np.float32)
-        for s, at in _cut(shard_of_grams(g, shards)):
+        for s, at in cut_by(shard_of_grams(g, shards)):
             value[at] = grow(got[GRAM, s], "<f4")
         score = np.empty(len(lowered))
         for own in chunks(lowered):
@@ -353,7 +353,7 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
             score[own] = np.add.reduceat(each, np.append(0, np.cumsum(lengths)[:-1]))
         words, h, _ = block_words(lowered, train)
         c = np.empty(len(h), np.int64)
-        for s, at in _cut(shard_of_words(h, shards)):
+        for s, at in cut_by(shard_of_words(h, shards)):
             c[at] = grow(got[WORD, s], "<i8")
         logs = dict(zip(words, (np.log10(c + 0.5) - log_all).tolist(), strict=True))
         unknown = {w for w, n in zip(words, c.tolist(), strict=True) if not n}
@@ -385,7 +385,7 @@ def score(docs: DataFrame, held_out, block: int = BLOCK) -> DataFrame:
     shards = max(SHARDS, blocks)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     arrays = stored(_arrays(docs, shards))
-    merged = stored(_merged(arrays, blocks))
+    merged = stored(merged_arrays(arrays, blocks))
     tops = sorted(_tops(merged).collect())  # a row for each kind and shard, of at most 256 x 256 nodes
     grown = [np.frombuffer(r["nodes"], "<i8").reshape(4, -1) for r in tops if r["kind"] == GRAM]
     keys, n0, n1, below = np.concatenate([np.zeros((4, 0), np.int64), *grown], axis=1)
