@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, batch, checkpointed, lower_ascii, texts
+from .common import WORD_RE, batch, checkpointed, lower_ascii, stored, texts
 from .components import components
 
 #: Fingerprints of a bucket, beyond which it is dealt anew.
@@ -171,3 +171,168 @@ def groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text)."""
     return groups(checkpointed(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp")), radius)
+
+
+# Word sets ------------------------------------------------------------------------------------------------------------
+#
+# A SimHash of 64 bits differs in some ten bits at a Jaccard similarity of 0.8, and covering ten bits would take
+# thousands of masks. For similarity on word shingles the fingerprint is therefore wide: block j of m is the exclusive
+# or of the hashes of the shingles that fall into it, and mask j shows block j. Two sets that differ in fewer than m
+# shingles agree in some block.
+
+#: Tables a level, ratio of sizes in a level, neighbours to which a bucket's members are linked as candidates.
+TABLES, RATIO, NEAR = 32, 1.5, 4
+
+_WIDE = pa.schema([("rid", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SETS = pa.schema([("uid", pa.int64()), ("set", pa.binary())])
+
+
+def word_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    own = set(shingles(text, words))
+    return np.unique(np.fromiter(map(_h, own), np.uint64, len(own)))
+
+
+def wide_keys(s: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the blocks of a set, under which it meets every set at least that similar.
+
+    Sets meet at the level of the larger one. There, sets differ in at most 2 (1 - t) / (1 + t) of the level's upper
+    size, and there is one block more. Levels of up to TABLES blocks show all of them, which is a guarantee; larger
+    ones show TABLES of them, and at similarity t exactly each is untouched by chance e^-0.9, so that a pair is missed
+    once in ten million.
+    """
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    level = int(np.floor(np.log(n) / np.log(RATIO) + 1e-9))
+    out = []
+    for k in (level, level + 1):
+        if k > level and n / similarity < RATIO**k - 1e-9:
+            continue
+        m = int(2 * (1 - similarity) / (1 + similarity) * RATIO ** (k + 1)) + 1
+        block = (s >> np.uint64(17)) % np.uint64(m)
+        own = block < TABLES
+        values = np.zeros(min(m, TABLES), np.uint64)
+        np.bitwise_xor.at(values, block[own].astype(np.int64), s[own])
+        full = np.flatnonzero(np.bincount(block[own].astype(np.int64), minlength=len(values)))
+        x = values[full] ^ ((full + 1000 * (k + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(x ^ (x >> np.uint64(27)))
+    return np.concatenate(out).view(np.int64)
+
+
+def _row_id() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rid (of the row), uid (of the words in order), doc_id, keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                uid, keys = [], []
+                for t in texts(b.column("text")):
+                    uid.append(_h(b" ".join(lower_ascii(t).split()), 7) - (1 << 63))
+                    keys.append(wide_keys(word_set(t, words), similarity))
+                yield batch(_WIDE, b.column("rid"), uid, b.column("doc_id"), keys)
+
+    rows = docs.select(_row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "rid long, uid long, doc_id long, keys array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The word sets of some nodes (rid, uid)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            yield batch(_SETS, b.column("uid"), [word_set(t, words).tobytes() for t in texts(b.column("text"))])
+
+    rows = docs.select(_row_id().alias("rid"), "text").join(nodes.select("rid", "uid"), "rid").select("uid", "text")
+    return rows.mapInArrow(run, "uid long, set binary").dropDuplicates(["uid"])
+
+
+def _similar(a: bytes, b: bytes, similarity: float) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-12
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            fine = [_similar(x, y, similarity) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs that join what all similar pairs join, through an inverted list of the sets so far."""
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    every, number = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    held: list[list[int]] = [[] for _ in every]
+    sizes, out, at = np.array([len(s) for s in sets]), [], 0
+    for k, s in enumerate(sets):
+        own = number[at : at + len(s)]
+        at += len(s)
+        both = np.bincount([x for n in own for x in held[n]], minlength=k)[:k] if k else np.zeros(0, np.int64)
+        for x in np.flatnonzero(both >= similarity * (sizes[:k] + len(s) - both) - 1e-12):
+            if (r := find(int(x))) != (t := find(k)):
+                root[max(r, t)] = min(r, t)
+                out.append((int(x), k))
+        for n in own:
+            held[n].append(k)
+    return out
+
+
+def _rest(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links inside buckets of over NEAR + 1 members that are not one component yet; buckets of equal members count once."""
+    large = buckets.filter(F.col("size") > NEAR + 1).join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    left = large.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(uid))").alias("members"))
+    left = left.filter("c0 <> c1").groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("uid")
+        uid = t.column("uid").to_numpy()
+        pairs = set_forest([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], similarity)
+        return pa.Table.from_batches([batch(_LINKS, uid[[x for x, _ in pairs]], uid[[y for _, y in pairs]])])
+
+    return buckets.join(left, "key").select("key", "uid").join(sets, "uid").groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near duplicates: of each component of texts whose sets of word shingles have a Jaccard similarity
+    of at least `similarity`, the row with the least doc_id stays, as it was. Null doc_ids come last.
+
+    Texts of equal words are copies; fewer words than a shingle: the whole sequence is the set; texts without words
+    are copies of each other. Of rows equal in doc_id and text one stays.
+    """
+    wide = checkpointed(_wide(docs, words, similarity))
+    nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))
+    nodes = nodes.select("uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
+    every = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "uid")
+    many = every.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = checkpointed(every.join(many, "key"))
+    after = Window.partitionBy("key").orderBy("uid")
+    near = buckets.withColumn("near", F.array(*[F.lead("uid", k).over(after) for k in range(1, NEAR + 1)]))
+    pairs = checkpointed(near.select(F.col("uid").alias("a"), F.explode(F.array_compact("near")).alias("b")).distinct())
+    sets = stored(_sets(docs, nodes.join(buckets.select("uid").distinct(), "uid"), words))
+    links = checkpointed(_checked(pairs, sets, similarity))
+    first = checkpointed(components(links))
+    more = checkpointed(_rest(buckets, first, sets, similarity))
+    found = first if more.isEmpty() else components(links.union(more))
+    own = nodes.drop("keys").join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    stay = own.groupBy("component").agg(F.min(F.struct("last", "doc_id", "rid")).alias("least")).select(F.col("least.rid").alias("_rid"))
+    kept = docs.withColumn("_rid", _row_id()).join(stay, "_rid", "left_semi").dropDuplicates(["_rid"])
+    return kept.select(*docs.columns)
