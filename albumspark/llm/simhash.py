@@ -193,13 +193,21 @@ def word_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_h, own), np.uint64, len(own)))
 
 
-def wide_keys(s: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of the blocks of a set, under which it meets every set at least that similar.
+def _tagged(values: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    x = values ^ (tags.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
 
-    Sets meet at the level of the larger one. There, sets differ in at most 2 (1 - t) / (1 + t) of the level's upper
-    size, and there is one block more. Levels of up to TABLES blocks show all of them, which is a guarantee; larger
-    ones show TABLES of them, and at similarity t exactly each is untouched by chance e^-0.9, so that a pair is missed
-    once in ten million.
+def wide_keys(s: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set, under which it meets every set at least that similar.
+
+    Sets meet at the level of the larger one. There, sets differ in d elements at most, 2 (1 - t) / (1 + t) of the
+    level's upper size. Where d is 2 or less, the keys are those of the set without any d of its elements. Else there
+    are d + 1 blocks, and at least one agrees. Blocks that are empty have no key; small levels have two or three
+    partitions into blocks, so that two similar sets agree in empty blocks alone less than once in a million. Levels
+    beyond TABLES blocks show TABLES of them, and at similarity t exactly each is untouched by chance e^-0.9, so that a
+    pair is missed once in ten million.
     """
     n = len(s)
     if not n:
@@ -209,15 +217,21 @@ def wide_keys(s: np.ndarray, similarity: float) -> np.ndarray:
     for k in (level, level + 1):
         if k > level and n / similarity < RATIO**k - 1e-9:
             continue
-        m = int(2 * (1 - similarity) / (1 + similarity) * RATIO ** (k + 1)) + 1
-        block = (s >> np.uint64(17)) % np.uint64(m)
-        own = block < TABLES
-        values = np.zeros(min(m, TABLES), np.uint64)
-        np.bitwise_xor.at(values, block[own].astype(np.int64), s[own])
-        full = np.flatnonzero(np.bincount(block[own].astype(np.int64), minlength=len(values)))
-        x = values[full] ^ ((full + 1000 * (k + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(x ^ (x >> np.uint64(27)))
+        d = int(2 * (1 - similarity) / (1 + similarity) * RATIO ** (k + 1))
+        if d <= 2:
+            whole = np.bitwise_xor.reduce(s)
+            i, j = np.triu_indices(n, 1)
+            values = [np.array([whole])] + [whole ^ s] * (d >= 1) + [whole ^ s[i] ^ s[j]] * (d >= 2)
+            out.append(_tagged(np.concatenate(values), np.full(sum(map(len, values)), 1_000_000 + k)))
+            continue
+        m = d + 1
+        for turn in range(3 if m <= 8 else 2 if m <= 16 else 1):
+            block = ((s >> np.uint64(17 + 13 * turn)) % np.uint64(m)).astype(np.int64)
+            own = block < TABLES
+            values = np.zeros(min(m, TABLES), np.uint64)
+            np.bitwise_xor.at(values, block[own], s[own])
+            full = np.flatnonzero(np.bincount(block[own], minlength=len(values)))
+            out.append(_tagged(values[full], full + 10_000 * (turn + 1) + 100 * (k + 1)))
     return np.concatenate(out).view(np.int64)
 
 
