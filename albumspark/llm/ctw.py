@@ -228,6 +228,8 @@ def _ordered(t: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
 def cut_by(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
     by = np.argsort(shard, kind="stable")
     own, first = np.unique(shard[by], return_index=True)
+    if not len(own):
+        return []
     return [(int(s), by[a:b]) for s, a, b in zip(own, first, [*first[1:], len(by)], strict=True)]
 
 

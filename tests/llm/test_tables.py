@@ -161,7 +161,7 @@ def test_media_columns(spark):
 def test_ranges_and_retries(spark):
     """Small ranges and archives give each member once; one damaged member is reported and the rest are read."""
     at = scratch(spark, "media-test")
-    found = media.write_archives(frame(spark, [(k, f"text {k} " * 200, "s") for k in range(60)], 1), at, archive=8000)
+    found = media.write_archives(frame(spark, [(k, f"text {k} " * 200, "s") for k in range(60)], 1), at, archive=2000)
     assert len(found) > 1 and sum(n for _, _, n in found) == 60
     read = media.read_archives(spark, at, range=1000, batch=500)
     rows = read.collect()
