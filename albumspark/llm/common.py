@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 #: Fixed: a token is a run of anything but ASCII white space.
 WORD = rb"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -29,7 +31,11 @@ def lower_ascii(text: bytes) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests).
+
+    Whoever cuts lineage comes here, and so this is also where the package is given to the workers.
+    """
+    ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="albumspark-")

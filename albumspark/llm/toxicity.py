@@ -209,7 +209,7 @@ def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
 
 def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = ()) -> list[tuple[str, bool, float]]:
     """Entries with their log odds. A word that a chosen stem covers is left out, unless its odds are clearly higher."""
-    least = max(3, math.ceil(0.004 * n_toxic))
+    least = max(3, math.ceil(0.01 * n_toxic))
     bad = {r["entry"]: r["n"] for r in _counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
     good = {r["entry"]: r["n"] for r in _counts(clean, frozenset(bad)).collect()} if bad else {}
     odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((good.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in bad.items()}
@@ -228,13 +228,13 @@ def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, term
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterable[str] = ()) -> Scorer:
     """labels: doc_id, label 0 or 1. `sample` labelled documents, least by a hash of the id, are read.
 
-    One half of them makes the lexicon, the other calibrates. Rows without id or label are left out. Without labels of
+    Each distinct text counts once. One half of them makes the lexicon, the other calibrates. Rows without id or label are left out. Without labels of
     both classes the score is the share of label 1, or 0.5.
     """
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
     ids = labels.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample)  # a bounded table
     half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")  # equal texts fall in one half
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text", half))
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text", half).distinct())
     n = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (rows.filter((F.col("label") == k) & (F.col("half") == 0)) for k in (1, 0))
     scorer = Scorer(lexicon(toxic, clean, n.get((1, 0), 0), n.get((0, 0), 0), terms))
