@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,17 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, so that they need not have it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_albumspark_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="albumspark-")) / "albumspark.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    context.addPyFile(str(at))
+    context._albumspark_shipped = True
