@@ -145,30 +145,41 @@ def nnls(a: np.ndarray, b: np.ndarray, weight: np.ndarray, rounds: int = 600) ->
     return x
 
 
+#: Shares of the fitted repeats that are tried; what is left over fills gaps.
+SHARES = (1.0, 0.75, 0.5, 0.3, 0.2, 0.1)
+
+
 def plan(histogram: dict[int, int], size: int = 2048) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many such), for every piece of the histogram; its cost depends on size alone."""
+    """Sequences as (lengths, how many such), for every piece of the histogram; its cost depends on size alone.
+
+    Of the shares of the fitted repeats the one counts that takes fewest sequences.
+    """
+    unit = max(1, size // CELLS)
+    cells = size // unit
+    many = patterns(cells)
+    a, b = np.zeros((cells + 1, len(many))), np.zeros(cells + 1)
+    for k, p in enumerate(many):
+        for c in p:
+            a[c, k] += 1
+    for length, n in histogram.items():
+        if length < size and (c := -(-length // unit)) <= cells:
+            b[c] += n
+    # Short pieces are easy to place later, so their misfit weighs less.
+    x = nnls(a, b, np.linspace(0.1, 1, cells + 1)) if b.sum() else np.zeros(len(many))
+    return min((_plan(histogram, size, unit, many, share * x) for share in SHARES), key=lambda made: sum(m for _, m in made))
+
+
+def _plan(histogram: dict[int, int], size: int, unit: int, many: list[tuple[int, ...]], x: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     left = defaultdict(int, {k: v for k, v in histogram.items() if v})
     done: list[tuple[tuple[int, ...], int]] = []
     if left[size]:
         done.append(((size,), left.pop(size)))
-    unit = max(1, size // CELLS)
-    cells = size // unit
     by_cell: dict[int, list[int]] = defaultdict(list)
     for length in sorted(left, reverse=True):
         if left[length]:
             by_cell[-(-length // unit)].append(length)
     open_: dict[int, list[list]] = defaultdict(list)  # room -> [lengths, how many]
     if by_cell:
-        many = patterns(cells)
-        a = np.zeros((cells + 1, len(many)))
-        for k, p in enumerate(many):
-            for c in p:
-                a[c, k] += 1
-        b = np.zeros(cells + 1)
-        for c, lengths in by_cell.items():
-            b[min(c, cells)] += sum(left[x] for x in lengths)
-        # Short pieces are easy to place later, so their misfit weighs less.
-        x = nnls(a, b, np.linspace(0.1, 1, cells + 1)) if b.sum() else np.zeros(len(many))
         for k in np.argsort(-x, kind="stable"):
             n = int(x[k])
             while n > 0:
