@@ -254,10 +254,10 @@ def block_words(lowered: list[bytes], train: np.ndarray) -> tuple[list[bytes], n
     for t, learn in zip(lowered, train, strict=True):
         if learn:
             n.update(t.split())
+    n = dict(n)
     for t, learn in zip(lowered, train, strict=True):
         if not learn:
-            for w in set(t.split()).difference(n):
-                n[w] = 0
+            n.update(dict.fromkeys(set(t.split()).difference(n), 0))
     words = list(n)
     h = word_hashes(words)
     by = np.argsort(h)
