@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from albumspark.functions import files, geo, temporal, text, vectors
 from albumspark.operators import asof, cluster, dates, merge, moves, ocr, radius, select, steps, tags
 from albumspark.session import table
+from albumspark.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -552,3 +553,148 @@ def magic_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = ("FFD8FFE000104A4649460001", "89504E470D0A1A0A00000000", "000000206674797069736F6D", "52494646FFFFFFFF41564920", "0000002066747970", "")
     header = F.unhex(F.when(k == 4, F.lit(heads[4] + "68656963")).otherwise(F.element_at(F.array(*map(F.lit, heads)), (k + 1).cast("int"))))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), files.real_type(header).alias("kind"))
+
+
+# Changes, paths and files ---------------------------------------------------------------------------------------------
+
+
+def _named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths /a/d<n>/<name>: pictures, films, motion companions and others."""
+    k = F.col("o_orderkey")
+    ends = F.element_at(F.array(*map(F.lit, (".jpg", ".HEIC.MOV", ".mp4", ".txt", "", ".png"))), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k, F.concat(F.lit("/a/d"), (k % 9).cast("string"), F.lit("/f"), k.cast("string"), ends).alias("path"))
+
+
+_FILES = "SELECT o_orderkey, '/a/d' || (o_orderkey % 9) || '/f' || o_orderkey || (['.jpg', '.HEIC.MOV', '.mp4', '.txt', '', '.png'])[o_orderkey % 6 + 1] AS path FROM orders"
+
+
+@query(f"""
+SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, path || '.xmp' AS sidecar, CASE WHEN path LIKE '%.%' THEN regexp_replace(path, '\\.[^./]+$', '.xmp') ELSE path END AS other,
+  lower(path) LIKE '%.heic.mov' AS motion, o_orderkey % 6 IN (0, 1, 2, 5) AS supported FROM ({_FILES})
+""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _named_files(spark, sf_dir).select(p, text.extension(p).alias("ext"), text.sidecar(p).alias("sidecar"), text.other_sidecar(p).alias("other"), files.motion_companion(p).alias("motion"), files.supported(p).alias("supported"))
+
+
+@query(f"""
+WITH f AS (SELECT o_orderkey, path FROM ({_FILES}) WHERE o_orderkey % 6 IN (0, 5)),
+x AS (SELECT path, path || '.xmp' AS a, regexp_replace(path, '\\.[^./]+$', '.xmp') AS b, o_orderkey % 4 = 0 AS has_a, o_orderkey % 5 = 0 AS has_b FROM f)
+SELECT path, 'embedded' AS source, path AS physical FROM x UNION ALL SELECT path, 'sidecar', CASE WHEN has_a THEN a ELSE b END FROM x WHERE has_a OR has_b
+""")
+def sidecar_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named_files(spark, sf_dir).filter("o_orderkey % 6 IN (0, 5)")
+    have = rows.filter("o_orderkey % 4 = 0").select(text.sidecar(F.col("path")).alias("path")).union(rows.filter("o_orderkey % 5 = 0").select(text.other_sidecar(F.col("path"))))
+    return merge.with_sidecars(rows.select("path"), have)
+
+
+@query(f"""
+WITH f AS (SELECT path, o_orderkey % 6 IN (1, 2) AS film FROM ({_FILES})), m AS (SELECT path, film, unnest(['IPTC:Keywords', 'XMP-dc:Subject']) AS field FROM f)
+SELECT path, field, path AS target FROM m WHERE NOT film UNION ALL SELECT path, field, path || '.xmp' FROM m WHERE field <> 'IPTC:Keywords'
+""")
+def write_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named_files(spark, sf_dir).select("path", F.expr("o_orderkey % 6 IN (1, 2)").alias("is_video"), F.explode(F.array(F.lit("IPTC:Keywords"), F.lit("XMP-dc:Subject"))).alias("field"))
+    return sinks.targets(rows, sidecars=True).select("path", "field", "target")
+
+
+@query("""
+WITH t AS (SELECT n_nationkey AS path, 'Places/' || n_name AS tag, n_name AS leaf FROM nation),
+v AS (SELECT path, unnest([tag, leaf, replace(tag, '/', '|')]) AS value FROM t)
+SELECT path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field, '-=' AS op, value FROM v
+""")
+def tag_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.removals(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.concat(F.lit("Places/"), F.col("n_name")).alias("tag")))
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field FROM nation)
+SELECT path, field, '=' AS op, '' AS value, 0 AS op_seq FROM c
+UNION ALL
+SELECT path, field, '+=', CASE WHEN field = 'XMP-digiKam:TagsList' THEN 'People/' || n_name WHEN field = 'XMP-lr:HierarchicalSubject' THEN 'People|' || n_name ELSE n_name END, 1
+FROM c JOIN nation ON path = n_nationkey WHERE n_nationkey % 2 = 0
+""")
+def clear_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "path")
+    return sinks.clear_all(n, n.filter("path % 2 = 0").select("path", F.array(F.concat(F.lit("People/"), F.col("n_name"))).alias("tags")))
+
+
+@query("""
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: x <> 'w3' AND x <> 'w5' AND list_position(w, x) = i), ' ') || ' new' AS tags
+FROM (SELECT doc_id, ['w' || (doc_id % 4), 'w' || (doc_id % 6), 'w' || (doc_id % 3), 'w8'] AS w FROM documents)
+""")
+def mutations_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(k.alias("path"), F.lit("S").alias("field"), F.array(*[F.concat(F.lit("w"), (k % n).cast("string")) for n in (4, 6, 3)], F.lit("w8")).alias("values"))
+    ops = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(v).alias("value")) for o, v in (("-=", "w3"), ("-=", "w5"), ("+=", "new"), ("+=", "w8"))])
+    changes = rows.select("path", "field", F.explode(ops).alias("m")).select("path", "field", "m.*")
+    done = sinks.applied(rows, changes).select(F.col("path").alias("doc_id"), F.array_distinct("values").alias("v"))
+    return done.select("doc_id", F.array_join(F.concat(F.filter("v", lambda x: x != "new"), F.array(F.lit("new"))), " ").alias("tags"))
+
+
+@query("""
+SELECT path, unnest([part1, part2]) AS field, '=' AS op, value FROM (
+  SELECT s_suppkey AS path, 'XMP-photoshop:City' AS part1, 'IPTC:City' AS part2, s_name AS value FROM supplier
+  UNION ALL SELECT s_suppkey, 'XMP-photoshop:Country', 'IPTC:Country-PrimaryLocationName', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+""")
+def location_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = F.create_map(F.lit("City"), F.col("s_name"), F.lit("Country"), F.col("n_name"), F.lit("Planet"), F.lit("Earth"))
+    return tags.location_fan_out(s.select(F.col("s_suppkey").alias("path"), parts.alias("parts")))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 20 THEN substr(text, 1, 19) || '…' ELSE text END AS short, least(n_chars, ceil(sqrt(n_chars::DOUBLE)))::INT AS cols, ceil(n_chars::DOUBLE / least(n_chars, ceil(sqrt(n_chars::DOUBLE))))::INT AS n_rows FROM documents WHERE n_chars > 0")
+def displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("n_chars > 0")
+    return docs.select("doc_id", text.shortened(F.col("text"), 20).alias("short"), text.grid(F.col("n_chars")).alias("g")).select("doc_id", "short", "g.cols", F.col("g.rows").alias("n_rows"))
+
+
+@query("SELECT event_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS took FROM (SELECT event_id, (event_id * 37 % 9000)::BIGINT AS s FROM events)")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.duration((F.col("event_id") * 37 % 9000).cast("double")).alias("took"))
+
+
+@query("""
+SELECT region, pool, coalesce(picked, 0) AS picked FROM (SELECT p_partkey % 3 AS region, count(*) AS pool FROM part GROUP BY 1)
+LEFT JOIN (SELECT p_partkey % 3 AS region, count(*) AS picked FROM part WHERE p_size > 40 AND p_partkey % 3 <> 1 GROUP BY 1) USING (region)
+""")
+def region_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("region"), "p_size")
+    return select.region_pools(rows, rows.filter("p_size > 40 AND region <> 1"))
+
+
+@query("SELECT '/a' AS ancestor")
+def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moves.common_ancestor(_named_files(spark, sf_dir))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings")
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.decoded(vectors.encoded("embedding")).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("n"), F.round(vectors.norm(F.col("v")), 5).alias("norm"))
+
+
+@query()
+def leader_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius.leader_cache(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0)
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS seq, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer),
+c AS (SELECT *, floor(lat / (500.0::DOUBLE / 111.0 / 2)) AS a, floor(lon / (500.0::DOUBLE / 111.0 / 2)) AS b FROM p)
+SELECT seq, min(seq) OVER (PARTITION BY a, b) AS leader FROM c
+""")
+def grid_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius.grid_leader(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0).select("seq", "leader")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS path, CASE o_orderkey % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'rewrite' END AS action, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 END::INT AS n_keep FROM orders)
+SELECT path, action, n_keep FROM r WHERE action IS NOT NULL
+""")
+def region_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    region = lambda kind, about: F.struct(F.lit(kind).alias("Type"), F.lit(about).alias("Description"))
+    ours, other = region("BarCode", "text"), region("BarCode", "code")
+    regions = F.when(k == 0, F.array(ours, ours)).when(k == 1, F.array(ours, other)).when(k == 2, F.array(other))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), regions.alias("regions"))
+    return ocr.region_cleanup(rows, "text").select("path", "action", F.size("keep").alias("n_keep"))
