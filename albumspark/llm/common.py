@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -51,6 +52,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and checkpoints of frames that are gone; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As checkpointed(), but as compressed Parquet, for wide rows."""
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/albumspark-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, freed
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -23,20 +23,29 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return made.filter("a <> b").distinct()
 
 
+#: Edges of a partition, where there are few.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """edges (a, b), long -> node, component: the least node reachable. Self-links and repeats do no harm.
 
-    Each round is cut by a checkpoint in the shared folder. It ends once the edges are stars on their least nodes.
+    Each round is cut by a checkpoint in the shared folder, and the one before it is let go. Few edges go into few
+    partitions. It ends once the edges are stars on their least nodes.
     """
-    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    edges = checkpointed(edges.filter("a <> b").select(*ordered).distinct())
+    parts = max(1, -(-edges.count() // EDGES))
     for _ in range(most):
-        large = _star(_both(edges).toDF("node", "other"), True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = checkpointed(_star(large.toDF("node", "other"), False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        large = _star(_both(edges).toDF("node", "other"), True).select(*ordered).distinct()
+        new = checkpointed(_star(large.toDF("node", "other"), False).select(*ordered).distinct().coalesce(parts))
         # Stars: every node has one link, and no centre has a link of its own to a smaller node.
         marks = new.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(new.select("b", F.lit(0), F.lit(1)).distinct())
         odd = marks.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 OR leaf = 1 AND centre = 1")
-        edges = new
-        if odd.isEmpty():
+        edges, done = new, odd.isEmpty()
+        del large, marks, odd
+        freed(edges.sparkSession)
+        if done:
             break
     else:
         raise RuntimeError(f"components not done in {most} rounds")

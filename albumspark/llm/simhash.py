@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, batch, checkpointed, lower_ascii, stored, texts
+from .common import WORD_RE, batch, checkpointed, freed, lower_ascii, stored, texts
 from .components import components
 
 #: Fingerprints of a bucket, beyond which it is dealt anew.
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 # shingles agree in some block.
 
 #: Tables a level, ratio of sizes in a level, neighbours to which a bucket's members are linked as candidates.
-TABLES, RATIO, NEAR = 32, 1.5, 4
+TABLES, RATIO, NEAR = 32, 1.5, 2
 
 _WIDE = pa.schema([("rid", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SETS = pa.schema([("uid", pa.int64()), ("set", pa.binary())])
@@ -311,10 +311,10 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
 
 
 def _rest(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links inside buckets of over NEAR + 1 members that are not one component yet; buckets of equal members count once."""
+    """Links inside buckets of over NEAR + 1 members that are not one component yet."""
     large = buckets.filter(F.col("size") > NEAR + 1).join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    left = large.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(uid))").alias("members"))
-    left = left.filter("c0 <> c1").groupBy("n", "members").agg(F.min("key").alias("key")).select("key")
+    left = large.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    left = left.filter("c0 <> c1").select("key")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("uid")
@@ -336,13 +336,17 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))
     nodes = nodes.select("uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
     every = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "uid")
-    many = every.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = checkpointed(every.join(many, "key"))
+    # Similar texts share many blocks: of buckets with the same members, known by two sums of hashes, one is enough.
+    members = [F.expr("bit_xor(xxhash64(uid))").alias("x"), F.expr("bit_xor(xxhash64(uid, 1))").alias("y")]
+    many = every.groupBy("key").agg(F.count("*").alias("size"), *members).filter("size > 1")
+    buckets = checkpointed(every.join(many.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"), "key"))
     after = Window.partitionBy("key").orderBy("uid")
     near = buckets.withColumn("near", F.array(*[F.lead("uid", k).over(after) for k in range(1, NEAR + 1)]))
-    pairs = checkpointed(near.select(F.col("uid").alias("a"), F.explode(F.array_compact("near")).alias("b")).distinct())
+    pairs = near.select(F.col("uid").alias("a"), F.explode(F.array_compact("near")).alias("b")).distinct()
     sets = stored(_sets(docs, nodes.join(buckets.select("uid").distinct(), "uid"), words))
     links = checkpointed(_checked(pairs, sets, similarity))
+    del every, many, near, pairs
+    freed(docs.sparkSession)
     first = checkpointed(components(links))
     more = checkpointed(_rest(buckets, first, sets, similarity))
     found = first if more.isEmpty() else components(links.union(more))
