@@ -63,24 +63,14 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(g: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least of each `window` hashes, the first among equals; in a run of one hash, one a window."""
+    """Positions of the least of each `window` hashes, the first among equals; all of them, so that equal windows have theirs at one place."""
     if len(g) < window:
         return np.zeros(0, np.int64)
     picked = []
     for at in range(0, len(g) - window + 1, 1 << 16):
         v = np.lib.stride_tricks.sliding_window_view(g[at : at + (1 << 16) + window - 1], window)
         picked.append(np.unique(v.argmin(axis=1) + np.arange(len(v))) + at)
-    p = np.unique(np.concatenate(picked))
-    same = g[p[1:]] == g[p[:-1]]
-    if not same.any():
-        return p
-    keep, last = np.ones(len(p), bool), p[0]
-    for k in range(1, len(p)):
-        if same[k - 1] and p[k] - last < window:
-            keep[k] = False
-        else:
-            last = p[k]
-    return p[keep]
+    return np.unique(np.concatenate(picked))
 
 
 class Anchors:

@@ -224,3 +224,37 @@ def test_repeated_passages(spark, rows):
 def test_no_passages(spark):
     assert suffixes.repeated_passages(frame(spark, []), 50).count() == 0
     assert suffixes.repeated_passages(frame(spark, [(1, "a b", "s"), (2, None, "s"), (2, "a b", "s")]), 50).count() == 0
+
+
+def plain_passages(rows, least):
+    held = defaultdict(set)
+    texts = {(i, t): words(t) for i, t, _ in rows}
+    for own, w in texts.items():
+        for k in range(len(w) - least + 1):
+            held[tuple(w[k : k + least])].add(own)
+    out = []
+    for own, w in texts.items():
+        spans = []
+        for k in range(len(w) - least + 1):
+            if others := held[tuple(w[k : k + least])] - {own}:
+                first = min(i for i, _ in others)
+                if spans and k <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], k + least, min(first, spans[-1][2]))
+                else:
+                    spans.append((k, k + least, first))
+        out += [(own[0], a, b, first) for a, b, first in spans]
+    return sorted(out)
+
+
+def passages(spark, rows):
+    return sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in suffixes.repeated_passages(frame(spark, rows), 50).collect())
+
+
+def test_passages_behind_a_repeated_line(spark):
+    """The line stands more often before the passage in one text than in the other."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(40):
+        line, after = sentence(rnd, 20, 10**6), sentence(rnd, 15, 10**6)
+        rows += [(2 * k, " ".join([line] * 4 + [after]), "s"), (2 * k + 1, " ".join([sentence(rnd, 30, 10**6), line, line, after]), "s")]
+    assert passages(spark, rows) == plain_passages(rows, 50)
