@@ -1,11 +1,11 @@
-"""Repeated passages by sparse suffix arrays over content-selected minimisers.
+"""Repeated passages by hashes of whole windows, sent only where half of a window around its minimiser repeats.
 
 Every window of `least` words has its 8-word sequence of least hash, the minimiser; equal windows have it at the same
-place, so suffixes that begin at minimisers, one word in twenty or so, meet wherever a window repeats. A repeat of
-`least` words around a minimiser also repeats half of what lies beside it on one side; a first pass over packed arrays
-of such half hashes leaves only suffixes for which one occurs in two places. These are sorted by minimiser and what
-follows, over range partitions that cut through any number of equal suffixes; neighbours are compared, and matches are
-extended to the right and to the left. The first and last suffixes of the partitions are compared once more.
+place, and half of the window beside it, on the side that has room, is equal too. One word in twenty or so is a
+minimiser, so a first pass over packed arrays of such half hashes tells cheaply which windows may repeat. A second one
+sends the hashes of these windows, each once for a text, with the two least documents of each: a window repeats if it
+has two, and a document's passages are what its repeated windows cover. Nothing is sorted across texts and no number of
+partners is fixed: a window that stands in every text takes one entry a block.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, lower_ascii, partitions, stored, texts
+from .common import batch, lower_ascii, stored, texts
 from .ctw import BLOCK, FAN, cut_by, grow, merged_arrays, shrink, summed
 
-#: Words of a repeat at least; words of a minimiser; neighbours compared on each side; suffixes compared at once.
-LEAST, GRAM, NEIGHBOURS, ROWS = 50, 8, 4, 4096
+#: Words of a repeat at least; words of a minimiser; entries of a shard merged at once.
+LEAST, GRAM, ENTRIES = 50, 8, 4_000_000
 LAST = (1 << 63) - 1
 SHARDS = 64
 
@@ -30,11 +30,14 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ARRAYS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ARRAYS_DDL = "kind int, shard int, block long, keys binary, counts binary"
 _ANSWERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("values", pa.binary())])
-_SUFFIXES = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("at", pa.int32())])
-_SUFFIXES_DDL = "key long, right binary, left binary, doc_id long, uid long, at int"
-_MATCHES = pa.schema([*_SUFFIXES, ("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64()), ("edge", pa.bool_())])
-_MATCHES_DDL = _SUFFIXES_DDL + ", start int, end int, other long, edge boolean"
+_ENTRIES = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("two", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+_ENTRIES_DDL = "shard int, block long, keys binary, two binary, first binary, second binary"
+_WINDOWS = pa.schema([*_ENTRIES, ("docs", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("places", pa.binary())])
+_WINDOWS_DDL = _ENTRIES_DDL + ", docs binary, counts binary, starts binary, places binary"
+_FOUND = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("hit", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+_FOUND_DDL = "shard int, block long, n long, hit binary, first binary, second binary"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())])
+_SPANS_DDL = "doc_id long, start_word int, end_word int, n_words int, first_doc_id long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,38 +66,36 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(g: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least of each `window` hashes, the first among equals; all of them, so that equal windows have theirs at one place."""
-    if len(g) < window:
-        return np.zeros(0, np.int64)
-    picked = []
-    for at in range(0, len(g) - window + 1, 1 << 16):
-        v = np.lib.stride_tricks.sliding_window_view(g[at : at + (1 << 16) + window - 1], window)
-        picked.append(np.unique(v.argmin(axis=1) + np.arange(len(v))) + at)
-    return np.unique(np.concatenate(picked))
-
-
-class Anchors:
-    """The minimisers of a text's words: positions, hashes, and the hashes of half a window to either side."""
-
-    def __init__(self, words: list[bytes], least: int, known: dict[bytes, int]):
+    """For each `window` hashes in a row the position of the least, the first among equals. Hashes count as equal by 47 bits."""
+    n, low = len(g) - window + 1, np.uint64((1 << 17) - 1)
+    out = []
+    for at in range(0, n, 1 << 16):
+        own = g[at : at + (1 << 16) + window - 1]
+        x, width = own & ~low | np.arange(len(own), dtype=np.uint64), 1
+        while 2 * width <= window:
+            x, width = np.minimum(x[:-width], x[width:]), 2 * width
+        if width < window:
+            x = np.minimum(x[: width - window], x[window - width :])
+        out.append((x & low).astype(np.int64) + at)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Windows:
+    """The windows of a text: the half hash of each, in runs of equal ones that begin at `at`, and their own hashes."""
+
+    def __init__(self, words: list[bytes], least: int, known: dict[bytes, int], whole: bool):
         h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-        g = rolled(h, GRAM)
-        self.at = minimisers(g, least - GRAM + 1)
-        self.key = g[self.at]
-        self.short = np.maximum((h & np.uint64(0xFFFF)).astype(np.uint16), np.uint16(1))  # 0 is no word
-        half = (least - GRAM + 1) // 2
-        right = rolled(h, GRAM + half)
-        zero = np.zeros(len(self.at), np.uint64)
-        self.right, self.left = zero.copy(), zero
-        fits = self.at < len(right)
-        self.right[fits] = right[self.at[fits]]
-        fits = self.at >= half
-        self.left[fits] = right[self.at[fits] - half] ^ np.uint64(0x5555555555555555)
+        p = minimisers(rolled(h, GRAM), least - GRAM + 1)
+        self.n, half = len(p), (least - GRAM + 1) // 2
+        left = p - np.arange(self.n) > least - GRAM - half  # no room to the right of the minimiser
+        x = rolled(h, GRAM + half)[p - half * left] ^ left * np.uint64(0x5555555555555555)
+        self.at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        self.half = x[self.at]
+        self.hash = rolled(h, least) if whole else None
 
     def halves(self) -> np.ndarray:
         """Distinct half hashes, each of them once for the text."""
-        x = np.unique(np.concatenate([self.left, self.right]))
-        return x[x != 0]
+        return np.unique(self.half)
 
 
 def _words(rows: pa.Table, least: int) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -115,7 +116,7 @@ def _halves(docs: DataFrame, shards: int, least: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         known, keys, counts = _Hashes(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, w in _words(t, least):
-            keys.append(Anchors(w, least, known).halves())
+            keys.append(Windows(w, least, known, False).halves())
             counts.append(np.ones(len(keys[-1]), np.int64))
         k, n = summed(np.concatenate(keys), np.concatenate(counts))
         block = t.column("block")[0].as_py()
@@ -141,150 +142,167 @@ def _shared(arrays: DataFrame, merged: DataFrame, groups: int) -> DataFrame:
     return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, "shard int, block long, values binary")
 
 
-def _suffixes(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> DataFrame:
-    """The suffixes that may repeat, with `least` words to the right and as many as a window may have to the left."""
+def _pack(x: np.ndarray) -> bytes:
+    return shrink(x) if len(x) else b""
+
+
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    return grow(b, kind) if b else np.zeros(0, kind)
+
+
+def _bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
+
+
+def least_two(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, whether each stands there twice, the least document of each and the next of those that do."""
+    by = np.lexsort((docs, keys))
+    keys, docs = keys[by], docs[by]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    two = np.diff(np.append(at, len(keys))) > 1
+    return keys[at], two, docs[at], docs[at[two] + 1]
+
+
+def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> DataFrame:
+    """For each block, the windows that may repeat: by shards with their two least documents, and, under shard -1, where
+    they are: documents, how many each has, the starts as differences, and the places of their hashes shard by shard."""
 
     def run(t: pa.Table, held: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.Table.from_batches([], _SUFFIXES)
+            return pa.Table.from_batches([], _WINDOWS)
         got = {r["shard"]: r["values"] for r in held.to_pylist()}
         known = _Hashes()
-        found = [(doc, uid, Anchors(w, least, known)) for doc, uid, w in _words(t, least)]
-        k = np.unique(np.concatenate([np.zeros(0, np.uint64), *(a.halves() for _, _, a in found)]))
+        found = [(doc, Windows(w, least, known, True)) for doc, _, w in _words(t, least)]
+        k = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.half for _, x in found)]))
         live = np.zeros(len(k), bool)
         for s, at in cut_by((k % np.uint64(shards)).astype(np.int64)):
-            live[at] = np.unpackbits(np.frombuffer(got[s], np.uint8), count=len(at)).astype(bool)
-        back = least - GRAM
-
-        def lives(x: np.ndarray) -> np.ndarray:
-            return live[np.searchsorted(k, x)] if len(k) else np.zeros(len(x), bool)
-
-        rows: list[list] = [[] for _ in _SUFFIXES]
-        for doc, uid, a in found:
-            pick = np.flatnonzero((a.left != 0) & lives(np.where(a.left == 0, k[:1], a.left)) | (a.right != 0) & lives(np.where(a.right == 0, k[:1], a.right))) if len(k) else []
-            if not len(pick):
-                continue
-            around = np.concatenate([np.zeros(back, np.uint16), a.short, np.zeros(least, np.uint16)])
-            right = np.lib.stride_tricks.sliding_window_view(around, least)[a.at[pick] + back]
-            left = np.lib.stride_tricks.sliding_window_view(around, back)[a.at[pick]][:, ::-1]
-            for column, v in zip(rows, (a.key[pick].view(np.int64).tolist(), [x.tobytes() for x in right], [x.tobytes() for x in left], [doc] * len(pick), [uid] * len(pick), a.at[pick].tolist()), strict=True):
-                column.extend(v)
-        return pa.Table.from_batches([batch(_SUFFIXES, *rows)], _SUFFIXES)
-
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SUFFIXES_DDL)
-
-
-def _run(eq: np.ndarray) -> np.ndarray:
-    """How many leading columns are true."""
-    return np.where(eq.all(axis=1), eq.shape[1], eq.argmin(axis=1))
-
-
-class Sorted:
-    """Suffixes in order, as arrays."""
-
-    def __init__(self, t: pa.Table | pa.RecordBatch, least: int):
-        self.least = least
-        self.key, self.doc, self.uid, self.at = (t.column(c).to_numpy() for c in ("key", "doc_id", "uid", "at"))
-        n = len(self.key)
-        self.right, self.left = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(n, -1) for c in ("right", "left"))
-        self.start, self.end, self.other = np.full(n, np.iinfo(np.int32).max, np.int32), np.full(n, -1, np.int32), np.full(n, LAST)
-
-    def compare(self, order: np.ndarray, step: int) -> None:
-        """Match each suffix with the one `step` places on in that order, extend both ways, and keep what is long enough."""
-        for at in range(0, len(order) - step, ROWS):
-            a, b = order[at : min(at + ROWS, len(order) - step)], order[at + step : at + step + ROWS]
-            same = np.flatnonzero((self.key[a] == self.key[b]) & (self.uid[a] != self.uid[b]))
-            a, b = a[same], b[same]
-            r = _run((self.right[a] == self.right[b]) & (self.right[a] != 0))
-            n = _run((self.left[a] == self.left[b]) & (self.left[a] != 0))
-            long = r + n >= self.least
-            for x, y in ((a[long], b[long]), (b[long], a[long])):
-                self.start[x] = np.minimum(self.start[x], self.at[x] - n[long])
-                self.end[x] = np.maximum(self.end[x], self.at[x] + r[long])
-                self.other[x] = np.minimum(self.other[x], self.doc[y])
-
-    def match(self) -> None:
-        n = len(self.key)
-        rows = np.arange(n)
-        flipped = np.ascontiguousarray(self.left).view(f"V{2 * self.left.shape[1]}").ravel() if n else np.zeros(0, "V1")
-        by_left = np.lexsort((np.unique(flipped, return_inverse=True)[1].ravel(), self.key)) if n else rows
-        for step in range(1, NEIGHBOURS + 1):
-            self.compare(rows, step)
-            self.compare(by_left, step)
-
-    def rows(self, ends: bool) -> pa.RecordBatch:
-        """The suffixes with a match, and those at the ends of the order, with what is around them."""
-        n = len(self.key)
-        edge = np.zeros(n, bool)
-        if ends:
-            edge[:NEIGHBOURS] = edge[-NEIGHBOURS:] = True
-        pick = np.flatnonzero(edge | (self.end >= 0))
-        around = [[self.__dict__[c][k].tobytes() if edge[k] else None for k in pick] for c in ("right", "left")]
-        return batch(_MATCHES, self.key[pick], *around, self.doc[pick], self.uid[pick], self.at[pick], self.start[pick], self.end[pick], self.other[pick], edge[pick])
-
-
-def _matches(suffixes: DataFrame, least: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]):
-        """A partition in pieces of bounded size; each begins with the last suffixes of the one before."""
-        held, n, first = [], 0, True
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= 50_000:
-                t = pa.Table.from_batches(held)
-                s = Sorted(t, least)
-                s.match()
-                yield s.rows(True)
-                held, n = t.slice(t.num_rows - 2 * NEIGHBOURS).to_batches(), 2 * NEIGHBOURS
-        if n:
-            s = Sorted(pa.Table.from_batches(held), least)
-            s.match()
-            yield s.rows(True)
+            live[at] = _bits(got[s], len(at))
+        ids, counts, starts, hashes = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+        for doc, x in found:
+            own = np.flatnonzero(np.repeat(live[np.searchsorted(k, x.half)], np.diff(np.append(x.at, x.n))))
+            if len(own):
+                ids.append(doc)
+                counts.append(len(own))
+                starts.append(own.astype(np.int32))
+                hashes.append(x.hash[own])
+            x.hash = None
+        if not ids:
+            return pa.Table.from_batches([], _WINDOWS)
+        block, ids, h = t.column("block")[0].as_py(), np.array(ids, np.int64), np.concatenate(hashes)
+        number = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        by = np.argsort(h, kind="stable")
+        sorted_h, sorted_n = h[by], number[by]
+        new = np.append(True, sorted_h[1:] != sorted_h[:-1])
+        once = new | np.append(True, sorted_n[1:] != sorted_n[:-1])
+        keys, two, first, second = least_two(sorted_h[once], ids[sorted_n[once]])
+        seconds = np.cumsum(two) - 1
+        rows, rank, done = [], np.zeros(len(keys), np.int32), 0
+        for s, at in cut_by((keys % np.uint64(shards)).astype(np.int64)):
+            rank[at] = np.arange(done, done + len(at))
+            done += len(at)
+            rows.append((s, block, shrink(keys[at]), np.packbits(two[at]).tobytes(), shrink(first[at]), _pack(second[seconds[at[two[at]]]]), None, None, None, None))
+        places = np.zeros(len(h), np.int32)
+        places[by] = rank[np.cumsum(new) - 1]
+        rows.append((-1, block, None, None, None, None, shrink(ids), shrink(np.array(counts, np.int32)), shrink(np.diff(np.concatenate(starts), prepend=np.int32(0))), shrink(places)))
+        return pa.Table.from_batches([batch(_WINDOWS, *zip(*rows, strict=True))], _WINDOWS)
+
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _WINDOWS_DDL)
+
+
+def _repeated(entries: DataFrame, blocks: int) -> DataFrame:
+    """One array for each shard, of the windows that stand in two texts: FAN arrays become one, as often as it takes."""
+
+    def merged(last: bool):
+        def run(t: pa.Table) -> pa.Table:
+            keys, docs, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+            for r in t.select(["keys", "two", "first", "second"]).to_pylist():
+                k = _unpack(r["keys"], "<u8")
+                keys += [k, k[_bits(r["two"], len(k))]]
+                docs += [_unpack(r["first"], "<i8"), _unpack(r["second"], "<i8")]
+                n += len(k)
+                if n > ENTRIES:
+                    k, two, first, second = least_two(np.concatenate(keys), np.concatenate(docs))
+                    keys, docs, n = [k, k[two]], [first, second], 0
+            k, two, first, second = least_two(np.concatenate(keys), np.concatenate(docs))
+            if last:
+                k, first, two = k[two], first[two], two[two]
+            return pa.Table.from_batches([batch(_ENTRIES, [t.column("shard")[0].as_py()], [t.column("block")[0].as_py()], [_pack(k)], [np.packbits(two).tobytes()], [_pack(first)], [_pack(second)])])
+
+        return run
+
+    while True:
+        blocks = -(-blocks // FAN)
+        entries = entries.withColumn("block", F.floor(F.col("block") / FAN)).groupBy("shard", "block").applyInArrow(merged(blocks <= 1), _ENTRIES_DDL)
+        if blocks <= 1:
+            return entries
+
+
+def _found(entries: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
+    """For each block's array, in its order, which windows stand in two texts, and the two least documents of those."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows = []
+        for own in held.to_pylist():
+            keys, first, second = _unpack(own["keys"], "<u8"), _unpack(own["first"], "<i8"), _unpack(own["second"], "<i8")
+            for row in asked.select(["shard", "block", "keys"]).to_pylist():
+                k = grow(row["keys"], "<u8")
+                at = np.searchsorted(keys, k)
+                hit = np.append(keys, np.uint64(0))[at] == k
+                hit &= at < len(keys)
+                rows.append((row["shard"], row["block"], len(k), np.packbits(hit).tobytes(), _pack(first[at[hit]]), _pack(second[at[hit]])))
+        return pa.Table.from_batches([batch(_FOUND, *zip(*rows, strict=True))] if rows else [], _FOUND)
+
+    asked = entries.select("shard", "block", "keys").withColumn("group", F.floor(F.col("block") / FAN))
+    held = repeated.select("shard", "keys", "first", "second").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, _FOUND_DDL)
 
-    def again(t: pa.Table) -> pa.Table:
-        s = Sorted(t.sort_by([("key", "ascending"), ("right", "ascending"), ("left", "ascending"), ("uid", "ascending"), ("at", "ascending")]), least)
-        s.match()
-        return pa.Table.from_batches([s.rows(False)], _MATCHES)
 
-    order = ["key", "right", "left", "uid", "at"]
-    dealt = suffixes.repartitionByRange(partitions(suffixes.sparkSession), *order).sortWithinPartitions(*order)
-    found = checkpointed(dealt.mapInArrow(run, _MATCHES_DDL))
-    edges = found.filter("edge").select(*_SUFFIXES.names)  # some rows for each partition
-    edges = edges.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: again(t.drop_columns(["one"])), _MATCHES_DDL)
-    return found.union(edges).filter("end >= 0").select("doc_id", "uid", "start", "end", "other")
+def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    def run(t: pa.Table, held: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.Table.from_batches([], _SPANS)
+        row = t.to_pylist()[0]
+        ids, at = grow(row["docs"], "<i8"), grow(row["places"], "<i4")
+        number = np.repeat(np.arange(len(ids)), grow(row["counts"], "<i4"))
+        start = np.cumsum(grow(row["starts"], "<i4"), dtype=np.int32)
+        answers = sorted(held.select(["shard", "hit", "first", "second", "n"]).to_pylist(), key=lambda r: r["shard"])
+        hit = np.concatenate([_bits(r["hit"], r["n"]) for r in answers])
+        first, second = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+        first[hit] = np.concatenate([_unpack(r["first"], "<i8") for r in answers])
+        second[hit] = np.concatenate([_unpack(r["second"], "<i8") for r in answers])
+        keep = hit[at]
+        number, start, at = number[keep], start[keep], at[keep]
+        if not len(at):
+            return pa.Table.from_batches([], _SPANS)
+        other = np.where(first[at] == ids[number], second[at], first[at])  # two texts of one doc_id have it as both
+        new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (start[1:] > start[:-1] + least)))
+        end = start[np.append(new[1:], len(start)) - 1] + least
+        none = lambda x: None if x == LAST else x
+        docs, others = ([none(x) for x in y.tolist()] for y in (ids[number[new]], np.minimum.reduceat(other, new)))
+        return pa.Table.from_batches([batch(_SPANS, docs, start[new], end, end - start[new], others)])
+
+    return places.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, _SPANS_DDL)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """doc_id, start_word, end_word, n_words, first_doc_id: a row for each maximal repeated passage of each document.
 
     Words are runs of anything but ASCII white space, A-Z lowered, numbered from 0; end_word is not in the passage. A
-    passage is at least `least` words and made of stretches that also stand in another document; first_doc_id is the
-    least of the documents found with them. Repeats inside one document alone do not count. Rows equal in doc_id and
-    text are one document. Null doc_ids take part as the number 2 ** 63 - 1 and come back as null. Null, empty and
-    shorter texts have no passage, and documents without one have no row.
+    passage is what windows of `least` words that also stand in another document cover together; first_doc_id is the
+    least of the other documents with any of these windows. Repeats inside one document alone do not count. Rows equal in
+    doc_id and text are one document. Null doc_ids take part as the number 2 ** 63 - 1 and come back as null. Null, empty
+    and shorter texts have no passage, and documents without one have no row.
 
-    Words are compared by 16 bits of their hashes: a repeat is never missed, and a passage is a word too long at an
-    end once in some 30,000 times.
+    Windows are compared by 64 bits of hash: equal ones always meet, and two different ones meet once in 2 ** 64 pairs.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     blocks = max(8, -(-total // block))
-    shards = max(SHARDS, blocks)
+    shards, groups = max(SHARDS, blocks), -(-blocks // FAN)
     docs = docs.withColumn("block", F.pmod("uid", F.lit(blocks)))
     arrays = stored(_halves(docs, shards, least))
-    shared = _shared(arrays, merged_arrays(arrays, blocks), -(-blocks // FAN))
-    matches = _matches(stored(_suffixes(docs, shared, shards, least)), least)
-
-    def join(t: pa.Table) -> pa.Table:
-        start, end, other = (t.column(c).to_numpy() for c in ("start", "end", "other"))
-        by = np.argsort(start, kind="stable")
-        start, end, other = start[by], np.maximum.accumulate(end[by]), other[by]
-        first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
-        last = np.append(first[1:] - 1, len(start) - 1)
-        doc = t.column("doc_id")[0].as_py()
-        none = lambda x: None if x == LAST else x
-        n = len(first)
-        return pa.Table.from_batches([batch(_SPANS, [none(doc)] * n, start[first], end[last], end[last] - start[first], [none(x) for x in np.minimum.reduceat(other, first).tolist()])])
-
-    return matches.groupBy("uid").applyInArrow(join, "doc_id long, start_word int, end_word int, n_words int, first_doc_id long")
+    windows = stored(_windows(docs, _shared(arrays, merged_arrays(arrays, blocks), groups), shards, least))
+    entries = windows.filter("shard >= 0").select(*_ENTRIES.names)
+    places = windows.filter("shard < 0").select("block", "docs", "counts", "starts", "places")
+    return _spans(places, _found(entries, _repeated(entries, blocks), groups), least)

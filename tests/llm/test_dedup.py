@@ -258,3 +258,18 @@ def test_passages_behind_a_repeated_line(spark):
         line, after = sentence(rnd, 20, 10**6), sentence(rnd, 15, 10**6)
         rows += [(2 * k, " ".join([line] * 4 + [after]), "s"), (2 * k + 1, " ".join([sentence(rnd, 30, 10**6), line, line, after]), "s")]
     assert passages(spark, rows) == plain_passages(rows, 50)
+
+
+@pytest.mark.parametrize("rows", [planted(1), planted(2), [r for r in corpus() if r[0] is not None]])
+def test_passages_are_exact(spark, rows):
+    """Also inside texts that repeat one word."""
+    assert passages(spark, rows) == plain_passages(rows, 50)
+
+
+def test_passages_many_times_in_a_text(spark):
+    """Each text holds the passage more often than there were places among neighbours, with words of its own between."""
+    rnd = random.Random(12)
+    passage = sentence(rnd, 55, 10**6)
+    rows = [(k, " ".join(f"{passage} {sentence(rnd, 5, 10**6)}" for _ in range(20)), "s") for k in range(4)]
+    rows += [(10, " ".join([passage, sentence(rnd, 60, 10**6), passage]), "s"), (11, passage, "s"), (11, passage + " x", "s")]
+    assert passages(spark, rows) == plain_passages(rows, 50)
