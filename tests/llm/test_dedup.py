@@ -273,3 +273,20 @@ def test_passages_many_times_in_a_text(spark):
     rows = [(k, " ".join(f"{passage} {sentence(rnd, 5, 10**6)}" for _ in range(20)), "s") for k in range(4)]
     rows += [(10, " ".join([passage, sentence(rnd, 60, 10**6), passage]), "s"), (11, passage, "s"), (11, passage + " x", "s")]
     assert passages(spark, rows) == plain_passages(rows, 50)
+
+
+@pytest.mark.parametrize("partitions", [2, 16])
+def test_passages_that_end_in_a_frequent_line(spark, partitions):
+    """What is equal lies to the left of the line; what follows it differs. However the rows are dealt, all are found."""
+    rnd = random.Random(13)
+    least = lambda x: suffixes.rolled(np.array([xxhash.xxh64_intdigest(w) for w in x.split()], np.uint64), suffixes.GRAM).min()
+    line, rows = min((sentence(rnd, 20, 10**6) for _ in range(2000)), key=least), []  # the minimiser is in the line
+    for k in range(300):
+        before = sentence(rnd, 30, 10**6)
+        rows += [(2 * k + x, " ".join([sentence(rnd, 20, 10**6), before, line, sentence(rnd, 60, 10**6)]), "s") for x in range(2)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert passages(spark, rows) == plain_passages(rows, 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
