@@ -208,19 +208,25 @@ def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
 
 
 def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = ()) -> list[tuple[str, bool, float]]:
-    """Entries with their log odds. A word that a chosen stem covers is left out, unless its odds are clearly higher."""
+    """Entries with their log odds. A word that a chosen stem covers is met by the stem; if it may have an edit, it stays
+    beside the ENTRIES for words that are one edit away."""
     least = max(3, math.ceil(0.01 * n_toxic))
     bad = {r["entry"]: r["n"] for r in _counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
     good = {r["entry"]: r["n"] for r in _counts(clean, frozenset(bad)).collect()} if bad else {}
     odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((good.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in bad.items()}
     chosen: dict[str, float] = {}
+    covered: dict[str, float] = {}
     for e in sorted((e for e in odds if odds[e] >= 2.5 and bad[e] >= 4 * good.get(e, 0)), key=lambda e: (-bad[e], len(e), e)):
         word = e.rstrip("*")
-        if len(chosen) < ENTRIES and not any(word[:n] + "*" in chosen for n in STEMS if n <= len(word)):
+        if any(word[:n] + "*" in chosen for n in STEMS if n <= len(word)):
+            if e[-1] != "*" and len(word) >= FUZZY:
+                covered[e] = odds[e]
+        elif len(chosen) < ENTRIES:
             # A stem that says no more than one longer stem or word gives way to it.
             longer = [x for x in odds if len(x.rstrip("*")) > len(word) and x.startswith(word) and bad[x] >= 0.95 * bad[e]] if e[-1] == "*" else []
             if not longer:
                 chosen[e] = odds[e]
+    chosen |= covered
     chosen |= {t.lower(): chosen.get(t.lower(), 4.0) for t in terms}
     return [(e.rstrip("*"), e[-1] == "*", w) for e, w in sorted(chosen.items()) if e.rstrip("*")]
 

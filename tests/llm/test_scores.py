@@ -228,3 +228,12 @@ def test_logistic():
     x = rnd.normal(size=(500, 3))
     y = (x @ [2, -1, 0] + 0.5 > 0).astype(float)
     assert ((Logistic(x, y)(x) >= 0.5) == y).mean() > 0.98
+
+
+def test_words_under_a_stem_take_an_edit(spark):
+    toxic = spark.createDataFrame([(f"you {w} {w[:1]}{k}",) for k, w in enumerate(["idiot"] * 10 + ["idiotic"] * 10)], "text string")
+    clean = spark.createDataFrame([(f"you fine {k}",) for k in range(20)], "text string")
+    entries = toxicity.lexicon(toxic, clean, 20, 20)
+    assert [e[:2] for e in entries if e[1]] == [("idiot", True)]
+    matcher = toxicity.Matcher(entries)
+    assert [entries[matcher.match(w)[0]][:2] + matcher.match(w)[1:] for w in ("idiot", "idiotically", "idiet")] == [("idiot", True, 0), ("idiot", True, 0), ("idiot", False, 1)]
