@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,30 +88,51 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 of each text; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """As free_name(), for several names."""
+    return [free_name(df, n) for n in names]
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def sliced(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some `size` bytes of text, or of one row where that is longer."""
+    for b in batches:
+        n = pc.binary_length(b.column(b.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        at = np.flatnonzero(np.diff((np.cumsum(n) - n) // size, prepend=-1)).tolist()
+        yield from (b.slice(x, y - x) for x, y in zip(at, [*at[1:], len(n)], strict=True))
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
+def tidy() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # glibc alone has it
+        pass
 
 
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def tidied(run):
+    """run, which maps batches to batches, tidies up at its end: workers live on from task to task, and the next task may
+    be of another operator."""
 
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of this job's own under the shared folder, as a URI or path."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return mapped
 
 
-def local_of(uri: str) -> str:
-    return uri.removeprefix("file://") if uri.startswith("file:") else uri
+def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 of each text; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
 
+def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "os")]
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this job's own under the shared folder, as a URI or path."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

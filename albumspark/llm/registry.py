@@ -43,9 +43,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
-    slim = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(packing.checkpointed(slim))
+    made = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), digest=True)
+    return packing.pack(packing.checkpointed(made))
 
 
 @query()

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,18 +24,31 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 # Packing
 
 
+def check_chunks(texts):
+    many, ids = packing.tokenizer_of(PATH)(pa.array([*texts, None], pa.string()))
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)] + [[]]
+    assert many.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_chunks_are_the_tokenizer(texts):
-    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert packing.tokenizer_of(PATH)([t.encode() for t in texts]) == want
+    check_chunks([t.encode("utf-8", "ignore").decode() for t in texts])
 
 
 def test_chunks_of_odd_texts():
-    texts = ["a\x1cb c\x85d <|endoftext|>x é", "　x y's  I'LL", "café z ́a", "STRASSE ßẞ İ ﬁ", "a.b,c!? 12 3x x3", ""]
-    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert packing.tokenizer_of(PATH)([t.encode() for t in texts]) == want
+    check_chunks(["a\x1cb c\x85d <|endoftext|>x é", "　x y's  I'LL", "café z ́a", "STRASSE ßẞ İ ﬁ", "a.b,c!? 12 3x x3", "", " \t", "same same. Same, same"])
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "WORDS", 64)
+    monkeypatch.setitem(packing._OPEN, PATH, packing.ChunkTokenizer(PATH))
+    rnd = random.Random(8)
+    for _ in range(12):
+        check_chunks([" ".join(f"{rnd.choice('abcdefgh')}{rnd.choice('xyz')}{rnd.choice(['', '.', '!?'])}{rnd.randrange(40) or ''}" for _ in range(60)) for _ in range(5)])
+    own = packing.tokenizer_of(PATH)
+    assert len(own.chunks.texts) <= 50 + 2 * 64 and len(own.parts.texts) <= 50 + 2 * 64
 
 
 @settings(max_examples=60, deadline=None)
@@ -49,11 +63,47 @@ def test_plan_places_every_piece(histogram):
     assert got == Counter({k: v for k, v in histogram.items() if v})
 
 
-def test_plan_is_tight():
+def test_best_pattern():
+    """Against all patterns of a small grid."""
+    grid, rnd = packing.Grid(64), np.random.default_rng(2)
+    grid.unit, grid.cells = 8, 8
+    every = grid.patterns(6)
+    assert len(set(every)) == len(every) and all(sum(p) == 8 + len(p) // 2 and max(p) <= 8 and min(p) >= 1 for p in every)
+    for _ in range(30):
+        gain = np.append(0, rnd.normal(size=8) - 1)
+        gain[rnd.integers(1, 9)] = 0.5
+        found, value = grid.best(gain)
+        assert value >= max(max(gain[list(p)].sum() for p in every), 0) - 1e-9
+        assert not found or value == pytest.approx(gain[list(found)].sum())
+
+
+def test_nnls():
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        a, want = rnd.random((12, 30)), np.maximum(0, rnd.normal(size=30))
+        active, x = packing.nnls(a, a @ want, lambda r: (None, -np.inf))
+        assert (x > 0).all() and active.shape[1] <= 12 and np.allclose(active @ x, a @ want, atol=1e-5)
+
+
+@pytest.mark.parametrize("draw", [lambda r: int(r.lognormvariate(6, 0.8)) + 1, lambda r: int(r.expovariate(1 / 120)) + 1, lambda r: r.randrange(1, 1800)])
+def test_plan_is_tight(draw):
+    """The fitted patterns do the work: over 0.9 of the pieces are theirs, and the sequences are near the bound."""
     rnd = random.Random(1)
-    h = Counter(min(2048, int(rnd.lognormvariate(6, 0.8)) + 1) for _ in range(20000))
-    n, least = sum(m for _, m in packing.plan(h)), math.ceil(sum(k * v for k, v in h.items()) / 2048)
-    assert n <= 1.01 * least
+    h = Counter(min(2048, draw(rnd)) for _ in range(20000))
+    made = packing.Plan(h)
+    n, least = sum(m for _, m in made.done), math.ceil(sum(k * v for k, v in h.items()) / 2048)
+    assert n <= 1.005 * least and made.by_patterns >= 0.9 * sum(v for k, v in h.items() if k < 2048)
+
+
+@pytest.mark.parametrize("sf, share", [("0.01", 0.75), ("0.1", 0.95)])
+def test_plan_of_the_table(spark, sf, share):
+    """Rounding costs more where there are few pieces."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    made = packing.pieces(docs, PATH, digest=True).groupBy("length").count().collect()
+    made = packing.Plan({r["length"]: r["count"] for r in made})
+    part = sum(m * len(x) for x, m in made.done if x != (2048,))
+    tokens = sum(m * sum(x) for x, m in made.done)
+    assert sum(m for _, m in made.done) <= 1.005 * tokens / 2048 and made.by_patterns >= share * part
 
 
 def test_pack(spark):
@@ -74,6 +124,8 @@ def test_pack(spark):
     for parts in ids.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 256
+    digest = packing.pieces(cut, PATH, 256, digest=True).collect()
+    assert Counter(tuple(r) for r in digest) == want
     assert packing.pack(packing.pieces(frame(spark, []), PATH)).count() == 0
 
 
