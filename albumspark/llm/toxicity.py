@@ -15,20 +15,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stored, texts
+from .common import batch, sliced, stored, texts, tidied
 from .logistic import Logistic
 
 #: Labelled texts at most, entries of the lexicon at most, candidates for it at most.
 SAMPLE, ENTRIES, CANDIDATES = 12_000, 2048, 40_000
-#: Letters of a stem; letters from which a word may have an edit.
-STEMS, FUZZY = (4, 5, 6, 7), 5
+#: Letters of a learned word, least and most; letters of a stem; letters from which a word may have an edit.
+LETTERS, STEMS, FUZZY = (3, 40), (4, 5, 6, 7), 5
 #: Words of the window on each side.
 WINDOW = 5
-#: Words remembered, documents at once.
-REMEMBERED, SLICE = 500_000, 500
+#: States remembered, some 500 bytes each; bytes of text at once.
+STATES, SLICE = 20_000, 4 << 20
 
 #: Fixed: marks that open or close a quotation, and words that report one.
 QUOTES = "\"'«»‘’‚“”„"
@@ -71,7 +72,6 @@ class Matcher:
         self.moves: list[dict[str, int]] = [{}, {}]
         self.accepts: list[tuple[int, int] | None] = [None, None]
         self.final = [False, False]
-        self.known: dict[str, tuple[int, int] | None] = {}
 
     def __getstate__(self):
         return {"entries": self.entries, "children": self.children, "term": self.term, "stem": self.stem}
@@ -126,16 +126,18 @@ class Matcher:
                 break
         return self.accepts[state]
 
-    def hits(self, tokens: set[bytes]) -> dict[bytes, tuple[int, int]]:
-        """The tokens that match, remembered."""
-        if len(self.known) > REMEMBERED or len(self.sets) > REMEMBERED:
-            self._start()
-        for t in tokens.difference(self.known):
-            self.known[t] = self.match(word_of(t.decode()))
-        return {t: m for t in tokens if (m := self.known[t])}
+    def hits(self, tokens: list[str]) -> dict[str, tuple[int, int]]:
+        """The tokens that match."""
+        out = {}
+        for t in tokens:
+            if len(self.sets) > STATES:
+                self._start()
+            if m := self.match(word_of(t)):
+                out[t] = m
+        return out
 
 
-def features(tokens: list[bytes], hits: dict[bytes, tuple[int, int]], entries: list[tuple[str, bool, float]]) -> tuple[list[float], int, int]:
+def features(tokens: list[str], hits: dict[str, tuple[int, int]], entries: list[tuple[str, bool, float]]) -> tuple[list[float], int, int]:
     """What the hits of a document say, how many there are, and how many of them are quotations."""
     at = [k for k, t in enumerate(tokens) if t in hits]
     abuse = quoted = fuzzy = 0.0
@@ -143,7 +145,7 @@ def features(tokens: list[bytes], hits: dict[bytes, tuple[int, int]], entries: l
     for k in at:
         entry, edits = hits[tokens[k]]
         weight = entries[entry][2] * (0.5 if edits else 1)
-        near = [t.decode() for t in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
+        near = tokens[max(0, k - WINDOW) : k + WINDOW + 1]
         own = min(k, WINDOW)
         marks = any(t[0] in QUOTES for t in near[: own + 1]) and any(t.rstrip(".,;:!?")[-1:] in QUOTES for t in near[own:] if t.rstrip(".,;:!?"))
         told = any(word_of(t) in REPORTING for t in near[:own])
@@ -165,54 +167,65 @@ class Scorer:
     def __init__(self, entries: list[tuple[str, bool, float]]):
         self.matcher, self.calibrated, self.constant = Matcher(entries), None, 0.5
 
-    def features(self, documents: list[bytes]) -> list[tuple[list[float], int, int]]:
-        split = [x.split() for x in documents]
-        hits = self.matcher.hits(set().union(*split))
-        known = hits.keys()
-        none = [0.0] * FEATURES, 0, 0
-        return [none if known.isdisjoint(t) else features(t, hits, self.matcher.entries) for t in split]
+    def features(self, documents: pa.Array) -> list[tuple[list[float], int, int]]:
+        """Of each text; null is empty. Each distinct token of these texts is matched once."""
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(documents.cast(pa.string()).fill_null("")))
+        codes = split.flatten().dictionary_encode()
+        words = codes.dictionary.to_pylist()
+        hits = self.matcher.hits(words)
+        out = [([0.0] * FEATURES, 0, 0)] * len(documents)
+        if hits:
+            known = np.fromiter((w in hits for w in words), bool, len(words))
+            ends = np.cumsum(pc.list_value_length(split).to_numpy())
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(known[codes.indices.to_numpy()]), side="right")).tolist():
+                out[k] = features(split[k].as_py(), hits, self.matcher.entries)
+        return out
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         self.constant = (y.sum() + 0.5) / (len(y) + 1)
         if 0 < y.sum() < len(y):
             self.calibrated = Logistic(x, y)
 
-    def __call__(self, documents: list[bytes]) -> tuple[np.ndarray, list[int], list[int]]:
+    def __call__(self, documents: pa.Array) -> tuple[np.ndarray, list[int], list[int]]:
         found = self.features(documents)
         x = np.array([f for f, _, _ in found]).reshape(len(found), FEATURES)
         scores = self.calibrated(x) if self.calibrated else np.full(len(found), self.constant)
         return scores, [n for _, n, _ in found], [q for _, _, q in found]
 
 
-def _candidates(text: bytes) -> set[str]:
+def _candidates(text: bytes, letters: tuple[int, int]) -> set[str]:
     """Words and stems of a text; a stem ends in *."""
-    words = {w for t in set(text.split()) if 3 <= len(w := word_of(t.decode())) <= 40}
+    words = {w for t in set(text.split()) if letters[0] <= len(w := word_of(t.decode())) <= letters[1]}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
 _COUNTS = pa.schema([("entry", pa.string()), ("n", pa.int64())])
 
 
-def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+def _counts(sample: DataFrame, letters: tuple[int, int], only: frozenset[str] | None = None) -> DataFrame:
     """entry, n: how many texts of the sample use it."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         n: Counter = Counter()
         for b in batches:
             for text in texts(b.column("text")):
-                found = _candidates(text)
+                found = _candidates(text, letters)
                 n.update(found if only is None else found & only)
         yield batch(_COUNTS, list(n), list(n.values()))
 
     return sample.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = ()) -> list[tuple[str, bool, float]]:
-    """Entries with their log odds. A word that a chosen stem covers is met by the stem; if it may have an edit, it stays
-    beside the ENTRIES for words that are one edit away."""
+def lexicon(
+    toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = (),
+    most: int = ENTRIES, candidates: int = CANDIDATES, letters: tuple[int, int] = LETTERS,
+) -> list[tuple[str, bool, float]]:
+    """Entries with their log odds, at most `most` learned ones, the most frequent first. A word that a chosen stem covers
+    is met by the stem; if it may have an edit, it stays beside them for words that are one edit away. Given terms all
+    count, whatever their length."""
     least = max(3, math.ceil(0.01 * n_toxic))
-    bad = {r["entry"]: r["n"] for r in _counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
-    good = {r["entry"]: r["n"] for r in _counts(clean, frozenset(bad)).collect()} if bad else {}
+    bad = {r["entry"]: r["n"] for r in _counts(toxic, letters).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(candidates).collect()}
+    good = {r["entry"]: r["n"] for r in _counts(clean, letters, frozenset(bad)).collect()} if bad else {}
     odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((good.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in bad.items()}
     chosen: dict[str, float] = {}
     covered: dict[str, float] = {}
@@ -221,7 +234,7 @@ def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, term
         if any(word[:n] + "*" in chosen for n in STEMS if n <= len(word)):
             if e[-1] != "*" and len(word) >= FUZZY:
                 covered[e] = odds[e]
-        elif len(chosen) < ENTRIES:
+        elif len(chosen) < most:
             # A stem that says no more than one longer stem or word gives way to it.
             longer = [x for x in odds if len(x.rstrip("*")) > len(word) and x.startswith(word) and bad[x] >= 0.95 * bad[e]] if e[-1] == "*" else []
             if not longer:
@@ -231,11 +244,12 @@ def lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, term
     return [(e.rstrip("*"), e[-1] == "*", w) for e, w in sorted(chosen.items()) if e.rstrip("*")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterable[str] = ()) -> Scorer:
-    """labels: doc_id, label 0 or 1. `sample` labelled documents, least by a hash of the id, are read.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterable[str] = (), **limits) -> Scorer:
+    """labels: doc_id, label 0 or 1. `sample` labelled documents, least by a hash of the id, are read; limits are those of
+    lexicon().
 
-    Each distinct text counts once. One half of them makes the lexicon, the other calibrates. Rows without id or label are left out. Without labels of
-    both classes the score is the share of label 1, or 0.5.
+    Each distinct text counts once. One half of them makes the lexicon, the other calibrates. Rows without id or label
+    are left out; null texts are empty. Without labels of both classes the score is the share of label 1, or 0.5.
     """
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
     ids = labels.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample)  # a bounded table
@@ -243,39 +257,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterabl
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text", half).distinct())
     n = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (rows.filter((F.col("label") == k) & (F.col("half") == 0)) for k in (1, 0))
-    scorer = Scorer(lexicon(toxic, clean, n.get((1, 0), 0), n.get((0, 0), 0), terms))
+    scorer = Scorer(lexicon(toxic, clean, n.get((1, 0), 0), n.get((0, 0), 0), terms, **limits))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            found = scorer.features(texts(b.column("text")))
+        for b in sliced(batches, SLICE):
+            found = scorer.features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array([f for f, _, _ in found], pa.list_(pa.float64()))], names=["label", "x"])
 
-    own = rows.filter("half = 1").select("label", "text").mapInArrow(run, "label int, x array<double>").collect()  # sample rows at most
+    own = rows.filter("half = 1").select("label", "text").mapInArrow(tidied(run), "label int, x array<double>").collect()  # sample rows at most
     own.sort(key=lambda r: (r["label"], r["x"]))
     scorer.fit(np.array([r["x"] for r in own]).reshape(len(own), FEATURES), np.array([r["label"] for r in own], float))
     return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, score, n_hits and n_quoted of every row of docs; null and empty texts have no hits."""
+    """doc_id, score, n_hits and n_quoted of every row of docs, repeated rows alike; null and empty texts have no hits,
+    null ids stay null, other columns are left out. An empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for whole in batches:
-            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
-                yield batch(_OUT, b.column("doc_id"), *shared.value(texts(b.column("text"))))
+        for b in sliced(batches, SLICE):
+            yield batch(_OUT, b.column("doc_id"), *shared.value(b.column("text")))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, n_hits int, n_quoted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double, n_hits int, n_quoted int")
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores under the threshold, all columns as they were."""
+    """The rows of docs whose text scores under the threshold, all columns as they were, whatever their names. Only texts
+    go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for whole in batches:
-            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
-                scores = shared.value(texts(b.column(b.schema.get_field_index("text"))))[0]
-                yield b.filter(pa.array(scores < threshold))
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(columns: Iterator[pa.Array]):
+            for column in columns:
+                rows = [pa.RecordBatch.from_arrays([column], names=["text"])]
+                parts = [shared.value(b.column("text"))[0] < threshold for b in sliced(rows, SLICE)]
+                yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+        return tidied(run)(batches)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(clean("text"))
