@@ -3,9 +3,10 @@
 Pass one gathers, for each line key's 128-bit hash, the least and greatest document that holds it and a count; keys of
 one document go. The rest are dealt over shards, and each shard becomes an index: a minimal perfect hash over its
 hashes, an array of fingerprints, one of first documents and one of counts. Pass two packs the line hashes of many
-documents by shard; a shard's index probes them as arrays, and only lines to be dropped come back. Probes of a shard are
-also dealt over salts, each with its own copy of the index, so that a line which a third of all documents hold is
-spread. A foreign key passes for a member with probability 2^-64.
+documents by shard; a shard's index probes them as arrays, and only repeated lines come back, each with its first
+document. Probes of a shard are also dealt over salts, each with its own copy of the index, so that a line which a third
+of all documents hold is spread; there are as many salts as keep the probes of one below a fixed number of bytes. A
+foreign key passes for a member with probability 2^-64.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, checkpointed, free_name, lower_ascii, texts
+from .common import batch, checkpointed, free_names, lower_ascii, sliced, texts, tidied
 
-#: Code points of a key at least; keys of a shard; shards at least; copies of a shard's index.
+#: Code points of a key at least; keys of a shard; shards at least; copies of a shard's index at least.
 SHORTEST, SHARD, SHARDS, SALTS = 10, 1 << 16, 64, 16
-#: Documents packed at once.
-SLICE = 2000
+#: Text bytes whose probes meet one copy of an index, some half of them in probes over all shards; text bytes at once.
+TEXT, SLICE = 64 << 20, 4 << 20
 #: Stands for a null doc_id, after all others.
 LAST = (1 << 63) - 1
 
 _SPACE = b" \t\n\v\f\r"
 _KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
-_PROBES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_DROPS = pa.schema([("_id", pa.int64()), ("hash", pa.binary())])
+_PROBES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary())])
+_FOUND = pa.schema([("row", pa.int64()), ("key", pa.binary())])
 
 
 def key_hash(line: bytes) -> bytes | None:
@@ -42,10 +43,6 @@ def key_hash(line: bytes) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
-
-
 def _hashes_of(text: bytes) -> set[bytes]:
     return {h for line in text.split(b"\n") if (h := key_hash(line))}
 
@@ -94,11 +91,11 @@ class LineIndex:
         self.fingerprint[slot], self.first[slot], self.count[slot] = h2, first, count
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The positions that hit, and the first document of each."""
+        """The positions that hit a key which counts at least twice, and the first document of each."""
         if not self.hash.n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         slot = self.hash(h1, h2)
-        hit = np.flatnonzero((slot >= 0) & (self.fingerprint[slot] == h2))
+        hit = np.flatnonzero((slot >= 0) & (self.fingerprint[slot] == h2) & (self.count[slot] > 1))
         return hit, self.first[slot[hit]]
 
     def to_bytes(self) -> bytes:
@@ -121,12 +118,12 @@ class LineIndex:
 
 
 def repeated_keys(docs: DataFrame) -> DataFrame:
-    """docs (_id, text) -> h1, h2, low, n: the keys that at least two documents hold, and the least of these."""
+    """docs (id, text) -> h1, h2, low, n: the keys that at least two documents hold, and the least of these."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in _slices(batches):
+        for b in sliced(batches, SLICE):
             found: dict[bytes, list[int]] = {}
-            for doc, text in zip(b.column("_id").to_pylist(), texts(b.column("text")), strict=True):
+            for doc, text in zip(b.column("id").to_pylist(), texts(b.column("text")), strict=True):
                 for h in _hashes_of(text):
                     if x := found.get(h):
                         x[0], x[1], x[2] = min(x[0], doc), max(x[1], doc), x[2] + 1
@@ -136,7 +133,7 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
             rest = np.array([*found.values()], np.int64).reshape(-1, 3)
             yield batch(_KEYS, h[:, 0], h[:, 1], *rest.T)
 
-    parts = docs.select("_id", "text").mapInArrow(run, "h1 long, h2 long, low long, high long, n long")
+    parts = docs.select("id", "text").mapInArrow(tidied(run), "h1 long, h2 long, low long, high long, n long")
     keys = parts.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     return keys.filter("low < high").drop("high")
 
@@ -153,39 +150,42 @@ def line_index(keys: DataFrame) -> tuple[DataFrame, int]:
     return keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, index binary"), shards
 
 
-def dropped_hashes(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """_id, hash: the line keys that a document loses."""
+def found_keys(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """docs (row, text) -> row, key: the repeated keys of each row's text, as the 16 bytes of the hash and the 8 of the
+    least document that holds it."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    salts = max(SALTS, -(-total // (shards * TEXT)))
 
     def ask(batches: Iterator[pa.RecordBatch]):
         task = TaskContext.get().partitionId()
-        for k, b in enumerate(_slices(batches)):
-            found, ids = [], []
-            for doc, text in zip(b.column("_id").to_pylist(), texts(b.column("text")), strict=True):
+        for k, b in enumerate(sliced(batches, SLICE)):
+            found, rows = [], []
+            for row, text in zip(b.column("row").to_pylist(), texts(b.column("text")), strict=True):
                 own = _hashes_of(text)
                 found += own
-                ids += [doc] * len(own)
-            h, ids = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), np.array(ids, np.int64)
+                rows += [row] * len(own)
+            h, rows = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), np.array(rows, np.int64)
             shard = np.mod(h[:, 0], shards)
             by = np.argsort(shard, kind="stable")
             own, at = np.unique(shard[by], return_index=True)
             cut = [by[x:y] for x, y in zip(at, [*at[1:], len(by)], strict=True)]
-            yield batch(_PROBES, own, [(task + k) % SALTS] * len(own), [h[c].tobytes() for c in cut], [ids[c].tobytes() for c in cut])
+            yield batch(_PROBES, own, [(task + k) % salts] * len(own), [h[c].tobytes() for c in cut], [rows[c].tobytes() for c in cut])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out_ids, out_hashes = [], []
+        out = []
         for blob in held.column("index").to_pylist():
             index = LineIndex.from_bytes(blob)
-            for hashes, ids in zip(asked.column("hashes").to_pylist(), asked.column("ids").to_pylist(), strict=True):
-                h, ids = np.frombuffer(hashes, np.int64).reshape(-1, 2), np.frombuffer(ids, np.int64)
+            for hashes, rows in zip(asked.column("hashes").to_pylist(), asked.column("rows").to_pylist(), strict=True):
+                h, rows = np.frombuffer(hashes, np.int64).reshape(-1, 2), np.frombuffer(rows, np.int64)
                 hit, first = index.probe(h[:, 0], h[:, 1])
-                hit = hit[first < ids[hit]]
-                out_ids += ids[hit].tolist()
-                out_hashes += [h[x].tobytes() for x in hit]
-        return pa.Table.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_hashes, pa.binary())], schema=_DROPS)
+                out.append((rows[hit], np.column_stack([h[hit], first])))
+        rows, keys = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros((0, 3), np.int64))
+        keys = pa.Array.from_buffers(pa.binary(24), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+        return pa.Table.from_arrays([pa.array(rows), keys], schema=_FOUND)
 
-    asked = docs.select("_id", "text").mapInArrow(ask, "shard int, salt int, hashes binary, ids binary")
-    held = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "_id long, hash binary")
+    asked = docs.select("row", "text").mapInArrow(tidied(ask), "shard int, salt int, hashes binary, rows binary")
+    held = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "row long, key binary")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -194,33 +194,38 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Lines end at \\n; null and empty texts are one empty line. A key is a line without ASCII white space at its ends,
     A-Z lowered; keys of at least 10 code points that at least two doc_ids hold go from all but the smallest. Rows of
     one doc_id are one document. Null doc_ids together are one document, after all others. Columns of docs pass
-    through, but for any named n_lines, n_dropped or kept.
+    through, whatever their names, but for any named n_lines, n_dropped or kept. An empty table gives an empty one.
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")])
-    gone = free_name(docs, "_gone")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    index, shards = line_index(repeated_keys(keyed))
-    drops = dropped_hashes(keyed, index, shards).groupBy("_id").agg(F.collect_set("hash").alias(gone))
-    joined = keyed.join(drops, "_id", "left").drop("_id")
+    row, gone = free_names(docs, "_row", "_gone")
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    own_row = F.xxhash64("doc_id", "text")  # where two rows share it, each takes from the keys of both what is its own
+    slim = docs.select(own_id.alias("id"), own_row.alias("row"), "text")
+    index, shards = line_index(repeated_keys(slim))
+    found = found_keys(slim, index, shards).groupBy(F.col("row").alias(row)).agg(F.collect_set("key").alias(gone))
+    joined = docs.withColumn(row, own_row).join(found, row, "left")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in _slices(batches):
+        for b in sliced(batches, SLICE):
             lines, dropped, kept = [], [], []
-            for text, hashes in zip(texts(b.column("text")), b.column(gone).to_pylist(), strict=True):
+            ids, found = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", gone))
+            for doc, text, keys in zip(ids, texts(b.column(b.schema.get_field_index("text"))), found, strict=True):
                 own = text.split(b"\n")
                 lines.append(len(own))
-                if hashes:
-                    hashes = set(hashes)
-                    own = [x for x in own if key_hash(x) not in hashes]
-                    text = b"\n".join(own)
+                if keys:
+                    doc = LAST if doc is None else int(doc)
+                    hashes = {k[:16] for k in keys if int.from_bytes(k[16:], "little", signed=True) < doc}
+                    if hashes:
+                        own = [x for x in own if key_hash(x) not in hashes]
+                        text = b"\n".join(own)
                 dropped.append(lines[-1] - len(own))
                 kept.append(text)
             more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *more], names=[*columns, "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *more], names=[*columns, "n_lines", "n_dropped", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*columns, gone).mapInArrow(run, f"{kinds}, n_lines long, n_dropped long, kept string")
+    return joined.select(*[F.col(f"`{c}`") for c in (*columns, gone)]).mapInArrow(tidied(run), f"{kinds}, n_lines long, n_dropped long, kept string")
 
 
 ORACLE = """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, checkpointed
+from .common import NOT_SPACE, checkpointed, free_name, free_names
 
 #: Ranges of the hash order in each source; a range is what one task sorts at once.
 RANGES_HEX = 3
@@ -64,33 +64,38 @@ def mix(docs: DataFrame, seed: str = "", weights: tuple[int, ...] = (3, 1, 2), s
     """
     own = {"size", "source_size", "target", "taken", "copies"}
     keep = [c for c in docs.columns if c.lower() not in own]
+    key, part, before_it = free_names(docs, "_key", "_range", "_before")
     size = F.col("size").cast("long") if "size" in docs.columns else word_count()
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(*keep, size.alias("size"), key.alias("_key")).withColumn("_range", F.substring("_key", 1, RANGES_HEX))
-    ranges = checkpointed(rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum")))
-    sources = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
+    hashed = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], size.alias("size"), hashed.alias(key)).withColumn(part, F.substring(key, 1, RANGES_HEX))
+    ranges = checkpointed(rows.groupBy("source", F.col(part).alias("part")).agg(F.sum("size").alias("sum")))
+    sources = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, most)
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    ranges = ranges.alias("r").join(sources.alias("s"), same("r", "s")).select("r.source", "_range", "_offset", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.alias("d").join(ranges.alias("r"), same("d", "r") & (F.col("d._range") == F.col("r._range")))
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.floor("target").cast("long") - full * F.col("source_size")
-    before_it = F.col("_offset") + F.col("_before")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    ranges = ranges.alias("r").join(sources.alias("s"), same("r", "s")).select("r.source", "part", "offset", "source_size", "target")
+    inside = Window.partitionBy("source", part).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(before_it, F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.alias("d").join(ranges.alias("r"), same("d", "r") & (F.col(f"d.{part}") == F.col("r.part")))
+    source_size, target, d_size = F.col("r.source_size"), F.col("r.target"), F.col("d.size")
+    full = F.when(source_size > 0, F.floor(target / source_size)).otherwise(0).cast("long")
+    rest = F.floor(target).cast("long") - full * source_size
+    start = F.col("r.offset") + F.col(f"d.{before_it}")
     if whole:
-        copies = full + F.when((rest > 0) & (before_it * 2 + F.col("size") <= rest * 2), 1).otherwise(0)
-        taken = copies * F.col("size")
+        copies = full + F.when((rest > 0) & (start * 2 + d_size <= rest * 2), 1).otherwise(0)
+        taken = copies * d_size
     else:
-        part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - before_it))
-        copies, taken = full + F.when(part > 0, 1).otherwise(0), full * F.col("size") + part
-    return rows.select(*[F.col(f"d.`{c}`") for c in keep], "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
+        first = F.greatest(F.lit(0).cast("long"), F.least(d_size, rest - start))
+        copies, taken = full + F.when(first > 0, 1).otherwise(0), full * d_size + first
+    made = [d_size, source_size, target, taken.cast("long").alias("taken"), copies.cast("long").alias("copies")]
+    return rows.select(*[F.col(f"d.`{c}`") for c in keep], *made)
 
 
 def documents_of(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: a row for each copy of each document."""
-    return mixed.withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).filter("copies > 0").select(*columns)
+    copy = free_name(mixed, "_copy")
+    every = mixed.withColumn(copy, F.explode(F.expr("sequence(1L, greatest(copies, 1L))"))).filter("copies > 0")
+    return every.select(*[F.col(f"`{c}`") for c in columns])
 
 
 ORACLE = """

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, batch, checkpointed, freed, lower_ascii, stored, texts
+from .common import WORD_RE, batch, checkpointed, free_name, freed, lower_ascii, sliced, stored, texts, tidied
 from .components import components
 
 #: Fingerprints of a bucket, beyond which it is dealt anew.
 BUCKET = 4096
 SEED = 42
-SLICE = 2000
+#: Bytes of text at once.
+SLICE = 4 << 20
 
 _PRINTS = pa.schema([("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -56,17 +57,14 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """docs with fp, a long; null texts count as empty."""
-    columns = [c for c in docs.columns if c.lower() != "fp"]
+    """doc_id and fp, a long, of every row of docs; null texts count as empty, null ids stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for whole in batches:
-            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
-                fp = pa.array([fingerprint(t, words) for t in texts(b.column("text"))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), fp], names=[*columns, "fp"])
+        for b in sliced(batches, SLICE):
+            fp = pa.array([fingerprint(t, words) for t in texts(b.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], names=["doc_id", "fp"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def masks(radius: int, turn: int = 0) -> list[int]:
@@ -170,7 +168,7 @@ def groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text)."""
-    return groups(checkpointed(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp")), radius)
+    return groups(checkpointed(fingerprints(docs, words)), radius)
 
 
 # Word sets ------------------------------------------------------------------------------------------------------------
@@ -243,27 +241,26 @@ def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """rid (of the row), uid (of the words in order), doc_id, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for whole in batches:
-            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
-                uid, keys = [], []
-                for t in texts(b.column("text")):
-                    uid.append(_h(b" ".join(lower_ascii(t).split()), 7) - (1 << 63))
-                    keys.append(wide_keys(word_set(t, words), similarity))
-                yield batch(_WIDE, b.column("rid"), uid, b.column("doc_id"), keys)
+        for b in sliced(batches, SLICE):
+            uid, keys = [], []
+            for t in texts(b.column("text")):
+                uid.append(_h(b" ".join(lower_ascii(t).split()), 7) - (1 << 63))
+                keys.append(wide_keys(word_set(t, words), similarity))
+            yield batch(_WIDE, b.column("rid"), uid, b.column("doc_id"), keys)
 
     rows = docs.select(_row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "rid long, uid long, doc_id long, keys array<long>")
+    return rows.mapInArrow(tidied(run), "rid long, uid long, doc_id long, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The word sets of some nodes (rid, uid)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             yield batch(_SETS, b.column("uid"), [word_set(t, words).tobytes() for t in texts(b.column("text"))])
 
     rows = docs.select(_row_id().alias("rid"), "text").join(nodes.select("rid", "uid"), "rid").select("uid", "text")
-    return rows.mapInArrow(run, "uid long, set binary").dropDuplicates(["uid"])
+    return rows.mapInArrow(tidied(run), "uid long, set binary").dropDuplicates(["uid"])
 
 
 def _similar(a: bytes, b: bytes, similarity: float) -> bool:
@@ -276,12 +273,12 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in sliced(batches, SLICE, "x"):
             fine = [_similar(x, y, similarity) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -332,6 +329,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Texts of equal words are copies; fewer words than a shingle: the whole sequence is the set; texts without words
     are copies of each other. Of rows equal in doc_id and text one stays.
     """
+    rid = free_name(docs, "_rid")
     wide = checkpointed(_wide(docs, words, similarity))
     nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))
     nodes = nodes.select("uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
@@ -351,6 +349,6 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     more = checkpointed(_rest(buckets, first, sets, similarity))
     found = first if more.isEmpty() else components(links.union(more))
     own = nodes.drop("keys").join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    stay = own.groupBy("component").agg(F.min(F.struct("last", "doc_id", "rid")).alias("least")).select(F.col("least.rid").alias("_rid"))
-    kept = docs.withColumn("_rid", _row_id()).join(stay, "_rid", "left_semi").dropDuplicates(["_rid"])
-    return kept.select(*docs.columns)
+    stay = own.groupBy("component").agg(F.min(F.struct("last", "doc_id", "rid")).alias("least")).select(F.col("least.rid").alias(rid))
+    kept = docs.withColumn(rid, _row_id()).join(stay, rid, "left_semi").dropDuplicates([rid])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
