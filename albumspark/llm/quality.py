@@ -1,9 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and the difference they make.
 
 Labelled texts, a bounded sample of each class, are split in two. One half trains a dictionary for each class. The
-other half calibrates: the normalised difference of the sizes under the two dictionaries, with the plain size and its
-powers, goes through a logistic function to a score from 0 to 1. A text is compressed block by block, all of it, so
-that the dictionaries bear on every part of a long text.
+other half calibrates: the normalised difference of the sizes under the two dictionaries, and its square, go through a
+logistic function to a score from 0 to 1; nothing else does. A text is compressed block by block, all of it, so that the
+dictionaries bear on every part of a long text.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, sliced, texts, tidied
 from .logistic import Logistic
 
-#: Labelled texts of a class at most, bytes of a dictionary, bytes of a block, zstandard's level.
-SAMPLE, DICTIONARY, BLOCK, LEVEL = 3000, 64 << 10, 2048, 3
+#: Labelled texts of a class at most and their bytes, bytes of a dictionary, bytes of a block, zstandard's level.
+SAMPLE, BYTES, DICTIONARY, BLOCK, LEVEL = 3000, 4 << 20, 64 << 10, 2048, 3
+#: Bytes of text at once.
+SLICE = 4 << 20
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -50,44 +52,57 @@ class CompressionClassifier:
         return self.__dict__ | {"compressors": None}
 
     def features(self, text: bytes) -> list[float]:
+        """How much smaller the text is under the good dictionary than under the bad one, per byte; and its square."""
         if self.compressors is None:
             own = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
             loaded = [zstandard.ZstdCompressionDict(d) for d in self.dictionaries]
             for d in loaded:
                 d.precompute_compress(level=LEVEL)
-            self.compressors = [zstandard.ZstdCompressor(**own), *(zstandard.ZstdCompressor(dict_data=d, **own) for d in loaded)]
+            self.compressors = [zstandard.ZstdCompressor(dict_data=d, **own) for d in loaded]
         n = max(1, len(text))
         blocks = [text[at : at + BLOCK] for at in range(0, n, BLOCK)]
-        plain, good, bad = (sum(len(c.compress(b)) for b in blocks) / n for c in self.compressors)
-        d = bad - good
-        return [d, plain, good, bad, float(np.log1p(n)), d * d, plain * plain, good * bad, n**-0.5]
+        good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self.compressors)
+        d = (bad - good) / n
+        return [d, d * abs(d)]
 
     def __call__(self, documents: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(documents), self.constant)
-        return self.calibrated(np.array([self.features(t) for t in documents]).reshape(len(documents), 9))
+        return self.calibrated(np.array([self.features(t) for t in documents]).reshape(len(documents), 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionClassifier:
-    """labels: doc_id, label 0 or 1. `sample` labelled documents of each class, least by a hash of the id, are read.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> CompressionClassifier:
+    """labels: doc_id, label 0 or 1. Of each class, `sample` labelled documents, least by a hash of the id, are looked at,
+    and those whose bytes add up to `most` are read.
 
-    Rows without id or label are left out; of repeated ids or texts one counts.
+    Rows without id or label are left out; of repeated ids or texts one counts; null texts are empty.
     """
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
     order = F.xxhash64("doc_id", F.lit("quality"))
     few = [labels.filter(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     ids = few[0].union(few[1])  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text", order.alias("at")).collect()
-    rows = sorted({(r["text"] or "", r["label"]): r["at"] for r in rows}.items(), key=lambda x: (x[1], x[0]))
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), order.alias("at"))
+    sizes = own.select("doc_id", "label", "at", F.octet_length("text").alias("n"))
+    read, held = set(), {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r["at"], r["doc_id"])):  # 2 * sample rows
+        if held[r["label"]] + r["n"] <= most:
+            held[r["label"]] += r["n"]
+            read.add((r["doc_id"], r["label"]))
+    if not read:
+        return CompressionClassifier([], [])
+    chosen = docs.sparkSession.createDataFrame(sorted(read), "doc_id long, label long")
+    rows = own.withColumn("label", F.col("label").cast("long")).join(F.broadcast(chosen), ["doc_id", "label"]).collect()  # 2 * most bytes
+    rows = sorted({(r["text"], r["label"]): r["at"] for r in rows}.items(), key=lambda x: (x[1], x[0]))
     return CompressionClassifier(*[[t.encode() for (t, label), _ in rows if label == k] for k in (0, 1)])
 
 
 def score(docs: DataFrame, classifier: CompressionClassifier) -> DataFrame:
-    """doc_id and score of every row of docs; null texts count as empty, other columns are left out."""
+    """doc_id and score of every row of docs, repeated rows alike; null texts count as empty, null ids stay null, other
+    columns are left out. An empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             yield batch(_OUT, b.column("doc_id"), shared.value(texts(b.column("text"))))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double")
