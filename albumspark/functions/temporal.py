@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .text import stem
 
-_Y, _M, _D, _T = "(\\d{4})", "(\\d{2})", "(\\d{2})", "(\\d{2})"
 # Label, pattern, whether it has a time; in order of precedence. Groups: year, month, day, hour, minute, second.
 NAME_PATTERNS = (
     ("filename:whatsapp", "(?i)^(?:IMG|VID)-(\\d{4})(\\d{2})(\\d{2})-WA\\d+$", False),
@@ -31,14 +30,22 @@ def _int(text: Column, pattern: str, group: int) -> Column:
 
 
 def name_date(name: Column) -> Column:
-    """struct(ts, label) of the first pattern that gives a valid date; dates alone are at noon; null if none."""
-    s = stem(name)
-    found = []
+    """struct(ts, label) of the first pattern that gives a valid date; dates alone are at noon; null if none.
+
+    Each pattern runs once: it leaves a mark and the fourteen digits of a time, or the name as it was.
+    """
+    s, found = stem(name), []
     for label, pattern, timed in NAME_PATTERNS:
-        parts = [_int(s, pattern, k) for k in (1, 2, 3)] + ([_int(s, pattern, k) for k in (4, 5, 6)] if timed else [F.lit(12), F.lit(0), F.lit(0)])
-        ts = strict_timestamp(*parts)
-        found.append(F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(label).alias("label"))))
-    return F.coalesce(*found)
+        flags, _, rest = pattern.rpartition("(?i)")
+        digits = "$1$2$3$4$5$6" if timed else "$1$2$3120000"
+        found.append(F.struct(F.regexp_replace(s, f"(?s{'i' if flags or pattern.startswith('(?i)') else ''})^{'' if rest.startswith('^') else '.*?'}{rest}.*$", f"\u0001{digits}").alias("x"), F.lit(label).alias("label")))
+
+    def parsed(p: Column) -> Column:
+        part = lambda at, n: F.substring(p["x"], at + 2, n).try_cast("int")
+        ts = strict_timestamp(part(0, 4), part(4, 2), part(6, 2), part(8, 2), part(10, 2), part(12, 2))
+        return F.struct(F.when(p["x"].startswith("\u0001"), ts).alias("ts"), p["label"].alias("label"))
+
+    return F.get(F.filter(F.transform(F.array(*found), parsed), lambda p: p["ts"].isNotNull()), F.lit(0))
 
 
 def exif_datetime(original: Column, created: Column) -> Column:

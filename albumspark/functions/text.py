@@ -19,6 +19,9 @@ SMALL_WORDS = "a an and as at but by en for if in of on or the to v via vs".spli
 # Image extensions that are passed over.
 SKIPPED_EXTENSIONS = ".svg .ogg .ogv .webm .djvu .pdf .mid .flac .wav .tiff .tif".split()
 
+# Image extensions of which no small picture is served.
+NO_THUMBNAIL = (".tiff", ".tif", ".djvu")
+
 
 def leaf(tag: Column) -> Column:
     """The last segment of a tag path."""
@@ -92,19 +95,28 @@ def good_words(text: Column) -> Column:
 
 
 def title(text: Column) -> Column:
-    """Words capitalised after spaces and hyphens, Roman numerals in capitals, small words small but for the first and last."""
-    words = F.split(F.trim(text), " +")
-    parts = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000000))), "-")
-
-    def one(w: Column, k: Column) -> Column:
-        inside = (k > 0) & (k < F.size(words) - 1)
-        return (
-            F.when(inside & F.lower(w).isin(*SMALL_WORDS), F.lower(w))
-            .when(w.rlike("(?i)^(?=[ivxlc])c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"), F.upper(w))
-            .otherwise(parts(w))
-        )
-
-    return F.array_join(F.transform(words, one), " ")
+    """Words capitalised after spaces and hyphens, Roman numerals in capitals, small words small but for the first and
+    last, d', l' and o' and what follows them capitalised. A text all in capitals is lowered first; else words with capitals inside stay as they are."""
+    trimmed = F.trim(text)
+    words = F.split(F.when((F.upper(trimmed) == trimmed) & (F.lower(trimmed) != trimmed), F.lower(trimmed)).otherwise(trimmed), " +")
+    head = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000000))
+    parts = lambda w: F.array_join(F.transform(F.split(w, "-"), head), "-")
+    after = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1), F.upper(F.substring(w, 3, 1)), F.substring(w, 4, 1000000))
+
+    def titled(words: Column) -> Column:
+        def one(w: Column, k: Column) -> Column:
+            inside = (k > 0) & (k < F.size(words) - 1)
+            return (
+                F.when(inside & F.lower(w).isin(*SMALL_WORDS), F.lower(w))
+                .when(w.rlike("(?i)^(?=[ivxlc])c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"), F.upper(w))
+                .when(w.rlike("(?i)^[dol]['‘’][a-z]+$"), after(w))
+                .when(w.rlike("[a-zA-Z][A-Z]"), w)
+                .otherwise(parts(w))
+            )
+
+        return F.array_join(F.transform(words, one), " ")
+
+    return F.get(F.transform(F.array(words), titled), F.lit(0))  # the words are found once
 
 
 def extension(path: Column) -> Column:
@@ -122,8 +134,9 @@ def sidecar(path: Column) -> Column:
 
 
 def other_sidecar(path: Column) -> Column:
-    """The suffix replaced by .xmp; null for a sidecar."""
-    return F.when(extension(path) != ".xmp", F.regexp_replace(path, "(?<=[^/])\\.[^./]+$", ".xmp"))
+    """The suffix replaced by .xmp, or .xmp at the end where there is none; null where that is the path itself."""
+    made = F.concat(F.regexp_replace(path, "(?<=[^/])\\.[^./]+$", ""), F.lit(".xmp"))
+    return F.when(made != path, made)
 
 
 def quoted(name: Column) -> Column:
@@ -134,6 +147,17 @@ def quoted(name: Column) -> Column:
     return x
 
 
+def commons_url(name: Column) -> Column:
+    """Where Commons serves a file of this name."""
+    return F.concat(F.lit("https://commons.wikimedia.org/wiki/Special:FilePath/"), quoted(name))
+
+
+def cache_name(wikidata_id: Column, idx: Column, url: Column) -> Column:
+    """The name under which a download is kept: id, place and suffix; kinds that are made small, or have none, as .jpg."""
+    ext = extension(url_name(url))
+    return F.concat(wikidata_id, F.lit("_"), idx.cast("string"), F.when(ext.isin("", *NO_THUMBNAIL), ".jpg").otherwise(ext))
+
+
 def url_name(url: Column) -> Column:
     """The decoded last segment of a URL; plus signs stay."""
     last = F.substring_index(F.regexp_replace(url, "[?#].*$", ""), "/", -1)

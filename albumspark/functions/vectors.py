@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,21 +25,29 @@ def normalized(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
 
 
-@F.pandas_udf(T.StringType())
-def encoded(vectors: pd.Series) -> pd.Series:
-    """Base64 of little-endian 32-bit floats."""
-    return vectors.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
+@F.arrow_udf(T.BinaryType())
+def _packed(vectors: pa.Array) -> pa.Array:
+    """Little-endian 32-bit floats of each vector."""
+    ends = np.append(0, 4 * np.cumsum(pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)))
+    values = vectors.flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f4")
+    out = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+    return pc.if_else(vectors.is_valid(), out, None)
+
 
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _unpacked(raw: pa.Array) -> pa.Array:
+    fine = pc.fill_null(pc.and_(pc.greater(pc.binary_length(raw), 0), pc.equal(pc.bit_wise_and(pc.binary_length(raw), 3), 0)), False)
+    whole = pc.if_else(fine, raw, None)
+    ends = np.append(0, np.cumsum(pc.binary_length(whole).fill_null(0).to_numpy(zero_copy_only=False) // 4)).astype(np.int32)
+    values = np.frombuffer(b"".join(x for x in whole.to_pylist() if x), "<f4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.float32()), mask=pc.invert(fine))
 
-def _vector(text: str | None):
-    try:
-        raw = base64.b64decode(text or "", validate=True)
-        return np.frombuffer(raw, "<f4") if raw and len(raw) % 4 == 0 else None
-    except ValueError:
-        return None
+
+def encoded(vector: Column | str) -> Column:
+    """Base64 of little-endian 32-bit floats."""
+    return F.base64(_packed(vector))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decoded(texts: pd.Series) -> pd.Series:
+def decoded(text: Column | str) -> Column:
     """The vector of such a text; null for texts that are none."""
-    return texts.map(_vector)
+    return _unpacked(F.try_to_binary(F.col(text) if isinstance(text, str) else text, F.lit("base64")))

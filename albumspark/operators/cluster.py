@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import numpy as np
@@ -10,78 +9,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-
+from albumspark.operators.components import checkpointed, components
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="albumspark-"))
-    return df.checkpoint()
+BLOCK = 2048
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.90) -> DataFrame:
     """vectors (id, vec) -> a, b, sim: pairs with a < b and inner product at or above the threshold.
 
-    Rows fall into buckets by id; buckets meet in pairs, each pair of buckets a task of its own with a blocked matrix
-    product, so no row pair becomes a Spark row unless it is similar.
+    Rows are packed into blocks by a hash of the id; blocks meet in pairs, each pair a task of its own with a blocked
+    matrix product, so what is copied is one row a block, and no row pair becomes a Spark row unless it is similar.
     """
     n = vectors.count()
-    buckets = max(1, -(-n // BLOCK))
-    dealt = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("_b"))
-    others = F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))
-    met = dealt.withColumn("_o", F.explode(others)).select("id", "vec", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), (F.col("_b") <= F.col("_o")).alias("left"), (F.col("_b") >= F.col("_o")).alias("right"))
+    blocks = max(1, -(-n // BLOCK))
+
+    def pack(t: pa.Table) -> pa.Table:
+        vec = t.column("vec").to_pylist()
+        d = max(map(len, vec))
+        m = np.array([v if len(v) == d else [np.nan] * d for v in vec], np.float64)  # unequal lengths have no product
+        columns = [t.column("_b").slice(0, 1), pa.chunked_array([pa.array([t.column("id").to_numpy().tobytes()])]), pa.chunked_array([pa.array([m.tobytes()])])]
+        return pa.table(columns, names=["_b", "ids", "m"])
+
+    dealt = vectors.filter("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
+    packed = checkpointed(dealt.groupBy("_b").applyInArrow(pack, "_b long, ids binary, m binary"))
+    others = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    met = packed.withColumn("_o", F.explode(others)).withColumns({"x": F.least("_b", "_o"), "y": F.greatest("_b", "_o")})
 
     def meet(t: pa.Table) -> pa.Table:
-        def side(name: str):
-            part = t.filter(t.column(name))
-            vec = [np.asarray(v, np.float64) for v in part.column("vec").to_pylist()]
-            d = max((len(v) for v in vec), default=0)
-            m = np.array([v if len(v) == d else np.full(d, np.nan) for v in vec]).reshape(len(vec), d)
-            return part.column("id").to_numpy(), m
-
-        (ids, m), (others, n) = side("left"), side("right")
+        sides = {r["_b"]: r for r in t.to_pylist()}
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         a, b, s = [], [], []
-        if len(ids) and len(others):
-            for at in range(0, len(ids), 512):
+        if x in sides and y in sides:
+            ids, others = (np.frombuffer(sides[k]["ids"], np.int64) for k in (x, y))
+            m, n = (np.frombuffer(sides[k]["m"], np.float64).reshape(len(i), -1) for k, i in ((x, ids), (y, others)))
+            for at in range(0, len(ids) if m.shape[1] == n.shape[1] else 0, 512):
                 sims = m[at : at + 512] @ n.T
-                i, j = np.nonzero(sims >= threshold - 1e-9)
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = int(ids[at + x]), int(others[y])
-                    if p == q or t.column("x")[0] == t.column("y")[0] and p > q:
+                for i, j in zip(*(k.tolist() for k in np.nonzero(sims >= threshold - 1e-9)), strict=True):
+                    p, q = int(ids[at + i]), int(others[j])
+                    if p == q or x == y and p > q:
                         continue
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-                    s.append(float(sum(u * v for u, v in zip(m[at + x].tolist(), n[y].tolist(), strict=True))))  # from the left
-        keep = [k for k, v in enumerate(s) if v >= threshold]
-        return pa.table({"a": pa.array([a[k] for k in keep], pa.int64()), "b": pa.array([b[k] for k in keep], pa.int64()), "sim": pa.array([s[k] for k in keep], pa.float64())})
+                    sim = float(sum(u * v for u, v in zip(m[at + i].tolist(), n[j].tolist(), strict=True)))  # from the left
+                    if sim >= threshold:
+                        a.append(min(p, q))
+                        b.append(max(p, q))
+                        s.append(sim)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
     return met.groupBy("x", "y").applyInArrow(meet, "a long, b long, sim double")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) -> id, cluster: the least id reachable; ids without a pair have no row."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = _checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("cluster")))
-    edges = _checkpointed(edges)
-    while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        # A label's own label is at least as small: pointers are shortened in each round.
-        far = labels.select(F.col("id").alias("cluster"), F.col("cluster").alias("far"))
-        new = labels.join(near, "id").join(far, "cluster", "left").select("id", F.least("cluster", "near", F.coalesce("far", "cluster")).alias("new"), "cluster")
-        new = _checkpointed(new)
-        if new.filter("new <> cluster").isEmpty():
-            return labels
-        labels = new.select("id", F.col("new").alias("cluster"))
-
-
 def clusters(vectors: DataFrame, threshold: float = 0.90, pairs: DataFrame | None = None) -> DataFrame:
     """vectors (id, size, vec) -> cluster, id, pos, n, max_sim, cluster_rank.
 
     Members by size, largest first, then id. Clusters by their highest pair similarity, then id. Singletons go.
     """
-    pairs = _checkpointed(similar_pairs(vectors, threshold)) if pairs is None else pairs
-    members = components(pairs)
+    pairs = checkpointed(similar_pairs(vectors, threshold)) if pairs is None else pairs
+    members = components(pairs.select("a", "b")).toDF("id", "cluster")
     best = pairs.join(members.withColumnRenamed("id", "a"), "a").groupBy("cluster").agg(F.max("sim").alias("max_sim"))
     ranked = best.withColumn("cluster_rank", F.row_number().over(Window.orderBy(F.desc("max_sim"), "cluster")))
     rows = members.join(vectors.select("id", "size"), "id").join(ranked, "cluster")
@@ -104,10 +87,11 @@ def refined(vectors: DataFrame, threshold: float = 0.90, most: int = 16, step: f
 
     Where the next threshold would reach `top`, or nothing clusters any more, the first `most` members by size stay.
     """
+    pairs = checkpointed(similar_pairs(vectors, threshold))  # of all rounds: a higher threshold keeps some of them
     done, t = [], threshold
-    left = vectors
+    left = vectors.select("id", "size")
     while True:
-        found = _checkpointed(clusters(left, t).select("cluster", "id", "n", "pos"))
+        found = checkpointed(clusters(left, t, pairs).select("cluster", "id", "n", "pos"))
         done.append(found.filter(F.col("n") <= most).select("id", F.lit(t).alias("threshold"), "cluster"))
         large = found.filter(F.col("n") > most)
         if large.isEmpty():
@@ -116,12 +100,12 @@ def refined(vectors: DataFrame, threshold: float = 0.90, most: int = 16, step: f
         if following >= top:
             done.append(large.filter(F.col("pos") <= most).select("id", F.lit(t).alias("threshold"), "cluster"))
             break
-        left = vectors.join(large.select("id", F.col("cluster").alias("_parent")), "id")
-        inside = _checkpointed(similar_pairs(left, following))
-        parents = left.select("id", "_parent")
-        inside = inside.join(parents.toDF("a", "pa"), "a").join(parents.toDF("b", "pb"), "b").filter("pa = pb").select("a", "b", "pa")
-        again = inside.select(F.col("pa").alias("cluster")).distinct()
+        members = large.select("id", "cluster")
+        inside = pairs.filter(F.col("sim") >= following).join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").filter("x = y")
+        pairs = checkpointed(inside.select("a", "b", "sim", "x"))
         # Clusters in which no pair is left keep their largest members.
-        done.append(large.join(again, "cluster", "left_anti").filter(F.col("pos") <= most).select("id", F.lit(t).alias("threshold"), "cluster"))
-        left, t = left.drop("_parent").join(inside.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), following
+        alone = large.join(pairs.select(F.col("x").alias("cluster")).distinct(), "cluster", "left_anti")
+        done.append(alone.filter(F.col("pos") <= most).select("id", F.lit(t).alias("threshold"), "cluster"))
+        left, t = left.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), following
+        pairs = pairs.drop("x")
     return reduce(DataFrame.unionByName, done)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from albumspark.functions.temporal import exif_text, from_sources
 
 _IMAGE_FIELDS = ("EXIF:DateTimeOriginal", "EXIF:CreateDate", "EXIF:ModifyDate", "XMP-photoshop:DateCreated")
-_XMP_FIELDS = ("XMP-exif:DateTimeOriginal",)
+_XMP_FIELDS = ("XMP-xmp:CreateDate",)
 
 
 def missing(rows: DataFrame, force: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumspark.functions.text import stem
+from albumspark.operators.components import checkpointed
 
 
 def latest_moves(manifest: DataFrame) -> DataFrame:
@@ -23,36 +25,102 @@ def statuses(files: DataFrame, existing: DataFrame, moves: DataFrame) -> DataFra
 
 
 def kept(rows: DataFrame, policy: str = "first") -> Column:
-    """Which present files of a cluster stay: all, first (present, by pos) or none."""
+    """Which files of a cluster stay: all; first, the first present by pos; only, the one under the cursor (column cursor,
+    its pos), if it is present, else what was kept before (column keep); or none."""
     if policy == "all":
         return F.lit(True)
     if policy == "none":
         return F.lit(False)
+    own = Window.partitionBy("cluster")
+    if policy == "only":
+        there = F.max(F.col("pos").eqNullSafe(F.col("cursor")) & (F.col("status") == "present")).over(own)
+        return F.when(there, F.col("pos") == F.col("cursor")).otherwise(F.col("keep"))
     present = F.when(F.col("status") == "present", F.col("pos"))
-    return F.col("pos") == F.min(present).over(Window.partitionBy("cluster"))
+    return F.coalesce(F.col("pos") == F.min(present).over(own), F.lit(False))
+
+
+def to_move(rows: DataFrame) -> DataFrame:
+    """rows (path, status, keep): the present ones that are not kept."""
+    return rows.filter((F.col("status") == "present") & ~F.col("keep"))
+
+
+def undone(moves: DataFrame, existing: DataFrame) -> DataFrame:
+    """moves (original, moved_to) with refused: why a move cannot be undone (the original is there again, or the moved file
+    is gone), or null where moved_to may go back to original."""
+    have = existing.select("path").distinct()
+    rows = moves.join(have.select(F.col("path").alias("original"), F.lit(True).alias("_here")), "original", "left")
+    rows = rows.join(have.select(F.col("path").alias("moved_to"), F.lit(True).alias("_there")), "moved_to", "left")
+    refused = F.when(F.col("_here"), "original exists").when(F.col("_there").isNull(), "moved file is gone")
+    return rows.withColumn("refused", refused).select(*moves.columns, "refused")
+
+
+# A number as a suffix has it: from 2 on, without leading zeros.
+_NUMBERED = "^(.+)_([2-9]|[1-9][0-9]+)$"
 
 
 def planned_names(files: DataFrame, dest: str, taken: DataFrame) -> DataFrame:
-    """files (path, ord) -> path, moved_to under dest: the file's name, or name_2, name_3 and so on where it is taken.
+    """files (path, ord) -> path, moved_to under dest, in the order of ord, then path: the file's name, or name_2, name_3
+    and so on, the first that neither dest nor an earlier file has. taken (name): what is in dest.
 
-    taken (name): what is in dest. A suffix is the least that neither dest nor an earlier file has, as long as no
-    file's own name looks like a suffixed one of another; of such files the plan takes the next free number.
+    A name that no other name can reach takes its free numbers by rank. Where a file's own name looks like a suffixed
+    one of another that is moved (a.jpg and a_2.jpg), all names of that family go through in order, a family a task.
     """
     name = F.substring_index("path", "/", -1)
-    rows = files.select("path", "ord", name.alias("name"))
-    rows = rows.withColumns({"_stem": stem(F.col("name")), "_ext": F.regexp_extract("name", "^.+?(\\.[^.]+)$", 1)})
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("ord", "path")))
-    have = taken.select(F.col("name").alias("_have")).distinct()
-    # Numbers that dest has for a name: 1 is the bare name.
-    numbered = have.select("_have", F.regexp_extract("_have", "^(.+?)(?:_(\\d+))?(\\.[^.]+)?$", 1).alias("_stem"), F.regexp_extract("_have", "^(.+?)(?:_(\\d+))?(\\.[^.]+)?$", 2).try_cast("int").alias("_no"), F.regexp_extract("_have", "(\\.[^.]+)$", 1).alias("_ext"))
-    used = numbered.withColumn("_no", F.coalesce("_no", F.lit(1)))
-    full = have.select("_have", stem(F.col("_have")).alias("_stem"), F.regexp_extract("_have", "^.+?(\\.[^.]+)$", 1).alias("_ext"), F.lit(1).alias("_no"))
-    used = used.unionByName(full).groupBy("_stem", "_ext").agg(F.sort_array(F.collect_set("_no")).alias("_used"))
-    rows = rows.join(used, ["_stem", "_ext"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_k") + F.size("_used") + 1), "_used")
-    no = F.element_at(free, F.col("_k"))
-    made = F.when(no == 1, F.col("name")).otherwise(F.concat(F.col("_stem"), F.lit("_"), no.cast("string"), F.col("_ext")))
-    return rows.select("path", F.concat(F.lit(dest.rstrip("/") + "/"), made).alias("moved_to"))
+    ext = lambda c: F.regexp_extract(c, "^.+?(\\.[^.]+)$", 1)
+    rows = files.select("path", "ord", name.alias("name")).withColumns({"_stem": stem(F.col("name")), "_ext": ext("name")})
+    have = taken.select("name").distinct().withColumns({"_stem": stem(F.col("name")), "_ext": ext("name")})
+    base, number = F.regexp_extract("_stem", _NUMBERED, 1), F.regexp_extract("_stem", _NUMBERED, 2).try_cast("long")
+    suffixed = have.filter(number.isNotNull()).select(base.alias("_stem"), "_ext", number.alias("_no"))
+    used = have.select("_stem", "_ext", F.lit(1).cast("long").alias("_no")).unionByName(suffixed)
+    used = used.groupBy("_stem", "_ext").agg(F.sort_array(F.collect_set("_no")).alias("_used"))
+    # Families: a name belongs to that of the name without its last number, if a file has that.
+    names = rows.groupBy("_stem", "_ext").count().drop("count")
+    root = checkpointed(names.select("_stem", "_ext", F.col("_stem").alias("_root"), F.lit(False).alias("_linked")))
+    links = names.filter(number.isNotNull()).select("_stem", "_ext", base.alias("_up"))
+    links = checkpointed(links.join(names.withColumnRenamed("_stem", "_up"), ["_up", "_ext"]))
+    while not links.isEmpty():  # as often as the longest chain of numbers in a name
+        up = links.join(root.select(F.col("_stem").alias("_up"), "_ext", F.col("_root").alias("_far")), ["_up", "_ext"]).select("_stem", "_ext", "_far")
+        new = root.join(up, ["_stem", "_ext"], "left").select("_stem", "_ext", F.coalesce("_far", "_root").alias("_root"), F.col("_far").isNotNull().alias("_linked"), (F.coalesce("_far", "_root") != F.col("_root")).alias("_new"))
+        new = checkpointed(new)
+        root = new.drop("_new")
+        if new.filter("_new").isEmpty():
+            break
+    many = checkpointed(root.filter("_linked").select("_root", "_ext").distinct())
+    linked = many.select(F.col("_root").alias("_r"), F.col("_ext").alias("_e"), F.lit(True).alias("_many"))
+    family = root.join(linked, (F.col("_root") == F.col("_r")) & (F.col("_ext") == F.col("_e")), "left")
+    family = checkpointed(family.select("_stem", "_ext", "_root", F.coalesce("_many", F.lit(False)).alias("_many")))
+    rows = rows.join(family, ["_stem", "_ext"])
+    prefix = F.lit(dest.rstrip("/") + "/")
+
+    one = rows.filter("NOT _many").join(used, ["_stem", "_ext"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<bigint>")))
+    one = one.withColumn("_k", F.row_number().over(Window.partitionBy("_stem", "_ext").orderBy("ord", "path")).cast("long"))
+    no = F.aggregate("_used", F.col("_k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))  # the k-th number that is free
+    made = F.when(no == 1, F.col("name")).otherwise(F.concat("_stem", F.lit("_"), no.cast("string"), "_ext"))
+    one = one.select("path", F.concat(prefix, made).alias("moved_to"))
+    if many.isEmpty():
+        return one
+
+    def through(asked: pa.Table, held: pa.Table) -> pa.Table:
+        taken, following, out = set(held.column("name").to_pylist()), {}, []
+        for name, stem, ext in zip(*(asked.column(c).to_pylist() for c in ("name", "_stem", "_ext")), strict=True):
+            new, n = name, following.get(name, 2)
+            while new in taken:
+                new, n = f"{stem}_{n}{ext}", n + 1
+            following[name] = n
+            taken.add(new)
+            out.append(new)
+        return pa.table({"path": asked.column("path"), "new": pa.array(out, pa.string())})
+
+    asked = rows.filter("_many").select("path", "name", "_stem", "_ext", "_root", F.row_number().over(Window.partitionBy("_root", "_ext").orderBy("ord", "path")).alias("_k"))
+    # What dest has of a family: its files' names, and these with numbers.
+    own = family.filter("_many").select("_stem", "_ext", "_root")
+    met = have.join(own, ["_stem", "_ext"]).select("name", "_root", "_ext").union(
+        have.filter(number.isNotNull()).select("name", base.alias("_stem"), "_ext").join(own, ["_stem", "_ext"]).select("name", "_root", "_ext")
+    ).distinct()
+    kind = asked.schema["path"].dataType.simpleString()
+    ordered = lambda asked, held: through(asked.sort_by("_k"), held)
+    rest = asked.groupBy("_root", "_ext").cogroup(met.groupBy("_root", "_ext")).applyInArrow(ordered, f"path {kind}, new string")
+    return one.unionByName(rest.select("path", F.concat(prefix, "new").alias("moved_to")))
 
 
 def common_ancestor(paths: DataFrame) -> DataFrame:

@@ -29,27 +29,29 @@ def phrases(
     first counts. A page stops at the detection that brings the file's count to max_tags, so each page after that adds
     one at most.
     """
-    words = good_words(F.col("text"))
-    rows = detections.withColumn("_words", words).withColumn("phrase", F.array_join("_words", " "))
-    rows = rows.filter((F.col("score") >= min_confidence) & (F.size("_words") > 0) & ((F.size("_words") > 1) | (F.col("score") >= high_confidence)))
-    rows = rows.filter(F.length("phrase") >= min_length).drop("_words")
+    # Behind a generator, words are found once; filters on them are not pushed below it.
+    rows = detections.filter(F.col("score") >= min_confidence).select("*", F.inline(F.array(F.struct(good_words(F.col("text")).alias("_words")))))
+    rows = rows.withColumn("phrase", F.array_join("_words", " "))
+    rows = rows.filter((F.size("_words") > 0) & ((F.size("_words") > 1) | (F.col("score") >= high_confidence)) & (F.length("phrase") >= min_length)).drop("_words")
     order = Window.partitionBy("path", F.lower("phrase")).orderBy("page_idx", "det_idx")
-    rows = rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    # A page may end early, so its phrases are numbered and what earlier pages kept is carried along.
-    per_page = Window.partitionBy("path", "page_idx").orderBy("det_idx")
-    rows = rows.withColumn("_k", F.row_number().over(per_page))
-    pages = rows.groupBy("path", "page_idx").agg(F.max("_k").alias("_many"))
-    state = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("page_idx", "_many"))),
-        F.struct(F.lit(0).alias("kept"), F.array().cast("array<struct<page_idx:int,before:int,take:int>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["kept"] + F.least(p["_many"], F.greatest(F.lit(max_tags) - s["kept"], F.lit(1)))).alias("kept"),
-            F.concat(s["out"], F.array(F.struct(p["page_idx"].cast("int").alias("page_idx"), s["kept"].alias("before"), F.least(p["_many"], F.greatest(F.lit(max_tags) - s["kept"], F.lit(1))).alias("take")))).alias("out"),
-        ),
-    )
-    plan = pages.groupBy("path").agg(state.alias("s")).select("path", F.explode("s.out").alias("o")).select("path", "o.*")
-    kept = rows.join(plan, ["path", "page_idx"]).filter(F.col("_k") <= F.col("take"))
-    return kept.withColumns({"n": F.col("before") + F.col("_k"), "tag": title(F.col("phrase"))}).drop("_k", "before", "take")
+    rows = rows.repartition("path").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    # Pages fill the file's count in turn; each page after the one that fills it adds its first phrase.
+    file = Window.partitionBy("path").orderBy("page_idx", "det_idx")
+    rows = rows.withColumns({
+        "_k": F.row_number().over(Window.partitionBy("path", "page_idx").orderBy("det_idx")),
+        "_all": F.row_number().over(file),
+        "_page": F.dense_rank().over(Window.partitionBy("path").orderBy("page_idx")),
+    }).withColumn("_before", F.col("_all") - F.col("_k"))
+    last = F.max(F.when(F.col("_before") < max_tags, F.col("_page"))).over(Window.partitionBy("path"))
+    n = F.when(F.col("_before") < max_tags, F.col("_all")).otherwise(F.lit(max_tags) + F.col("_page") - last)
+    taken = F.when(F.col("_before") < max_tags, F.col("_all") <= max_tags).otherwise(F.col("_k") == 1)
+    kept = rows.withColumns({"n": n, "_taken": taken}).filter("_taken")
+    return kept.withColumn("tag", title(F.col("phrase"))).drop("_k", "_all", "_page", "_before", "_taken")
+
+
+def rounded(box: Column, places: int = 5) -> Column:
+    """A box as it is written."""
+    return F.struct(*[F.round(box[c], places).alias(c) for c in "xywh"])
 
 
 def not_ocr(regions: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumspark.functions.geo import haversine
 from albumspark.functions.vectors import dot
+from albumspark.operators.components import components
 
 KM_PER_DEGREE = 111.0
 
@@ -48,7 +52,9 @@ def ranked_in_radius(points: DataFrame, places: DataFrame, k: int = 5, radius_km
 
     points: id, lat, lon, vec. places: ord, name, place_lat, place_lon, place_vec.
     """
-    scored = radius_join(points, places, radius_km).withColumn("score", dot(F.col("vec"), F.col("place_vec")))
+    near = radius_join(points.select("id", "lat", "lon"), places.select("ord", "name", "place_lat", "place_lon"), radius_km)
+    near = near.join(points.select("id", "vec"), "id").join(places.select("ord", "place_vec"), "ord")  # vectors only of what is near
+    scored = near.withColumn("score", dot(F.col("vec"), F.col("place_vec")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ord"))
     ranked = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
     best = F.when((F.col("rank") == 1) & (F.col("score") >= threshold), F.col("name"))
@@ -65,38 +71,50 @@ def ranked_everywhere(query: DataFrame, places: DataFrame, k: int = 10) -> DataF
 def leader_cache(points: DataFrame, radius_km: float = 0.5) -> DataFrame:
     """points (seq, lat, lon) with leader, the seq of the point whose answer it reuses, in the order of seq.
 
-    A point takes the first leader strictly within the radius, or becomes one. This is sequential by definition: it
-    depends on all points before it. For tables of any size use grid_leader().
+    A point takes the first leader strictly within the radius, or becomes one; without coordinates it has none. Points
+    fall into cells of space as long as the radius, so those within it are in one cell or in cells that touch. What
+    happens in a component of touching cells depends on no other: a component is a stream of rows in order of seq, of
+    which a task keeps the leaders alone. Seqs are distinct.
     """
-    import numpy as np
-    import pandas as pd
-
-    def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        lats, lons, seqs, out = [], [], [], []
-        for r in rows.itertuples():
-            if pd.isna(r.lat) or pd.isna(r.lon):
-                out.append(None)
-                continue
-            if seqs:
-                a, b = np.radians(lats), np.radians(r.lat)
-                x = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(r.lon - np.array(lons)) / 2) ** 2
-                near = np.flatnonzero(2 * 6371.0 * np.arctan2(np.sqrt(x), np.sqrt(1 - x)) < radius_km)
-                if len(near):
-                    out.append(seqs[near[0]])
-                    continue
-            lats.append(r.lat)
-            lons.append(r.lon)
-            seqs.append(r.seq)
-            out.append(r.seq)
-        return pd.DataFrame({"seq": rows["seq"], "leader": pd.array(out, "Int64")})
-
-    return points.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda p: lead(p), "seq long, leader long")
-
-
-def grid_leader(points: DataFrame, radius_km: float = 0.5) -> DataFrame:
-    """As leader_cache() for any size, by another rule: points of one grid cell share the first of them."""
-    step = radius_km / KM_PER_DEGREE / 2
-    cell = [F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)]
-    leaders = points.groupBy(cell[0].alias("_a"), cell[1].alias("_b")).agg(F.min("seq").alias("leader"))
-    return points.withColumns({"_a": cell[0], "_b": cell[1]}).join(leaders, ["_a", "_b"], "left").drop("_a", "_b")
+    chord, x, y = F.lit(radius_km * 1.000001 / 6371.0), F.radians("lat"), F.radians("lon")
+    axes = [F.cos(x) * F.cos(y), F.cos(x) * F.sin(y), F.sin(x)]
+    at = F.struct(*[F.floor(v / chord).alias(c) for v, c in zip(axes, "xyz", strict=True)])
+    rows = points.select("seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    placed = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_at", at)
+    cells = placed.select("_at").distinct()
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(s, "xyz", strict=True)]) for s in _HALF])
+    beside = cells.select("_at", F.explode(steps).alias("d"))
+    beside = beside.select(F.col("_at").alias("a"), F.struct(*[(F.col(f"_at.{c}") + F.col(f"d.{c}")).alias(c) for c in "xyz"]).alias("_at"))
+    links = beside.join(cells, "_at").select(F.xxhash64("a").alias("a"), F.xxhash64("_at").alias("b"))
+    own = F.xxhash64("_at")  # cells that share it are one component, which does no harm
+    placed = placed.withColumn("_cell", own).drop("_at").join(components(links).toDF("_cell", "_part"), "_cell", "left").withColumn("_part", F.coalesce("_part", "_cell"))
+    ordered = placed.select("_part", "seq", "lat", "lon").repartition("_part").sortWithinPartitions("_part", "seq")
+    led = ordered.mapInArrow(lambda batches: _led(batches, radius_km), "seq long, leader long")
+    return led.unionByName(rows.filter("lat IS NULL OR lon IS NULL").select(F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("leader")))
+
+
+#: One of each two opposite neighbours of a cell.
+_HALF = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
+
+
+def _led(batches: Iterator[pa.RecordBatch], radius_km: float) -> Iterator[pa.RecordBatch]:
+    part, held = None, {}
+    step = radius_km * 1.000001 / 6371.0
+    around = list(itertools.product((-1, 0, 1), repeat=3))
+    for b in batches:
+        out = []
+        for own, seq, lat, lon in zip(*(b.column(c).to_pylist() for c in ("_part", "seq", "lat", "lon")), strict=True):
+            if own != part:
+                part, held = own, {}
+            x, y = math.radians(lat), math.radians(lon)
+            cell = tuple(math.floor(v / step) for v in (math.cos(x) * math.cos(y), math.cos(x) * math.sin(y), math.sin(x)))
+            near = []
+            for d in around:
+                for leader, a, c in held.get((cell[0] + d[0], cell[1] + d[1], cell[2] + d[2]), ()):
+                    h = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(x) * math.sin(math.radians(lon - c) / 2) ** 2
+                    if 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h))) < radius_km:
+                        near.append(leader)
+            if not near:
+                held.setdefault(cell, []).append((seq, lat, lon))
+            out.append(min(near, default=seq))
+        yield pa.RecordBatch.from_arrays([b.column("seq").cast(pa.int64()), pa.array(out, pa.int64())], names=["seq", "leader"])

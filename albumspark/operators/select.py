@@ -18,19 +18,24 @@ def first_query_wins(candidates: DataFrame, key: str = "wikidata_id") -> DataFra
     return candidates.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def _quota(rows: DataFrame, stratum: list[str], quota: Column, cap: Column) -> DataFrame:
+def _quota(rows: DataFrame, stratum: list[str], quota: Column, cap: Column, most: int) -> DataFrame:
     """Within a stratum: each type's best up to the quota, in the order in which types appear; then the rest by
     sitelinks; up to the cap. _pos is the place in that order."""
-    by_type = Window.partitionBy(*stratum, "type")
-    rows = rows.withColumns({
-        "_rank": F.row_number().over(by_type.orderBy(F.desc("sitelinks"), "ord")),
-        "_type_first": F.min("ord").over(by_type),
-    }).withColumn("_over", F.col("_rank") > quota)
+    keys = [*stratum, "type"]
+    firsts = rows.groupBy(*keys).agg(F.min("ord").alias("_type_first"))
+    # No cap is over `most`, so a type's rows beyond it never count and go before any window over a stratum.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("sitelinks"), "ord"))
+    rows = rows.withColumn("_rank", rank).filter(F.col("_rank") <= most).join(firsts, keys).withColumn("_over", F.col("_rank") > quota)
     order = ["_over", F.when(F.col("_over"), -F.col("sitelinks")).otherwise(F.col("_type_first")), "_type_first", "_rank"]
     pos = F.row_number().over(Window.partitionBy(*stratum).orderBy(*order)) if stratum else F.row_number().over(Window.orderBy(*order))
     return rows.withColumn("_pos", pos).filter(F.col("_pos") <= cap)
 
 
+def region_cap(limit: int, shares: dict[str, float] = REGION_SHARE) -> Column:
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("region")), F.lit(0.05))
+    return F.greatest((share * F.lit(float(limit))).cast("int"), F.lit(1))
+
+
 def by_region_cap(candidates: DataFrame, limit: int, n_types: int = 31, shares: dict[str, float] = REGION_SHARE) -> DataFrame:
     """candidates (ord, region, type, sitelinks, others) -> at most limit of them, with place.
 
@@ -38,11 +43,10 @@ def by_region_cap(candidates: DataFrame, limit: int, n_types: int = 31, shares:
     What a region leaves unused is not dealt to others. The whole is in order of sitelinks, then of regions as they
     first appear.
     """
-    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("region")), F.lit(0.05))
-    cap = F.greatest((share * F.lit(float(limit))).cast("int"), F.lit(1))
+    cap = region_cap(limit, shares)
     quota = F.greatest(F.floor(cap / n_types).cast("int"), F.lit(1))
     first = candidates.groupBy("region").agg(F.min("ord").alias("_region_first"))
-    picked = _quota(candidates, ["region"], quota, cap).join(first, "region")
+    picked = _quota(candidates, ["region"], quota, cap, max(limit, 1)).join(first, "region")
     picked = picked.orderBy(F.desc("sitelinks"), "_region_first", "_pos").limit(limit)  # a report of at most limit rows
     place = F.row_number().over(Window.orderBy(F.desc("sitelinks"), "_region_first", "_pos"))
     return picked.withColumn("place", place).select(*candidates.columns, "place")
@@ -50,15 +54,61 @@ def by_region_cap(candidates: DataFrame, limit: int, n_types: int = 31, shares:
 
 def by_type_quota(candidates: DataFrame, limit: int, n_types: int) -> DataFrame:
     """As above without regions: limit // n_types of each type, then the rest by sitelinks; in that order."""
-    picked = _quota(candidates, [], F.lit(limit // max(1, n_types)), F.lit(limit))
+    picked = _quota(candidates, [], F.lit(limit // max(1, n_types)), F.lit(limit), limit)
     return picked.withColumn("place", F.col("_pos")).select(*candidates.columns, "place")
 
 
-def region_pools(candidates: DataFrame, picked: DataFrame) -> DataFrame:
-    pools = candidates.groupBy("region").agg(F.count("*").alias("pool"))
+def region_pools(candidates: DataFrame, picked: DataFrame, limit: int, shares: dict[str, float] = REGION_SHARE) -> DataFrame:
+    """region, pool, cap, picked: how many candidates a region has, may give and gave."""
+    pools = candidates.groupBy("region").agg(F.count("*").alias("pool")).withColumn("cap", region_cap(limit, shares))
     return pools.join(picked.groupBy("region").agg(F.count("*").alias("picked")), "region", "left").fillna(0, ["picked"])
 
 
+def typed_query(items: DataFrame, kind: str, limit: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """items (type, sitelinks, lat, lon, wikidata_id, others): up to limit of a type, most sitelinks first, in a box of
+    least and greatest latitude and longitude."""
+    rows = items.filter((F.col("type") == kind) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    if box is not None:
+        rows = rows.filter(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:]))
+    return rows.orderBy(F.desc("sitelinks"), "wikidata_id").limit(limit)
+
+
+def candidate_pool(items: DataFrame, types: list[tuple[str, int]], boxes: list[tuple[float, float, float, float]], box_types: list[tuple[str, int]]) -> DataFrame:
+    """The two passes of queries, of types everywhere and then of some types in each box; of repeated ids the first counts.
+
+    One window over all queries ranks each query's rows, in place of a query each.
+    """
+    asked = [(kind, n, None) for kind, n in types] + [(kind, n, box) for box in boxes for kind, n in box_types]
+    inside = lambda box: F.lit(True) if box is None else F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])
+    hits = F.array_compact(F.array(*[
+        F.when((F.col("type") == kind) & inside(box), F.struct(F.lit(k).alias("query_ord"), F.lit(n).alias("most"))) for k, (kind, n, box) in enumerate(asked)
+    ]))
+    rows = items.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("*", F.inline(hits))
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_ord").orderBy(F.desc("sitelinks"), "wikidata_id")))
+    rows = rows.filter(F.col("ord") <= max((n for _, n, _ in asked), default=0)).filter("ord <= most")
+    return first_query_wins(rows.drop("most"))
+
+
+def to_embed(landmarks: DataFrame, existing: DataFrame) -> DataFrame:
+    """Landmarks that are not there yet with an embedding; those without one are tried again."""
+    done = existing.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("wikidata_id").distinct()
+    return landmarks.join(done, "wikidata_id", "left_anti")
+
+
+def to_fetch(landmarks: DataFrame, urls: DataFrame) -> DataFrame:
+    """Landmarks whose image URLs are not kept yet."""
+    return landmarks.join(urls.select("wikidata_id").distinct(), "wikidata_id", "left_anti")
+
+
+def to_download(images: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    """images (wikidata_id, idx, url) of which no file of at least `least` bytes is kept; kept: name, size."""
+    from albumspark.functions.text import cache_name
+
+    names = images.withColumn("_name", cache_name(F.col("wikidata_id"), F.col("idx"), F.col("url")))
+    have = kept.filter(F.col("size") >= least).select(F.col("name").alias("_name")).distinct()
+    return names.join(have, "_name", "left_anti").select(*images.columns)
+
+
 def images(claims: DataFrame, target: int) -> DataFrame:
     """claims (wikidata_id, prop, claim_ord, filename) -> up to target of each id, with place and source.
 

@@ -20,9 +20,12 @@ LOCATION_FIELDS = {
 }
 
 
-def tag_index(rows: DataFrame) -> DataFrame:
-    """rows (path, tags) -> tag, path: lower-case leaves, each once a file."""
-    return rows.select("path", F.explode("tags").alias("tag")).select(F.lower(leaf(F.col("tag"))).alias("tag"), "path").distinct()
+def tag_index(rows: DataFrame, unique: bool = False) -> DataFrame:
+    """rows (path, tags) -> tag, path: lower-case leaves, each once a file. With unique, no path stands in two rows, and
+    nothing is shuffled."""
+    own = F.array_distinct(F.transform("tags", lambda t: F.lower(leaf(t))))
+    index = rows.select(F.explode(own).alias("tag"), "path")
+    return index if unique else index.distinct()
 
 
 def tag_counts(index: DataFrame) -> DataFrame:
@@ -139,6 +142,31 @@ def to_process(files: DataFrame, versions: DataFrame, version: str, force: bool
     return files.join(versions.filter(F.col("version") == version).select("path").distinct(), "path", "left_anti")
 
 
+def taxonomy_stats(mapping: DataFrame) -> DataFrame:
+    """mapping (category, tag) -> category, n_paths, flat: distinct paths of each category, and those without a slash."""
+    rows = mapping.filter(F.col("tag").isNotNull())
+    flat = F.sort_array(F.collect_set(F.when(~F.contains("tag", F.lit("/")), F.col("tag"))))
+    return rows.groupBy("category").agg(F.count_distinct("tag").alias("n_paths"), flat.alias("flat"))
+
+
+def foreign(existing_leaves: Column, tags: Column) -> Column:
+    """Existing leaves that none of our tags has."""
+    from albumspark.functions.text import leaves, owned
+
+    return F.array_except(existing_leaves, leaves(F.filter(tags, owned)))
+
+
+def viewed(rows: DataFrame) -> DataFrame:
+    """rows (path, coords struct<lat,lon>, taken timestamp, keywords) -> path, gps, taken_at, landmarks, tags, as shown."""
+    dash, kw = F.lit("—"), F.coalesce("keywords", F.array().cast("array<string>"))
+    gps = F.when(F.col("coords").isNotNull(), F.format_string("%.6f, %.6f", "coords.lat", "coords.lon")).otherwise(dash)
+    mark = lambda t: t.startswith("Landmarks/")
+    return rows.select(
+        "path", gps.alias("gps"), F.coalesce(F.date_format("taken", "yyyy-MM-dd HH:mm"), dash).alias("taken_at"),
+        F.array_sort(F.filter(kw, mark)).alias("landmarks"), F.array_sort(F.filter(kw, lambda t: ~mark(t))).alias("tags"),
+    )
+
+
 def taxonomy(paths: DataFrame) -> DataFrame:
     """paths (path) -> every prefix as a node: node, depth, is_leaf, line; indented, inner nodes end in /."""
     parts = F.split("path", "/")

@@ -36,7 +36,7 @@ def query(oracle: str | None = None):
 
 def _word_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tags.tag_index(docs.select(F.col("doc_id").alias("path"), F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: w != "").alias("tags")))
+    return tags.tag_index(docs.select(F.col("doc_id").alias("path"), F.filter(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), lambda w: w != "").alias("tags")), unique=True)
 
 
 _WORDS = "SELECT DISTINCT doc_id AS path, tag FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS tag FROM documents) WHERE tag <> ''"
@@ -114,8 +114,8 @@ WITH a AS (
          'county ' || n_name AS county, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END AS town, n_name AS cc
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 t AS (
-  SELECT path, country, CASE WHEN state = '' THEN 'County ' || regexp_replace(county, '^county ', '') ELSE state END AS state, town, upper(cc) AS country_code FROM a)
-SELECT path, 'Places/' || concat_ws('/', country, state, town) AS place, country_code FROM t
+  SELECT path, country, CASE WHEN state = '' THEN 'County ' || regexp_replace(county, '^county ', '') ELSE upper(state[1]) || lower(state[2:]) END AS state, town, upper(cc) AS country_code FROM a)
+SELECT path, 'Places/' || concat_ws('/', array_to_string(list_transform(string_split(country, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), state, town) AS place, country_code FROM t
 """)
 def place_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -321,25 +321,26 @@ def gps_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k, at.alias("at")).select("c_custkey", "at.lat", "at.lon")
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), (k * 37 % 1800 / F.lit(10.0) - 90).alias("lat"), (k * 53 % 3600 / F.lit(10.0) - 180).alias("lon"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (k * 37 % 1800 / F.lit(10.0) - 90).alias("lat"), (k * 53 % 3600 / F.lit(10.0) - 180).alias("lon"), *more)
 
 
-def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spots(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("ord"), F.col("s_name").alias("name"), (k * 97 % 1800 / F.lit(10.0) - 90).alias("place_lat"), (k * 71 % 3600 / F.lit(10.0) - 180).alias("place_lon"))
+    return table(spark, sf_dir, "supplier").select(k.alias("ord"), F.col("s_name").alias("name"), (k * 97 % 1800 / F.lit(10.0) - 90).alias("place_lat"), (k * 71 % 3600 / F.lit(10.0) - 180).alias("place_lon"), *more)
 
 
-_C = "SELECT c_custkey AS id, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer"
-_S = "SELECT s_suppkey AS ord, s_name AS name, s_suppkey * 97 % 1800 / 10.0::DOUBLE - 90 AS place_lat, s_suppkey * 71 % 3600 / 10.0::DOUBLE - 180 AS place_lon FROM supplier"
+_C = "SELECT c_nationkey, c_custkey AS id, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer"
+_S = "SELECT s_nationkey, s_suppkey AS ord, s_name AS name, s_suppkey * 97 % 1800 / 10.0::DOUBLE - 90 AS place_lat, s_suppkey * 71 % 3600 / 10.0::DOUBLE - 180 AS place_lon FROM supplier"
 _KM = """2 * 6371.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))"""
 _H = "pow(sin(radians(place_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(place_lat)) * pow(sin(radians(place_lon - lon) / 2), 2) AS h"
 
 
-@query(f"SELECT id, ord, round({_KM}, 6) AS km FROM (SELECT id, ord, {_H} FROM ({_C}) JOIN ({_S}) ON id % 100 = ord % 100)")
+@query(f"SELECT id, ord, round({_KM}, 6) AS km FROM (SELECT id, ord, {_H} FROM ({_C}) JOIN ({_S}) ON c_nationkey = s_nationkey)")
 def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _points(spark, sf_dir).join(_spots(spark, sf_dir), F.expr("id % 100 = ord % 100"))
+    """Customers and suppliers of one nation."""
+    both = _points(spark, sf_dir, "c_nationkey").join(_spots(spark, sf_dir, "s_nationkey"), F.col("c_nationkey") == F.col("s_nationkey"))
     return both.select("id", "ord", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 6).alias("km"))
 
 
@@ -494,7 +495,27 @@ def similar_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(_sized(spark, sf_dir), 0.42).withColumn("max_sim", F.round("max_sim", 6))
 
 
-@query()
+def _split_sql(first: float, most: int, step: float = 0.02, top: float = 0.99) -> str:
+    """All rounds of the split, one after another: a round's clusters, what is small enough, and what goes on."""
+    ctes, out, t, k = ["s0 AS (SELECT vec_id AS id FROM embeddings)"], [], first, 0
+    while True:
+        following = round(t + step, 4)
+        ctes += [
+            f"e{k} AS (SELECT a, b FROM p WHERE sim >= {t} AND a IN (FROM s{k}) AND b IN (FROM s{k}) UNION ALL SELECT b, a FROM p WHERE sim >= {t} AND a IN (FROM s{k}) AND b IN (FROM s{k}))",
+            f"r{k} AS (SELECT a AS id, a AS c FROM e{k} UNION SELECT e.b, r.c FROM r{k} r JOIN e{k} e ON e.a = r.id)",
+            f"m{k} AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY id * 7919 % 1000 DESC, id) AS pos FROM (SELECT id, min(c) AS cluster FROM r{k} GROUP BY id))",
+        ]
+        out.append(f"SELECT id, {t}::DOUBLE AS threshold, cluster FROM m{k} WHERE n <= {most}")
+        if following >= top:
+            out.append(f"SELECT id, {t}::DOUBLE, cluster FROM m{k} WHERE n > {most} AND pos <= {most}")
+            pairs = f"SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) AS sim FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.v, b.v) >= {first}"
+            return f"WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS MATERIALIZED ({pairs}), {', '.join(ctes)} {' UNION ALL '.join(out)}"
+        ctes.append(f"s{k + 1} AS (SELECT DISTINCT x.id FROM m{k} x JOIN m{k} y ON x.cluster = y.cluster AND x.id <> y.id JOIN p ON p.a = least(x.id, y.id) AND p.b = greatest(x.id, y.id) AND sim >= {following} WHERE x.n > {most})")
+        out.append(f"SELECT id, {t}::DOUBLE, cluster FROM m{k} WHERE n > {most} AND pos <= {most} AND cluster NOT IN (SELECT cluster FROM m{k} WHERE id IN (FROM s{k + 1}))")
+        t, k = following, k + 1
+
+
+@query(_split_sql(0.38, 4))
 def similar_clusters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.refined(_sized(spark, sf_dir), 0.38, most=4).withColumn("threshold", F.round("threshold", 2))
 
@@ -522,14 +543,28 @@ def scalar_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_orderkey AS ord, 'd' || (o_custkey % 10) || '/f' || (o_orderkey % 40) || '.jpg' AS path, 'f' || (o_orderkey % 40) AS stem FROM orders),
-u AS (SELECT stem, [0] AS x FROM o), t AS (SELECT 'f' || (n_nationkey * 2) AS stem FROM nation),
-k AS (SELECT o.*, row_number() OVER (PARTITION BY stem ORDER BY ord, path) + CASE WHEN t.stem IS NULL THEN 0 ELSE 1 END AS no FROM o LEFT JOIN t USING (stem))
-SELECT path, '/dest/' || stem || CASE WHEN no = 1 THEN '' ELSE '_' || no END || '.jpg' AS moved_to FROM k
+WITH RECURSIVE o AS (
+  SELECT *, row_number() OVER (PARTITION BY fam ORDER BY ord, path) AS k FROM (
+    SELECT o_orderkey AS ord, 'd' || (o_custkey % 10) || '/' || stem || '.jpg' AS path, stem, fam FROM (
+      SELECT *, 'f' || (o_orderkey % 400) AS fam, 'f' || (o_orderkey % 400) || CASE o_orderkey % 7 WHEN 0 THEN '_2' WHEN 1 THEN '_3_2' WHEN 2 THEN '_02' ELSE '' END AS stem FROM orders))),
+t AS (SELECT fam, list(name) AS taken FROM (
+  SELECT 'f' || (n_nationkey * 2) AS fam, 'f' || (n_nationkey * 2) || '.jpg' AS name FROM nation UNION ALL SELECT 'f' || n_nationkey, 'f' || n_nationkey || '_3.jpg' FROM nation) GROUP BY fam),
+r AS (
+  SELECT f.fam, 0::BIGINT AS k, NULL::VARCHAR AS path, NULL::VARCHAR AS made, coalesce(t.taken, []::VARCHAR[]) AS taken FROM (SELECT DISTINCT fam FROM o) f LEFT JOIN t USING (fam)
+  UNION ALL
+  SELECT fam, k, path, made, list_append(taken, made) FROM (
+    SELECT r.fam, o.k, o.path, r.taken, CASE WHEN NOT list_contains(r.taken, o.stem || '.jpg') THEN o.stem || '.jpg'
+      ELSE o.stem || '_' || list_min(list_filter(range(2, len(r.taken) + 3), lambda n: NOT list_contains(r.taken, o.stem || '_' || n || '.jpg'))) || '.jpg' END AS made
+    FROM r JOIN o ON o.fam = r.fam AND o.k = r.k + 1))
+SELECT path, '/dest/' || made AS moved_to FROM r WHERE k > 0
 """)
 def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.format_string("d%d/f%d.jpg", F.col("o_custkey") % 10, F.col("o_orderkey") % 40).alias("path"))
-    taken = table(spark, sf_dir, "nation").select(F.format_string("f%d.jpg", F.col("n_nationkey") * 2).alias("name"))
+    """Names that look like suffixed ones of others among them."""
+    k = F.col("o_orderkey")
+    end = F.when(k % 7 == 0, "_2").when(k % 7 == 1, "_3_2").when(k % 7 == 2, "_02").otherwise("")
+    o = table(spark, sf_dir, "orders").select(k.alias("ord"), F.format_string("d%d/f%d%s.jpg", F.col("o_custkey") % 10, k % 400, end).alias("path"))
+    n = F.col("n_nationkey")
+    taken = table(spark, sf_dir, "nation").select(F.explode(F.array(F.format_string("f%d.jpg", n * 2), F.format_string("f%d_3.jpg", n))).alias("name"))
     return moves.planned_names(o, "/dest", taken)
 
 
@@ -569,7 +604,7 @@ _FILES = "SELECT o_orderkey, '/a/d' || (o_orderkey % 9) || '/f' || o_orderkey ||
 
 
 @query(f"""
-SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, path || '.xmp' AS sidecar, CASE WHEN path LIKE '%.%' THEN regexp_replace(path, '\\.[^./]+$', '.xmp') ELSE path END AS other,
+SELECT path, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, path || '.xmp' AS sidecar, regexp_replace(path, '\\.[^./]+$', '') || '.xmp' AS other,
   lower(path) LIKE '%.heic.mov' AS motion, o_orderkey % 6 IN (0, 1, 2, 5) AS supported FROM ({_FILES})
 """)
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -578,12 +613,11 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT o_orderkey, path FROM ({_FILES}) WHERE o_orderkey % 6 IN (0, 5)),
-x AS (SELECT path, path || '.xmp' AS a, regexp_replace(path, '\\.[^./]+$', '.xmp') AS b, o_orderkey % 4 = 0 AS has_a, o_orderkey % 5 = 0 AS has_b FROM f)
+WITH x AS (SELECT path, path || '.xmp' AS a, regexp_replace(path, '\\.[^./]+$', '') || '.xmp' AS b, o_orderkey % 4 = 0 AS has_a, o_orderkey % 5 = 0 AS has_b FROM ({_FILES}))
 SELECT path, 'embedded' AS source, path AS physical FROM x UNION ALL SELECT path, 'sidecar', CASE WHEN has_a THEN a ELSE b END FROM x WHERE has_a OR has_b
 """)
 def sidecar_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named_files(spark, sf_dir).filter("o_orderkey % 6 IN (0, 5)")
+    rows = _named_files(spark, sf_dir)
     have = rows.filter("o_orderkey % 4 = 0").select(text.sidecar(F.col("path")).alias("path")).union(rows.filter("o_orderkey % 5 = 0").select(text.other_sidecar(F.col("path"))))
     return merge.with_sidecars(rows.select("path"), have)
 
@@ -598,20 +632,25 @@ def write_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT n_nationkey AS path, 'Places/' || n_name AS tag, n_name AS leaf FROM nation),
-v AS (SELECT path, unnest([tag, leaf, replace(tag, '/', '|')]) AS value FROM t)
-SELECT path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field, '-=' AS op, value FROM v
+WITH t AS (SELECT n_nationkey AS path, 'Places/' || n_name AS tag, n_name AS leaf FROM nation UNION ALL SELECT n_nationkey, 'People/' || n_name, n_name FROM nation)
+SELECT path, 'IPTC:Keywords' AS field, '-=' AS op, leaf AS value FROM t
+UNION ALL SELECT path, 'XMP-dc:Subject', '-=', leaf FROM t
+UNION ALL SELECT path, 'XMP-digiKam:TagsList', '-=', tag FROM t
+UNION ALL SELECT path, 'XMP-lr:HierarchicalSubject', '-=', replace(tag, '/', '|') FROM t
+UNION ALL SELECT path, 'XMP-iptcExt:PersonInImage', '-=', leaf FROM t WHERE starts_with(tag, 'People/')
 """)
 def tag_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.removals(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.concat(F.lit("Places/"), F.col("n_name")).alias("tag")))
+    n = table(spark, sf_dir, "nation")
+    return sinks.removals(n.select(F.col("n_nationkey").alias("path"), F.explode(F.array(*[F.concat(F.lit(r), F.col("n_name")) for r in ("Places/", "People/")])).alias("tag")))
 
 
 @query("""
-WITH c AS (SELECT n_nationkey AS path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field FROM nation)
-SELECT path, field, '=' AS op, '' AS value, 0 AS op_seq FROM c
+SELECT n_nationkey AS path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage',
+  'MicrosoftPhoto:LastKeywordXMP', 'MediaPro:CatalogSets', 'MicrosoftPhoto:CategorySet', 'XMP-album:all']) AS field, '=' AS op, '' AS value, 0 AS op_seq FROM nation
 UNION ALL
 SELECT path, field, '+=', CASE WHEN field = 'XMP-digiKam:TagsList' THEN 'People/' || n_name WHEN field = 'XMP-lr:HierarchicalSubject' THEN 'People|' || n_name ELSE n_name END, 1
-FROM c JOIN nation ON path = n_nationkey WHERE n_nationkey % 2 = 0
+FROM (SELECT n_nationkey AS path, n_name, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field FROM nation)
+WHERE path % 2 = 0
 """)
 def clear_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "path")
@@ -619,16 +658,17 @@ def clear_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, array_to_string(list_filter(w, lambda x, i: x <> 'w3' AND x <> 'w5' AND list_position(w, x) = i), ' ') || ' new' AS tags
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'y a' ELSE concat_ws(' ', nullif(array_to_string(list_filter(w, lambda x: x <> 'w3' AND x <> 'w5'), ' '), ''), 'new2 new1 w3') END AS tags
 FROM (SELECT doc_id, ['w' || (doc_id % 4), 'w' || (doc_id % 6), 'w' || (doc_id % 3), 'w8'] AS w FROM documents)
 """)
 def mutations_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six changes to each list, and four more to every third: what goes, comes, comes back, and is replaced."""
     k = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(k.alias("path"), F.lit("S").alias("field"), F.array(*[F.concat(F.lit("w"), (k % n).cast("string")) for n in (4, 6, 3)], F.lit("w8")).alias("values"))
-    ops = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(v).alias("value")) for o, v in (("-=", "w3"), ("-=", "w5"), ("+=", "new"), ("+=", "w8"))])
-    changes = rows.select("path", "field", F.explode(ops).alias("m")).select("path", "field", "m.*")
-    done = sinks.applied(rows, changes).select(F.col("path").alias("doc_id"), F.array_distinct("values").alias("v"))
-    return done.select("doc_id", F.array_join(F.concat(F.filter("v", lambda x: x != "new"), F.array(F.lit("new"))), " ").alias("tags"))
+    steps_ = [("-=", "w3"), ("+=", "new2"), ("+=", "new1"), ("-=", "w5"), ("+=", "w8"), ("+=", "w3"), ("=", "z"), ("=", "y"), ("+=", "a"), ("-=", "z")]
+    ops = F.array(*[F.struct(F.lit(n).alias("op_seq"), F.lit(o).alias("op"), F.lit(v).alias("value")) for n, (o, v) in enumerate(steps_)])
+    changes = rows.select("path", "field", F.explode(ops).alias("m")).select("path", "field", "m.*").filter("path % 3 = 0 OR op_seq < 6")
+    return sinks.applied(rows, changes).select(F.col("path").alias("doc_id"), F.array_join("values", " ").alias("tags"))
 
 
 @query("""
@@ -654,37 +694,45 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT region, pool, coalesce(picked, 0) AS picked FROM (SELECT p_partkey % 3 AS region, count(*) AS pool FROM part GROUP BY 1)
-LEFT JOIN (SELECT p_partkey % 3 AS region, count(*) AS picked FROM part WHERE p_size > 40 AND p_partkey % 3 <> 1 GROUP BY 1) USING (region)
+SELECT region, pool, greatest(trunc(CASE region WHEN 'Europe' THEN 0.40 WHEN 'Asia' THEN 0.25 ELSE 0.05 END::DOUBLE * 300)::INT, 1) AS cap, coalesce(picked, 0) AS picked
+FROM (SELECT (['Europe', 'Asia', 'Atlantis'])[p_partkey % 3 + 1] AS region, count(*) AS pool FROM part GROUP BY 1)
+LEFT JOIN (SELECT (['Europe', 'Asia', 'Atlantis'])[p_partkey % 3 + 1] AS region, count(*) AS picked FROM part WHERE p_size > 40 AND p_partkey % 3 <> 1 GROUP BY 1) USING (region)
 """)
 def region_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("region"), "p_size")
-    return select.region_pools(rows, rows.filter("p_size > 40 AND region <> 1"))
+    rows = table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, ("Europe", "Asia", "Atlantis"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("region"), "p_size")
+    return select.region_pools(rows, rows.filter("p_size > 40 AND region <> 'Asia'"), 300)
 
 
-@query("SELECT '/a' AS ancestor")
+@query(f"""
+WITH f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM ({_FILES})), m AS (SELECT string_split(min(d), '/') AS parts FROM f),
+p AS (SELECT array_to_string(parts[1:k], '/') AS a FROM m, range(1, 9) t(k))
+SELECT a AS ancestor FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE NOT (d = a OR starts_with(d, a || '/'))) ORDER BY length(a) DESC LIMIT 1
+""")
 def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.common_ancestor(_named_files(spark, sf_dir))
 
 
-@query("SELECT vec_id, len(embedding)::INT AS n, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings")
+@query("SELECT vec_id, (unnest(range(len(embedding))))::INT AS pos, unnest(embedding) AS x FROM embeddings")
 def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as text and back, bit for bit."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.decoded(vectors.encoded("embedding")).alias("v"))
-    return rows.select("vec_id", F.size("v").alias("n"), F.round(vectors.norm(F.col("v")), 5).alias("norm"))
-
-
-@query()
-def leader_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radius.leader_cache(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0)
+    return rows.select("vec_id", F.posexplode("v").alias("pos", "x"))
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS seq, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer),
-c AS (SELECT *, floor(lat / (500.0::DOUBLE / 111.0 / 2)) AS a, floor(lon / (500.0::DOUBLE / 111.0 / 2)) AS b FROM p)
-SELECT seq, min(seq) OVER (PARTITION BY a, b) AS leader FROM c
+WITH RECURSIVE p AS (
+  SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_custkey AS seq, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer),
+r AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::BIGINT AS leader, []::STRUCT(seq BIGINT, lat DOUBLE, lon DOUBLE)[] AS leaders
+  UNION ALL
+  SELECT k, seq, coalesce(hit, seq), CASE WHEN hit IS NULL THEN list_append(leaders, {'seq': seq, 'lat': lat, 'lon': lon}) ELSE leaders END FROM (
+    SELECT p.k, p.seq::BIGINT AS seq, p.lat, p.lon, r.leaders, (list_filter(r.leaders, lambda q:
+      2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2)))) < 500))[1].seq AS hit
+    FROM r JOIN p ON p.k = r.k + 1))
+SELECT seq, leader FROM r WHERE k > 0
 """)
-def grid_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radius.grid_leader(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0).select("seq", "leader")
+def leader_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radius.leader_cache(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0)
 
 
 @query("""

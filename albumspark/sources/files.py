@@ -13,17 +13,22 @@ from albumspark.functions.files import supported
 
 METADATA = T.StructType([
     T.StructField(n, T.StringType())
-    for n in "SourceFile GPSLatitude GPSLongitude GPSLatitudeRef GPSLongitudeRef DateTimeOriginal CreateDate TaggerVersion OCRRan CountryCode ClipModel ClipEmbedding".split()
-] + [T.StructField(n, T.StringType()) for n in "Keywords Subject TagsList OCRText".split()])
+    for n in (
+        "SourceFile GPSLatitude GPSLongitude GPSLatitudeRef GPSLongitudeRef Make Model DateTimeOriginal CreateDate ImageWidth ImageHeight "
+        "FileImageWidth FileImageHeight ImageRegion TaggerVersion OCRRan CountryCode ClipModel ClipEmbedding Keywords Subject TagsList OCRText"
+    ).split()
+])
+REGIONS = "array<struct<Name:string,Type:string,Description:string,RRole:array<struct<Identifier:array<string>,Name:string>>,RegionBoundary:struct<RbX:double,RbY:double,RbW:double,RbH:double>>>"
 LISTS = "Keywords Subject TagsList OCRText".split()
 MANIFEST = "original string, moved_to string, ts timestamp"
 LANDMARKS = "model string, landmarks array<struct<name:string,wikidata_id:string,lat:double,lon:double,embedding:array<float>>>"
 
 
 def scan(spark: SparkSession, *roots: str, with_header: bool = False) -> DataFrame:
-    """path, name, size, mtime of supported files below the roots, each once, under the first root that has it.
+    """path, name, size, mtime of supported files below the roots, each once, under the first root that has it, unordered.
 
-    Contents are not read unless with_header asks for the first 12 bytes.
+    Contents are not read unless with_header asks for the first 12 bytes. As in all of Spark's file sources, what lies in
+    folders or files whose names begin with _ or a dot is passed over, unless such a folder is named as a root.
     """
     parts = []
     for k, root in enumerate(roots):
@@ -33,12 +38,27 @@ def scan(spark: SparkSession, *roots: str, with_header: bool = False) -> DataFra
     rows = reduce(DataFrame.unionByName, parts).filter(supported(F.col("path")))
     once = F.row_number().over(Window.partitionBy("path").orderBy("root_ord"))
     rows = rows.withColumn("_n", once).filter("_n = 1").drop("_n")
-    return rows.withColumn("name", F.substring_index("path", "/", -1)).orderBy("root_ord", "path")
+    return rows.withColumn("name", F.substring_index("path", "/", -1))
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A dump of metadata objects (an array, or one a line); list fields may be bare texts and become arrays."""
-    rows = spark.read.schema(METADATA).option("multiLine", "true").json(path)
+def to_compare(files: DataFrame) -> DataFrame:
+    """files (path): pictures, but for those under a folder named _duplicates."""
+    from albumspark.functions.files import IMAGES, extension
+
+    return files.filter(extension(F.col("path")).isin(*IMAGES) & ~F.array_contains(F.split("path", "/"), "_duplicates"))
+
+
+def motion_companions(files: DataFrame) -> DataFrame:
+    """files (path): the film halves of live photos."""
+    from albumspark.functions.files import motion_companion
+
+    return files.filter(motion_companion(F.col("path")))
+
+
+def metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A dump of metadata objects, an array a file, or with lines one object a line, which large dumps should have: such
+    files are split. List fields may be bare texts and become arrays. A file that is no JSON gives no row."""
+    rows = spark.read.schema(METADATA).option("multiLine", str(not lines).lower()).json(path).filter("SourceFile IS NOT NULL")
     arrays = {c: F.when(F.col(c).startswith("["), F.from_json(c, "array<string>")).when(F.col(c).isNotNull(), F.array(c)) for c in LISTS}
     return rows.withColumns(arrays).withColumnRenamed("SourceFile", "path")
 
@@ -48,6 +68,40 @@ def versions(meta: DataFrame) -> DataFrame:
     return meta.select("path", F.nullif(F.col("TaggerVersion"), F.lit("")).alias("version")).filter("version IS NOT NULL")
 
 
+def fields(meta: DataFrame) -> DataFrame:
+    """The fields of a single file's read, with numbers and regions as such."""
+    from albumspark.functions.geo import coordinates
+
+    whole = lambda c: F.col(c).try_cast("int").alias(c)
+    coords = coordinates(*map(F.col, ("GPSLatitude", "GPSLongitude", "GPSLatitudeRef", "GPSLongitudeRef")))
+    return meta.select(
+        "path", coords.alias("coords"), "Make", "Model", "DateTimeOriginal", "CreateDate", *map(whole, ("ImageWidth", "ImageHeight", "FileImageWidth", "FileImageHeight")),
+        "Keywords", "Subject", "TagsList", "TaggerVersion", F.from_json("ImageRegion", REGIONS).alias("ImageRegion"),
+    )
+
+
+def keyword_leaves(meta: DataFrame) -> DataFrame:
+    """path, leaves: the lower-case leaves of the three keyword fields."""
+    from albumspark.functions.text import leaves, union_in_order
+
+    return meta.select("path", F.array_sort(leaves(union_in_order(F.col("TagsList"), F.col("Subject"), F.col("Keywords")))).alias("leaves"))
+
+
+def dates(meta: DataFrame) -> DataFrame:
+    """path, original, created."""
+    return meta.select("path", F.col("DateTimeOriginal").alias("original"), F.col("CreateDate").alias("created"))
+
+
+def image_claims(spark: SparkSession, path: str) -> DataFrame:
+    """wikidata_id, prop, claim_ord, filename of image claims, from a dump with an entity reply a line
+    ({"entities": {id: {"claims": {prop: [...]}}}}); claims without a file name, and replies that are none, go."""
+    claim = "struct<mainsnak:struct<datavalue:struct<value:string>>>"
+    reply = F.from_json("value", f"entities map<string,struct<claims:map<string,array<{claim}>>>>")
+    rows = spark.read.text(path).select(F.explode(reply["entities"]).alias("wikidata_id", "e"))
+    rows = rows.select("wikidata_id", F.explode("e.claims").alias("prop", "c")).select("wikidata_id", "prop", F.posexplode("c").alias("claim_ord", "c"))
+    return rows.select("wikidata_id", "prop", "claim_ord", F.col("c.mainsnak.datavalue.value").alias("filename")).filter("filename IS NOT NULL")
+
+
 def cached_embeddings(meta: DataFrame, model: str) -> DataFrame:
     """path, vec of files whose stored model is this one and whose vector decodes."""
     from albumspark.functions.vectors import decoded
@@ -93,24 +147,40 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def url_cache(spark: SparkSession, path: str) -> DataFrame:
-    """wikidata_id, urls array<struct<url,source>> of a JSON object, in its present shape or the two before it (a list
-    of URLs, or one URL)."""
+    """wikidata_id, urls array<struct<url,source>> of a JSON object, in its present shape (an object with images) or the two
+    before it (a list of objects, or of URLs, whose source is unknown)."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("wikidata_id", "v"))
     now = F.from_json("v", "array<struct<url:string,source:string>>")
-    unknown = lambda u: F.struct(u.alias("url"), F.lit(None).cast("string").alias("source"))
+    unknown = lambda u: F.struct(u.alias("url"), F.lit("unknown").alias("source"))
+    present = F.from_json("v", "images array<struct<url:string,source:string>>")["images"]
     plain = F.transform(F.from_json("v", "array<string>"), unknown)
-    return rows.select("wikidata_id", F.when(F.get(now, F.lit(0))["url"].isNotNull(), now).when(F.col("v").startswith("["), plain).otherwise(F.array(unknown(F.col("v")))).alias("urls"))
+    return rows.select("wikidata_id", F.when(F.col("v").startswith("{"), present).when(F.get(now, F.lit(0))["url"].isNotNull(), now).when(F.col("v").startswith("["), plain).otherwise(F.array(unknown(F.col("v")))).alias("urls"))
+
+
+# A key, then a value: each in quotes, or bare; a comment has white space before it.
+_ENTRY = "^\\s*(?:\"([^\"]*)\"|'([^']*)'|([^:#\"'][^:]*?))\\s*:(?:\\s+(?:\"([^\"]*)\"|'([^']*)'|(.*?)))?\\s*(?:\\s#.*)?$"
 
 
 def tag_mapping(spark: SparkSession, path: str) -> DataFrame:
     """raw_tag, category, tag of a mapping of `raw tag: Category/Path` lines; null and ~ mean: no tag."""
-    line = F.regexp_extract("value", "^\\s*(?:\"([^\"]*)\"|'([^']*)'|([^:#\"'][^:]*?))\\s*:\\s*(.*?)\\s*(?:#.*)?$", 4)
-    raw = F.concat(*[F.regexp_extract("value", "^\\s*(?:\"([^\"]*)\"|'([^']*)'|([^:#\"'][^:]*?))\\s*:\\s*(.*?)\\s*(?:#.*)?$", k) for k in (1, 2, 3)])
-    rows = spark.read.text(path).select(raw.alias("raw_tag"), F.regexp_replace(line, "^[\"']|[\"']$", "").alias("tag")).filter("raw_tag <> ''")
+    part = lambda k: F.regexp_extract("value", _ENTRY, k)
+    rows = spark.read.text(path).select(F.concat(part(1), part(2), part(3)).alias("raw_tag"), F.concat(part(4), part(5), part(6)).alias("tag")).filter("raw_tag <> ''")
     tag = F.when(~F.col("tag").isin("", "~", "null"), F.col("tag"))
     return rows.select("raw_tag", F.substring_index(tag, "/", 1).alias("category"), tag.alias("tag"))
 
 
+def tag_mapping_of(spark: SparkSession, mapping: dict) -> DataFrame:
+    """As tag_mapping(), of a parsed mapping, some thousand entries: raw tag to null, to Category/Path, or to an object of
+    category and tag."""
+    rows = []
+    for raw, value in mapping.items():
+        if isinstance(value, dict):
+            rows.append((str(raw), value["category"], value["tag"]))
+        else:
+            rows.append((str(raw), value.split("/", 1)[0] if value else None, value or None))
+    return spark.createDataFrame(rows, "raw_tag string, category string, tag string")
+
+
 def merged_config(defaults: dict, overlay: dict | str | None) -> dict:
     """Defaults with the overlay's leaves on top; an overlay file that is missing changes nothing."""
     if isinstance(overlay, str):

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -54,12 +54,140 @@ def scored(logits: DataFrame) -> DataFrame:
     return logits.withColumn("score", 1 / (1 + F.exp(-F.col("logit")))).orderBy(F.desc("score"), "raw_tag")
 
 
-def polite(call: Callable[[], object], tries: int = 3, wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep, retry_after: Callable[[Exception], float | None] = lambda e: None):
-    """Call until it succeeds; after a failure wait as asked, or a time that grows by wait_s."""
+def _by_model(files: DataFrame, table: DataFrame | None, load: Callable[[], object] | None, name: str, rows: Callable, schema: str) -> DataFrame:
+    """Rows of the table for these files, or what the model gives for each file; rows(model, path) yields tuples."""
+    if load is None:
+        if table is None:
+            raise ValueError(f"{name}: a table or a model is needed")
+        return table.join(files.select("path").distinct(), "path", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, columns = once_a_worker(name, load), [c.split()[0] for c in schema.split(", ")]
+        for b in batches:
+            yield pd.DataFrame([(path, *r) for path in b["path"] for r in rows(model, path)], columns=columns)
+
+    return files.select("path").mapInPandas(run, schema)
+
+
+class Tagger(Protocol):
+    def tag(self, path: str) -> list[tuple[str, float, float]]: ...
+
+
+def predictions(files: DataFrame, table: DataFrame | None = None, load: Callable[[], Tagger] | None = None) -> DataFrame:
+    """path, raw_tag, score, class_threshold, raw_ord of each tag that the tagger predicts, best first; from a table of
+    predictions where no model is given."""
+
+    def rows(model, path):
+        found = sorted(enumerate(model.tag(path)), key=lambda x: (-x[1][1], x[0]))
+        return [(raw.strip(), float(score), float(threshold), k) for k, (_, (raw, score, threshold)) in enumerate(found)]
+
+    return _by_model(files, table, load, "tagger", rows, "path string, raw_tag string, score double, class_threshold double, raw_ord long")
+
+
+class OcrEngine(Protocol):
+    def read(self, path: str) -> list[list[tuple[list[list[float]], str, float]]]: ...
+
+
+def detections(files: DataFrame, table: DataFrame | None = None, load: Callable[[], OcrEngine] | None = None) -> DataFrame:
+    """path, page_idx, det_idx, text, score, poly of each text that the engine sees; from a table where no engine is given."""
+
+    def rows(model, path):
+        return [(page, k, text, float(score), poly) for page, found in enumerate(model.read(path)) for k, (poly, text, score) in enumerate(found)]
+
+    return _by_model(files, table, load, "ocr", rows, "path string, page_idx int, det_idx int, text string, score double, poly array<array<double>>")
+
+
+class Geocoder(Protocol):
+    def address(self, lat: float, lon: float) -> dict[str, str]: ...
+
+
+def addresses(points: DataFrame, table: DataFrame | None = None, load: Callable[[], Geocoder] | None = None, wait_s: float = 1.1, radius_km: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """points (seq, lat, lon) -> seq, address: that of the leader, the first point within the radius in order of seq.
+
+    Leaders alone are asked, one after another with a wait between them, as the service demands, so in one task; or
+    they are looked up in a table (seq, address). An address that fails is empty.
+    """
+    from albumspark.operators.radius import leader_cache
+
+    leaders = leader_cache(points, radius_km).filter("leader IS NOT NULL")
+    if load is None:
+        if table is None:
+            raise ValueError("geocoder: a table or a service is needed")
+        found = table.select(F.col("seq").alias("leader"), "address")
+    else:
+        asked = points.join(leaders.select(F.col("leader").alias("seq")).distinct(), "seq").select("seq", "lat", "lon")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            coder, first = once_a_worker("geocoder", load), True
+            for b in batches:
+                out = []
+                for r in b.itertuples():
+                    if not first:
+                        sleep(wait_s)
+                    first = False
+                    try:
+                        out.append(coder.address(r.lat, r.lon))
+                    except OSError:
+                        out.append({})
+                yield pd.DataFrame({"leader": b["seq"], "address": out})
+
+        found = asked.coalesce(1).mapInPandas(run, "leader long, address map<string,string>")
+    return leaders.join(found, "leader", "left").select("seq", F.coalesce("address", F.create_map().cast("map<string,string>")).alias("address"))
+
+
+class Images(Protocol):
+    """Bytes in, bytes out: what ffmpeg or an imaging library does stays behind this."""
+
+    def frame(self, video: bytes) -> bytes | None: ...
+
+    def prepared(self, image: bytes, longest: int) -> bytes | None: ...
+
+
+# What brings a picture upright, by EXIF orientation.
+UPRIGHT = {1: "", 2: "hflip", 3: "hflip,vflip", 4: "vflip", 5: "transpose=0", 6: "transpose=1", 7: "transpose=3", 8: "transpose=2"}
+
+
+def upright(orientation: Column) -> Column:
+    """The filter that brings a picture of this orientation upright; unknown ones stay."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UPRIGHT.items() for x in kv]), orientation.cast("int")), F.lit(""))
+
+
+def shrunk(width: Column, height: Column, longest: int) -> Column:
+    """struct(width, height) of a picture whose longer edge is at most `longest`; smaller ones stay."""
+    by = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
+    return F.struct(F.greatest(F.round(width * by).cast("int"), F.lit(1)).alias("width"), F.greatest(F.round(height * by).cast("int"), F.lit(1)).alias("height"))
+
+
+def pictures(files: DataFrame, load: Callable[[], Images] | None = None, longest: int = 1024) -> DataFrame:
+    """files (path, content, is_video) -> path, picture: a film's frame or the picture, prepared; null without a library, or
+    where it fails."""
+    if load is None:
+        return files.select("path", F.lit(None).cast("binary").alias("picture"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = once_a_worker("images", load)
+        for b in batches:
+            still = [own.frame(c) if v else c for c, v in zip(b["content"], b["is_video"], strict=True)]
+            yield pd.DataFrame({"path": b["path"], "picture": [None if c is None else own.prepared(c, longest) for c in still]})
+
+    return files.select("path", "content", "is_video").mapInPandas(run, "path string, picture binary")
+
+
+def asked_to_wait(error: Exception) -> float | None:
+    """The seconds of an HTTP error's Retry-After, if it has one in that form."""
+    value = getattr(error, "headers", None) and error.headers.get("Retry-After")
+    return float(value) if value and value.strip().isdigit() else None
+
+
+def polite(
+    call: Callable[[], object], tries: int = 3, wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep,
+    retry_after: Callable[[Exception], float | None] = asked_to_wait, on: tuple[type[Exception], ...] = (OSError,),
+):
+    """Call until it succeeds; after an error of the network, and no other, wait as asked, or a time that grows by wait_s."""
     for k in range(tries):
         try:
             return call()
-        except Exception as e:
+        except on as e:
             if k == tries - 1:
                 raise
             sleep(retry_after(e) or wait_s * (k + 1))
@@ -98,6 +226,6 @@ class _HttpReader(DataSourceReader):
             return
         try:
             body = polite(lambda: urlopen(part.value, timeout=float(self.options.get("timeout", "30"))).read().decode(), int(self.options.get("tries", "3")))
-        except Exception:
+        except OSError:
             body = None
         yield part.value, body

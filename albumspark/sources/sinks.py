@@ -5,6 +5,8 @@ A mutation is path, field, op (=, += or -=) and value, with target, the physical
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from albumspark.functions.text import sidecar
 # Groups that a sidecar cannot hold, and the fields that clearing empties.
 NOT_XMP = ("IPTC:", "EXIF:", "QuickTime:", "MakerNotes:", "File:")
 KEYWORD_FIELDS = ("IPTC:Keywords", "XMP-dc:Subject", "XMP-digiKam:TagsList", "XMP-lr:HierarchicalSubject", "XMP-iptcExt:PersonInImage")
+TAG_FIELDS = (*KEYWORD_FIELDS, "MicrosoftPhoto:LastKeywordXMP", "MediaPro:CatalogSets", "MicrosoftPhoto:CategorySet", "XMP-album:all")
 
 
 def targets(mutations: DataFrame, sidecars: bool = False, is_video: str = "is_video") -> DataFrame:
@@ -26,12 +29,17 @@ def targets(mutations: DataFrame, sidecars: bool = False, is_video: str = "is_vi
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """rows (path, tag): each tag's path and leaf leave all keyword fields."""
-    from albumspark.functions.text import leaf, piped
+    """rows (path, tag): a tag leaves the fields that it is written to, in the form that it has in each."""
+    from albumspark.operators.tags import fan_out
+
+    return fan_out(rows, "-=")
 
-    values = F.array_distinct(F.array(F.col("tag"), leaf(F.col("tag")), piped(F.col("tag"))))
-    fields = F.array(*map(F.lit, KEYWORD_FIELDS))
-    return rows.select("path", F.explode(values).alias("value"), fields.alias("f")).select("path", F.explode("f").alias("field"), F.lit("-=").alias("op"), "value")
+
+def on_existing(mutations: DataFrame, existing: DataFrame) -> DataFrame:
+    """mutations (target, ...) without those of sidecars that are not there: removing creates none."""
+    have = existing.select(F.col("path").alias("target")).distinct()
+    side = F.lower("target").endswith(".xmp")
+    return mutations.filter(~side).unionByName(mutations.filter(side).join(have, "target", "left_semi").select(*mutations.columns))
 
 
 def clear_keywords(paths: DataFrame) -> DataFrame:
@@ -39,10 +47,11 @@ def clear_keywords(paths: DataFrame) -> DataFrame:
 
 
 def clear_all(paths: DataFrame, people: DataFrame) -> DataFrame:
-    """All keyword fields empty, then each file's People tags again; op_seq orders the two."""
+    """All tag fields and the tagger's own namespace empty, then each file's People tags again; op_seq orders the two."""
     from albumspark.operators.tags import fan_out
 
-    cleared = clear_keywords(paths).withColumn("op_seq", F.lit(0))
+    empty = F.explode(F.array(*map(F.lit, TAG_FIELDS))).alias("field")
+    cleared = paths.select("path", empty, F.lit("=").alias("op"), F.lit("").alias("value")).withColumn("op_seq", F.lit(0))
     again = fan_out(people.join(paths.select("path").distinct(), "path", "left_semi").select("path", F.explode("tags").alias("tag"))).withColumn("op_seq", F.lit(1))
     return cleared.unionByName(again)
 
@@ -63,15 +72,96 @@ def embeddings(rows: DataFrame, model: str) -> DataFrame:
 
 
 def applied(lists: DataFrame, mutations: DataFrame) -> DataFrame:
-    """lists (path, field, values) after mutations: = replaces, then -= removes, then += appends what is not there."""
-    by = mutations.groupBy("path", "field").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("op") == op, F.col("value")))).alias(name) for op, name in (("=", "_set"), ("-=", "_gone"), ("+=", "_new"))
-    ])
-    joined = lists.join(by, ["path", "field"], "full")
-    empty = F.array().cast("array<string>")
-    base = F.when(F.size("_set") > 0, F.filter("_set", lambda v: v != "")).otherwise(F.coalesce("values", empty))
-    left = F.filter(base, lambda v: ~F.array_contains(F.coalesce("_gone", empty), v))
-    return joined.select("path", "field", F.array_union(left, F.coalesce("_new", empty)).alias("values"))
+    """lists (path, field, values) after mutations, in the order of op_seq: = replaces, and values of one run of it stand
+    together; -= removes; += appends what is not there. Mutations of one op_seq, or without any, go in the order =, -=,
+    +=, each by value. An empty = leaves nothing."""
+    seq = F.col("op_seq") if "op_seq" in mutations.columns else F.lit(0)
+    rank = F.when(F.col("op") == "=", 0).when(F.col("op") == "-=", 1).otherwise(2)
+    steps = F.array_sort(F.collect_list(F.struct(seq.alias("seq"), rank.alias("rank"), "op", "value")))
+    by = mutations.groupBy("path", "field").agg(steps.alias("_steps"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.coalesce("values", none).alias("v"), F.lit("").alias("op"))
+
+    def step(state, m):
+        new = F.when(m["value"] == "", none).otherwise(F.array(m["value"]))
+        v = (
+            F.when((m["op"] == "=") & (state["op"] == "="), F.concat(state["v"], new))
+            .when(m["op"] == "=", new)
+            .when(m["op"] == "-=", F.filter(state["v"], lambda x: x != m["value"]))
+            .when(F.array_contains(state["v"], m["value"]), state["v"])
+            .otherwise(F.concat(state["v"], new))
+        )
+        return F.struct(v.alias("v"), m["op"].alias("op"))
+
+    joined = lists.join(by, ["path", "field"], "full").withColumn("_steps", F.coalesce("_steps", F.filter(F.array(F.struct(F.lit(0).alias("seq"), F.lit(0).alias("rank"), F.lit("").alias("op"), F.lit("").alias("value"))), lambda x: F.lit(False))))
+    return joined.select("path", "field", F.aggregate("_steps", start, step, lambda s: s["v"]).alias("values"))
+
+
+def consolidated(rows: DataFrame, version: str, model: str = "") -> DataFrame:
+    """All that is written to a file at once: path, field, op, value, op_seq; files with nothing to write have no row.
+
+    rows: path and any of tags (array), location (map), people (array; replaces, also when empty), ocr_text (array;
+    replaces), ocr_regions (array of text and a box), fields (map of the tagger's own), ocr_ran (boolean), vec (array).
+    Whatever is written, the version and the time are written too.
+    """
+    from albumspark.functions.vectors import encoded
+    from albumspark.operators.ocr import OCR_ROLE, rounded
+    from albumspark.operators.tags import fan_out, location_fan_out
+
+    have, none = set(rows.columns), F.array().cast("array<string>")
+    filled = {c: F.size(F.coalesce(F.col(c), none)) > 0 for c in ("tags", "ocr_text") if c in have}
+    filled |= {c: F.coalesce(F.size(c) > 0, F.lit(False)) for c in ("location", "fields", "ocr_regions") if c in have}
+    filled |= {c: F.col(c).isNotNull() for c in ("people", "vec") if c in have} | {c: F.coalesce(c, F.lit(False)) for c in ("ocr_ran",) if c in have}
+    something = F.lit(False)
+    for c in filled.values():
+        something = something | c
+    rows = rows.filter(something)
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parts: list[tuple[DataFrame, int]] = []
+
+    def each(column: str, field: str, op: str, at: int) -> None:
+        parts.append((rows.select("path", F.explode(column).alias("value")).select("path", F.lit(field).alias("field"), F.lit(op).alias("op"), "value"), at))
+
+    def one(field: str, value, at: int, where=None) -> None:
+        own = rows if where is None else rows.filter(where)
+        parts.append((own.select("path", F.lit(field).alias("field"), F.lit("=").alias("op"), value.alias("value")), at))
+
+    if "tags" in have:
+        parts.append((fan_out(rows.select("path", F.explode("tags").alias("tag"))), 0))
+    if "location" in have:
+        parts.append((location_fan_out(rows.select("path", F.col("location").alias("parts"))), 1))
+    if "people" in have:
+        one("XMP-iptcExt:PersonInImage", F.lit(""), 2, filled["people"])
+        each("people", "XMP-iptcExt:PersonInImage", "+=", 3)
+    one("XMP-album:TaggerVersion", F.lit(version), 4)
+    one("XMP-album:TaggedAt", now, 4)
+    if "fields" in have:
+        own = rows.select("path", F.explode("fields").alias("k", "value"))
+        parts.append((own.select("path", F.concat(F.lit("XMP-album:"), "k").alias("field"), F.lit("=").alias("op"), "value"), 5))
+    if "ocr_ran" in have:
+        one("XMP-album:OCRRan", now, 6, filled["ocr_ran"])
+    if "vec" in have:
+        one("XMP-album:ClipEmbedding", encoded(F.col("vec")), 7, filled["vec"])
+        if model:
+            one("XMP-album:ClipModel", F.lit(model), 7, filled["vec"])
+    if "ocr_text" in have:
+        one("XMP-album:OCRText", F.lit(""), 8, filled["ocr_text"])
+        each("ocr_text", "XMP-album:OCRText", "+=", 9)
+    if "ocr_regions" in have:
+        box = rounded(F.col("r"))
+        region = F.struct(
+            F.col("r.text").alias("Name"), F.array(F.struct(F.array(F.lit(OCR_ROLE)).alias("Identifier"), F.lit("annotated text").alias("Name"))).alias("RRole"),
+            F.struct(F.lit("rectangle").alias("RbShape"), F.lit("relative").alias("RbUnit"), *[box[c].alias(f"Rb{c.upper()}") for c in "xywh"]).alias("RegionBoundary"),
+        )
+        own = rows.select("path", F.explode("ocr_regions").alias("r"))
+        parts.append((own.select("path", F.lit("XMP-iptcExt:ImageRegion").alias("field"), F.lit("+=").alias("op"), F.to_json(region).alias("value")), 10))
+    made = [part.withColumn("op_seq", F.lit(at)) for part, at in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
+def save_landmarks(landmarks: DataFrame, path: str) -> None:
+    """The whole table of landmarks (name, wikidata_id, lat, lon, embedding, model), written anew."""
+    landmarks.write.mode("overwrite").parquet(path)
 
 
 def write(mutations: DataFrame, path: str) -> None:

@@ -123,3 +123,19 @@ def test_vectors(spark):
     got = rows.select(vectors.dot(F.col("v"), F.col("v")), vectors.normalized(F.col("v")), vectors.decoded(vectors.encoded("v"))).collect()
     assert [tuple(r) for r in got] == [(25.0, [0.6, 0.8], [3.0, 4.0]), (0.0, None, [0.0, 0.0]), (None, None, None)]
     assert column(spark, "string", ["!!", "", "AAA="], lambda c: vectors.decoded(c)) == [None, None, None]
+
+
+@pytest.mark.parametrize(("raw", "titled"), [("ROMA TERMINI IV", "Roma Termini IV"), ("o'brien of d'angelo", "O'Brien of D'Angelo"), ("the iPhone", "The iPhone"), ("STATE OF THE ART", "State of the Art")])
+def test_title_of_capitals_and_apostrophes(spark, raw, titled):
+    assert column(spark, "string", [raw], text.title) == [titled]
+
+
+def test_other_sidecars(spark):
+    assert column(spark, "string", ["/a/b", "/a/.b", "/a/B.XMP", "/a.d/b"], text.other_sidecar) == ["/a/b.xmp", "/a/.b.xmp", "/a/B.xmp", "/a.d/b.xmp"]
+
+
+def test_codec(spark):
+    rows = [[1.0, -2.5], [], None, [0.1]]
+    got = column(spark, "array<float>", rows, lambda c: vectors.decoded(vectors.encoded(c)))
+    assert got[0] == [1.0, -2.5] and got[1] is None and got[2] is None and got[3] == pytest.approx([0.1])
+    assert column(spark, "string", ["AACAPw==", "no", "AAA=", None, ""], vectors.decoded) == [[1.0], None, None, None, None]

@@ -69,7 +69,6 @@ def test_leaders(spark):
     rows = [(1, 0.0, 0.0), (2, 0.004, 0.0), (3, 0.008, 0.0), (4, 0.0044, 0.0), (5, None, 0.0)]
     df = spark.createDataFrame(rows, "seq long, lat double, lon double")
     assert {r.seq: r.leader for r in radius.leader_cache(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: None}
-    assert radius.grid_leader(df).filter("seq = 1 AND leader = 1").count() == 1
 
 
 def unit(*x):
@@ -221,3 +220,59 @@ def test_steps(spark):
 def test_taxonomy(spark):
     got = tags.taxonomy(spark.createDataFrame([("a/b",), ("a/c/d",)], "path string")).orderBy("node").collect()
     assert [r.line for r in got] == ["a/", "  b", "  c/", "    d"]
+
+
+def plain_names(files_, taken):
+    """In order, one after another, as a folder is filled."""
+    taken, out = set(taken), {}
+    for path, _ in sorted(files_, key=lambda f: (f[1], f[0])):
+        name = path.rsplit("/", 1)[-1]
+        stem, dot, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
+        new, n = name, 2
+        while new in taken:
+            new, n = f"{stem}_{n}{dot}{ext}", n + 1
+        taken.add(new)
+        out[path] = f"/d/{new}"
+    return out
+
+
+def test_names_that_look_like_suffixed_ones(spark):
+    rnd = random.Random(5)
+    stems = ["a", "a_2", "a_2_2", "a_3", "a_02", "b_2", "c", "IMG_0001", "IMG_0002", ".h", "x_9"]
+    files_ = [(f"/{k}/{rnd.choice(stems)}{rnd.choice(['.jpg', '.jpg', '', '.JPG'])}", k) for k in range(160)]
+    taken = ["a.jpg", "a_4.jpg", "c_2.jpg", "b_2", "IMG_0001.jpg", "a_2_3.jpg", "x_9_2.jpg", "x_9_3.jpg"]
+    df = spark.createDataFrame(files_, "path string, ord int")
+    got = {r.path: r.moved_to for r in moves.planned_names(df, "/d", spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
+    assert got == plain_names(files_, taken) and len(set(got.values())) == len(got)
+    three = spark.createDataFrame([("a/a.jpg", 1), ("b/a.jpg", 2), ("c/a_2.jpg", 3)], "path string, ord int")
+    none = spark.createDataFrame([], "name string")
+    assert [r.moved_to for r in moves.planned_names(three, "/d", none).orderBy("path").collect()] == ["/d/a.jpg", "/d/a_2.jpg", "/d/a_2_2.jpg"]
+    assert moves.planned_names(three.limit(0), "/d", none).count() == 0
+
+
+@pytest.mark.parametrize("r", [0.5, 400.0])
+def test_leaders_are_exact(spark, r):
+    """Spots, lines, the poles and the date line, against one point after another."""
+    rnd, rows = random.Random(6), []
+    for k in range(300):
+        lat, lon = rnd.choice([(0.0, 0.0), (45.0, 179.999), (89.99, 10.0), (-33.0, 151.0)])
+        rows.append((k * 3, max(-90.0, min(90.0, lat + rnd.uniform(-2, 2) * r / 111)), (lon + rnd.uniform(-3, 3) * r / 111 + 180) % 360 - 180))
+    leaders, want = [], {}
+    for seq, lat, lon in rows:
+        near = [s for s, a, b in leaders if km(a, b, lat, lon) < r]
+        want[seq] = near[0] if near else seq
+        if not near:
+            leaders.append((seq, lat, lon))
+    df = spark.createDataFrame(rows, "seq long, lat double, lon double").repartition(5)
+    assert {x.seq: x.leader for x in radius.leader_cache(df, r).collect()} == want
+
+
+def test_keeping_and_undoing(spark):
+    rows = [(1, 1, "missing", 3, True), (1, 2, "present", 3, True), (1, 3, "present", 3, False), (2, 1, "present", 2, True), (2, 2, "moved", 2, False), (3, 1, "moved", 1, True)]
+    df = spark.createDataFrame(rows, "cluster int, pos int, status string, cursor int, keep boolean")
+    kept = lambda p: [r.k for r in df.withColumn("k", moves.kept(df, p)).orderBy("cluster", "pos").collect()]
+    assert kept("first") == [False, True, False, True, False, False] and kept("only") == [False, False, True, True, False, True]
+    assert kept("all") == [True] * 6 and kept("none") == [False] * 6
+    log = spark.createDataFrame([("/a", "/d/a"), ("/b", "/d/b"), ("/c", "/d/c")], "original string, moved_to string")
+    have = spark.createDataFrame([("/a",), ("/d/a",), ("/d/b",)], "path string")
+    assert [r.refused for r in moves.undone(log, have).orderBy("original").collect()] == ["original exists", None, "moved file is gone"]
