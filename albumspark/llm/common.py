@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -16,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumspark.session import ship
+from albumspark.operators.components import checkpointed, freed
+from albumspark.session import checkpoint_dir, ship
 
 #: Fixed: a token is a run of anything but ASCII white space.
 WORD = rb"[^\x20\x09-\x0D]+"
@@ -32,45 +32,32 @@ def lower_ascii(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests).
-
-    Whoever cuts lineage comes here, and so this is also where the package is given to the workers.
-    """
-    ship(spark)
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="albumspark-")
-        spark.sparkContext.setCheckpointDir(at)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+#: Folders that this process has made under the shared folder.
+_MADE: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder; lost executors cannot lose them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this job's own under the shared folder, as a URI or path; clean() removes it."""
+    ship(spark)
+    _MADE.append(f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffles and checkpoints of frames that are gone; else they stay until the driver happens to
-    collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def clean(spark: SparkSession) -> None:
+    """Remove all that stored() and scratch() have written. Call it when no frame that reads from there is needed."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        at.getFileSystem(conf).delete(at, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As checkpointed(), but as compressed Parquet, for wide rows."""
-    at = f"{shared_dir(df.sparkSession).rstrip('/')}/albumspark-{uuid.uuid4().hex}"
+    at = scratch(df.sparkSession, "albumspark")
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc32_id(c: str = "doc_id") -> Column:
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
@@ -131,8 +118,3 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of this job's own under the shared folder, as a URI or path."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import batch, lower_ascii, stored, texts
 
 #: Bytes of context; text bytes of a block; bytes handled at once; shards at least; arrays merged at once.
@@ -381,6 +383,7 @@ def score(docs: DataFrame, held_out, block: int = BLOCK) -> DataFrame:
     bit has probability 1/2. Other columns of docs are left out.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(held_out, 0).otherwise(1).alias("train"))
     total, texts_learned = (x or 0 for x in docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64), F.sum("train")).first())
     blocks = max(8, -(-total // block))

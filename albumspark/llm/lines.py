@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import batch, checkpointed, free_names, lower_ascii, sliced, texts, tidied
 
 #: Code points of a key at least; keys of a shard; shards at least; copies of a shard's index at least.
@@ -196,6 +198,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     one doc_id are one document. Null doc_ids together are one document, after all others. Columns of docs pass
     through, whatever their names, but for any named n_lines, n_dropped or kept. An empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")])
     row, gone = free_names(docs, "_row", "_gone")
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))

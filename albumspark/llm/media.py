@@ -10,7 +10,6 @@ checked, and retried on its own.
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import uuid
 import zlib
@@ -22,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import batch, scratch, texts
+from albumspark.session import ship
+
+from .common import batch, scratch, texts, tidied
 
 #: Fixed: samples in a row of the picture (24 by 24), and the value that fills the last row.
 ROW, FILL = 576, 255
@@ -30,7 +31,7 @@ MAGIC = b"ALBUMED1"
 ENTRY = np.dtype([("offset", "<i8"), ("length", "<i8"), ("doc_id", "<i8"), ("crc", "<u4"), ("null", "<u4")])
 #: Bytes of an archive at most (but for one member), of a byte range, and of a batch.
 ARCHIVE, RANGE, BATCH = 64 << 20, 8 << 20, 4 << 20
-TRIES = 4
+TRIES, PARTITIONS, MANIFEST = 4, 100_000, "manifest"
 
 _MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())])
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
@@ -93,12 +94,14 @@ def feature(samples: bytes) -> str:
     return f"{total / n:.4f} {max(0, squares / n - (total / n) ** 2) ** 0.5:.4f} {step / n:.4f} {bits}"
 
 
-def write_archives(docs: DataFrame, directory: str, archive: int = ARCHIVE) -> list[tuple[str, int, int]]:
-    """Write each document's payload as a member; the path, size and members of each archive.
+def write_archives(docs: DataFrame, directory: str, archive: int = ARCHIVE) -> DataFrame:
+    """Write each document's payload as a member; path, bytes and members of each archive, which is the manifest.
 
-    A task that fails leaves files that no manifest names, and its next try writes others. Null texts are empty
-    payloads; a null doc_id stays null. The manifest has a row for up to 64 MB of media.
+    A task that fails leaves files that the manifest does not name, and its next try writes others. Null texts are empty
+    payloads; a null doc_id stays null. The manifest is a table in the directory, with a row for up to 64 MB of media.
     """
+    spark = docs.sparkSession
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]):
         system, base = files(directory)
@@ -126,8 +129,10 @@ def write_archives(docs: DataFrame, directory: str, archive: int = ARCHIVE) -> l
         if out is not None:
             yield close()
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "path string, bytes long, members long")
-    return [(r["path"], r["bytes"], r["members"]) for r in rows.collect()]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "path string, bytes long, members long")
+    at = f"{directory.rstrip('/')}/{MANIFEST}"
+    rows.write.mode("overwrite").parquet(at)
+    return spark.read.schema("path string, bytes long, members long").parquet(at)
 
 
 class Range(InputPartition):
@@ -139,9 +144,9 @@ class Range(InputPartition):
 class MediaArchive(DataSource):
     """spark.read.format("media_archive"): doc_id, path, offset, media, error of each member.
 
-    Options: path, an archive directory; manifest, a JSON list of its archives as [path, bytes] (else the directory is
-    listed); range and batch, in bytes; tries. A member that cannot be read after all tries has error set and media
-    null; with onError=fail, the default, the task fails instead and Spark runs it again.
+    Options: path, an archive directory with its manifest; range and batch, in bytes; tries. Ranges grow with the archives
+    so that there are at most PARTITIONS of them, or one an archive. A member that cannot be read after all tries has
+    error set and media null; with onError=fail, the default, the task fails instead and Spark runs it again.
     """
 
     @classmethod
@@ -164,14 +169,13 @@ class MediaReader(DataSourceReader):
         return int(self.options.get(name.lower(), self.options.get(name, default)))
 
     def partitions(self) -> list[Range]:
-        if "manifest" in self.options:
-            found = [tuple(x) for x in json.loads(self.options["manifest"])]
-        else:
-            from pyarrow import fs
-
-            system, base = files(self.directory)
-            found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(base)) if f.path.endswith(".media"))
-        step = self._int("range", RANGE)
+        from pyarrow import fs, parquet
+
+        system, base = files(self.directory)
+        parts = [f.path for f in system.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{MANIFEST}")) if f.path.endswith(".parquet")]
+        tables = [parquet.ParquetFile(system.open_input_file(p)).read(["path", "bytes"]) for p in parts]
+        found = sorted(zip(*(pa.concat_tables(tables).column(c).to_pylist() for c in ("path", "bytes")), strict=True)) if tables else []
+        step = max(self._int("range", RANGE), sum(size for _, size in found) // PARTITIONS)
         return [Range(path, at, at + step) for path, size in found for at in range(0, size, step)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -211,12 +215,10 @@ class MediaReader(DataSourceReader):
         return None, error
 
 
-def read_archives(spark: SparkSession, directory: str, manifest: list[tuple[str, int, int]] | None = None, **options) -> DataFrame:
+def read_archives(spark: SparkSession, directory: str, **options) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaArchive)
-    reader = spark.read.format("media_archive").options(**{k: str(v) for k, v in options.items()})
-    if manifest is not None:
-        reader = reader.option("manifest", json.dumps([x[:2] for x in manifest]))
-    return reader.load(directory)
+    return spark.read.format("media_archive").options(**{k: str(v) for k, v in options.items()}).load(directory)
 
 
 _DIGEST = pa.schema([
@@ -240,7 +242,7 @@ def digests(members: DataFrame) -> DataFrame:
                 ))
             yield batch(_DIGEST, *zip(*rows, strict=True)) if rows else batch(_DIGEST, *[[]] * 8)
 
-    return members.select("doc_id", "media").mapInArrow(run, DIGEST)
+    return members.select("doc_id", "media").mapInArrow(tidied(run), DIGEST)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -250,4 +252,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     members of their own; equal texts have equal bytes.
     """
     directory = scratch(docs.sparkSession, "media")
-    return read_archives(docs.sparkSession, directory, write_archives(docs, directory))
+    write_archives(docs, directory)
+    return read_archives(docs.sparkSession, directory)

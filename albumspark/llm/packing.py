@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import checkpointed, free_names, sliced, tidied
 
 #: Fixed: the token that ends a document.
@@ -164,6 +166,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, digest: bool = Fal
     gives none.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]):
         tokenize = tokenizer_of(tokenizer)
         for b in sliced(batches, SLICE):

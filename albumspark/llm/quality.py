@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import batch, sliced, texts, tidied
 from .logistic import Logistic
 
@@ -99,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BY
 def score(docs: DataFrame, classifier: CompressionClassifier) -> DataFrame:
     """doc_id and score of every row of docs, repeated rows alike; null texts count as empty, null ids stay null, other
     columns are left out. An empty table gives no row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]):

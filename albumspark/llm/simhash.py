@@ -18,8 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from albumspark.operators.components import components
+from albumspark.session import ship
+
 from .common import WORD_RE, batch, checkpointed, free_name, freed, lower_ascii, sliced, stored, texts, tidied
-from .components import components
 
 #: Fingerprints of a bucket, beyond which it is dealt anew.
 BUCKET = 4096
@@ -84,8 +86,8 @@ def _signed(x: int) -> int:
 def bucketed(prints: DataFrame, radius: int, limit: int = BUCKET) -> DataFrame:
     """fp -> table, key, fp: each fingerprint under each mask; large buckets under two masks."""
     first, second = masks(radius), masks(radius, 5)
-    structs = lambda ms, base: F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(ms)])
-    dealt = prints.select("fp", F.explode(structs(first, 0)).alias("x")).select("x.t", "x.k", "fp")
+    structs = lambda ms: F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(ms)])
+    dealt = prints.select("fp", F.explode(structs(first)).alias("x")).select("x.t", "x.k", "fp")
     large = dealt.groupBy("t", "k").count().filter(F.col("count") > limit).drop("count")
     large = checkpointed(large)
     if large.isEmpty():
@@ -168,6 +170,7 @@ def groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     return groups(checkpointed(fingerprints(docs, words)), radius)
 
 
@@ -329,6 +332,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Texts of equal words are copies; fewer words than a shingle: the whole sequence is the set; texts without words
     are copies of each other. Of rows equal in doc_id and text one stays.
     """
+    ship(docs.sparkSession)
     rid = free_name(docs, "_rid")
     wide = checkpointed(_wide(docs, words, similarity))
     nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import batch, lower_ascii, stored, texts
 from .ctw import BLOCK, FAN, cut_by, grow, merged_arrays, shrink, summed
 
@@ -295,6 +297,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -
 
     Windows are compared by 64 bits of hash: equal ones always meet, and two different ones meet once in 2 ** 64 pairs.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0

@@ -17,10 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import checkpointed
 
 #: Rows of an index block, of a query block, query blocks that meet an index block at once, impact levels a dimension.
-ROWS, QUERIES, TOGETHER, LEVELS = 2048, 512, 16, 8
+#: An index is built once for QUERIES * TOGETHER queries, which costs little beside their search.
+ROWS, QUERIES, TOGETHER, LEVELS = 8192, 512, 16, 8
 _OUT = "-4611686018427387904"  # below any score
 
 _RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -108,6 +111,8 @@ def _same_width(*ms: np.ndarray) -> list[np.ndarray]:
 def packed_blocks(vectors: DataFrame, rows: int) -> DataFrame:
     """vec_id, v (array<long>) -> block, n, ids, m: up to `rows` vectors in each; shorter ones are filled with zeros."""
 
+    ship(vectors.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]):
         task, made, held, ids = TaskContext.get().partitionId(), 0, [], []
 

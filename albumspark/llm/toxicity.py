@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumspark.session import ship
+
 from .common import batch, sliced, stored, texts, tidied
 from .logistic import Logistic
 
@@ -251,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterabl
     Each distinct text counts once. One half of them makes the lexicon, the other calibrates. Rows without id or label
     are left out; null texts are empty. Without labels of both classes the score is the share of label 1, or 0.5.
     """
+    ship(docs.sparkSession)
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", "label").distinct()
     ids = labels.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample)  # a bounded table
     half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")  # equal texts fall in one half
