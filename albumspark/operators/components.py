@@ -30,14 +30,34 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "a"))
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """pairs (node, other): link each node's others, the larger or the smaller ones, to the least of them and itself."""
-    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("m")) if large else pairs.groupBy("node").agg(F.min("other").alias("m"))
-    joined = pairs.join(least, "node")
-    if large:
-        made = joined.filter("other > node").select(F.col("other").alias("a"), F.col("m").alias("b"))
-    else:
-        made = joined.select(F.col("other").alias("a"), F.col("m").alias("b")).union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
+#: Links of a node from which it counts as a hub; hubs that are broadcast at most.
+HUB, HUBS = 256, 100_000
+
+
+def _linked(pairs: DataFrame, least: DataFrame) -> DataFrame:
+    """pairs (node, other) with m, the node's least. Hubs, if they are not too many, meet their pairs where these lie, so
+    no task gets all links of one node; else AQE splits what is skewed."""
+    hubs = checkpointed(least.filter(F.col("n") > HUB).select("node", "m"))
+    least = least.select("node", "m")
+    if not 0 < hubs.count() <= HUBS:
+        return pairs.join(least, "node")
+    rest = pairs.join(F.broadcast(hubs.select("node")), "node", "left_anti").join(least, "node")
+    return rest.unionByName(pairs.join(F.broadcast(hubs), "node"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link each node's larger neighbours to the least of its neighbours and itself."""
+    pairs = _both(edges).toDF("node", "other")
+    least = pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("m"), F.count("*").alias("n"))
+    made = _linked(pairs, least).filter("other > node").select(F.col("other").alias("a"), F.col("m").alias("b"))
+    return made.filter("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link each node's smaller neighbours, and itself, to the least of them."""
+    pairs = edges.toDF("node", "other")
+    least = pairs.groupBy("node").agg(F.min("other").alias("m"))
+    made = pairs.join(least, "node").select(F.col("other").alias("a"), F.col("m").alias("b")).union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
     return made.filter("a <> b").distinct()
 
 
@@ -52,8 +72,8 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     edges = checkpointed(edges.filter("a <> b").select(*ordered).distinct())
     parts = max(1, -(-edges.count() // EDGES))
     for _ in range(most):
-        large = _star(_both(edges).toDF("node", "other"), True).select(*ordered).distinct()
-        new = checkpointed(_star(large.toDF("node", "other"), False).select(*ordered).distinct().coalesce(parts))
+        large = _large_star(edges).select(*ordered).distinct()
+        new = checkpointed(_small_star(large).select(*ordered).distinct().coalesce(parts))
         # Stars: every node has one link, and no centre has a link of its own to a smaller node.
         marks = new.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(new.select("b", F.lit(0), F.lit(1)).distinct())
         odd = marks.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 OR leaf = 1 AND centre = 1")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from albumspark.operators import asof, cluster, dates, merge, moves, ocr, radius, select, steps, tags
+from albumspark.operators import asof, cluster, components, dates, merge, moves, ocr, radius, select, steps, tags
 
 
 def at(minute, second=0):
@@ -276,3 +276,13 @@ def test_keeping_and_undoing(spark):
     log = spark.createDataFrame([("/a", "/d/a"), ("/b", "/d/b"), ("/c", "/d/c")], "original string, moved_to string")
     have = spark.createDataFrame([("/a",), ("/d/a",), ("/d/b",)], "path string")
     assert [r.refused for r in moves.undone(log, have).orderBy("original").collect()] == ["original exists", None, "moved file is gone"]
+
+
+@pytest.mark.parametrize("hubs", [100_000, 1])
+def test_components_with_hubs(spark, hubs, monkeypatch):
+    """Two stars of many leaves, joined by a long path, and a few others; also where hubs are too many to broadcast."""
+    monkeypatch.setattr(components, "HUBS", hubs)
+    edges = [(5000, k) for k in range(600, 1400)] + [(k, 9000) for k in range(2000, 2700)] + [(k, k + 1) for k in range(3000, 3300)] + [(1399, 3300), (3000, 2001), (1, 2), (2, 1), (7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: 1 if x < 3 else 600 for x in nodes}
