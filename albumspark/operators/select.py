@@ -10,6 +10,17 @@ from albumspark.functions.text import SKIPPED_EXTENSIONS, extension
 
 # Image properties in order of preference.
 IMAGE_PROPERTIES = ("P18", "P3451", "P8517", "P5252", "P7417")
+# The types of landmarks, with how many of each are asked for.
+TYPES = {
+    "tourist attraction": 2000, "archaeological site": 1500, "monument": 2000, "architectural structure": 2000, "landmark": 500,
+    "church building": 1500, "mosque": 1500, "temple": 1500, "synagogue": 500, "pagoda": 500, "stupa": 500, "Shinto shrine": 1000,
+    "castle": 1500, "palace": 1500, "fortification": 1000, "house": 2000, "bridge": 1500, "tower": 1500, "lighthouse": 500, "skyscraper": 1000, "fountain": 500,
+    "museum": 1500, "stadium": 1500, "statue": 1500, "town square": 1000,
+    "natural landmark": 500, "mountain": 1500, "volcano": 500, "lake": 1500, "waterfall": 500, "cave": 500,
+}
+# The boxes of the second pass (least and greatest latitude, least and greatest longitude), and its types.
+BOXES = {"Asia": (5, 72, 35, 150), "Africa": (-35, 35, -20, 35), "N.America": (10, 72, -170, -50), "S.America": (-55, 15, -85, -35), "Oceania": (-50, -10, 110, 180)}
+BOX_TYPES = {"tourist attraction": 400, "monument": 400, "archaeological site": 400, "architectural structure": 400, "temple": 300, "museum": 300, "mountain": 300, "palace": 300}
 
 
 def first_query_wins(candidates: DataFrame, key: str = "wikidata_id") -> DataFrame:

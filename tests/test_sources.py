@@ -4,6 +4,7 @@ import base64
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from albumspark import cli
@@ -133,7 +134,7 @@ def test_cli(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"SourceFile": "/a/PXL_20230515_123456.jpg", "TagsList": ["Objects/Cat"]}, {"SourceFile": "/b.jpg", "TagsList": "Objects/Cat"}]))
     out = str(tmp_path / "out")
     for command, n in ((["tags", "list"], 1), (["tags", "search", "CAT"], 2), (["tags", "delete", "c.t", "--pattern"], 8), (["dates", "backfill"], 6), (["tag", "plan"], 2)):
-        k = 2 if command[0] != "x" else 1
+        k = 2
         cli_args = [*command[:k], str(tmp_path / "m.json"), *command[k:], "--out", out]
         a = cli.parser().parse_args(cli_args)
         a.f(spark, a).write.mode("overwrite").json(out)
@@ -194,3 +195,43 @@ def test_waits_as_asked():
         return 1
 
     assert plugins.polite(call, sleep=waits.append) == 1 and waits == [7.0]
+
+
+def run_cli(spark, *args):
+    a = cli.parser().parse_args([str(x) for x in args])
+    return a.f(spark, a)
+
+
+def test_cli_changes(spark, tmp_path):
+    region = {"Name": "x", "Type": "BarCode", "Description": "text"}
+    (tmp_path / "m.json").write_text(json.dumps([
+        {"SourceFile": "/a.jpg", "TagsList": ["Objects/Cat", "People/Al"], "TaggerVersion": "1", "GPSLatitude": 1, "GPSLongitude": 2, "ImageRegion": [region, {"Name": "y"}]},
+        {"SourceFile": "/b.HEIC.MOV", "TagsList": "Objects/Cat", "ImageRegion": [region]},
+    ]))
+    meta = tmp_path / "m.json"
+    assert run_cli(spark, "tags", "clear", meta).count() == 2 * 9 + 5 and run_cli(spark, "strip", "motion", meta).count() == 9
+    assert {r.value for r in run_cli(spark, "tags", "rename", meta, "cat", "Dog").filter("op = '+='").collect()} == {"dog"}
+    shown = {r.path: r for r in run_cli(spark, "tags", "inspect", meta).collect()}
+    assert shown["/a.jpg"].gps == "1.000000, 2.000000" and shown["/b.HEIC.MOV"].gps == "—" and shown["/a.jpg"].tags == ["Objects/Cat", "People/Al"]
+    assert {r.path: r.action for r in run_cli(spark, "strip", "regions", meta, "text").collect()} == {"/a.jpg": "rewrite", "/b.HEIC.MOV": "delete"}
+    (tmp_path / "map.yaml").write_text("cat: Objects/Animal/Cat\nsky: Scenes/Sky\n")
+    assert [r.node for r in run_cli(spark, "taxonomy", tmp_path / "map.yaml", "--category", "Objects").collect()] == ["Objects", "Objects/Animal", "Objects/Animal/Cat"]
+    assert run_cli(spark, "taxonomy", tmp_path / "map.yaml", "--flat").count() == 2
+    predictions = str(tmp_path / "p")
+    spark.createDataFrame([("/a.jpg", "cat", 0.9, 0, 0.5), ("/b.HEIC.MOV", "cat", 0.9, 0, 0.5)], "path string, raw_tag string, score double, raw_ord int, class_threshold double").write.parquet(predictions)
+    args = ("tag", "write", meta, predictions, tmp_path / "map.yaml")
+    assert {r.path for r in run_cli(spark, *args).collect()} == {"/b.HEIC.MOV"} and run_cli(spark, *args, "--force").select("path").distinct().count() == 2
+
+
+def test_cli_landmarks_and_watch(spark, tmp_path):
+    items = str(tmp_path / "items")
+    rows = [(f"Q{k}", f"n{k}", 45.0 if k % 2 else 30.0, 10.0 if k % 2 else 100.0, k, "museum" if k % 3 else "cave") for k in range(40)]
+    spark.createDataFrame(rows, "wikidata_id string, name string, lat double, lon double, sitelinks int, type string").write.parquet(items)
+    got = run_cli(spark, "landmarks", "generate-db", items, "--limit", 20).collect()
+    assert sum(r.region == "Europe" for r in got) == 8 and sum(r.region == "Asia" for r in got) == 5
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_bytes(b"x")
+    assert [r.name for r in run_cli(spark, "tag", "watch", tmp_path / "in", "--once", "--out", tmp_path / "out").collect()] == ["a.jpg"]
+    for flags in (("--fix", "--out", "x"), ("--once",)):
+        with pytest.raises(SystemExit):
+            run_cli(spark, "tag", "watch", tmp_path / "in", *flags)
