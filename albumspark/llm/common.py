@@ -111,6 +111,28 @@ def tidied(run):
     return mapped
 
 
+def tidied_group(run):
+    """As tidied(), of a function on one group."""
+
+    def mapped(t):
+        out = run(t)
+        tidy()
+        return out
+
+    return mapped
+
+
+def tidied_cogroup(run):
+    """As tidied(), of a function on two groups."""
+
+    def mapped(left, right):
+        out = run(left, right)
+        tidy()
+        return out
+
+    return mapped
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

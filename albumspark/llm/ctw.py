@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
-from .common import batch, lower_ascii, stored, texts
+from .common import batch, lower_ascii, stored, texts, tidied_cogroup, tidied_group
 
 #: Bytes of context; text bytes of a block; bytes handled at once; shards at least; arrays merged at once.
 DEPTH, BLOCK, CHUNK, SHARDS, FAN = 5, 32 << 20, 2 << 20, 64, 64
@@ -277,7 +277,7 @@ def _arrays(docs: DataFrame, shards: int) -> DataFrame:
         rows += [(WORD, s, block, shrink(h[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(shard_of_words(h, shards))]
         return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
-    return docs.groupBy("block").applyInArrow(run, _ARRAYS_DDL)
+    return docs.groupBy("block").applyInArrow(tidied_group(run), _ARRAYS_DDL)
 
 
 def merged_arrays(arrays: DataFrame, blocks: int) -> DataFrame:
@@ -333,7 +333,7 @@ def _answers(arrays: DataFrame, merged: DataFrame, groups: int, top) -> DataFram
 
     asked = arrays.withColumn("group", F.floor(F.col("block") / FAN))
     held = merged.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return asked.groupBy("kind", "shard", "group").cogroup(held.groupBy("kind", "shard", "group")).applyInArrow(run, "kind int, shard int, block long, values binary")
+    return asked.groupBy("kind", "shard", "group").cogroup(held.groupBy("kind", "shard", "group")).applyInArrow(tidied_cogroup(run), "kind int, shard int, block long, values binary")
 
 
 def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int, distinct: int, end: int) -> DataFrame:
@@ -371,7 +371,7 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
         n = len(lowered)
         return pa.Table.from_batches([batch(_SCORES, ids, ~train, tokens, known, [train_tokens] * n, base, score, [len(x) for x in lowered])])
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied_cogroup(run), SCORES)
 
 
 def score(docs: DataFrame, held_out, block: int = BLOCK) -> DataFrame:

@@ -6,6 +6,10 @@ minimiser, so a first pass over packed arrays of such half hashes tells cheaply
 sends the hashes of these windows, each once for a text, with the two least documents of each: a window repeats if it
 has two, and a document's passages are what its repeated windows cover. Nothing is sorted across texts and no number of
 partners is fixed: a window that stands in every text takes one entry a block.
+
+So the suffixes kept are sparse, at minimisers, and meet in sorted order, but the order is that of hashes of their first
+29 words to the side with room, in place of an array sorted by words: of that, only its equal neighbours would count, and
+any fixed number of them loses repeats (see the README).
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
-from .common import batch, lower_ascii, stored, texts
+from .common import batch, lower_ascii, stored, texts, tidied_cogroup, tidied_group
 from .ctw import BLOCK, FAN, cut_by, grow, merged_arrays, shrink, summed
 
 #: Words of a repeat at least; words of a minimiser; entries of a shard merged at once.
@@ -125,7 +129,7 @@ def _halves(docs: DataFrame, shards: int, least: int) -> DataFrame:
         rows = [(0, s, block, shrink(k[at]), shrink(n[at])) for s, at in cut_by((k % np.uint64(shards)).astype(np.int64))]
         return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
-    return docs.groupBy("block").applyInArrow(run, _ARRAYS_DDL)
+    return docs.groupBy("block").applyInArrow(tidied_group(run), _ARRAYS_DDL)
 
 
 def _shared(arrays: DataFrame, merged: DataFrame, groups: int) -> DataFrame:
@@ -208,7 +212,7 @@ def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> Da
         rows.append((-1, block, None, None, None, None, shrink(ids), shrink(np.array(counts, np.int32)), shrink(np.diff(np.concatenate(starts), prepend=np.int32(0))), shrink(places)))
         return pa.Table.from_batches([batch(_WINDOWS, *zip(*rows, strict=True))], _WINDOWS)
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _WINDOWS_DDL)
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied_cogroup(run), _WINDOWS_DDL)
 
 
 def _repeated(entries: DataFrame, blocks: int) -> DataFrame:
@@ -256,7 +260,7 @@ def _found(entries: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
 
     asked = entries.select("shard", "block", "keys").withColumn("group", F.floor(F.col("block") / FAN))
     held = repeated.select("shard", "keys", "first", "second").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, _FOUND_DDL)
+    return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(tidied_cogroup(run), _FOUND_DDL)
 
 
 def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -283,7 +287,7 @@ def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
         docs, others = ([none(x) for x in y.tolist()] for y in (ids[number[new]], np.minimum.reduceat(other, new)))
         return pa.Table.from_batches([batch(_SPANS, docs, start[new], end, end - start[new], others)])
 
-    return places.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, _SPANS_DDL)
+    return places.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidied_cogroup(run), _SPANS_DDL)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
