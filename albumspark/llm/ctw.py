@@ -6,11 +6,11 @@ from the training texts is then fixed: the probability of a byte after its conte
 each depth's posterior weight, and a context never seen in training leaves the mixture at the depth above it.
 
 How it is dealt out. Texts fall into blocks of bounded size by a hash. A block counts its distinct 6-grams (context and
-byte) and words as sorted arrays, cut by shard: 6-grams by the last two context bytes, words by hash. Shards merge the
-arrays of all blocks, 64 blocks at a time, and so hold whole sub-trees below depth 2; what is above depth 2 is a table
-of at most 256 x 256 nodes, whatever the corpus, and is worked out on the driver. Each shard then answers each block's
-array with an array of log probabilities in the same order, and the block adds them up text by text. No model is
-broadcast that grows with the corpus, and no text, word or 6-gram becomes a Spark row in between.
+byte) and words as sorted arrays, cut by shard: 6-grams by a hash of the last two context bytes, words by their own.
+These arrays are merged as in `radix`, so that the last ones hold whole sub-trees below depth 2; what is above depth 2
+is a table of at most 256 x 256 nodes, whatever the corpus, and is worked out on the driver. Each last array is answered
+once, with log probabilities of its keys; the answers go back to the blocks, which add them up text by text. No model is
+broadcast or copied that grows with the corpus, and no text, word or 6-gram becomes a Spark row in between.
 """
 
 from __future__ import annotations
@@ -22,24 +22,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
-from .common import batch, lower_ascii, stored, texts, tidied_cogroup, tidied_group
+from .common import batch, lower_ascii, stored, texts, tidied, tidied_cogroup, tidied_group
+from .radix import FAN, answered, cut_by, digit, grow, joined, merged, shrink
 
-#: Bytes of context; text bytes of a block; bytes handled at once; shards at least; arrays merged at once.
-DEPTH, BLOCK, CHUNK, SHARDS, FAN = 5, 32 << 20, 2 << 20, 64, 64
+#: Bytes of context; text bytes of a block; bytes handled at once; entries of an array merged at once.
+DEPTH, BLOCK, CHUNK, ENTRIES = 5, 32 << 20, 2 << 20, 4_000_000
 #: Fixed: no UTF-8 text has this byte; it stands before and after each text.
 EDGE = 255
 GRAM, WORD = 0, 1
 
 _ARRAYS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ARRAYS_DDL = "kind int, shard int, block long, keys binary, counts binary"
-_ANSWERS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("values", pa.binary())])
+_ANSWERS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+_ANSWERS_DDL = "kind int, shard int, block long, keys binary, values binary"
 _TOPS = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("nodes", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64())])
+_TOPS_DDL = "shard int, kind int, nodes binary, n long, distinct long"
 _SCORES = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
     ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()),
@@ -50,16 +52,6 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 # Arrays ---------------------------------------------------------------------------------------------------------------
 
 
-def shrink(x: np.ndarray) -> bytes:
-    """Bytes of the values plane by plane, compressed; sorted keys and small counts take little."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
-
-
-def grow(b: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the counts of each."""
     by = np.argsort(keys, kind="stable")
@@ -87,12 +79,11 @@ def grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g, lengths
 
 
-def shard_of_grams(g: np.ndarray, shards: int) -> np.ndarray:
-    return ((g >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(1 << 32) % np.uint64(shards)).astype(np.int64)
-
-
-def shard_of_words(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h % np.uint64(shards)).astype(np.int64)
+def hash_of_pairs(g: np.ndarray) -> np.ndarray:
+    """A hash of the last two context bytes."""
+    x = (g >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
 
 
 def chunks(lowered: list[bytes]) -> Iterator[list[int]]:
@@ -227,14 +218,6 @@ def _ordered(t: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
     return ids, [lower_ascii(x) for x in texts(t.column("text"))], train
 
 
-def cut_by(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    by = np.argsort(shard, kind="stable")
-    own, first = np.unique(shard[by], return_index=True)
-    if not len(own):
-        return []
-    return [(int(s), by[a:b]) for s, a, b in zip(own, first, [*first[1:], len(by)], strict=True)]
-
-
 def block_grams(lowered: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for own in chunks(lowered):
@@ -266,42 +249,40 @@ def block_words(lowered: list[bytes], train: np.ndarray) -> tuple[list[bytes], n
     return [words[k] for k in by], h[by], np.fromiter(n.values(), np.int64, len(n))[by]
 
 
-def _arrays(docs: DataFrame, shards: int) -> DataFrame:
+def _arrays(docs: DataFrame, fan: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         _, lowered, train = _ordered(t)
         rows = []
         g, n = block_grams(lowered, train)
-        rows += [(GRAM, s, block, shrink(g[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(shard_of_grams(g, shards))]
+        rows += [(GRAM, s, block, shrink(g[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(digit(hash_of_pairs(g), 0, fan))]
         _, h, n = block_words(lowered, train)
-        rows += [(WORD, s, block, shrink(h[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(shard_of_words(h, shards))]
+        rows += [(WORD, s, block, shrink(h[at]), shrink(n[at].astype("<i8"))) for s, at in cut_by(digit(h, 0, fan))]
         return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
     return docs.groupBy("block").applyInArrow(tidied_group(run), _ARRAYS_DDL)
 
 
-def merged_arrays(arrays: DataFrame, blocks: int) -> DataFrame:
-    """One array for each kind and shard: FAN arrays become one, as often as it takes."""
+def sums(rows: Iterator[dict], last: bool):
+    """The union of arrays with counts: the counts of a key are added."""
+    keys, counts, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for r in rows:
+        keys.append(grow(r["keys"], "<u8"))
+        counts.append(grow(r["counts"], "<i8"))
+        n += len(keys[-1])
+        if n > ENTRIES:
+            k, c = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, n = [k], [c], 0
+    k, c = summed(np.concatenate(keys), np.concatenate(counts))
+    return k, lambda at: (shrink(c[at]),)
 
-    def run(t: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True):
-            keys, counts = np.concatenate([keys, grow(k, "<u8")]), np.concatenate([counts, grow(c, "<i8")])
-            if len(keys) > 4_000_000:
-                keys, counts = summed(keys, counts)
-        keys, counts = summed(keys, counts)
-        one = t.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_batches([batch(_ARRAYS, [one["kind"]], [one["shard"]], [one["block"]], [shrink(keys)], [shrink(counts)])])
 
-    while True:
-        arrays = arrays.withColumn("block", F.floor(F.col("block") / FAN)).groupBy("kind", "shard", "block").applyInArrow(run, _ARRAYS_DDL)
-        blocks = -(-blocks // FAN)
-        if blocks <= 1:
-            return arrays
+def _merged(arrays: DataFrame, blocks: int, fan: int) -> list[DataFrame]:
+    return merged(arrays, blocks, _ARRAYS, _ARRAYS_DDL, sums, lambda row, keys: hash_of_pairs(keys) if row["kind"] == GRAM else keys, fan)
 
 
-def _tops(merged: DataFrame) -> DataFrame:
-    """What each shard adds to depth 1, and to the counts of words: all of it bounded."""
+def _tops(model: DataFrame) -> DataFrame:
+    """What the shards add to depth 1, and to the counts of words: FAN rows of each at most."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -313,30 +294,47 @@ def _tops(merged: DataFrame) -> DataFrame:
                     nodes = np.concatenate([up.view(np.int64), n0, n1, below.view(np.int64)]).astype("<i8").tobytes() if len(up) else b""
                 yield batch(_TOPS, [row["shard"]], [row["kind"]], [nodes], [int(counts.sum())], [int((counts > 0).sum())])
 
-    return merged.mapInArrow(run, "shard int, kind int, nodes binary, n long, distinct long")
+    def add(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["shard"])  # floats are added in the same order each time
+        nodes = b"".join(x.astype("<i8").tobytes() for x in depth_one(r["nodes"] for r in rows))
+        return pa.Table.from_batches([batch(_TOPS, [rows[0]["shard"] % FAN], [rows[0]["kind"]], [nodes], [sum(r["n"] for r in rows)], [sum(r["distinct"] for r in rows)])])
+
+    return model.mapInArrow(tidied(run), _TOPS_DDL).groupBy("kind", F.pmod("shard", F.lit(FAN))).applyInArrow(add, _TOPS_DDL)
 
 
-def _answers(arrays: DataFrame, merged: DataFrame, groups: int, top) -> DataFrame:
+def depth_one(parts) -> tuple[np.ndarray, ...]:
+    """Keys of depth 1, counts of either bit and sums of log weighted probabilities, the last as bits, added by key."""
+    every = [np.frombuffer(x, "<i8").reshape(4, -1) for x in parts]
+    keys, n0, n1, below = np.concatenate([np.zeros((4, 0), np.int64), *every], axis=1)
+    by = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1])[: len(keys)])
+    if not len(first):
+        return keys, n0, n1, below
+    below = below.copy().view(np.float64)
+    return keys[by][first], *(np.add.reduceat(x[by], first) for x in (n0, n1)), np.add.reduceat(below[by], first).view(np.int64)
+
+
+def _answers(levels: list[DataFrame], top, fan: int) -> DataFrame:
     """Each block's arrays, answered in their own order: log10 probabilities of 6-grams, counts of words."""
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        for own in held.to_pylist():
-            keys, counts = grow(own["keys"], "<u8"), grow(own["counts"], "<i8")
-            if own["kind"] == GRAM:
-                values = log10_probabilities(keys, sub_trees(keys, counts)[0], top.value).astype("<f4")
-            else:
-                values = counts.astype("<i8")
-            for row in asked.select(["kind", "shard", "block", "keys"]).to_pylist():
-                rows.append((row["kind"], row["shard"], row["block"], shrink(values[np.searchsorted(keys, grow(row["keys"], "<u8"))])))
-        return pa.Table.from_batches([batch(_ANSWERS, *zip(*rows, strict=True))] if rows else [], _ANSWERS)
-
-    asked = arrays.withColumn("group", F.floor(F.col("block") / FAN))
-    held = merged.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return asked.groupBy("kind", "shard", "group").cogroup(held.groupBy("kind", "shard", "group")).applyInArrow(tidied_cogroup(run), "kind int, shard int, block long, values binary")
-
-
-def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int, distinct: int, end: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for row in b.to_pylist():
+                values = row["counts"]
+                if row["kind"] == GRAM:
+                    keys, counts = grow(row["keys"], "<u8"), grow(row["counts"], "<i8")
+                    values = shrink(log10_probabilities(keys, sub_trees(keys, counts)[0], top.value).astype("<f4"))
+                yield batch(_ANSWERS, [row["kind"]], [row["shard"]], [row["block"]], [row["keys"]], [values])
+
+    def look(rows: list[dict]):
+        kind = "<f4" if rows[0]["kind"] == GRAM else "<i8"
+        keys, values = joined([grow(r["keys"], "<u8") for r in rows], [grow(r["values"], kind) for r in rows])
+        return lambda asked: (shrink(values[np.searchsorted(keys, asked)]),)
+
+    return answered(levels, levels[-1].mapInArrow(tidied(run), _ANSWERS_DDL), _ANSWERS, _ANSWERS_DDL, look, fan)
+
+
+def _scored(docs: DataFrame, answers: DataFrame, fan: int, train_tokens: int, distinct: int, end: int) -> DataFrame:
     log_all = math.log10(train_tokens + 0.5 * (distinct + 1))
 
     def run(t: pa.Table, held: pa.Table) -> pa.Table:
@@ -347,7 +345,7 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
         # The block's keys again, in the order in which they were asked.
         g, _ = block_grams(lowered, train)
         value = np.empty(len(g), np.float32)
-        for s, at in cut_by(shard_of_grams(g, shards)):
+        for s, at in cut_by(digit(hash_of_pairs(g), 0, fan)):
             value[at] = grow(got[GRAM, s], "<f4")
         score = np.empty(len(lowered))
         for own in chunks(lowered):
@@ -357,7 +355,7 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
             score[own] = np.add.reduceat(each, np.append(0, np.cumsum(lengths)[:-1]))
         words, h, _ = block_words(lowered, train)
         c = np.empty(len(h), np.int64)
-        for s, at in cut_by(shard_of_words(h, shards)):
+        for s, at in cut_by(digit(h, 0, fan)):
             c[at] = grow(got[WORD, s], "<i8")
         logs = dict(zip(words, (np.log10(c + 0.5) - log_all).tolist(), strict=True))
         unknown = {w for w, n in zip(words, c.tolist(), strict=True) if not n}
@@ -374,28 +372,26 @@ def _scored(docs: DataFrame, answers: DataFrame, shards: int, train_tokens: int,
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied_cogroup(run), SCORES)
 
 
-def score(docs: DataFrame, held_out, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, held_out, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Scores of every row of docs (doc_id, text), learned from the rows for which held_out is not true.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text and its end),
     n_bytes; -score / (n_bytes + 1) * log2(10) is the code length per byte. A-Z count as a-z. Null texts are empty:
     their score is that of the end alone. Repeated rows count as often as they stand. Without training texts, every
-    bit has probability 1/2. Other columns of docs are left out.
+    bit has probability 1/2. Other columns of docs are left out. Blocks have `block` bytes of text, and `fan` arrays are
+    merged at once; neither changes a result.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(held_out, 0).otherwise(1).alias("train"))
     total, texts_learned = (x or 0 for x in docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64), F.sum("train")).first())
     blocks = max(8, -(-total // block))
-    shards = max(SHARDS, blocks)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    arrays = stored(_arrays(docs, shards))
-    merged = stored(merged_arrays(arrays, blocks))
-    tops = sorted(_tops(merged).collect())  # a row for each kind and shard, of at most 256 x 256 nodes
-    grown = [np.frombuffer(r["nodes"], "<i8").reshape(4, -1) for r in tops if r["kind"] == GRAM]
-    keys, n0, n1, below = np.concatenate([np.zeros((4, 0), np.int64), *grown], axis=1)
+    *levels, model = _merged(stored(_arrays(docs, fan)), blocks, fan)
+    model = stored(model)
+    tops = sorted(_tops(model).collect())  # FAN rows a kind at most, of at most 256 x 256 nodes
+    keys, n0, n1, below = depth_one(r["nodes"] for r in tops if r["kind"] == GRAM)
     top = spark.sparkContext.broadcast(Top(keys.astype(np.uint64), n0, n1, below.copy().view(np.float64)))
-    answers = _answers(arrays, merged, -(-blocks // FAN), top)
     n = sum(r["n"] for r in tops if r["kind"] == WORD) + texts_learned
     distinct = sum(r["distinct"] for r in tops if r["kind"] == WORD) + (texts_learned > 0)
-    return _scored(docs, answers, shards, n, distinct, texts_learned)
+    return _scored(docs, _answers([*levels, model], top, fan), fan, n, distinct, texts_learned)

@@ -24,24 +24,25 @@ from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
-from .common import batch, lower_ascii, stored, texts, tidied_cogroup, tidied_group
-from .ctw import BLOCK, FAN, cut_by, grow, merged_arrays, shrink, summed
+from .common import batch, lower_ascii, stored, texts, tidied, tidied_cogroup, tidied_group
+from .ctw import BLOCK, summed, sums
+from .radix import FAN, answered, cut_by, digit, grow, joined, merged, shrink
 
 #: Words of a repeat at least; words of a minimiser; entries of a shard merged at once.
 LEAST, GRAM, ENTRIES = 50, 8, 4_000_000
 LAST = (1 << 63) - 1
-SHARDS = 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ARRAYS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ARRAYS_DDL = "kind int, shard int, block long, keys binary, counts binary"
-_ANSWERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("values", pa.binary())])
+_ANSWERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+_ANSWERS_DDL = "shard int, block long, keys binary, values binary"
 _ENTRIES = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("two", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
 _ENTRIES_DDL = "shard int, block long, keys binary, two binary, first binary, second binary"
 _WINDOWS = pa.schema([*_ENTRIES, ("docs", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("places", pa.binary())])
 _WINDOWS_DDL = _ENTRIES_DDL + ", docs binary, counts binary, starts binary, places binary"
-_FOUND = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("hit", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
-_FOUND_DDL = "shard int, block long, n long, hit binary, first binary, second binary"
+_FOUND = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.int64()), ("hit", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+_FOUND_DDL = "shard int, block long, keys binary, n long, hit binary, first binary, second binary"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())])
 _SPANS_DDL = "doc_id long, start_word int, end_word int, n_words int, first_doc_id long"
 
@@ -118,7 +119,7 @@ class _Hashes(dict):
         return h
 
 
-def _halves(docs: DataFrame, shards: int, least: int) -> DataFrame:
+def _halves(docs: DataFrame, least: int, fan: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         known, keys, counts = _Hashes(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, w in _words(t, least):
@@ -126,26 +127,27 @@ def _halves(docs: DataFrame, shards: int, least: int) -> DataFrame:
             counts.append(np.ones(len(keys[-1]), np.int64))
         k, n = summed(np.concatenate(keys), np.concatenate(counts))
         block = t.column("block")[0].as_py()
-        rows = [(0, s, block, shrink(k[at]), shrink(n[at])) for s, at in cut_by((k % np.uint64(shards)).astype(np.int64))]
+        rows = [(0, s, block, shrink(k[at]), shrink(n[at])) for s, at in cut_by(digit(k, 0, fan))]
         return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
     return docs.groupBy("block").applyInArrow(tidied_group(run), _ARRAYS_DDL)
 
 
-def _shared(arrays: DataFrame, merged: DataFrame, groups: int) -> DataFrame:
+def _shared(arrays: DataFrame, blocks: int, fan: int) -> DataFrame:
     """For each block's array, in its order, whether a half hash occurs in two texts."""
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        for own in held.to_pylist():
-            keys, many = grow(own["keys"], "<u8"), grow(own["counts"], "<i8") > 1
-            for row in asked.select(["shard", "block", "keys"]).to_pylist():
-                rows.append((row["shard"], row["block"], np.packbits(many[np.searchsorted(keys, grow(row["keys"], "<u8"))]).tobytes()))
-        return pa.Table.from_batches([batch(_ANSWERS, *zip(*rows, strict=True))] if rows else [], _ANSWERS)
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for r in b.to_pylist():
+                yield batch(_ANSWERS, [r["shard"]], [r["block"]], [r["keys"]], [np.packbits(grow(r["counts"], "<i8") > 1).tobytes()])
 
-    asked = arrays.withColumn("group", F.floor(F.col("block") / FAN))
-    held = merged.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(run, "shard int, block long, values binary")
+    def look(rows: list[dict]):
+        keys = [grow(r["keys"], "<u8") for r in rows]
+        known, many = joined(keys, [_bits(r["values"], len(k)) for r, k in zip(rows, keys, strict=True)])
+        return lambda asked: (np.packbits(many[np.searchsorted(known, asked)]).tobytes(),)
+
+    levels = merged(arrays, blocks, _ARRAYS, _ARRAYS_DDL, sums, lambda row, keys: keys, fan)
+    return answered(levels, levels[-1].mapInArrow(tidied(run), _ANSWERS_DDL), _ANSWERS, _ANSWERS_DDL, look, fan)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -169,7 +171,7 @@ def least_two(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], two, docs[at], docs[at[two] + 1]
 
 
-def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> DataFrame:
+def _windows(docs: DataFrame, answers: DataFrame, least: int, fan: int) -> DataFrame:
     """For each block, the windows that may repeat: by shards with their two least documents, and, under shard -1, where
     they are: documents, how many each has, the starts as differences, and the places of their hashes shard by shard."""
 
@@ -181,7 +183,7 @@ def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> Da
         found = [(doc, Windows(w, least, known, True)) for doc, _, w in _words(t, least)]
         k = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.half for _, x in found)]))
         live = np.zeros(len(k), bool)
-        for s, at in cut_by((k % np.uint64(shards)).astype(np.int64)):
+        for s, at in cut_by(digit(k, 0, fan)):
             live[at] = _bits(got[s], len(at))
         ids, counts, starts, hashes = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
         for doc, x in found:
@@ -203,7 +205,7 @@ def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> Da
         keys, two, first, second = least_two(sorted_h[once], ids[sorted_n[once]])
         seconds = np.cumsum(two) - 1
         rows, rank, done = [], np.zeros(len(keys), np.int32), 0
-        for s, at in cut_by((keys % np.uint64(shards)).astype(np.int64)):
+        for s, at in cut_by(digit(keys, 0, fan)):
             rank[at] = np.arange(done, done + len(at))
             done += len(at)
             rows.append((s, block, shrink(keys[at]), np.packbits(two[at]).tobytes(), shrink(first[at]), _pack(second[seconds[at[two[at]]]]), None, None, None, None))
@@ -215,52 +217,47 @@ def _windows(docs: DataFrame, answers: DataFrame, shards: int, least: int) -> Da
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied_cogroup(run), _WINDOWS_DDL)
 
 
-def _repeated(entries: DataFrame, blocks: int) -> DataFrame:
-    """One array for each shard, of the windows that stand in two texts: FAN arrays become one, as often as it takes."""
-
-    def merged(last: bool):
-        def run(t: pa.Table) -> pa.Table:
-            keys, docs, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-            for r in t.select(["keys", "two", "first", "second"]).to_pylist():
-                k = _unpack(r["keys"], "<u8")
-                keys += [k, k[_bits(r["two"], len(k))]]
-                docs += [_unpack(r["first"], "<i8"), _unpack(r["second"], "<i8")]
-                n += len(k)
-                if n > ENTRIES:
-                    k, two, first, second = least_two(np.concatenate(keys), np.concatenate(docs))
-                    keys, docs, n = [k, k[two]], [first, second], 0
+def _union(rows: Iterator[dict], last: bool):
+    """The union of arrays of windows; the last has only those that stand in two texts."""
+    keys, docs, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for r in rows:
+        k = _unpack(r["keys"], "<u8")
+        keys += [k, k[_bits(r["two"], len(k))]]
+        docs += [_unpack(r["first"], "<i8"), _unpack(r["second"], "<i8")]
+        n += len(k)
+        if n > ENTRIES:
             k, two, first, second = least_two(np.concatenate(keys), np.concatenate(docs))
-            if last:
-                k, first, two = k[two], first[two], two[two]
-            return pa.Table.from_batches([batch(_ENTRIES, [t.column("shard")[0].as_py()], [t.column("block")[0].as_py()], [_pack(k)], [np.packbits(two).tobytes()], [_pack(first)], [_pack(second)])])
+            keys, docs, n = [k, k[two]], [first, second], 0
+    k, two, first, second = least_two(np.concatenate(keys), np.concatenate(docs))
+    if last:
+        k, first, two = k[two], first[two], two[two]
+    seconds = np.cumsum(two) - 1
+    return k, lambda at: (np.packbits(two[at]).tobytes(), _pack(first[at]), _pack(second[seconds[at[two[at]]]]))
+
 
-        return run
+def _found(entries: DataFrame, blocks: int, fan: int) -> DataFrame:
+    """For each block's array, in its order, which windows stand in two texts, and the two least documents of those."""
 
-    while True:
-        blocks = -(-blocks // FAN)
-        entries = entries.withColumn("block", F.floor(F.col("block") / FAN)).groupBy("shard", "block").applyInArrow(merged(blocks <= 1), _ENTRIES_DDL)
-        if blocks <= 1:
-            return entries
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for r in b.to_pylist():
+                n = len(_unpack(r["keys"], "<u8"))
+                yield batch(_FOUND, [r["shard"]], [r["block"]], [r["keys"]], [n], [r["two"]], [r["first"]], [r["second"]])
 
+    def look(rows: list[dict]):
+        every = [_unpack(r["keys"], "<u8") for r in rows]
+        keys = [k[_bits(r["hit"], len(k))] for r, k in zip(rows, every, strict=True)]
+        known, first, second = joined(keys, *([_unpack(r[c], "<i8") for r in rows] for c in ("first", "second")))
 
-def _found(entries: DataFrame, repeated: DataFrame, groups: int) -> DataFrame:
-    """For each block's array, in its order, which windows stand in two texts, and the two least documents of those."""
+        def find(asked: np.ndarray) -> tuple:
+            at = np.searchsorted(known, asked)
+            hit = (np.append(known, np.uint64(0))[at] == asked) & (at < len(known))
+            return len(asked), np.packbits(hit).tobytes(), _pack(first[at[hit]]), _pack(second[at[hit]])
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        for own in held.to_pylist():
-            keys, first, second = _unpack(own["keys"], "<u8"), _unpack(own["first"], "<i8"), _unpack(own["second"], "<i8")
-            for row in asked.select(["shard", "block", "keys"]).to_pylist():
-                k = grow(row["keys"], "<u8")
-                at = np.searchsorted(keys, k)
-                hit = np.append(keys, np.uint64(0))[at] == k
-                hit &= at < len(keys)
-                rows.append((row["shard"], row["block"], len(k), np.packbits(hit).tobytes(), _pack(first[at[hit]]), _pack(second[at[hit]])))
-        return pa.Table.from_batches([batch(_FOUND, *zip(*rows, strict=True))] if rows else [], _FOUND)
+        return find
 
-    asked = entries.select("shard", "block", "keys").withColumn("group", F.floor(F.col("block") / FAN))
-    held = repeated.select("shard", "keys", "first", "second").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    return asked.groupBy("shard", "group").cogroup(held.groupBy("shard", "group")).applyInArrow(tidied_cogroup(run), _FOUND_DDL)
+    levels = merged(entries, blocks, _ENTRIES, _ENTRIES_DDL, _union, lambda row, keys: keys, fan)
+    return answered(levels, levels[-1].mapInArrow(tidied(run), _FOUND_DDL), _FOUND, _FOUND_DDL, look, fan)
 
 
 def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
@@ -290,7 +287,7 @@ def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return places.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidied_cogroup(run), _SPANS_DDL)
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """doc_id, start_word, end_word, n_words, first_doc_id: a row for each maximal repeated passage of each document.
 
     Words are runs of anything but ASCII white space, A-Z lowered, numbered from 0; end_word is not in the passage. A
@@ -300,16 +297,15 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -
     and shorter texts have no passage, and documents without one have no row.
 
     Windows are compared by 64 bits of hash: equal ones always meet, and two different ones meet once in 2 ** 64 pairs.
+    Blocks have `block` bytes of text, and `fan` arrays are merged at once; neither changes a result.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     blocks = max(8, -(-total // block))
-    shards, groups = max(SHARDS, blocks), -(-blocks // FAN)
     docs = docs.withColumn("block", F.pmod("uid", F.lit(blocks)))
-    arrays = stored(_halves(docs, shards, least))
-    windows = stored(_windows(docs, _shared(arrays, merged_arrays(arrays, blocks), groups), shards, least))
+    windows = stored(_windows(docs, _shared(stored(_halves(docs, least, fan)), blocks, fan), least, fan))
     entries = windows.filter("shard >= 0").select(*_ENTRIES.names)
     places = windows.filter("shard < 0").select("block", "docs", "counts", "starts", "places")
-    return _spans(places, _found(entries, _repeated(entries, blocks), groups), least)
+    return _spans(places, _found(entries, blocks, fan), least)

@@ -218,9 +218,9 @@ def plain_passages(rows, least):
     return sorted(out)
 
 
-def passages(spark, rows):
+def passages(spark, rows, **how):
     number = lambda i: 2**63 - 1 if i is None else i
-    return sorted((number(r.doc_id), r.start_word, r.end_word, number(r.first_doc_id)) for r in suffixes.repeated_passages(frame(spark, rows), 50).collect())
+    return sorted((number(r.doc_id), r.start_word, r.end_word, number(r.first_doc_id)) for r in suffixes.repeated_passages(frame(spark, rows), 50, **how).collect())
 
 
 def test_passages_behind_a_repeated_line(spark):
@@ -239,6 +239,13 @@ def test_passages_are_exact(spark, rows):
     assert passages(spark, rows) == plain_passages(rows, 50)
 
 
+@pytest.mark.parametrize("fan", [3, 64])
+def test_passages_over_several_levels(spark, fan):
+    """Many small blocks, whose arrays meet level by level."""
+    rows = [*planted(4), *corpus()]
+    assert passages(spark, rows, block=sum(len(t or "") for _, t, _ in rows) // 20, fan=fan) == plain_passages(rows, 50)
+
+
 def test_passages_many_times_in_a_text(spark):
     """Each text holds the passage more often than there were places among neighbours, with words of its own between."""
     rnd = random.Random(12)

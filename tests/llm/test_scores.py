@@ -80,14 +80,15 @@ def plain_base(rows, held):
     return [sum(math.log10((n[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in [*words(t), None]) for _, t, _ in rows], n
 
 
-@pytest.mark.parametrize("block", [32 << 20, 2000])
-def test_ctw(spark, block):
+@pytest.mark.parametrize(("block", "fan"), [(32 << 20, 64), (2000, 64), (2000, 3)])
+def test_ctw(spark, block, fan):
+    """Also where arrays are merged, and answered, over several levels."""
     rows = [r for r in corpus() if len(r[1] or "") < 5000]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _, _ in rows]
     tree = PlainTree([t for (_, t, _), h in zip(rows, held, strict=True) if not h])
     base, n = plain_base(rows, held)
     want = sorted((str(i), h, len(words(t)) + 1, sum(n[w] > 0 for w in [*words(t), None]), round(b, 6), round(tree.score(t), 3)) for (i, t, _), h, b in zip(rows, held, base, strict=True))
-    got = ctw.score(frame(spark, rows), crc32_id() % 5 == 1, block).collect()
+    got = ctw.score(frame(spark, rows), crc32_id() % 5 == 1, block, fan).collect()
     rounded = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in got)
     assert [r[:4] for r in rounded] == [r[:4] for r in want]
     assert np.allclose([r[4:] for r in rounded], [r[4:] for r in want], rtol=1e-4, atol=2e-3)
