@@ -8,6 +8,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: The same as a look-up table of byte values.
+LOWER = np.frombuffer(_LOWER, np.uint8)
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -138,5 +141,27 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and where each begins, with the end of the last; null is empty."""
+    c = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(c.buffers()[1], "<i8")[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int64)
+    data = np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """data between neighbouring offsets as texts, without a copy."""
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, "<i8")), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def files(uri: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlparse(uri).path
+    return fs.FileSystem.from_uri(uri)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema, strict=True)], schema=schema)

@@ -14,7 +14,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from albumspark.session import ship
 
-from .common import batch, scratch, texts, tidied
+from .common import batch, files, scratch, texts, tidied
 
 #: Fixed: samples in a row of the picture (24 by 24), and the value that fills the last row.
 ROW, FILL = 576, 255
@@ -37,15 +36,6 @@ _MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("members",
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
 
 
-def files(uri: str):
-    """The file system of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
-
-
 def payload(text: bytes) -> bytes:
     """The text, filled with 255 up to a positive multiple of 576 bytes."""
     return text + bytes([FILL]) * (max(1, -(-len(text) // ROW)) * ROW - len(text))

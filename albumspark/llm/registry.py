@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, lines, media, mixing, packing, quality, simhash, suffixes, topk, toxicity
-from .common import crc32_id
+from . import ctw, infill, lines, media, mixing, packing, quality, records, resample, simhash, suffixes, topk, toxicity
+from .common import crc32_id, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,23 @@ def op1_ctw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"), least=50)
+
+
+@query()
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text")
+    return resample.resample(docs, target, order=2, buckets=10_000, percent=25, least=20, seed=7)
+
+
+@query(infill.ORACLE)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.fill_in_middle(read(spark, sf_dir, "documents", "doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+@query()
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "records")
+    records.write(read(spark, sf_dir, "documents", "doc_id", "text"), at, tokenizer_path("byte_bpe_50k.json"))
+    return records.read(spark, at, digest=True)
