@@ -100,7 +100,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"), least=50)
 
 
-@query()
+@query(resample.ORACLE)
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text")
     return resample.resample(docs, target, order=2, buckets=10_000, percent=25, least=20, seed=7)

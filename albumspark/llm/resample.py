@@ -247,3 +247,39 @@ def drawn(docs: DataFrame, resampled: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id was drawn, unchanged; every row of a repeated id where any was."""
     ids = resampled.filter("rank IS NOT NULL").select(F.col("doc_id").alias("_drawn")).distinct()
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_drawn")), "left_semi")
+
+
+#: DuckDB has no crc32: it goes bytewise over a table of 256 steps, once for each distinct n-gram.
+ORACLE = """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS pos, text FROM documents
+  UNION ALL SELECT 't', NULL, -row_number() OVER (), text FROM benchmark),
+w AS (
+  SELECT side, id, pos, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+f AS (
+  SELECT side, pos, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM w),
+n AS (SELECT side, pos, f, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::BIGINT)),
+                            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM x, steps),
+c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM n JOIN b USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((sum(s) OVER ()) + 10000) / ((s + 1) * ((sum(t) OVER ()) + 10000))))::BIGINT AS gain FROM c),
+v AS (SELECT pos, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM n JOIN b USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY pos),
+r AS (
+  SELECT id AS doc_id, pos, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+         ('0x' || sha256('7:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM w LEFT JOIN v USING (pos) WHERE side = 'd'),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM r),
+k AS (SELECT pos, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS m FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN rank <= 25 * m // 100 THEN rank END AS rank
+FROM z LEFT JOIN k USING (pos)
+"""
