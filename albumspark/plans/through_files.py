@@ -12,7 +12,7 @@ from albumspark.functions import text, vectors
 from albumspark.operators import cluster, dates, moves, ocr, select, tags
 from albumspark.plans.registry import query
 from albumspark.session import checkpoint_dir, table
-from albumspark.sources import files, plugins, sinks
+from albumspark.sources import files, plugins, sinks, tree
 from albumspark.streaming import watch
 
 
@@ -27,29 +27,41 @@ def _written(lines: DataFrame, name: str) -> str:
     return at
 
 
-def _put(spark: SparkSession, contents: dict[str, str]) -> None:
-    """Small files, a few dozen, written from the driver."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path, content in contents.items():
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(conf).create(at)
-        out.write(bytearray(content.encode()))
-        out.close()
-
-
 # Files ----------------------------------------------------------------------------------------------------------------
 
-_TREE = """
-SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a/sub' ELSE '_duplicates' END AS folder,
-       'f' || n_nationkey || (['.jpg', '.HEIC.MOV', '.txt', '.png', '.mp4'])[n_nationkey % 5 + 1] AS name, repeat('x', n_nationkey::INT + 1) AS content FROM nation
+_FOLDERS, _STARTS, _ENDS = ("a", "a/sub", "_duplicates", ".old/x"), ("f", "_DSC", ".f"), (".jpg", ".HEIC.MOV", ".txt", ".PNG", ".mp4")
+_FILM = "\0\0\0\x18ftypisom"
+_TREE = f"""
+SELECT o_orderkey AS k, (['a', 'a/sub', '_duplicates', '.old/x'])[o_orderkey % 4 + 1] AS folder,
+       (['f', '_DSC', '.f'])[o_orderkey % 3 + 1] || o_orderkey || (['.jpg', '.HEIC.MOV', '.txt', '.PNG', '.mp4'])[o_orderkey % 5 + 1] AS name,
+       (CASE o_orderkey % 7 WHEN 0 THEN {len(_FILM)} ELSE 1 END + o_orderkey % 50)::BIGINT AS size, to_timestamp(o_orderkey * 60) AT TIME ZONE 'UTC' AS mtime, o_orderkey % 7 = 0 AS film
+FROM orders
 """
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> str:
-    """A small file for each nation, in three folders."""
-    at, ends = _folder(spark, "tree"), (".jpg", ".HEIC.MOV", ".txt", ".png", ".mp4")
-    keys = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 rows
-    _put(spark, {f"{at}/{('a', 'a/sub', '_duplicates')[k % 3]}/f{k}{ends[k % 5]}": "x" * (k + 1) for k in keys})
+def _tree(spark: SparkSession, sf_dir: str, where: str = "true", at: str | None = None) -> str:
+    """A small file for each order, in four folders, written by tasks; times are long past, every seventh begins as a film."""
+    import os
+
+    import pyarrow as pa
+
+    at = at or _folder(spark, "tree")
+    root = tree.Place(at).inside(at)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column("k").to_pylist()
+            for f in _FOLDERS:
+                os.makedirs(f"{root}/{f}", exist_ok=True)
+            for k in keys:
+                name = f"{root}/{_FOLDERS[k % 4]}/{_STARTS[k % 3]}{k}{_ENDS[k % 5]}"
+                with open(name, "w") as out:
+                    out.write((_FILM if k % 7 == 0 else "x") + "x" * (k % 50))
+                os.utime(name, (k * 60, k * 60))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
+
+    rows = table(spark, sf_dir, "orders").filter(where).select(F.col("o_orderkey").alias("k"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
     return at
 
 
@@ -58,15 +70,25 @@ def _below(root: str, path: str = "path") -> Column:
     return F.substring_index(path, root.rsplit("/", 1)[-1] + "/", -1)
 
 
+_MOVIE = "(film OR lower(name) LIKE '%.mov' OR name LIKE '%.mp4')"
+
+
 @query(f"""
-SELECT folder || '/' || name AS path, name, length(content)::BIGINT AS size, CASE WHEN folder = 'a/sub' THEN 0 ELSE 1 END::INT AS root_ord, lower(name) LIKE '%.mov' OR name LIKE '%.mp4' AS film
-FROM ({_TREE}) WHERE name NOT LIKE '%.txt' AND folder <> '_duplicates'
+SELECT folder || '/' || name AS path, name, size, mtime, CASE WHEN folder = 'a/sub' THEN 0 ELSE 1 END::INT AS root_ord, {_MOVIE} AS film FROM ({_TREE}) WHERE name NOT LIKE '%.txt'
 """)
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two roots, of which one is inside the other; folders whose names begin with _ are passed over."""
+    """Two roots, of which one is inside the other; folders and files whose names begin with _ or a dot among them."""
     at = _tree(spark, sf_dir)
     rows = files.scan(spark, f"{at}/a/sub", at, with_header=True)
-    return rows.select(_below(at).alias("path"), "name", "size", "root_ord", kinds.is_video(F.col("path"), F.col("header")).alias("film"))
+    return rows.select(_below(at).alias("path"), "name", "size", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "root_ord", kinds.is_video(F.col("path"), F.col("header")).alias("film"))
+
+
+@query(f"SELECT folder || '/' || name AS path FROM ({_TREE}) WHERE film AND (name LIKE '%.jpg' OR name LIKE '%.PNG')")
+def mislabeled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called pictures, but films by their first bytes."""
+    at = _tree(spark, sf_dir)
+    rows = files.scan(spark, at, with_header=True)
+    return rows.filter(kinds.mislabeled(F.col("path"), F.col("header"))).select(_below(at).alias("path"))
 
 
 @query("""
@@ -80,25 +102,30 @@ def files_to_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.to_compare(table(spark, sf_dir, "orders").select(F.concat(F.lit("/a/"), folder, F.lit("/f"), k.cast("string"), end).alias("path")))
 
 
-@query(f"SELECT folder || '/' || name AS path FROM ({_TREE}) WHERE name LIKE '%.HEIC.MOV' AND folder <> '_duplicates'")
+@query(f"SELECT folder || '/' || name AS path FROM ({_TREE}) WHERE name LIKE '%.HEIC.MOV'")
 def motion_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _tree(spark, sf_dir)
     return files.motion_companions(files.scan(spark, at)).select(_below(at).alias("path"))
 
 
-@query(f"SELECT name, length(content)::BIGINT AS size FROM ({_TREE}) WHERE folder <> '_duplicates' AND (name LIKE '%.jpg' AND k % 2 = 0 OR name LIKE '%.png' OR name LIKE '%.mp4')")
+@query(f"""
+SELECT folder || '/' || name AS path, size, CASE WHEN k % 4 IN (0, 3) THEN 0 ELSE 1 END::INT AS run FROM ({_TREE}) WHERE name LIKE '%.jpg' AND k % 2 = 0 OR name LIKE '%.PNG' OR name LIKE '%.mp4'
+""")
 def watch_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the watch gives its batch function, but for files at the current version."""
-    at, out = _tree(spark, sf_dir), _folder(spark, "seen")
+    """What two runs of a watch give their batch function: files that are there, then those that came since, whose times are
+    long past; files at the current version are left out."""
+    at, out, checkpoint = _folder(spark, "tree"), _folder(spark, "seen"), _folder(spark, "watch")
 
     def versions(s: SparkSession) -> DataFrame:
-        found = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(at).select("path")
-        odd = F.regexp_extract("path", "f(\\d+)\\.jpg$", 1).try_cast("int") % 2 == 1
+        found = files.scan(s, at).select("path")
+        odd = F.regexp_extract("path", "(\\d+)\\.jpg$", 1).try_cast("int") % 2 == 1
         return found.select("path", F.when(odd, "1").otherwise("0").alias("version"))
 
-    q = watch.watch(spark, at, _folder(spark, "watch"), lambda rows, _: rows.write.mode("append").parquet(out), versions, "1", once=True)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("name", "size")
+    for run, where in enumerate(("o_orderkey % 4 IN (0, 3)", "o_orderkey % 4 IN (1, 2)")):
+        _tree(spark, sf_dir, where, at)
+        seen = lambda rows, _, run=run: rows.withColumn("run", F.lit(run)).write.mode("append").parquet(out)
+        watch.watch(spark, at, checkpoint, seen, versions, "1", once=True).awaitTermination()
+    return spark.read.parquet(out).select(_below(at).alias("path"), "size", "run")
 
 
 # Metadata -------------------------------------------------------------------------------------------------------------

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from albumspark.functions.files import supported
+from albumspark.sources.tree import scan  # noqa: F401  (one of this module's sources)
 
 METADATA = T.StructType([
     T.StructField(n, T.StringType())
@@ -24,23 +23,6 @@ MANIFEST = "original string, moved_to string, ts timestamp"
 LANDMARKS = "model string, landmarks array<struct<name:string,wikidata_id:string,lat:double,lon:double,embedding:array<float>>>"
 
 
-def scan(spark: SparkSession, *roots: str, with_header: bool = False) -> DataFrame:
-    """path, name, size, mtime of supported files below the roots, each once, under the first root that has it, unordered.
-
-    Contents are not read unless with_header asks for the first 12 bytes. As in all of Spark's file sources, what lies in
-    folders or files whose names begin with _ or a dot is passed over, unless such a folder is named as a root.
-    """
-    parts = []
-    for k, root in enumerate(roots):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(k).alias("root_ord")]
-        parts.append(found.select(*columns, *([F.substring("content", 1, 12).alias("header")] if with_header else [])))
-    rows = reduce(DataFrame.unionByName, parts).filter(supported(F.col("path")))
-    once = F.row_number().over(Window.partitionBy("path").orderBy("root_ord"))
-    rows = rows.withColumn("_n", once).filter("_n = 1").drop("_n")
-    return rows.withColumn("name", F.substring_index("path", "/", -1))
-
-
 def to_compare(files: DataFrame) -> DataFrame:
     """files (path): pictures, but for those under a folder named _duplicates."""
     from albumspark.functions.files import IMAGES, extension

@@ -1,17 +1,27 @@
 """Sources, sinks, the watch and the command line, over files in a temporary folder."""
 
 import base64
+import contextlib
 import json
+import os
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from albumspark import cli
-from albumspark.sources import files, plugins, sinks
+from albumspark.sources import files, plugins, sinks, tree
 from albumspark.streaming import watch
 
 
+def touch(at, content=b"x", mtime=None):
+    at.parent.mkdir(parents=True, exist_ok=True)
+    at.write_bytes(content)
+    if mtime is not None:
+        os.utime(at, (mtime, mtime))
+
+
 def test_scan(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.jpg", "sub/b.MOV", "c.txt"):
@@ -19,6 +29,58 @@ def test_scan(spark, tmp_path):
     rows = files.scan(spark, str(tmp_path), str(tmp_path / "sub"), with_header=True).collect()
     rows.sort(key=lambda r: r.name)
     assert [r.name for r in rows] == ["a.jpg", "b.MOV"] and bytes(rows[0].header) == b"\xff\xd8\xff\xe0"
+    assert [r.root_ord for r in rows] == [0, 0] and rows[0].path == f"{tmp_path}/a.jpg"
+
+
+def test_scan_passes_over_no_name(spark, tmp_path):
+    names = ["_DSC0001.jpg", "a.jpg", ".hidden.PNG", "_dir/_MG_1.jpg", ".dir/x.heic", "_dir/.deep/_er/y.tif", "sp ace/é ü%20.jpg", "no suffix", ".jpg", "b.jpg/c.webm"]
+    for n in names:
+        touch(tmp_path / n, mtime=1_000_000_000.5)
+    got = {r.path: (r.name, r.size, r.mtime.timestamp()) for r in files.scan(spark, str(tmp_path)).collect()}
+    want = [n for n in names if n not in ("no suffix", ".jpg")]
+    assert got == {f"{tmp_path}/{n}": (n.rsplit("/", 1)[-1], 1, 1_000_000_000.5) for n in want}
+    uri = {r.path for r in files.scan(spark, f"file://{tmp_path}/").collect()}
+    assert uri == {f"file://{p}" for p in got}
+
+
+@pytest.mark.parametrize("entries", [1, 7, 50_000])
+def test_scan_in_rounds(spark, tmp_path, entries):
+    """Chains, wide and empty folders, however few entries a task meets before it hands on."""
+    want = set()
+    for k in range(40):
+        at = f"{'/'.join(f'd{j}' for j in range(k % 9))}/w{k % 4}/f{k}.jpg".lstrip("/")
+        touch(tmp_path / at)
+        want.add(f"{tmp_path}/{at}")
+    (tmp_path / "empty" / "er").mkdir(parents=True)
+    assert {r.path for r in tree.scan(spark, str(tmp_path), entries=entries).collect()} == want
+
+
+def test_scan_of_links(spark, tmp_path):
+    """A file counts once however many links lead to it; links to folders are not entered, loops and broken links do no harm."""
+    touch(tmp_path / "in" / "m.jpg")
+    touch(tmp_path / "out" / "o.jpg")
+    (tmp_path / "in" / "a.jpg").symlink_to(tmp_path / "in" / "m.jpg")
+    (tmp_path / "in" / "z.png").symlink_to(tmp_path / "out" / "o.jpg")
+    (tmp_path / "in" / "y.png").symlink_to(tmp_path / "out" / "o.jpg")
+    (tmp_path / "in" / "folder").symlink_to(tmp_path / "out")
+    (tmp_path / "in" / "loop").symlink_to(tmp_path / "in")
+    (tmp_path / "in" / "gone.jpg").symlink_to(tmp_path / "nothing.jpg")
+    (tmp_path / "in" / "name.txt").symlink_to(tmp_path / "out" / "o.jpg")
+    names = lambda *roots: sorted((r.name, r.root_ord) for r in files.scan(spark, *roots).collect())
+    assert names(str(tmp_path / "in")) == [("a.jpg", 0), ("y.png", 0)]
+    assert names(str(tmp_path / "out"), str(tmp_path / "in")) == [("a.jpg", 1), ("o.jpg", 0)]
+    assert names(str(tmp_path / "in" / "m.jpg")) == [("m.jpg", 0)]
+    assert names(str(tmp_path / "in" / "name.txt")) == names(str(tmp_path / "none")) == []
+
+
+def test_scan_reads_no_more_than_the_header(spark, tmp_path):
+    """Films of 3 GB, without a block on disk."""
+    for k in range(3):
+        with open(tmp_path / f"{k}.mov", "wb") as f:
+            f.write(b"\0\0\0\x18ftypqt  more")
+            f.truncate(3 << 30)
+    rows = files.scan(spark, str(tmp_path), with_header=True).collect()
+    assert [(r.size, bytes(r.header)) for r in rows] == [(3 << 30, b"\0\0\0\x18ftypqt  ")] * 3
 
 
 def test_metadata(spark, tmp_path):
@@ -85,25 +147,67 @@ def test_changes(spark):
 
 
 def test_watch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for name in ("a.jpg", "b.jpg", "b.jpg.mov", "done.jpg", "x.txt"):
-        (tmp_path / "in" / name).write_bytes(b"x")
+    for name in ("a.jpg", "_b.jpg", "b.jpg.mov", "done.jpg", "x.txt"):
+        touch(tmp_path / "in" / name)
     seen = []
 
     def versions(s):
-        return s.createDataFrame([(f"file:{tmp_path}/in/done.jpg", "1")], "path string, version string")
+        return s.createDataFrame([(f"{tmp_path}/in/done.jpg", "1")], "path string, version string")
 
     def go():
         q = watch.watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda rows, _: seen.extend(r.name for r in rows.collect()), versions, "1", once=True)
         q.awaitTermination(60)
+        assert q.exception() is None
 
     go()
-    assert sorted(seen) == ["a.jpg", "b.jpg"]
+    assert sorted(seen) == ["_b.jpg", "a.jpg"]
     go()
     assert len(seen) == 2
-    (tmp_path / "in" / "c.png").write_bytes(b"x")
+    # Copied photos keep their time; a file that changes, or that is at the current version no more, was seen.
+    touch(tmp_path / "in" / "new" / "c.png", mtime=time.time() - 30 * 86400)
+    touch(tmp_path / "in" / "a.jpg", b"changed")
+    touch(tmp_path / "in" / "old.jpg", mtime=1)
+    go()
+    assert sorted(seen[2:]) == ["c.png", "old.jpg"]
+    (tmp_path / "in" / "link.jpg").symlink_to(tmp_path / "in" / "old.jpg")
     go()
-    assert seen[2:] == ["c.png"]
+    assert len(seen) == 4
+    with pytest.raises(ValueError, match="one directory"):
+        watch.watch(spark, "a,b", str(tmp_path / "cp"), print)
+
+
+def test_watch_again_after_a_failure(spark, tmp_path):
+    touch(tmp_path / "in" / "a.jpg")
+    seen = []
+
+    def fails(rows, _):
+        raise RuntimeError("no service")
+
+    def go(process):
+        q = watch.watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), process, once=True)
+        with contextlib.suppress(Exception):
+            q.awaitTermination(60)
+
+    go(fails)
+    go(lambda rows, _: seen.extend(r.name for r in rows.collect()))
+    assert seen == ["a.jpg"]
+
+
+def test_watch_sets_failing_files_aside(spark, tmp_path):
+    for k in range(6):
+        touch(tmp_path / "in" / f"{k}.jpg", b"x" * k)
+
+    def each(row):
+        if row["size"] == 3:
+            raise OSError("broken")
+        (tmp_path / "done").mkdir(exist_ok=True)
+        (tmp_path / "done" / row["name"]).write_text("ok")
+
+    for _ in range(2):
+        watch.watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), each=each, once=True).awaitTermination(60)
+    assert sorted(p.name for p in (tmp_path / "done").iterdir()) == ["0.jpg", "1.jpg", "2.jpg", "4.jpg", "5.jpg"]
+    assert [(r.path, r.error, r.batch_id) for r in watch.failures(spark, str(tmp_path / "cp")).collect()] == [(f"{tmp_path}/in/3.jpg", "OSError: broken", 0)]
+    assert watch.failures(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_embeddings(spark):
