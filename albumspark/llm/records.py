@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
 from .common import files, sliced, strings, tidied, utf8
-from .packing import END, Remembered
+from .packing import END, TOGETHER, Remembered
 
 #: Bytes of text tokenized at once, of a file of records at most (but for one record), and of records read at once.
 SLICE, FILE, BLOCK = 4 << 20, 64 << 20, 4 << 20
@@ -141,19 +142,44 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(at), len(data))
 
 
+#: A piece that holds no space but its first byte, and something solid behind that.
+_ONE_SPACE = "^ [^\\s\\p{Z}\\x{85}][^ ]*$"
+
+
 class SpacedTokenizer:
-    """Ids of whole texts, piece by piece; the ids of pieces are remembered, within a bound."""
+    """Ids of whole texts, piece by piece; the ids of pieces are remembered, within a bound.
+
+    New pieces that begin with their only space are encoded many at once: the tokenizer splits before each, and a token
+    that begins with a space begins a piece.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True  # fixed: a space, as byte-level vocabularies spell it
         self.known = Remembered(self._new)
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
-        return np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.uint32)
+        spaced = pc.match_substring_regex(pieces, _ONE_SPACE).to_numpy(zero_copy_only=False)
+        own = pieces.filter(pa.array(spaced)).to_pylist()
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._encoded(["".join(own[k : k + TOGETHER]) for k in range(0, len(own), TOGETHER)])])
+        first = np.flatnonzero(self.spaced[ids])
+        rest = self._encoded(pieces.filter(pa.array(~spaced)).to_pylist())
+        if len(first) != len(own):  # a token spells a space in some other way
+            found = self._encoded(pieces.to_pylist())
+            return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.uint32), *found])
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[spaced], lengths[~spaced] = np.diff(first, append=len(ids)), [len(x) for x in rest]
+        out, at = np.empty(lengths.sum(), np.uint32), np.repeat(spaced, lengths)
+        out[at], out[~at] = ids, np.concatenate([np.zeros(0, np.uint32), *rest])
+        return lengths, out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and all of them in order; null is empty."""
