@@ -1,9 +1,10 @@
 """Token ids in binary record files: length-delimited records with masked checksums, and a separate index of offsets.
 
 A record is framed as TFRecord files frame theirs: the payload's length (8 bytes), its masked CRC-32C, the payload, the
-payload's masked CRC-32C. A payload is the document's id (8 bytes), 1 if the id is null (4 bytes), and its token ids, 4
-bytes each; all numbers are little-endian. Beside each file of records lies an index of fixed rows, one a record: where
-its frame begins, its payload's length, the document's id, and how many ids the file has before it. Readers that shuffle
+payload's masked CRC-32C. A payload is the document's id (8 bytes), 1 if the id is null (2 bytes), the width of a token id
+(2 bytes), their number (4 bytes), and the ids, filled with zeros to a multiple of 4 bytes. An id takes 2 bytes where the
+vocabulary has 65,536 entries at most, else 4; all numbers are little-endian. Beside each file of records lies an index of fixed rows, one a record: where
+its frame begins, its payload's length, the document's id, how many ids it has, and how many the file has before it. Readers that shuffle
 need the index alone to choose, and then one read for each record.
 
 Documents are tokenized where they lie and dealt by ranges of doc_id, which come from one aggregate over the ids alone. A
@@ -35,8 +36,8 @@ SLICE, FILE, BLOCK = 4 << 20, 64 << 20, 4 << 20
 #: Files that are read by a task of their own at most; beyond, tasks read several.
 TASKS = 10_000
 #: Fixed: words (of 4 bytes) of a payload before its ids, of a frame before the payload, and behind it.
-HEAD, BEFORE, BEHIND = 3, 3, 1
-INDEX = np.dtype([("offset", "<i8"), ("length", "<i8"), ("doc_id", "<i8"), ("first", "<i8"), ("null", "<u4"), ("crc", "<u4")])
+HEAD, BEFORE, BEHIND = 4, 3, 1
+INDEX = np.dtype([("offset", "<i8"), ("length", "<i8"), ("doc_id", "<i8"), ("first", "<i8"), ("many", "<u4"), ("crc", "<u4"), ("null", "<u4"), ("width", "<u4")])
 MANIFEST = "manifest"
 
 # Checksums -----------------------------------------------------------------------------------------------------------
@@ -204,24 +205,24 @@ def tokenizer_of(path: str) -> SpacedTokenizer:
 # Files ---------------------------------------------------------------------------------------------------------------
 
 
-def framed(doc_ids: np.ndarray, null: np.ndarray, words: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def framed(doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The frames of records as words end to end, the words of each frame, and the masked checksum of each payload."""
-    payload = many + HEAD
+    width = ids.itemsize
+    payload = HEAD + -(-many * width // 4)
     frame = payload + BEFORE + BEHIND
     ends = np.cumsum(frame)
     starts = ends - frame
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-    ids = doc_ids.astype("<i8").view("<u4").reshape(-1, 2)
-    out[starts + 3], out[starts + 4], out[starts + 5] = ids[:, 0], ids[:, 1], null
-    own = np.repeat(starts + BEFORE + HEAD - (np.cumsum(many) - many), many) + np.arange(len(words))
-    out[own] = words
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, "<u4")
+    own = doc_ids.astype("<i8").view("<u4").reshape(-1, 2)
+    out[starts + 3], out[starts + 4], out[starts + 5], out[starts + 6] = own[:, 0], own[:, 1], null.astype(np.uint32) | width << 16, many
+    out.view(ids.dtype)[np.repeat(4 // width * (starts + BEFORE + HEAD) - (np.cumsum(many) - many), many) + np.arange(len(ids))] = ids
     lengths = (4 * payload).astype("<i8").view("<u4")
     out[starts], out[starts + 1] = lengths[::2], lengths[1::2]
     out[starts + 2] = masked(crc32c(lengths, np.full(len(many), 2)))
     inside = np.repeat(starts + BEFORE - (np.cumsum(payload) - payload), payload) + np.arange(int(payload.sum()))
     crc = masked(crc32c(out[inside], payload))
     out[ends - 1] = crc
-    return out.astype("<u4", copy=False), frame, crc
+    return out, frame, crc
 
 
 class _Writer:
@@ -231,11 +232,12 @@ class _Writer:
         self.system, self.name = system, f"{base}/{uuid.uuid4().hex}.records"
         self.out, self.rows, self.docs, self.tokens, self.size = system.open_output_stream(self.name), [], 0, 0, 0
 
-    def add(self, doc_ids: np.ndarray, null: np.ndarray, words: np.ndarray, many: np.ndarray) -> None:
-        raw, frame, crc = framed(doc_ids, null, words, many)
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
+        raw, frame, crc = framed(doc_ids, null, ids, many)
         index = np.zeros(len(many), INDEX)
         index["offset"] = self.size + 4 * (np.cumsum(frame) - frame)
-        index["length"], index["doc_id"], index["null"], index["crc"] = 4 * (many + HEAD), doc_ids, null, crc
+        index["length"], index["doc_id"], index["null"], index["crc"] = 4 * (frame - BEFORE - BEHIND), doc_ids, null, crc
+        index["many"], index["width"] = many, ids.itemsize
         index["first"] = self.tokens + np.cumsum(many) - many
         self.out.write(raw.tobytes())
         self.rows.append(index.tobytes())
@@ -260,6 +262,13 @@ def ranges(docs: DataFrame, partitions: int) -> tuple[int, np.ndarray]:
     return nulls, np.array(bounds or [], np.int64)
 
 
+def width_of(tokenizer: str) -> int:
+    """Bytes of an id."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
 _MADE = "part int, number int, path string, docs long, tokens long, bytes long"
 
 
@@ -275,13 +284,14 @@ def write(docs: DataFrame, directory: str, tokenizer: str, partitions: int | Non
     ship(spark)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     nulls, bounds = ranges(docs, partitions)
+    width = width_of(tokenizer)
 
     def tokenized(batches: Iterator[pa.RecordBatch]):
         tokenize, turn = tokenizer_of(tokenizer), 0
         for b in sliced(batches, SLICE):
             many, ids = tokenize(b.column("text"))
-            ids = np.insert(ids, np.cumsum(many), END).astype("<u4", copy=False)
-            ends = np.append(0, 4 * np.cumsum(many + 1))
+            ids = np.insert(ids, np.cumsum(many), END).astype(f"<u{width}", copy=False)
+            ends = np.append(0, width * np.cumsum(many + 1))
             doc_id = b.column("doc_id")
             null = doc_id.is_null().to_numpy(zero_copy_only=False)
             k = doc_id.fill_null(0).to_numpy()
@@ -306,12 +316,12 @@ def write(docs: DataFrame, directory: str, tokenizer: str, partitions: int | Non
                 part = b.column("part")[0].as_py()
                 doc_id, ids = b.column("doc_id"), b.column("ids").cast(pa.large_binary())
                 offsets = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset : ids.offset + len(ids) + 1]
-                words = np.frombuffer(ids.buffers()[2], "<u4")[offsets[0] // 4 : offsets[-1] // 4]
+                own = np.frombuffer(ids.buffers()[2], f"<u{width}")[offsets[0] // width : offsets[-1] // width]
                 if out is not None and out.size + offsets[-1] - offsets[0] > most:
                     yield closed()
                     out, number = None, number + 1
                 out = out or _Writer(system, base)
-                out.add(doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), words, np.diff(offsets) // 4)
+                out.add(doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), own, np.diff(offsets) // width)
         if out is not None:
             yield closed()
 
@@ -347,13 +357,14 @@ def checked(raw: bytes, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _records(words: np.ndarray, starts: np.ndarray, index: np.ndarray, start: np.ndarray, digest: bool) -> pa.RecordBatch:
-    many = index["length"] // 4 - HEAD
+    """index: of one width of ids."""
+    many, width = words[starts + 6].astype(np.int64), int(index["width"][0])
     doc_id = np.ascontiguousarray(np.stack([words[starts + 3], words[starts + 4]], 1)).view("<i8").ravel()
-    null = words[starts + 5] == 1
-    at = np.repeat(starts + BEFORE + HEAD - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    ids, ends = words[at], 4 * np.cumsum(many)
+    null = (words[starts + 5] & 0xFFFF) == 1
+    at = np.repeat(4 // width * (starts + BEFORE + HEAD) - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    ids, ends = words.view(f"<u{width}")[at].astype("<u4"), 4 * np.cumsum(many)
     if digest:
-        raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+        raw = memoryview(ids).cast("B")
         last = pa.array([zlib.crc32(raw[x:y]) for x, y in zip((ends - 4 * many).tolist(), ends.tolist(), strict=True)], pa.int64())
     else:
         last = pa.Array.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(np.append(0, ends).astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
@@ -389,7 +400,7 @@ def read(spark: SparkSession, directory: str, digest: bool = False) -> DataFrame
 
 
 def index(spark: SparkSession, directory: str) -> DataFrame:
-    """path, offset, length, doc_id, start of each record, from the indexes alone."""
+    """path, offset, length, doc_id, start, many, width and crc of each record, from the indexes alone."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -399,11 +410,11 @@ def index(spark: SparkSession, directory: str) -> DataFrame:
                 own = np.frombuffer(f.read(), INDEX)
             path = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(own), np.int32)), pa.array([row["path"]])).cast(pa.string())
             columns = [path, *(pa.array(np.ascontiguousarray(own[c]), pa.int64()) for c in ("offset", "length"))]
-            columns += [pa.array(own["doc_id"], pa.int64(), mask=own["null"] == 1), pa.array(row["start"] + own["first"], pa.int64()), pa.array(own["crc"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "offset", "length", "doc_id", "start", "crc"])
+            columns += [pa.array(own["doc_id"], pa.int64(), mask=own["null"] == 1), pa.array(row["start"] + own["first"], pa.int64()), *(pa.array(own[c].astype(np.int64)) for c in ("many", "width", "crc"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "offset", "length", "doc_id", "start", "many", "width", "crc"])
 
     named = manifest(spark, directory).select("path", "start")
-    kinds = "path string, offset long, length long, doc_id long, start long, crc long"
+    kinds = "path string, offset long, length long, doc_id long, start long, many long, width long, crc long"
     return named.repartition(max(1, min(named.count(), TASKS))).mapInArrow(tidied(run), kinds)
 
 
@@ -434,7 +445,8 @@ def shuffled(spark: SparkSession, directory: str, seed: int = 0, partitions: int
                 if f is not None:
                     f.close()
                 at = np.zeros(len(paths), INDEX)
-                at["length"], at["crc"], at["doc_id"] = lengths, own.column("crc").to_numpy(), own.column("doc_id").fill_null(0).to_numpy()
+                at["length"], at["doc_id"] = lengths, own.column("doc_id").fill_null(0).to_numpy()
+                at["crc"], at["width"] = own.column("crc").to_numpy(), own.column("width").to_numpy()
                 words, starts = checked(b"".join(raw), at)
                 yield _records(words, starts, at, own.column("start").to_numpy(), False)
 

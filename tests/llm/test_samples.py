@@ -194,8 +194,10 @@ def read_records(path):
         assert c == plain_masked(raw[at : at + 8])
         body = raw[at + 12 : at + 12 + n]
         assert struct.unpack("<I", raw[at + 12 + n : at + 16 + n])[0] == plain_masked(body)
-        doc_id, null = struct.unpack("<qI", body[:12])
-        out.append((at, n, None if null else doc_id, body[12:]))
+        doc_id, null, width, many = struct.unpack("<qHHI", body[:16])
+        ids = np.frombuffer(body[16 : 16 + many * width], f"<u{width}").astype("<u4").tobytes()
+        out.append((at, n, None if null else doc_id, ids))
+        assert n == 16 + -(-many * width // 4) * 4
         at += 16 + n
     return out
 
@@ -226,6 +228,16 @@ def test_records(spark, monkeypatch):
     assert len({r.path for r in records.index(spark, at).filter("doc_id = 7").collect()}) > 1
 
 
+def test_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(records, "width_of", lambda _: 4)
+    at = scratch(spark, "records")
+    docs = spark.createDataFrame([(k, f"text {k}" * k) for k in range(5)], "doc_id long, text string")
+    (made,) = records.write(docs, at, BYTES, partitions=1).collect()
+    want = [np.array([*Tokenizer.from_file(BYTES).encode(f"text {k}" * k, add_special_tokens=False).ids, 0], "<u4").tobytes() for k in range(5)]
+    assert [x[3] for x in read_records(made.path)] == want
+    assert [bytes(r.ids) for r in records.read(spark, at).orderBy("start").collect()] == [bytes(r.ids) for r in records.shuffled(spark, at).orderBy("start").collect()] == want
+
+
 def test_damaged_records(spark):
     at = scratch(spark, "records")
     (row,) = records.write(spark.createDataFrame([(k, f"text {k}") for k in range(5)], "doc_id long, text string"), at, BYTES, partitions=1).collect()
