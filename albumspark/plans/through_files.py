@@ -242,13 +242,29 @@ def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '/a/' || o_orderkey AS original FROM orders WHERE o_orderkey % 10 > 1 AND o_orderkey % 4 <> 0")
 def manifest_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of restored files go, and what is left is written anew and read."""
+    """Entries of restored files go, and what is left is published in place of the log and read."""
     gone = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.concat(F.lit("/a/"), F.col("o_orderkey").cast("string")).alias("original"))
     at = _folder(spark, "manifest")
-    sinks.append_manifest(sinks.without_entries(_manifest(spark, sf_dir), gone.union(spark.createDataFrame([("/a/x",)], "original string"))), at)
+    sinks.append_manifest(_manifest(spark, sf_dir), at)
+    sinks.remove_entries(spark, at, gone.union(spark.createDataFrame([("/a/x",)], "original string")))
     return files.manifest(spark, at).select("original")
 
 
+@query("""
+SELECT o_orderkey AS original, CASE WHEN o_orderkey % 7 = 0 THEN 'last' WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END || o_orderkey AS moved_to
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 2 = 0
+""")
+def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files went last: of a small, a larger and again a smaller append, the last that moved a file, and there its last
+    line."""
+    at, k = _folder(spark, "manifest"), F.col("o_orderkey")
+    for n, target in ((3, "old"), (2, "new"), (7, "first then last")):
+        own = table(spark, sf_dir, "orders").filter(k % n == 0).select(k.cast("string").alias("original"), F.posexplode(F.split(F.lit(target), " then ")).alias("pos", "to"), k)
+        own = own.select("original", F.concat("to", "original").alias("moved_to"), F.current_timestamp().alias("ts"), "pos", "o_orderkey")
+        sinks.append_manifest(own.orderBy("pos", "o_orderkey"), at)
+    return moves.latest_moves(files.manifest(spark, at)).select(F.col("original").cast("long").alias("original"), "moved_to")
+
+
 @query("""
 SELECT o_orderkey AS original, CASE WHEN o_orderkey % 3 = 0 THEN 'original exists' WHEN o_orderkey % 5 = 0 THEN 'moved file is gone' END AS refused FROM orders
 """)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from albumspark.sources import journal
 from albumspark.sources.tree import scan  # noqa: F401  (one of this module's sources)
 
 METADATA = T.StructType([
@@ -109,10 +110,14 @@ def fix_inputs(meta: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """original, moved_to, ts, line_no of a JSON-lines log; blank and malformed lines go."""
-    rows = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())  # in file order, before any shuffle
+    """original, moved_to, ts, line_no of a log of moves: one of commits, or JSON-lines files, in which blank and malformed
+    lines go. line_no compares as the log is ordered; files are ordered by time, then name."""
+    if journal.is_log(spark, path):
+        return journal.read(spark, path)
+    order = ("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    rows = spark.read.text(path).select("value", *[F.col(c) for c in order], F.monotonically_increasing_id().alias("line"))  # ascends in a block
     rows = rows.withColumn("r", F.from_json("value", MANIFEST)).filter("r.original IS NOT NULL AND r.moved_to IS NOT NULL")
-    return rows.select("r.*", "line_no")
+    return rows.select("r.*", F.struct("file_modification_time", "file_path", "file_block_start", "line").alias("line_no"))
 
 
 def landmarks(spark: SparkSession, path: str) -> DataFrame:

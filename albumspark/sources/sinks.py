@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumspark.functions.text import sidecar
+from albumspark.sources import files, journal
 
 # Groups that a sidecar cannot hold, and the fields that clearing empties.
 NOT_XMP = ("IPTC:", "EXIF:", "QuickTime:", "MakerNotes:", "File:")
@@ -106,7 +107,7 @@ def consolidated(rows: DataFrame, version: str, model: str = "") -> DataFrame:
     """
     from albumspark.functions.vectors import encoded
     from albumspark.operators.ocr import OCR_ROLE, rounded
-    from albumspark.operators.tags import fan_out, location_fan_out
+    from albumspark.operators.tags import changes_of, location_changes
 
     have, none = set(rows.columns), F.array().cast("array<string>")
     filled = {c: F.size(F.coalesce(F.col(c), none)) > 0 for c in ("tags", "ocr_text") if c in have}
@@ -115,48 +116,56 @@ def consolidated(rows: DataFrame, version: str, model: str = "") -> DataFrame:
     something = F.lit(False)
     for c in filled.values():
         something = something | c
-    rows = rows.filter(something)
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    parts: list[tuple[DataFrame, int]] = []
+    change = lambda field, op, value: F.struct(field.alias("field"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+    parts: list[Column] = []
 
-    def each(column: str, field: str, op: str, at: int) -> None:
-        parts.append((rows.select("path", F.explode(column).alias("value")).select("path", F.lit(field).alias("field"), F.lit(op).alias("op"), "value"), at))
+    def put(at: int, made: Column, where: Column | None = None) -> None:
+        """Changes (field, op, value) at a place in the order, of rows where something is filled."""
+        made = F.transform(made, lambda m: F.struct(m["field"].alias("field"), m["op"].alias("op"), m["value"].alias("value"), F.lit(at).alias("op_seq")))
+        parts.append(made if where is None else F.when(where, made).otherwise(F.slice(made, 1, 0)))
 
-    def one(field: str, value, at: int, where=None) -> None:
-        own = rows if where is None else rows.filter(where)
-        parts.append((own.select("path", F.lit(field).alias("field"), F.lit("=").alias("op"), value.alias("value")), at))
+    def one(at: int, field: str, value: Column, where: Column | None = None) -> None:
+        put(at, F.array(change(F.lit(field), "=", value)), where)
+
+    def each(at: int, column: str, field: str) -> None:
+        put(at, F.transform(F.coalesce(F.col(column), none), lambda v: change(F.lit(field), "+=", v)))
 
     if "tags" in have:
-        parts.append((fan_out(rows.select("path", F.explode("tags").alias("tag"))), 0))
+        put(0, F.flatten(F.transform(F.coalesce(F.col("tags"), none), lambda t: changes_of(t))))
     if "location" in have:
-        parts.append((location_fan_out(rows.select("path", F.col("location").alias("parts"))), 1))
+        put(1, location_changes(F.coalesce(F.col("location"), F.create_map().cast("map<string,string>"))))
     if "people" in have:
-        one("XMP-iptcExt:PersonInImage", F.lit(""), 2, filled["people"])
-        each("people", "XMP-iptcExt:PersonInImage", "+=", 3)
-    one("XMP-album:TaggerVersion", F.lit(version), 4)
-    one("XMP-album:TaggedAt", now, 4)
+        one(2, "XMP-iptcExt:PersonInImage", F.lit(""), filled["people"])
+        each(3, "people", "XMP-iptcExt:PersonInImage")
+    one(4, "XMP-album:TaggerVersion", F.lit(version))
+    one(4, "XMP-album:TaggedAt", now)
     if "fields" in have:
-        own = rows.select("path", F.explode("fields").alias("k", "value"))
-        parts.append((own.select("path", F.concat(F.lit("XMP-album:"), "k").alias("field"), F.lit("=").alias("op"), "value"), 5))
+        entries = F.map_entries(F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>")))
+        put(5, F.transform(entries, lambda e: change(F.concat(F.lit("XMP-album:"), e["key"]), "=", e["value"])))
     if "ocr_ran" in have:
-        one("XMP-album:OCRRan", now, 6, filled["ocr_ran"])
+        one(6, "XMP-album:OCRRan", now, filled["ocr_ran"])
     if "vec" in have:
-        one("XMP-album:ClipEmbedding", encoded(F.col("vec")), 7, filled["vec"])
+        rows = rows.withColumn("vec", encoded(F.col("vec")))
+        one(7, "XMP-album:ClipEmbedding", F.col("vec"), filled["vec"])
         if model:
-            one("XMP-album:ClipModel", F.lit(model), 7, filled["vec"])
+            one(7, "XMP-album:ClipModel", F.lit(model), filled["vec"])
     if "ocr_text" in have:
-        one("XMP-album:OCRText", F.lit(""), 8, filled["ocr_text"])
-        each("ocr_text", "XMP-album:OCRText", "+=", 9)
+        one(8, "XMP-album:OCRText", F.lit(""), filled["ocr_text"])
+        each(9, "ocr_text", "XMP-album:OCRText")
     if "ocr_regions" in have:
-        box = rounded(F.col("r"))
-        region = F.struct(
-            F.col("r.text").alias("Name"), F.array(F.struct(F.array(F.lit(OCR_ROLE)).alias("Identifier"), F.lit("annotated text").alias("Name"))).alias("RRole"),
-            F.struct(F.lit("rectangle").alias("RbShape"), F.lit("relative").alias("RbUnit"), *[box[c].alias(f"Rb{c.upper()}") for c in "xywh"]).alias("RegionBoundary"),
-        )
-        own = rows.select("path", F.explode("ocr_regions").alias("r"))
-        parts.append((own.select("path", F.lit("XMP-iptcExt:ImageRegion").alias("field"), F.lit("+=").alias("op"), F.to_json(region).alias("value")), 10))
-    made = [part.withColumn("op_seq", F.lit(at)) for part, at in parts]
-    return reduce(DataFrame.unionByName, made)
+
+        def region(r: Column) -> Column:
+            box = rounded(r)
+            whole = F.struct(
+                r["text"].alias("Name"), F.array(F.struct(F.array(F.lit(OCR_ROLE)).alias("Identifier"), F.lit("annotated text").alias("Name"))).alias("RRole"),
+                F.struct(F.lit("rectangle").alias("RbShape"), F.lit("relative").alias("RbUnit"), *[box[c].alias(f"Rb{c.upper()}") for c in "xywh"]).alias("RegionBoundary"),
+            )
+            return change(F.lit("XMP-iptcExt:ImageRegion"), "+=", F.to_json(whole))
+
+        own = F.transform(F.col("ocr_regions"), region)
+        put(10, F.coalesce(own, F.slice(F.array(change(F.lit(""), "", F.lit(""))), 1, 0)))
+    return rows.filter(something).select("path", F.inline(F.concat(*parts)))
 
 
 def save_landmarks(landmarks: DataFrame, path: str) -> None:
@@ -169,9 +178,13 @@ def write(mutations: DataFrame, path: str) -> None:
 
 
 def append_manifest(moves: DataFrame, path: str) -> None:
-    moves.select("original", "moved_to", "ts").write.mode("append").json(path)
+    """Add moves (original, moved_to, ts) to the log, as one commit. A log of plain files becomes one of commits first."""
+    spark = moves.sparkSession
+    if not journal.is_log(spark, path) and journal.exists(spark, path):
+        journal.append(files.manifest(spark, path).orderBy("line_no"), path)
+    journal.append(moves, path)
 
 
-def without_entries(manifest: DataFrame, originals: DataFrame) -> DataFrame:
-    """The log without these originals; write it to a new place."""
-    return manifest.join(originals.select("original").distinct(), "original", "left_anti")
+def remove_entries(spark: SparkSession, path: str, originals: DataFrame) -> None:
+    """Drop the entries of these originals from the log; a log without entries goes."""
+    journal.without(spark, path, originals)

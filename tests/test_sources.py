@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from albumspark import cli
-from albumspark.sources import files, plugins, sinks, tree
+from albumspark.operators import moves
+from albumspark.sources import files, journal, plugins, sinks, tree
 from albumspark.streaming import watch
 
 
@@ -98,14 +99,96 @@ def test_metadata(spark, tmp_path):
 
 
 def test_manifest_round_trip(spark, tmp_path):
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "0.json").write_text('{"original": "/a", "moved_to": "/d/a", "ts": "2024-01-01T00:00:00Z"}\n\nbroken\n')
-    log = files.manifest(spark, str(tmp_path / "log"))
+    at = str(tmp_path / "log")
+    touch(tmp_path / "log" / "0.json", b'{"original": "/a", "moved_to": "/d/a", "ts": "2024-01-01T00:00:00Z"}\n\nbroken\n')
+    log = files.manifest(spark, at)
     assert [(r.original, r.moved_to) for r in log.collect()] == [("/a", "/d/a")]
-    sinks.append_manifest(log.withColumn("original", F.lit("/b")), str(tmp_path / "log"))
-    assert sorted(r.original for r in files.manifest(spark, str(tmp_path / "log")).collect()) == ["/a", "/b"]
-    left = sinks.without_entries(log, spark.createDataFrame([("/a",)], "original string"))
-    assert left.count() == 0
+    sinks.append_manifest(log.withColumn("original", F.lit("/b")), at)
+    assert sorted(r.original for r in files.manifest(spark, at).collect()) == ["/a", "/b"]
+    sinks.remove_entries(spark, at, spark.createDataFrame([("/a",)], "original string"))
+    assert [r.original for r in files.manifest(spark, at).collect()] == ["/b"]
+    sinks.remove_entries(spark, at, spark.createDataFrame([("/b",)], "original string"))
+    assert not (tmp_path / "log").exists()
+    sinks.remove_entries(spark, at, spark.createDataFrame([("/b",)], "original string"))
+
+
+MOVE = "original string, moved_to string, ts timestamp"
+
+
+def moved(spark, *pairs):
+    return spark.createDataFrame([(a, b, None) for a, b in pairs], MOVE)
+
+
+def last_moves(spark, at):
+    return {r.original: r.moved_to for r in moves.latest_moves(files.manifest(spark, at)).collect()}
+
+
+def test_the_last_line_wins(spark, tmp_path):
+    """Whatever the sizes of files and commits, in plain files as in a log."""
+    plain = tmp_path / "plain"
+    line = lambda a, b: json.dumps({"original": a, "moved_to": b, "ts": None})
+    touch(plain / "b.json", (line("/x", "OLD") + "\n" + line("/y", "1") + "\n" + line("/y", "2")).encode(), 1000)
+    touch(plain / "a.json", "\n".join([line("/x", "NEW"), *(line(f"/{k}", "z" * 50) for k in range(3000))]).encode(), 2000)
+    found = last_moves(spark, str(plain))
+    assert (found["/x"], found["/y"], len(found)) == ("NEW", "2", 3002)
+    at = str(tmp_path / "log")
+    sinks.append_manifest(moved(spark, ("/x", "OLD"), ("/y", "1"), ("/y", "2")), at)
+    sinks.append_manifest(moved(spark, ("/x", "NEW"), *((f"/{k}", "z" * 50) for k in range(3000))), at)
+    assert last_moves(spark, at) == found
+    sinks.append_manifest(moved(spark, ("/x", "LAST")), at)
+    assert last_moves(spark, at)["/x"] == "LAST"
+
+
+def test_a_rewrite_that_dies_leaves_the_log(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "log")
+    journal.append(moved(spark, ("/a", "1"), ("/b", "2")), at)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(journal, "_publish", dies)
+        for write in (lambda: journal.append(moved(spark, ("/c", "3")), at), lambda: journal.rewrite(spark, at, lambda rows: rows.limit(1))):
+            with pytest.raises(RuntimeError):
+                write()
+    assert last_moves(spark, at) == {"/a": "1", "/b": "2"}
+    with pytest.raises(Exception, match="broken"):
+        journal.rewrite(spark, at, lambda rows: rows.withColumn("ts", F.raise_error(F.lit("broken"))))
+    assert last_moves(spark, at) == {"/a": "1", "/b": "2"}
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A number is published once: the second append takes the next, the second rewrite begins anew."""
+    at = str(tmp_path / "log")
+    journal.append(moved(spark, ("/a", "1")), at)
+    with pytest.raises(journal.Taken):
+        journal._publish(spark, at, 1, None, True)
+    publish, others = journal._publish, []
+
+    def late(session, path, *rest):
+        if others:
+            journal_append = others.pop()
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(journal, "_publish", publish)
+                journal_append()
+        publish(session, path, *rest)
+
+    monkeypatch.setattr(journal, "_publish", late)
+    others.append(lambda: journal.append(moved(spark, ("/b", "2")), at))
+    assert journal.append(moved(spark, ("/b", "3")), at) == 3
+    others.append(lambda: journal.append(moved(spark, ("/c", "4")), at))
+    journal.without(spark, at, spark.createDataFrame([("/a",)], "original string"))
+    assert last_moves(spark, at) == {"/b": "3", "/c": "4"}
+
+
+def test_a_long_log_is_made_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "COMPACT", 3)
+    at = str(tmp_path / "log")
+    for k in range(9):
+        journal.append(moved(spark, ("/a", str(k)), (f"/{k}", "x")), at)
+    assert journal.append(moved(spark).limit(0), at) is None
+    assert last_moves(spark, at) == {"/a": "8"} | {f"/{k}": "x" for k in range(9)}
+    assert len(list((tmp_path / "log" / "data").iterdir())) <= 4
 
 
 def test_landmarks_and_mapping(spark, tmp_path):
