@@ -67,3 +67,12 @@ def from_sources(name: Column, mtime: Column, sources: list[str]) -> Column:
         raise ValueError(f"unknown date sources: {sorted(unknown)}")
     made = {"filename": name_date(name), "mtime": F.when(mtime.isNotNull(), F.struct(mtime.cast("timestamp_ntz").alias("ts"), F.lit("mtime").alias("label")))}
     return F.coalesce(*[made[s] for s in sources])
+
+
+def micros(ts: Column, zoneless: bool = True) -> Column:
+    """Microseconds from a fixed origin. Of a time without zone, those of a calendar in which every day has 24 hours; the
+    session's zone plays no part."""
+    if not zoneless:
+        return F.unix_micros(ts)
+    day = F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000
+    return day + (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.date_part(F.lit("SECONDS"), ts) * 1_000_000).cast("long")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from albumspark.functions.temporal import micros
 
 
 def nearest(rows: DataFrame, tolerance_s: int = 1800) -> DataFrame:
@@ -11,12 +14,14 @@ def nearest(rows: DataFrame, tolerance_s: int = 1800) -> DataFrame:
 
     Rows with coordinates keep them, gap null. Others take those of the nearest located row in time, the earlier on a
     tie, if it is within the tolerance. Of located rows at one time, the last counts from later rows and the first
-    from rows at that time or before it, in the order of seq. Null times find nothing.
+    from rows at that time or before it, in the order of seq. Null times find nothing. Times without zone are subtracted as
+    they stand, whatever the session's zone.
 
     Time is cut into buckets of the tolerance; a located row also stands in the buckets beside its own, so every
     window is over one bucket and nothing is sorted globally. A bucket keeps one anchor a timestamp.
     """
-    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(max(1, tolerance_s) * 1_000_000))
+    at_micros = lambda c: micros(F.col(c), isinstance(rows.schema["ts"].dataType, T.TimestampNTZType))
+    bucket = F.floor(at_micros("ts") / F.lit(max(1, tolerance_s) * 1_000_000))
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     at = F.struct("lat", "lon")
     anchors = rows.filter(located & F.col("ts").isNotNull()).groupBy("ts").agg(F.min_by(at, "seq").alias("first"), F.max_by(at, "seq").alias("last"))
@@ -30,7 +35,7 @@ def nearest(rows: DataFrame, tolerance_s: int = 1800) -> DataFrame:
         value = F.when(F.col("kind") == 1, F.struct(F.col("ts").alias("ts"), F.col(column).alias("at")))
         return (F.last_value if column == "last" else F.first_value)(value, F.lit(True)).over(frame)
 
-    gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    gap = lambda c: F.abs(at_micros(f"{c}.ts") - at_micros("ts")) / 1e6
     found = both.withColumns({"b": side("last", before), "a": side("first", after)}).filter("kind = 0")
     found = found.select("seq", "ts", F.col("b.at").alias("b_at"), gap("b").alias("b_gap"), F.col("a.at").alias("a_at"), gap("a").alias("a_gap"))
     earlier = F.col("a_gap").isNull() | (F.col("b_gap") <= F.col("a_gap"))

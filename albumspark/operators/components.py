@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +64,46 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return made.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these links, and the least node that each can reach."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for x, y in ends.reshape(2, -1).T.tolist():
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for k, x in enumerate(root):  # a root comes before what points at it
+        root[k] = root[x]
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]):
+        found = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if found:
+            node, component = joined(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(component, pa.int64())], names=["node", "component"])
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, most: int = 50, small: int = 0) -> DataFrame:
     """edges (a, b), long -> node, component: the least node reachable. Self-links and repeats do no harm.
 
     Each round is cut by a checkpoint in the shared folder, and the one before it is let go. Few edges go into few
     partitions. It ends once the edges are stars on their least nodes, after some log^2 of the longest path in rounds at
-    most, in practice fewer than log; over `most` rounds, which no table has taken, it raises an error.
+    most, in practice fewer than log; over `most` rounds, which no table has taken, it raises an error. At most `small`
+    edges, if there are no more, are joined in one task instead.
     """
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     edges = checkpointed(edges.filter("a <> b").select(*ordered).distinct())
-    parts = max(1, -(-edges.count() // EDGES))
+    n = edges.count()
+    if n <= small:
+        return _in_one_task(edges)
+    parts = max(1, -(-n // EDGES))
     for _ in range(most):
         large = _large_star(edges).select(*ordered).distinct()
         new = checkpointed(_small_star(large).select(*ordered).distinct().coalesce(parts))

@@ -123,15 +123,16 @@ def planned_names(files: DataFrame, dest: str, taken: DataFrame) -> DataFrame:
     return one.unionByName(rest.select("path", F.concat(prefix, "new").alias("moved_to")))
 
 
-def common_ancestor(paths: DataFrame) -> DataFrame:
-    """ancestor: the directory of the first path, shortened until it is a prefix of all, as text.
+def common_ancestor(paths: DataFrame, order: str = "path", *by: str) -> DataFrame:
+    """ancestor, of all paths or for each value of the columns `by`: the directory of the first path, shortened folder by folder until it is a prefix of all paths' directories,
+    as text: /a/b is one of /a/bc, and which path is first decides between them.
 
-    The longest common prefix of all directories is that of the least and the greatest.
+    The longest common text of all directories is that of the least and the greatest.
     """
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    ends = paths.agg(F.min(folder).alias("a"), F.max(folder).alias("b"))
+    ends = paths.groupBy(*by).agg(F.min(folder).alias("a"), F.max(folder).alias("b"), F.min_by(folder, F.struct(order, "path") if order != "path" else F.col("path")).alias("first"))
     n = F.least(F.length("a"), F.length("b"))
     same = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("a"), F.lit(1), k) == F.substring(F.col("b"), F.lit(1), k)), False) - 1, F.lit(-1))
     shared = F.when(same < 0, F.substring(F.col("a"), F.lit(1), n)).otherwise(F.substring(F.col("a"), F.lit(1), same.cast("int")))
-    whole = (F.col("a") == shared) | F.startswith(F.substring(F.col("a"), F.length(shared) + 1, F.lit(1000000)), F.lit("/"))
-    return ends.select(F.when(whole, shared).otherwise(F.regexp_replace(shared, "/[^/]*$", "")).alias("ancestor"))
+    whole = (F.col("first") == shared) | F.startswith(F.substring(F.col("first"), F.length(shared) + 1, F.lit(1000000)), F.lit("/"))
+    return ends.select(*by, F.when(whole, shared).otherwise(F.regexp_replace(shared, "/[^/]*$", "")).alias("ancestor"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumspark.functions.geo import haversine
+from albumspark.functions.geo import EARTH_KM, haversine
 from albumspark.functions.vectors import dot
-from albumspark.operators.components import components
+from albumspark.operators.components import checkpointed
 
 KM_PER_DEGREE = 111.0
 
@@ -61,60 +64,151 @@ def ranked_in_radius(points: DataFrame, places: DataFrame, k: int = 5, radius_km
     return ranked.withColumn("best", best).select("id", "rank", "ord", "name", "score", "distance_km", "best")
 
 
-def ranked_everywhere(query: DataFrame, places: DataFrame, k: int = 10) -> DataFrame:
-    """The k places of highest inner product with one query vector (a row: vec), ties by ord."""
-    one = query.select("vec").limit(1)
-    scored = places.join(F.broadcast(one)).withColumn("score", dot(F.col("vec"), F.col("place_vec")))  # a row beside each
-    return scored.orderBy(F.desc("score"), "ord").limit(k).drop("vec", "place_vec")
+#: Queries and places of a block.
+QUERIES, PLACES = 1024, 4096
+
+
+def ranked_everywhere(queries: DataFrame, places: DataFrame, k: int = 10) -> DataFrame:
+    """query, ord, score, rank: the k places (ord, place_vec) of highest inner product with each query (query, vec), ties by
+    ord; vectors of unequal length have none.
+
+    Queries and places are packed into blocks. A block of places meets each block of queries in a matrix product, of which
+    k rows a query leave; products are added from the left.
+    """
+
+    def packed(rows: DataFrame, size: int) -> DataFrame:
+        def pack(t: pa.Table) -> pa.Table:
+            vec = t.column("vec").combine_chunks()
+            m = vec.flatten().to_numpy(zero_copy_only=False)
+            return pa.table({"d": t.column("d").slice(0, 1), "block": t.column("block").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()]), "m": pa.array([m.tobytes()])})
+
+        rows = rows.filter("vec IS NOT NULL").withColumn("d", F.size("vec"))
+        blocks = rows.groupBy("d").agg(F.ceil(F.count("*") / size).alias("blocks"))  # a row a length
+        dealt = rows.join(F.broadcast(blocks), "d").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        return dealt.groupBy("d", "block").applyInArrow(pack, "d int, block long, ids binary, m binary")
+
+    typed = lambda rows, id_, vec: rows.select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    asked = checkpointed(packed(typed(queries, "query", "vec"), QUERIES))
+    met = packed(typed(places, "ord", "place_vec"), PLACES).join(asked.select("d", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), "d")
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        for row in (r for b in batches for r in b.to_pylist()):
+            ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+            m, q = (np.frombuffer(row[c]).reshape(-1, row["d"]) for c in ("m", "q_m"))
+            sims = q @ m.T
+            least = np.partition(sims, max(0, len(ids) - k), 1)[:, max(0, len(ids) - k)]
+            i, j = np.nonzero(sims >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+            score = np.zeros(len(i))
+            for x, y in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(m.T), strict=True):
+                score += x[i] * y[j]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(score)], names=["query", "ord", "score"])
+
+    ranked = met.mapInArrow(meet, "query long, ord long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "ord"))
+    return ranked.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+log = logging.getLogger(__name__)
+
+#: Earliest points of a cell that a round looks at, and cells along a tile's edge.
+LISTED, TILE = 16, 32
+#: Rounds at most; each settles the earliest of all open points at least.
+ROUNDS = 10_000
 
 
 def leader_cache(points: DataFrame, radius_km: float = 0.5) -> DataFrame:
     """points (seq, lat, lon) with leader, the seq of the point whose answer it reuses, in the order of seq.
 
-    A point takes the first leader strictly within the radius, or becomes one; without coordinates it has none. Points
-    fall into cells of space as long as the radius, so those within it are in one cell or in cells that touch. What
-    happens in a component of touching cells depends on no other: a component is a stream of rows in order of seq, of
-    which a task keeps the leaders alone. Seqs are distinct.
+    A point takes the first leader strictly within the radius, or becomes one; without coordinates it has none. Seqs are
+    distinct. With a radius of 0 every point leads itself.
+    """
+    rows = points.select(F.col("seq").cast("long").alias("seq"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    if radius_km <= 0:
+        return rows.select("seq", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("seq")).alias("leader"))
+    placed = rows.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    led = _within(placed, leaders(placed, radius_km)[0], radius_km, "place_seq <= seq").groupBy("seq").agg(F.min("place_seq").alias("leader"))
+    return led.unionByName(rows.filter("lat IS NULL OR lon IS NULL").select("seq", F.lit(None).cast("long").alias("leader")))
+
+
+def _within(points: DataFrame, leading: DataFrame, radius_km: float, where: str) -> DataFrame:
+    """points beside each leader strictly within the radius, as place_seq."""
+    places = leading.select(F.col("seq").alias("place_seq"), F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"))
+    return radius_join(points, places, radius_km).filter((F.col("distance_km") < radius_km) & F.expr(where))
+
+
+def leaders(points: DataFrame, radius_km: float = 0.5, listed: int = LISTED, tile: int = TILE) -> tuple[DataFrame, int]:
+    """points (seq, lat, lon, none null) -> the leaders, and the number of rounds that it took.
+
+    A point leads unless an earlier leader is strictly within the radius, so it is settled once all earlier points there
+    are. Points fall into cells of space as long as the radius, and cells into tiles. In a round a task takes the earliest
+    `listed` open points of each cell of a tile, and of the cells around it, in order: one that an earlier new leader
+    covers does not lead; one that an earlier open point may yet cover, be that outside the tile or not listed, waits; any
+    other leads. Then all points that new leaders cover go. As leaders lie apart, a cell has few of them and a tile's task
+    is bounded, however many points a cell has. Chains of points that depend on each other take a round for each time that
+    they leave a tile.
     """
-    chord, x, y = F.lit(radius_km * 1.000001 / 6371.0), F.radians("lat"), F.radians("lon")
+    chord, x, y = F.lit(radius_km * 1.000001 / EARTH_KM), F.radians("lat"), F.radians("lon")
     axes = [F.cos(x) * F.cos(y), F.cos(x) * F.sin(y), F.sin(x)]
-    at = F.struct(*[F.floor(v / chord).alias(c) for v, c in zip(axes, "xyz", strict=True)])
-    rows = points.select("seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    placed = rows.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_at", at)
-    cells = placed.select("_at").distinct()
-    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(s, "xyz", strict=True)]) for s in _HALF])
-    beside = cells.select("_at", F.explode(steps).alias("d"))
-    beside = beside.select(F.col("_at").alias("a"), F.struct(*[(F.col(f"_at.{c}") + F.col(f"d.{c}")).alias(c) for c in "xyz"]).alias("_at"))
-    links = beside.join(cells, "_at").select(F.xxhash64("a").alias("a"), F.xxhash64("_at").alias("b"))
-    own = F.xxhash64("_at")  # cells that share it are one component, which does no harm
-    placed = placed.withColumn("_cell", own).drop("_at").join(components(links).toDF("_cell", "_part"), "_cell", "left").withColumn("_part", F.coalesce("_part", "_cell"))
-    ordered = placed.select("_part", "seq", "lat", "lon").repartition("_part").sortWithinPartitions("_part", "seq")
-    led = ordered.mapInArrow(lambda batches: _led(batches, radius_km), "seq long, leader long")
-    return led.unionByName(rows.filter("lat IS NULL OR lon IS NULL").select(F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("leader")))
-
-
-#: One of each two opposite neighbours of a cell.
-_HALF = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
-
-
-def _led(batches: Iterator[pa.RecordBatch], radius_km: float) -> Iterator[pa.RecordBatch]:
-    part, held = None, {}
-    step = radius_km * 1.000001 / 6371.0
-    around = list(itertools.product((-1, 0, 1), repeat=3))
-    for b in batches:
-        out = []
-        for own, seq, lat, lon in zip(*(b.column(c).to_pylist() for c in ("_part", "seq", "lat", "lon")), strict=True):
-            if own != part:
-                part, held = own, {}
-            x, y = math.radians(lat), math.radians(lon)
-            cell = tuple(math.floor(v / step) for v in (math.cos(x) * math.cos(y), math.cos(x) * math.sin(y), math.sin(x)))
-            near = []
-            for d in around:
-                for leader, a, c in held.get((cell[0] + d[0], cell[1] + d[1], cell[2] + d[2]), ()):
-                    h = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(x) * math.sin(math.radians(lon - c) / 2) ** 2
-                    if 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h))) < radius_km:
-                        near.append(leader)
-            if not near:
-                held.setdefault(cell, []).append((seq, lat, lon))
-            out.append(min(near, default=seq))
-        yield pa.RecordBatch.from_arrays([b.column("seq").cast(pa.int64()), pa.array(out, pa.int64())], names=["seq", "leader"])
+    left = checkpointed(points.select("seq", "lat", "lon", *[F.floor(v / chord).alias(c) for v, c in zip(axes, "xyz", strict=True)]))
+    found, n = [], 0
+    while not left.isEmpty():
+        n += 1
+        if n > ROUNDS:
+            raise RuntimeError(f"leaders not settled in {ROUNDS} rounds")
+        new = checkpointed(_new_leaders(left, radius_km, listed, tile))
+        found.append(new)
+        covered = _within(left, new, radius_km, "place_seq <= seq").select("seq").distinct()
+        left = checkpointed(left.join(covered, "seq", "left_anti"))
+        log.info("round %d of leaders", n)
+    return reduce(DataFrame.unionByName, found) if found else points.select("seq", "lat", "lon").limit(0), n
+
+
+def _new_leaders(left: DataFrame, radius_km: float, listed: int, tile: int) -> DataFrame:
+    by_cell = Window.partitionBy("x", "y", "z")
+    first = left.withColumn("k", F.row_number().over(by_cell.orderBy("seq"))).filter(F.col("k") <= listed)  # limited before the shuffle too
+    more = left.groupBy("x", "y", "z").agg((F.count("*") > listed).alias("more"))
+    cells = first.groupBy("x", "y", "z").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("points")).join(more, ["x", "y", "z"])
+    # Every cell goes to its own tile, and to those in whose border of one cell it lies.
+    spread = cells
+    for c in "xyz":
+        own, low, high = F.floor(F.col(c) / tile), F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)
+        spread = spread.withColumn(f"t{c}", F.explode(F.array_distinct(F.array(own, low, high))))
+
+    def run(t: pa.Table) -> pa.Table:
+        at = tuple(t.column(f"t{c}")[0].as_py() for c in "xyz")
+        rows = zip(*(t.column(c).to_pylist() for c in ("x", "y", "z", "points", "more")), strict=True)
+        return pa.Table.from_pylist(list(_led(rows, at, tile, radius_km)), _LEADER)
+
+    return spread.groupBy("tx", "ty", "tz").applyInArrow(run, "seq long, lat double, lon double")
+
+
+_LEADER = pa.schema([("seq", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64())])
+_AROUND = list(itertools.product((-1, 0, 1), repeat=3))
+
+
+def _led(cells: Iterable[tuple], at: tuple[int, int, int], tile: int, radius_km: float) -> Iterator[dict]:
+    """cells: x, y, z, their earliest points in order, and whether they have more. The points of tile `at` that lead."""
+    events, leading, waiting = [], {}, {}
+    for x, y, z, points, more in cells:
+        inside = (x // tile, y // tile, z // tile) == at
+        events += [(p["seq"], 0, p["lat"], p["lon"], (x, y, z), inside) for p in points]
+        if more:  # from here on the cell may hold open points anywhere
+            events.append((points[-1]["seq"], 1, 0.0, 0.0, (x, y, z), inside))
+    unlisted = set()
+    for seq, end, lat, lon, cell, inside in sorted(events):
+        if end:
+            unlisted.add(cell)
+            continue
+        near = [(cell[0] + a, cell[1] + b, cell[2] + c) for a, b, c in _AROUND]
+        if any(_km(lat, lon, *p) < radius_km for c in near for p in leading.get(c, ())):
+            continue
+        if not inside or any(c in unlisted for c in near) or any(_km(lat, lon, *p) < radius_km for c in near for p in waiting.get(c, ())):
+            waiting.setdefault(cell, []).append((lat, lon))
+            continue
+        leading.setdefault(cell, []).append((lat, lon))
+        yield {"seq": seq, "lat": lat, "lon": lon}
+
+
+def _km(lat: float, lon: float, a: float, b: float) -> float:
+    h = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - b) / 2) ** 2
+    return 2 * EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))

@@ -49,29 +49,43 @@ def matching(index: DataFrame, pattern: str) -> DataFrame:
 
 def without(tags: Column, *gone: str) -> Column:
     """Tags without these paths and leaves."""
-    return F.array_except(tags, F.array(*[F.lit(x) for g in gone for x in dict.fromkeys((g, g.rsplit("/", 1)[-1]))]))
+    names = [x for g in gone for x in dict.fromkeys((g, g.rsplit("/", 1)[-1]))]
+    return F.filter(tags, lambda t: ~F.coalesce(t.isin(*names), F.lit(False)))
 
 
 def renamed(tags: Column, old: str, new: str) -> Column:
     """Where the old tag or leaf stands, it goes and the new tag comes last."""
     left = without(tags, old)
-    return F.when(F.size(left) < F.size(F.array_distinct(tags)), F.array_union(left, F.array(F.lit(new)))).otherwise(tags)
+    added = F.when(F.array_contains(left, new), left).otherwise(F.array_append(left, F.lit(new)))
+    return F.when(F.size(left) < F.size(tags), added).otherwise(tags)
+
+
+def changes_of(t: Column, op: str = "+=") -> Column:
+    """Of a tag, an array of field, op, value: four fields, five for people."""
+    fields = [("IPTC:Keywords", leaf(t)), ("XMP-dc:Subject", leaf(t)), ("XMP-digiKam:TagsList", t), ("XMP-lr:HierarchicalSubject", piped(t))]
+    change = lambda f, v: F.struct(F.lit(f).alias("field"), F.lit(op).alias("op"), v.alias("value"))
+    person = F.when(t.startswith("People/"), change("XMP-iptcExt:PersonInImage", leaf(t)))
+    return F.array_compact(F.array(*[change(f, v) for f, v in fields], person))
 
 
 def fan_out(rows: DataFrame, op: str = "+=") -> DataFrame:
     """rows (path, tag) -> mutations path, field, op, value: four fields a tag, five for people."""
-    t = F.col("tag")
-    fields = [("IPTC:Keywords", leaf(t)), ("XMP-dc:Subject", leaf(t)), ("XMP-digiKam:TagsList", t), ("XMP-lr:HierarchicalSubject", piped(t))]
-    made = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields]
-    person = F.when(t.startswith("People/"), F.struct(F.lit("XMP-iptcExt:PersonInImage").alias("field"), leaf(t).alias("value")))
-    return rows.select("path", F.explode(F.array_compact(F.array(*made, person))).alias("m")).select("path", "m.field", F.lit(op).alias("op"), "m.value")
+    return rows.select("path", F.inline(changes_of(F.col("tag"), op)))
+
+
+def location_changes(parts: Column) -> Column:
+    """Of a place's parts (map<string,string>), an array of field, op, value; unknown parts are passed over."""
+    made = []
+    for part, fields in LOCATION_FIELDS.items():
+        value = F.try_element_at(parts, F.lit(part))
+        each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit("=").alias("op"), value.alias("value")) for f in fields])
+        made.append(F.when(F.map_contains_key(parts, part), each).otherwise(F.slice(each, 1, 0)))
+    return F.concat(*made)
 
 
 def location_fan_out(rows: DataFrame) -> DataFrame:
     """rows (path, parts map<string,string>) -> mutations; unknown parts are passed over."""
-    known = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*map(F.lit, v))) for k, v in LOCATION_FIELDS.items()]))
-    parts = rows.select("path", F.explode("parts").alias("part", "value"))
-    return parts.select("path", F.explode(F.try_element_at(known, F.col("part"))).alias("field"), F.lit("=").alias("op"), "value")
+    return rows.select("path", F.inline(location_changes(F.col("parts"))))
 
 
 def place_path(rows: DataFrame) -> DataFrame:

@@ -445,16 +445,15 @@ def first_query_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
-SELECT vec_id, rank, score FROM (SELECT a.vec_id, round(list_dot_product(a.v, q.v), 6) AS score, row_number() OVER (ORDER BY list_dot_product(a.v, q.v) DESC, a.vec_id)::INT AS rank FROM v a, v q WHERE q.vec_id = 0) WHERE rank <= 10
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, a.vec_id, list_dot_product(a.v, q.v) AS score FROM v a, v q WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10
 """)
 def vector_topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Queries are the rows whose id is divisible by 20, against all rows."""
     e = table(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("place_vec"))
-    best = radius.ranked_everywhere(e.filter("vec_id = 0").select(F.col("embedding").alias("vec")), rows.withColumnRenamed("place_vec", "place_vec"), 10)
-    return best.select(F.col("ord").alias("vec_id"), F.row_number().over(Window.orderBy(F.desc("score"), "ord")).alias("rank"), F.round("score", 6).alias("score"))
+    best = radius.ranked_everywhere(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("place_vec")), 10)
+    return best.select(F.col("query").alias("query_id"), F.col("ord").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -703,6 +702,25 @@ def region_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.region_pools(rows, rows.filter("p_size > 40 AND region <> 'Asia'"), 300)
 
 
+_ROOTED = "SELECT o_custkey AS root, o_orderkey AS k, '/r' || (o_custkey % 10) || '/ab' || (['', 'c', '/c', 'cd'])[o_orderkey % 4 + 1] || '/f' || o_orderkey AS path FROM orders"
+
+
+@query(f"""
+WITH RECURSIVE f AS (SELECT root, k, regexp_replace(path, '/[^/]*$', '') AS d FROM ({_ROOTED})),
+a AS (
+  SELECT root, arg_min(d, k) AS a FROM f GROUP BY root
+  UNION ALL SELECT root, regexp_replace(a, '/[^/]*$', '') FROM a WHERE a <> ''),
+g AS (SELECT a.root, a.a FROM a WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.root = a.root AND NOT starts_with(f.d, a.a)))
+SELECT root, arg_max(a, length(a)) AS ancestor FROM g GROUP BY root
+""")
+def common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestor of each customer's files, in the order of their keys; folders are text prefixes of others."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    below = F.element_at(F.array(*map(F.lit, ("", "c", "/c", "cd"))), (k % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(c.alias("root"), k.alias("k"), F.concat(F.lit("/r"), (c % 10).cast("string"), F.lit("/ab"), below, F.lit("/f"), k.cast("string")).alias("path"))
+    return moves.common_ancestor(rows, "k", "root")
+
+
 @query(f"""
 WITH f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM ({_FILES})), m AS (SELECT string_split(min(d), '/') AS parts FROM f),
 p AS (SELECT array_to_string(parts[1:k], '/') AS a FROM m, range(1, 9) t(k))

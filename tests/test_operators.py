@@ -250,21 +250,206 @@ def test_names_that_look_like_suffixed_ones(spark):
     assert moves.planned_names(three.limit(0), "/d", none).count() == 0
 
 
-@pytest.mark.parametrize("r", [0.5, 400.0])
-def test_leaders_are_exact(spark, r):
-    """Spots, lines, the poles and the date line, against one point after another."""
-    rnd, rows = random.Random(6), []
-    for k in range(300):
-        lat, lon = rnd.choice([(0.0, 0.0), (45.0, 179.999), (89.99, 10.0), (-33.0, 151.0)])
-        rows.append((k * 3, max(-90.0, min(90.0, lat + rnd.uniform(-2, 2) * r / 111)), (lon + rnd.uniform(-3, 3) * r / 111 + 180) % 360 - 180))
+def plain_leaders(rows, r):
     leaders, want = [], {}
-    for seq, lat, lon in rows:
+    for seq, lat, lon in sorted(rows):
         near = [s for s, a, b in leaders if km(a, b, lat, lon) < r]
         want[seq] = near[0] if near else seq
         if not near:
             leaders.append((seq, lat, lon))
+    return want
+
+
+def spots(r):
+    rnd = random.Random(6)
+    for k in range(300):
+        lat, lon = rnd.choice([(0.0, 0.0), (45.0, 179.999), (89.99, 10.0), (-33.0, 151.0)])
+        yield k * 3, max(-90.0, min(90.0, lat + rnd.uniform(-2, 2) * r / 111)), (lon + rnd.uniform(-3, 3) * r / 111 + 180) % 360 - 180
+
+
+def chain(r):
+    """A track: each point is covered by the one before, if that leads."""
+    for k in range(400):
+        yield k, 10 + k * 0.6 * r / 111.2, 20.0
+
+
+def city(r):
+    """Many points in a few cells, copies among them, and a track through them."""
+    rnd = random.Random(7)
+    for k in range(700):
+        yield (k, 45.0, 7.0) if k % 5 == 0 else (k, 45 + rnd.uniform(-1, 1) * 2 * r / 111, 7 + rnd.uniform(-1, 1) * 2 * r / 111)
+    for k in range(40):
+        yield 1000 - k, 45 + (k - 20) * 0.3 * r / 111, 7.0
+
+
+@pytest.mark.parametrize(("rows", "r", "listed", "tile"), [(spots, 0.5, 16, 32), (spots, 400.0, 2, 2), (chain, 0.5, 16, 32), (chain, 0.5, 4, 8), (city, 0.5, 16, 32), (city, 0.5, 2, 2), (city, 300.0, 3, 1)])
+def test_leaders_are_exact(spark, rows, r, listed, tile):
+    """Spots, the poles and the date line, tracks and cities, against one point after another."""
+    rows = list(rows(r))
+    random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "seq long, lat double, lon double").repartition(5)
-    assert {x.seq: x.leader for x in radius.leader_cache(df, r).collect()} == want
+    want = plain_leaders(rows, r)
+    found, rounds = radius.leaders(df, r, listed, tile)
+    assert {x.seq for x in found.collect()} == {k for k, v in want.items() if k == v}
+    assert rounds <= 60
+    if (listed, tile) == (16, 32):
+        assert {x.seq: x.leader for x in radius.leader_cache(df, r).collect()} == want
+
+
+def test_leaders_take_few_rounds(spark):
+    """A track over many tiles takes a round a tile, not one a point; without a radius all points lead."""
+    rows = list(chain(0.5))
+    assert radius.leaders(spark.createDataFrame(rows, "seq long, lat double, lon double"), 0.5)[1] <= 12
+    none = radius.leader_cache(spark.createDataFrame([*rows[:2], (9, None, 1.0)], "seq long, lat double, lon double"), 0)
+    assert {x.seq: x.leader for x in none.collect()} == {0: 0, 1: 1, 9: None}
+    assert radius.leader_cache(none.limit(0).selectExpr("seq", "0.0D lat", "0.0D lon")).collect() == []
+
+
+def plain_pairs(rows, threshold):
+    out = {}
+    for i, (a, _, u) in enumerate(rows):
+        for b, _, v in rows[:i]:
+            if u and v and len(u) == len(v):
+                s = 0.0
+                for x, y in zip(u, v, strict=True):
+                    s += x * y
+                if s >= threshold:
+                    out[min(a, b), max(a, b)] = s
+    return out
+
+
+def plain_clusters(ids, pairs, threshold):
+    root = {k: k for k in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for (a, b), s in pairs.items():
+        if s >= threshold and a in root and b in root:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    out = {}
+    for k in ids:
+        out.setdefault(find(k), []).append(k)
+    return {k: v for k, v in out.items() if len(v) > 1}
+
+
+def plain_refined(rows, threshold, most, step=0.02, top=0.99):
+    size, pairs = {k: s for k, s, _ in rows}, plain_pairs(rows, threshold)
+    out = []
+
+    def split(members, t, name):
+        first = sorted(members, key=lambda k: (-size[k], k))[:most]
+        if len(members) <= most:
+            out.extend((k, t, name) for k in members)
+            return
+        following = round(t + step, 4)
+        inner = plain_clusters(members, pairs, following) if following < top else {}
+        if not inner:
+            out.extend((k, t, name) for k in first)
+        for name_, own in inner.items():
+            split(own, following, name_)
+
+    for name, own in plain_clusters([r[0] for r in rows], pairs, threshold).items():
+        split(own, threshold, name)
+    return sorted(out)
+
+
+def vectors(kind, seed=3, n=160):
+    """Vectors around a few directions, with copies, of unequal lengths and norms, null and empty ones, zeros and numbers
+    that are not finite."""
+    rnd = random.Random(seed)
+    out = []
+    for k in range(n):
+        d = 6 if kind != "mixed" or rnd.random() < 0.7 else rnd.choice([2, 3])
+        way = [math.cos((k % 5) * 1.3 + j) for j in range(d)]
+        v = [x + rnd.gauss(0, 0.12) for x in way]
+        if kind != "norms":
+            v = unit(*v)
+        if out and rnd.random() < 0.25:
+            v = rnd.choice(out)[2]
+        out.append((k * 7 + 1, rnd.randrange(9), v))
+    if kind == "mixed":
+        out += [(5000, 1, None), (5001, 1, []), (5002, 2, [0.0] * 6), (5003, 2, [math.nan] + [1.0] * 5), (5004, 2, [math.inf] * 6), (5005, 3, [1.0, 0.0]), (5006, 3, [1.0, 0.0]), (5007, 3, [1.0, 0.0, 0.0])]
+    rnd.shuffle(out)
+    return out
+
+
+VECTORS = "id long, size long, vec array<double>"
+
+
+@pytest.mark.parametrize("kind", ["unit", "mixed", "norms"])
+@pytest.mark.parametrize("block", [2048, 16])
+def test_similar_pairs_are_exact(spark, kind, block, monkeypatch):
+    monkeypatch.setattr(cluster, "SUMMARIES", 4)
+    rows = vectors(kind)
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    finite = [r for r in rows if r[2] and all(map(math.isfinite, r[2]))]
+    for threshold in (0.9, 0.2, -0.3):
+        want = plain_pairs(finite, threshold)
+        got = cluster._met(cluster.packed(df, block), threshold, False).collect()
+        assert {(r.a, r.b): r.sim for r in got} == want and len(got) == len(want)
+
+
+def test_block_pairs_are_skipped(spark):
+    rnd = random.Random(5)
+    ways = [unit(*[rnd.gauss(0, 1) for _ in range(16)]) for _ in range(12)]
+    df = spark.createDataFrame([(k, 1, unit(*[x + rnd.gauss(0, 0.02) for x in ways[k % 12]])) for k in range(1200)], VECTORS)
+    met, every = cluster.skipped(df, 0.9, block=50)
+    assert met > 0.5 * every > 100
+    blind, every = cluster.skipped(df, -0.9, block=50)
+    assert blind < 0.2 * every
+
+
+@pytest.mark.parametrize(("kind", "small"), [("unit", 10**6), ("mixed", 10**6), ("norms", 10**6), ("mixed", 30)])
+def test_clusters_are_exact(spark, kind, small):
+    rows = [r for r in vectors(kind, 4) if not (r[2] and not all(map(math.isfinite, r[2])))]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    pairs = plain_pairs(rows, 0.93)
+    got = cluster.clusters(df, 0.93, small).collect()
+    want = plain_clusters([r[0] for r in rows], pairs, 0.93)
+    assert {c: sorted(r.id for r in got if r.cluster == c) for c in {r.cluster for r in got}} == {k: sorted(v) for k, v in want.items()}
+    best = {c: max(s for (a, b), s in pairs.items() if a in own) for c, own in want.items()}
+    assert {r.cluster: r.max_sim for r in got} == best
+    ranked = sorted(best, key=lambda c: (-best[c], c))
+    assert all(r.cluster_rank == ranked.index(r.cluster) + 1 and r.n == len(want[r.cluster]) for r in got)
+
+
+@pytest.mark.parametrize(("kind", "most", "small"), [("unit", 3, 10**6), ("norms", 4, 10**6), ("mixed", 2, 10**6), ("unit", 2, 25)])
+def test_refined_is_exact(spark, kind, most, small):
+    rows = [r for r in vectors(kind, 8) if not (r[2] and not all(map(math.isfinite, r[2])))]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = sorted((r.id, r.threshold, r.cluster) for r in cluster.refined(df, 0.8, most, small=small).collect())
+    assert got == plain_refined(rows, 0.8, most)
+
+
+def test_many_copies(spark):
+    """100,000 copies have a link each, not one a pair."""
+    df = spark.range(100_000).select("id", (F.col("id") % 10).alias("size"), F.array(F.lit(0.6), F.lit(0.8)).alias("vec"))
+    assert cluster.links(df, 0.9).count() == 99_999
+    got = cluster.refined(df, 0.9, most=3).collect()
+    assert sorted((r.id, r.cluster, round(r.threshold, 2)) for r in got) == [(9, 0, 0.98), (19, 0, 0.98), (29, 0, 0.98)]
+
+
+@pytest.mark.parametrize("kind", ["unit", "mixed"])
+def test_similarity_to_earlier_by_tiles(spark, kind, monkeypatch):
+    monkeypatch.setattr(cluster, "FEW", 10)
+    monkeypatch.setattr(cluster, "TILE", 7)
+    rows = [r for r in vectors(kind, 2) if r[2] and all(map(math.isfinite, r[2]))]
+    place, ranked, want = {}, [], {}
+    for k, (i, _, _) in enumerate(rows):
+        c = "small" if k % 20 == 0 else f"c{k % 2}"
+        place[c] = place.get(c, 0) + 1
+        ranked.append((c, i, place[c]))
+    vec = {i: v for i, _, v in rows}
+    for c, i, p in ranked:
+        sims = [sum(x * y for x, y in zip(vec[i], vec[j], strict=True)) for d, j, q in ranked if d == c and q < p and len(vec[j]) == len(vec[i])]
+        want[i] = max(sims, default=None)
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = cluster.similarity_to_earlier(spark.createDataFrame(ranked, "cluster string, id long, pos int"), df).collect()
+    assert {r.id: r.sim_before and round(r.sim_before, 9) for r in got} == {k: v and round(v, 9) for k, v in want.items()}
 
 
 def test_keeping_and_undoing(spark):
