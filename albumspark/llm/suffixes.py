@@ -1,15 +1,19 @@
-"""Repeated passages by hashes of whole windows, sent only where half of a window around its minimiser repeats.
+"""Repeated passages by sparse suffix arrays: suffixes at minimisers, sorted, compared with their neighbours, extended.
 
 Every window of `least` words has its 8-word sequence of least hash, the minimiser; equal windows have it at the same
-place, and half of the window beside it, on the side that has room, is equal too. One word in twenty or so is a
-minimiser, so a first pass over packed arrays of such half hashes tells cheaply which windows may repeat. A second one
-sends the hashes of these windows, each once for a text, with the two least documents of each: a window repeats if it
-has two, and a document's passages are what its repeated windows cover. Nothing is sorted across texts and no number of
-partners is fixed: a window that stands in every text takes one entry a block.
-
-So the suffixes kept are sparse, at minimisers, and meet in sorted order, but the order is that of hashes of their first
-29 words to the side with room, in place of an array sorted by words: of that, only its equal neighbours would count, and
-any fixed number of them loses repeats (see the README).
+place. The suffixes that begin there, one word in twenty or so, are sorted over all texts in two orders: by the words from
+the minimiser on, and by the minimiser and the words before it, from right to left. In a sorted order the suffix of another
+text that shares most with a suffix is the nearest one that is of another text, above or below, however many of its own
+text, or equal ones, stand between. So neighbours tell exactly how far each suffix agrees with any other text to the right,
+and how far to the left. Equal suffixes are one entry with the number of its texts, two or one.
+
+A window can only repeat if its suffix agrees far enough on both sides. Where it does, the match is extended over the whole
+window and checked: partners on the left and on the right may be different texts. The hashes of these windows, each once
+for a text, go with the two least documents of each; a window repeats if it has two, and a document's passages are what its
+repeated windows cover.
+
+Suffixes are compared by four bits a word, so they may seem to agree further than they do, never less; what that adds falls
+in the check.
 """
 
 from __future__ import annotations
@@ -24,19 +28,27 @@ from pyspark.sql import functions as F
 
 from albumspark.session import ship
 
-from .common import batch, lower_ascii, stored, texts, tidied, tidied_cogroup, tidied_group
-from .ctw import BLOCK, summed, sums
+from .common import LOWER, batch, checkpointed, sliced, stored, texts, tidied, tidied_cogroup
+from .ctw import BLOCK
 from .radix import FAN, answered, cut_by, digit, grow, joined, merged, shrink
 
 #: Words of a repeat at least; words of a minimiser; entries of a shard merged at once.
 LEAST, GRAM, ENTRIES = 50, 8, 4_000_000
 LAST = (1 << 63) - 1
+#: Bytes of text handled at once; bytes of text whose suffixes are a range of an order; bytes of text that ranges are cut by.
+SLICE, SHARE, SAMPLE = 8 << 20, 48 << 20, 16 << 20
+#: Bytes of a minimiser in a key.
+HEAD = 6
+#: The two orders.
+RIGHT, LEFT = 0, 1
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_ARRAYS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ARRAYS_DDL = "kind int, shard int, block long, keys binary, counts binary"
-_ANSWERS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
-_ANSWERS_DDL = "shard int, block long, keys binary, values binary"
+_SUFFIXES = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("uid", pa.int64()), ("two", pa.bool_()), ("block", pa.int64())])
+_SUFFIXES_DDL = "part int, key binary, uid long, two boolean, block long"
+_AGREE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("uid", pa.int64()), ("role", pa.int32())])
+_AGREE_DDL = "kind int, part int, block long, key binary, n int, uid long, role int"
+#: Roles: an answer; one that may change by what stands before or behind its range, or both; and the ends of a range.
+CLOSED, BEFORE, BEHIND, BOTH, FIRST, FIRST_OTHER, FINAL, FINAL_OTHER = range(8)
 _ENTRIES = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("two", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
 _ENTRIES_DDL = "shard int, block long, keys binary, two binary, first binary, second binary"
 _WINDOWS = pa.schema([*_ENTRIES, ("docs", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("places", pa.binary())])
@@ -87,67 +99,220 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-class Windows:
-    """The windows of a text: the half hash of each, in runs of equal ones that begin at `at`, and their own hashes."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def hashed_words(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of all texts, and how many words each text has. Each distinct word is hashed once."""
+    offsets = np.append(0, np.cumsum([len(x) for x in found]))
+    data = LOWER[np.frombuffer(b"".join(found), np.uint8)]
+    inside = ~_BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    borders = offsets[(offsets > 0) & (offsets < len(data))]
+    first[borders], last[borders - 1] = inside[borders], inside[borders - 1]
+    starts = np.flatnonzero(first)
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts)).astype("<i8")
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return known[words.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64), np.diff(np.searchsorted(starts, offsets))
+
+
+class Suffixes:
+    """The suffixes of some texts at their minimisers, and the windows that each stands for."""
+
+    def __init__(self, found: list[bytes], least: int):
+        self.h, many = hashed_words(found)
+        self.span = least - GRAM
+        ends = np.cumsum(many)
+        self.begin = ends - many
+        p = minimisers(rolled(self.h, GRAM), self.span + 1)
+        text = np.searchsorted(ends, np.arange(len(p)), side="right")
+        whole = np.arange(len(p)) + least <= ends[text]
+        self.window = np.flatnonzero(whole)  # where windows begin, in all words
+        at = p[self.window]
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        self.at = at[new]  # where the minimisers are
+        self.windows = np.diff(np.append(new, len(at)))  # how many windows each suffix stands for
+        self.text = text[self.window[new]]
+        self._low, self._high = self.begin[self.text], ends[self.text]
+
+    def keys(self, kind: int) -> np.ndarray:
+        """What each suffix is sorted by in this order: the minimiser, then four bits a word, 0 where the text has ended."""
+        step = np.arange(self.span + self.span % 2)
+        words = self.at[:, None] + GRAM + step if kind == RIGHT else self.at[:, None] - 1 - step
+        inside = (words >= self._low[:, None]) & (words < self._high[:, None]) & (step < self.span)
+        own = np.where(inside, (self.h % np.uint64(15)).astype(np.uint8)[np.where(inside, words, 0)] + np.uint8(1), np.uint8(0))
+        gram = (self.gram() * _MULTIPLIER).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HEAD]
+        return np.ascontiguousarray(np.hstack([gram, own[:, ::2] << 4 | own[:, 1::2]]))
+
+    def gram(self) -> np.ndarray:
+        g = self.h[self.at]
+        for k in range(1, GRAM):
+            g = _mixed(g * _MULTIPLIER + self.h[self.at + k])
+        return g
+
+
+def _bytes(keys: np.ndarray) -> np.ndarray:
+    """Rows of bytes as texts that numpy sorts; rows are equally long, so trailing zeros do no harm."""
+    return np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel()
+
+
+def _binary(keys: np.ndarray) -> pa.Array:
+    n, width = keys.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype("<i4")), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+
+
+def _distinct(rows: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts, document ids and text ids of rows, each text id once."""
+    uid = rows.column("uid").to_numpy()
+    first = np.sort(np.unique(uid, return_index=True)[1])
+    own = rows.take(pa.array(first))
+    return texts(own.column("text")), own.column("doc_id").to_numpy(), uid[first]
+
+
+def _emitted(docs: DataFrame, least: int, bounds: list[np.ndarray], blocks: int) -> DataFrame:
+    """The suffixes of all texts, in both orders, each with the range that it falls into; equal ones of a slice and block
+    are one."""
 
-    def __init__(self, words: list[bytes], least: int, known: dict[bytes, int], whole: bool):
-        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-        p = minimisers(rolled(h, GRAM), least - GRAM + 1)
-        self.n, half = len(p), (least - GRAM + 1) // 2
-        left = p - np.arange(self.n) > least - GRAM - half  # no room to the right of the minimiser
-        x = rolled(h, GRAM + half)[p - half * left] ^ left * np.uint64(0x5555555555555555)
-        self.at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        self.half = x[self.at]
-        self.hash = rolled(h, least) if whole else None
-
-    def halves(self) -> np.ndarray:
-        """Distinct half hashes, each of them once for the text."""
-        return np.unique(self.half)
-
-
-def _words(rows: pa.Table, least: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    seen = set()
-    for doc, uid, text in zip(rows.column("doc_id").to_pylist(), rows.column("uid").to_pylist(), texts(rows.column("text")), strict=True):
-        if uid not in seen and len(w := lower_ascii(text).split()) >= least:
-            seen.add(uid)
-            yield doc, uid, w
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in sliced(batches, SLICE):
+            found, _, uids = _distinct(b)
+            x = Suffixes(found, least)
+            uid, block = uids[x.text], np.mod(uids, blocks)[x.text]
+            for kind in (RIGHT, LEFT):
+                keys = x.keys(kind)
+                key = _bytes(keys)
+                by = np.lexsort((key, block))
+                new = np.flatnonzero(np.append(True, (key[by][1:] != key[by][:-1]) | (block[by][1:] != block[by][:-1]))[: len(by)])
+                if not len(new):
+                    continue
+                low, high = np.minimum.reduceat(uid[by], new), np.maximum.reduceat(uid[by], new)
+                part = np.searchsorted(bounds[kind], key[by[new]], side="right") + kind * (len(bounds[RIGHT]) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), _binary(keys[by[new]]), pa.array(low, pa.int64()), pa.array(low < high), pa.array(block[by[new]], pa.int64())], schema=_SUFFIXES)
+
+    return docs.mapInArrow(tidied(run), _SUFFIXES_DDL)
+
+
+def _agreeing(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Words beyond the minimiser that rows of keys share; -1 where the minimiser differs."""
+    same = keys == others
+    head = same[:, :HEAD].all(1)
+    # Two words a byte: the first of them is its upper half.
+    upper = (keys[:, HEAD:] >> 4 == others[:, HEAD:] >> 4) & (keys[:, HEAD:] > 15)
+    lower = same[:, HEAD:] & (keys[:, HEAD:] & 15 > 0)
+    both = np.stack([upper, lower], 2).reshape(len(keys), 2 * upper.shape[1])
+    return np.where(head, np.append(both, np.zeros((len(keys), 1), bool), 1).argmin(1), -1)
+
+
+def neighbours(keys: np.ndarray, uid: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted suffixes: the entry of each, and for each entry its first suffix, how many words beyond the minimiser it
+    shares with another text's (-1: not the minimiser), the one text that it is of (-1: of several) and its run.
+
+    Entries in a row of one and the same text are a run; the nearest entry of another text stands before it or behind it,
+    and what an entry shares with that is the least of what neighbours share on the way.
+    """
+    new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+    entry, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    low, high = np.minimum.reduceat(uid, at), np.maximum.reduceat(uid, at)
+    many = (low < high) | np.logical_or.reduceat(two, at)
+    own = keys[at]
+    shared = _agreeing(own[1:], own[:-1])
+    run = np.cumsum(np.append(False, many[1:] | many[:-1] | (low[1:] != low[:-1])))
+    before, behind = np.append(-1, shared), np.append(shared, -1)
+    # The least from a run's beginning on: runs are set apart by more than any value.
+    apart = 2 * own.shape[1] * run
+    before = np.minimum.accumulate(before - apart) + apart
+    behind = (np.minimum.accumulate((behind + apart)[::-1] - apart[-1]) + apart[-1])[::-1] - apart
+    n = np.where(many, _agreeing(own, own), np.maximum(before, behind))
+    return entry, at, n, np.where(many, -1, low), run
+
+
+def _compared(suffixes: DataFrame, cuts: int) -> DataFrame:
+    """How far each suffix agrees with another text, by order, block and key; and the ends of each range."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        part, block = t.column("part")[0].as_py(), t.column("block").to_numpy()
+        keys = _rows_of(t.column("key").chunk(0))
+        entry, at, n, text, runs = neighbours(keys, t.column("uid").to_numpy(), t.column("two").to_numpy(zero_copy_only=False))
+        role = np.where((runs == 0) & (text >= 0), BEFORE, CLOSED) + np.where((runs == runs[-1]) & (text >= 0), BEHIND, CLOSED)
+        own = np.flatnonzero((n >= 0)[entry] | (role > 0)[entry])
+        other, final = np.flatnonzero(runs > 0)[:1], np.flatnonzero(runs < runs[-1])[-1:]
+        ends = np.concatenate([[0], other, [len(at) - 1], final]).astype(int)
+        roles = [FIRST, *[FIRST_OTHER] * len(other), FINAL, *[FINAL_OTHER] * len(final)]
+        row = np.concatenate([own, at[ends]])
+        group = entry[row]
+        columns = [np.full(len(row), part // cuts), np.full(len(row), part), block[row], _binary(keys[row]), n[group], text[group], np.concatenate([role[entry[own]], roles])]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, _AGREE, strict=True)], schema=_AGREE)
+
+    dealt = suffixes.repartitionById(2 * cuts, "part").sortWithinPartitions("key")
+    return dealt.mapInArrow(tidied(run), _AGREE_DDL)
+
+
+def _beyond(found: DataFrame) -> dict[int, tuple[list, list]]:
+    """For each range, the nearest entries before it and behind it: the nearest of all, and the nearest that is of another
+    text than that one. Four rows a range reach the driver."""
+    ends: dict[tuple[int, int], dict[int, tuple[bytes, int]]] = {}
+    for r in found.filter(f"role >= {FIRST}").select("kind", "part", "role", "key", "uid").collect():
+        ends.setdefault((r["kind"], r["part"]), {})[r["role"]] = (bytes(r["key"]), r["uid"])
+    out: dict[int, tuple[list, list]] = {part: ([], []) for _, part in ends}
+    for side, near, other, order in ((0, FINAL, FINAL_OTHER, sorted(ends)), (1, FIRST, FIRST_OTHER, sorted(ends, reverse=True))):
+        kind, held = None, []
+        for k, part in order:
+            if k != kind:
+                kind, held = k, []
+            out[part][side].extend(held)
+            own = ends[k, part]
+            rest = [own[other]] if other in own else [c for c in held if c[1] < 0 or c[1] != own[near][1]]
+            held = [own[near], *rest[:1]]
+    return out
 
-def _halves(docs: DataFrame, least: int, fan: int) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        known, keys, counts = _Hashes(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, _, w in _words(t, least):
-            keys.append(Windows(w, least, known, False).halves())
-            counts.append(np.ones(len(keys[-1]), np.int64))
-        k, n = summed(np.concatenate(keys), np.concatenate(counts))
-        block = t.column("block")[0].as_py()
-        rows = [(0, s, block, shrink(k[at]), shrink(n[at])) for s, at in cut_by(digit(k, 0, fan))]
-        return pa.Table.from_batches([batch(_ARRAYS, *zip(*rows, strict=True))] if rows else [], _ARRAYS)
 
-    return docs.groupBy("block").applyInArrow(tidied_group(run), _ARRAYS_DDL)
+def agreements(docs: DataFrame, least: int, blocks: int, total: int) -> DataFrame:
+    """kind, block, key, n: of each suffix that shares its minimiser with another text, how many words beyond."""
+    spark = docs.sparkSession
+    cuts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-total // SHARE))
+    sample = docs.sample(min(1.0, SAMPLE / max(1, total)), 7)  # it decides how large ranges are, and nothing else
+    keys: list[list[bytes]] = [[], []]
+    for r in _emitted(sample, least, [np.zeros(0, "S1")] * 2, 1).select("part", "key").limit(SAMPLE // 16).collect():
+        keys[r["part"]].append(bytes(r["key"]))
+    width = HEAD + (least - GRAM + 1) // 2
+    bounds = [np.sort(np.array(k, f"S{width}"))[(np.arange(1, cuts) * len(k) // cuts)] if k else np.zeros(0, f"S{width}") for k in keys]
+    bounds = [b if len(b) == cuts - 1 else np.array([b"\xff" * width] * (cuts - 1), f"S{width}") for b in bounds]
+    return settled(_compared(_emitted(docs, least, bounds, blocks), cuts))
 
 
-def _shared(arrays: DataFrame, blocks: int, fan: int) -> DataFrame:
-    """For each block's array, in its order, whether a half hash occurs in two texts."""
+def settled(compared: DataFrame) -> DataFrame:
+    """kind, block, key, n of all suffixes, those included whose nearest of another text stands beyond their range."""
+    found = checkpointed(compared)
+    beyond = found.sparkSession.sparkContext.broadcast(_beyond(found))  # four keys a range
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for r in b.to_pylist():
-                yield batch(_ANSWERS, [r["shard"]], [r["block"]], [r["keys"]], [np.packbits(grow(r["counts"], "<i8") > 1).tobytes()])
+            keys, n, role, part, uid = _rows_of(b.column("key")), b.column("n").to_numpy().copy(), b.column("role").to_numpy(), b.column("part").to_numpy(), b.column("uid").to_numpy()
+            for side, open_ in ((0, (BEFORE, BOTH)), (1, (BEHIND, BOTH))):
+                for own in np.unique(part):
+                    rows = np.flatnonzero((part == own) & np.isin(role, open_))
+                    for key, text in beyond.value[int(own)][side] if len(rows) else ():
+                        near = rows[uid[rows] != text]
+                        n[near] = np.maximum(n[near], _agreeing(keys[near], np.frombuffer(key, np.uint8)[None].repeat(len(near), 0)))
+            keep = pa.array(n >= 0)
+            yield pa.RecordBatch.from_arrays([b.column("kind").filter(keep), b.column("block").filter(keep), b.column("key").filter(keep), pa.array(n[n >= 0], pa.int32())], names=["kind", "block", "key", "n"])
 
-    def look(rows: list[dict]):
-        keys = [grow(r["keys"], "<u8") for r in rows]
-        known, many = joined(keys, [_bits(r["values"], len(k)) for r, k in zip(rows, keys, strict=True)])
-        return lambda asked: (np.packbits(many[np.searchsorted(known, asked)]).tobytes(),)
-
-    levels = merged(arrays, blocks, _ARRAYS, _ARRAYS_DDL, sums, lambda row, keys: keys, fan)
-    return answered(levels, levels[-1].mapInArrow(tidied(run), _ANSWERS_DDL), _ANSWERS, _ANSWERS_DDL, look, fan)
+    closed = found.filter(f"role = {CLOSED}").select("kind", "block", "key", "n")
+    return closed.unionByName(found.filter(f"role IN ({BEFORE}, {BEHIND}, {BOTH})").mapInArrow(tidied(run), "kind int, block long, key binary, n int"))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -171,32 +336,46 @@ def least_two(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], two, docs[at], docs[at[two] + 1]
 
 
-def _windows(docs: DataFrame, answers: DataFrame, least: int, fan: int) -> DataFrame:
-    """For each block, the windows that may repeat: by shards with their two least documents, and, under shard -1, where
-    they are: documents, how many each has, the starts as differences, and the places of their hashes shard by shard."""
+def _answer(held: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
+    """What is known of each key in this order; -1: nothing."""
+    own = held.filter(pa.array(held.column("kind").to_numpy() == kind)).combine_chunks()
+    if not own.num_rows or not len(keys):
+        return np.full(len(keys), -1)
+    known, n = _bytes(_rows_of(own.column("key").chunk(0))), own.column("n").to_numpy()
+    by = np.lexsort((-n, known))  # two slices of a block may have it
+    known, n = known[by], n[by]
+    at = np.searchsorted(known, asked := _bytes(keys))
+    return np.where(np.append(known, known[:1])[at] == asked, np.append(n, -1)[at], -1)
+
+
+def _windows(docs: DataFrame, agreeing: DataFrame, least: int, fan: int) -> DataFrame:
+    """For each block, the windows whose suffix agrees far enough on both sides: by shards with their two least documents,
+    and, under shard -1, where they are: documents, how many each has, the starts as differences, and the places of their
+    hashes shard by shard."""
 
     def run(t: pa.Table, held: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.Table.from_batches([], _WINDOWS)
-        got = {r["shard"]: r["values"] for r in held.to_pylist()}
-        known = _Hashes()
-        found = [(doc, Windows(w, least, known, True)) for doc, _, w in _words(t, least)]
-        k = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.half for _, x in found)]))
-        live = np.zeros(len(k), bool)
-        for s, at in cut_by(digit(k, 0, fan)):
-            live[at] = _bits(got[s], len(at))
-        ids, counts, starts, hashes = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
-        for doc, x in found:
-            own = np.flatnonzero(np.repeat(live[np.searchsorted(k, x.half)], np.diff(np.append(x.at, x.n))))
-            if len(own):
-                ids.append(doc)
-                counts.append(len(own))
-                starts.append(own.astype(np.int32))
-                hashes.append(x.hash[own])
-            x.hash = None
-        if not ids:
+        ids, counts, starts, hashes, seen = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], np.zeros(0, np.int64)
+        for b in sliced(t.to_batches(), SLICE):
+            uid = b.column("uid").to_numpy()
+            b = b.filter(pa.array(~np.isin(uid, seen)))
+            found, docs_, uids = _distinct(b)
+            seen = np.append(seen, uids)
+            x = Suffixes(found, least)
+            right, left = (np.repeat(_answer(held, kind, x.keys(kind)), x.windows) for kind in (RIGHT, LEFT))
+            before = np.repeat(x.at, x.windows) - x.window  # words of the window before its minimiser
+            own = np.flatnonzero((left >= before) & (right >= x.span - before))
+            text = np.repeat(x.text, x.windows)[own]
+            each = np.bincount(text, minlength=len(found))
+            ids.append(docs_[each > 0])
+            counts.append(each[each > 0])
+            starts.append((x.window[own] - x.begin[text]).astype(np.int32))
+            hashes.append(rolled(x.h, least)[x.window[own]])
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        if not len(ids):
             return pa.Table.from_batches([], _WINDOWS)
-        block, ids, h = t.column("block")[0].as_py(), np.array(ids, np.int64), np.concatenate(hashes)
+        block, h = t.column("block")[0].as_py(), np.concatenate(hashes)
         number = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         by = np.argsort(h, kind="stable")
         sorted_h, sorted_n = h[by], number[by]
@@ -211,10 +390,10 @@ def _windows(docs: DataFrame, answers: DataFrame, least: int, fan: int) -> DataF
             rows.append((s, block, shrink(keys[at]), np.packbits(two[at]).tobytes(), shrink(first[at]), _pack(second[seconds[at[two[at]]]]), None, None, None, None))
         places = np.zeros(len(h), np.int32)
         places[by] = rank[np.cumsum(new) - 1]
-        rows.append((-1, block, None, None, None, None, shrink(ids), shrink(np.array(counts, np.int32)), shrink(np.diff(np.concatenate(starts), prepend=np.int32(0))), shrink(places)))
+        rows.append((-1, block, None, None, None, None, shrink(ids), shrink(counts.astype(np.int32)), shrink(np.diff(np.concatenate(starts), prepend=np.int32(0))), shrink(places)))
         return pa.Table.from_batches([batch(_WINDOWS, *zip(*rows, strict=True))], _WINDOWS)
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied_cogroup(run), _WINDOWS_DDL)
+    return docs.groupBy("block").cogroup(agreeing.groupBy("block")).applyInArrow(tidied_cogroup(run), _WINDOWS_DDL)
 
 
 def _union(rows: Iterator[dict], last: bool):
@@ -287,6 +466,23 @@ def _spans(places: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return places.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(tidied_cogroup(run), _SPANS_DDL)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """doc_id, text without the repeats that a task has of a row, told by 128 bits of hash; the others go in their block, so
+    that a row that stands in a third of the table fills none."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            keep = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
+                own = (doc_id, xxhash.xxh3_128_intdigest(text))
+                keep.append(own not in seen)
+                seen.add(own)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(tidied(run), "doc_id long, text string")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """doc_id, start_word, end_word, n_words, first_doc_id: a row for each maximal repeated passage of each document.
 
@@ -301,11 +497,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, block: int = BLOCK, f
     """
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     blocks = max(8, -(-total // block))
-    docs = docs.withColumn("block", F.pmod("uid", F.lit(blocks)))
-    windows = stored(_windows(docs, _shared(stored(_halves(docs, least, fan)), blocks, fan), least, fan))
+    docs = docs.withColumn("uid", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(LAST)))
+    agreeing = agreements(docs, least, blocks, total)
+    own = _once(docs.select("doc_id", "text")).withColumn("uid", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(LAST)))
+    windows = stored(_windows(own.withColumn("block", F.pmod("uid", F.lit(blocks))), agreeing, least, fan))
     entries = windows.filter("shard >= 0").select(*_ENTRIES.names)
     places = windows.filter("shard < 0").select("block", "docs", "counts", "starts", "places")
     return _spans(places, _found(entries, blocks, fan), least)

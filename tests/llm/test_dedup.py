@@ -255,6 +255,40 @@ def test_passages_many_times_in_a_text(spark):
     assert passages(spark, rows) == plain_passages(rows, 50)
 
 
+def plain_neighbours(rows):
+    """(key, text) of suffixes: of each, how many words beyond the minimiser it shares with one of another text."""
+
+    def shared(x, y):
+        if x[: suffixes.HEAD] != y[: suffixes.HEAD]:
+            return -1
+        words = [[w for b in k[suffixes.HEAD :] for w in (b >> 4, b & 15)] for k in (x, y)]
+        n = 0
+        while n < len(words[0]) and words[0][n] == words[1][n] and words[0][n]:
+            n += 1
+        return n
+
+    return [max((shared(k, o) for o, u in rows if u != t), default=-1) for k, t in rows]
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 7, 40])
+def test_neighbours_are_the_best_of_all(spark, cuts):
+    """However many suffixes of its own text stand between a suffix and its best, also where ranges are cut between them."""
+    rnd = random.Random(5)
+    for trial in range(2):
+        own = sorted({(bytes([0, 0, 0, 0, 0, rnd.randrange(3), *(rnd.choice([0x11, 0x12, 0x21]) for _ in range(4))]), rnd.choice([1, 1, 1, 1, 2, 3] if trial else [1, 2, 3, 4])) for _ in range(150)})
+        want = {}
+        for (k, _), n in zip(own, plain_neighbours(own), strict=True):
+            want[k] = max(want.get(k, -1), n)
+        keys = sorted({k for k, _ in own})
+        bounds = np.array([keys[len(keys) * c // cuts] for c in range(1, cuts)], "S10")
+        rows = [(int(np.searchsorted(bounds, np.array([k], "S10"), side="right")[0]), bytearray(k), t, False, t) for k, t in own]
+        table = spark.createDataFrame(rows, suffixes._SUFFIXES_DDL)
+        got = {}
+        for r in suffixes.settled(suffixes._compared(table, cuts)).collect():
+            got[bytes(r.key)] = max(got.get(bytes(r.key), -1), r.n)
+        assert got == {k: n for k, n in want.items() if n >= 0}
+
+
 @pytest.mark.parametrize("partitions", [2, 16])
 def test_passages_that_end_in_a_frequent_line(spark, partitions):
     """What is equal lies to the left of the line; what follows it differs. However the rows are dealt, all are found."""
