@@ -27,6 +27,40 @@ def _written(lines: DataFrame, name: str) -> str:
     return at
 
 
+def _objects(rows: DataFrame, name: str, head: str, tail: str, each: int = 64) -> str:
+    """rows (k, value): a folder of files, each one JSON text of the values of `each` keys in a row, in their order; names
+    ascend with the keys. Each is written by a task, value by value."""
+    import os
+
+    import pyarrow as pa
+
+    at = _folder(rows.sparkSession, name)
+    root = tree.Place(at).inside(at)
+
+    def run(batches):
+        os.makedirs(root, exist_ok=True)
+        name, out, n = None, None, 0
+        for row in (r for b in batches for r in b.to_pylist()):
+            if row["file"] != name:
+                if out:
+                    out.write(tail)
+                    out.close()
+                name, n = row["file"], n + 1
+                out = open(f"{root}/{name:012d}.json", "w")
+                out.write(head)
+            else:
+                out.write(",\n ")
+            out.write(row["value"])
+        if out:
+            out.write(tail)
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    dealt = rows.withColumn("file", F.floor(F.col("k") / each)).repartition("file").sortWithinPartitions("file", "k")
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return at
+
+
 # Files ----------------------------------------------------------------------------------------------------------------
 
 _FOLDERS, _STARTS, _ENDS = ("a", "a/sub", "_duplicates", ".old/x"), ("f", "_DSC", ".f"), (".jpg", ".HEIC.MOV", ".txt", ".PNG", ".mp4")
@@ -302,13 +336,13 @@ def moves_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS ord, s_name AS name, 'Q' || s_suppkey AS wikidata_id, (s_suppkey % 90)::DOUBLE AS lat, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 2 END::INT AS n, 'm/p' AS model FROM supplier")
 def landmark_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of landmarks in one JSON object, saved as a table and read again."""
+    """Files of landmarks, each one JSON object, read in small ranges, saved as a table and read again."""
     k = F.col("s_suppkey")
-    one = F.struct(k.alias("k"), F.col("s_name").alias("name"), F.concat(F.lit("Q"), k.cast("string")).alias("wikidata_id"), (k % 90).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.when(k % 4 != 0, F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"))
-    whole = table(spark, sf_dir, "supplier").agg(F.array_sort(F.collect_list(one)).alias("landmarks")).select(F.to_json(F.struct(F.lit("m/p").alias("model"), "landmarks")).alias("value"))
-    at = _folder(spark, "landmarks")
-    sinks.save_landmarks(files.landmarks(spark, _written(whole, "landmarks")), at)
-    rows = spark.read.parquet(at)
+    one = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("Q"), k.cast("string")).alias("wikidata_id"), (k % 90).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.when(k % 4 != 0, F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"))
+    at = _objects(table(spark, sf_dir, "supplier").select(k.alias("k"), F.to_json(one).alias("value")), "landmarks", '{"model": "m/p", "landmarks": [', "]}")
+    to = _folder(spark, "landmarks")
+    sinks.save_landmarks(files.landmarks(spark, at, 1000), to)
+    rows = spark.read.parquet(to)
     return rows.select("ord", "name", "wikidata_id", "lat", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n"), "model")
 
 
@@ -377,8 +411,8 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.array(F.struct(url.alias("url"), F.lit("s").alias("source")), F.struct(F.concat(F.lit("http://h/b"), n, F.lit(".PNG")).alias("url"), F.lit("t").alias("source")))
     shape = F.when(k % 3 == 0, F.to_json(F.struct(F.lit("n").alias("name"), entry.alias("images")))).when(k % 3 == 1, F.to_json(entry)).otherwise(F.to_json(F.array(url)))
     pairs = F.concat(F.lit('"Q'), n, F.lit('": '), shape)
-    whole = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pairs), ", "), F.lit("}")).alias("value"))
-    return files.url_cache(spark, _written(whole, "urls"))
+    at = _objects(table(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0").select(k.alias("k"), pairs.alias("value")), "urls", "{", "}")
+    return files.url_cache(spark, at, 700)
 
 
 @query("""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from albumspark.sources import journal
+from albumspark.operators.components import checkpointed
+from albumspark.sources import journal, ranges
 from albumspark.sources.tree import scan  # noqa: F401  (one of this module's sources)
 
 METADATA = T.StructType([
@@ -21,7 +22,7 @@ METADATA = T.StructType([
 REGIONS = "array<struct<Name:string,Type:string,Description:string,RRole:array<struct<Identifier:array<string>,Name:string>>,RegionBoundary:struct<RbX:double,RbY:double,RbW:double,RbH:double>>>"
 LISTS = "Keywords Subject TagsList OCRText".split()
 MANIFEST = "original string, moved_to string, ts timestamp"
-LANDMARKS = "model string, landmarks array<struct<name:string,wikidata_id:string,lat:double,lon:double,embedding:array<float>>>"
+LANDMARK = "name string, wikidata_id string, lat double, lon double, embedding array<float>"
 
 
 def to_compare(files: DataFrame) -> DataFrame:
@@ -120,10 +121,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("r.*", F.struct("file_modification_time", "file_path", "file_block_start", "line").alias("line_no"))
 
 
-def landmarks(spark: SparkSession, path: str) -> DataFrame:
-    """ord, name, wikidata_id, lat, lon, embedding, model of a landmark file."""
-    rows = spark.read.schema(LANDMARKS).option("multiLine", "true").json(path)
-    return rows.select("model", F.posexplode("landmarks").alias("ord", "l")).select("ord", "l.*", "model")
+def landmarks(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
+    """ord, name, wikidata_id, lat, lon, embedding, model of a landmark file, or of several in order of their names; files are
+    read in byte ranges of this size."""
+    found = ranges.elements(spark, path, "landmarks", size).select("path", "ord", F.from_json("value", LANDMARK).alias("l"))
+    model = ranges.member(spark, path, "model", size).select(F.col("path").alias("p"), F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("model"))
+    counts = found.groupBy("path").agg(F.count("*").alias("n"))  # a row a file
+    counts = counts.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    rows = found.join(F.broadcast(checkpointed(counts)), "path").join(model, F.col("path") == F.col("p"), "left")
+    return rows.select((F.col("first") + F.col("ord")).cast("int").alias("ord"), "l.*", "model")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -133,10 +139,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("lat IS NOT NULL AND lon IS NOT NULL AND sitelinks IS NOT NULL")
 
 
-def url_cache(spark: SparkSession, path: str) -> DataFrame:
+def url_cache(spark: SparkSession, path: str, size: int = ranges.RANGE) -> DataFrame:
     """wikidata_id, urls array<struct<url,source>> of a JSON object, in its present shape (an object with images) or the two
-    before it (a list of objects, or of URLs, whose source is unknown)."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("wikidata_id", "v"))
+    before it (a list of objects, or of URLs, whose source is unknown); it is read in byte ranges of this size."""
+    text = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]  # a bare text without its quotes
+    rows = ranges.elements(spark, path, None, size).select(F.col("key").alias("wikidata_id"), text.alias("v")).filter("wikidata_id IS NOT NULL")
     now = F.from_json("v", "array<struct<url:string,source:string>>")
     unknown = lambda u: F.struct(u.alias("url"), F.lit("unknown").alias("source"))
     present = F.from_json("v", "images array<struct<url:string,source:string>>")["images"]

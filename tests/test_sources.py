@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from albumspark import cli
 from albumspark.operators import moves
-from albumspark.sources import files, journal, plugins, sinks, tree
+from albumspark.sources import files, journal, plugins, ranges, sinks, tree
 from albumspark.streaming import watch
 
 
@@ -202,6 +202,60 @@ def test_landmarks_and_mapping(spark, tmp_path):
     assert got == {"Q1": ["u"], "Q2": ["v", "w"], "Q3": ["x"]}
 
 
+ODD_JSON = [
+    '{"a": [1, {"b": "x,y]}"}, "\\\\", "q\\"[{,"], "é\\u00e9": {"k\\"": [[], {}]}, "s": "t,", "n": null, "landmarks": [{"x": [1, 2]}, [], "a,b", -1.5e3, "\\\\\\"", {}]}',
+    '  [ ]  ', '{}', '[1]', '["\\\\\\\\", "]", {"landmarks": [1]}]', '{"landmarks": []}', '{"landmarks": {"p": 1, "q": [2, "}"]}, "b": 2}', '{"x": "landmarks", "y": ["landmarks"], "landmarks": [ 0 ]}',
+]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_elements_of_json_at_any_range(spark, tmp_path, size, monkeypatch):
+    """Strings, escapes and depths over all borders of ranges, against a parser of whole files."""
+    monkeypatch.setattr(ranges, "AHEAD", 5)
+    want, inner, model = [], [], []
+    for k, text in enumerate(ODD_JSON):
+        (tmp_path / f"{k}.json").write_text(text)
+        whole = json.loads(text)
+        listed = lambda x: list(enumerate(x.items() if isinstance(x, dict) else ((None, y) for y in x)))
+        want += [(f"{k}.json", n, key, v) for n, (key, v) in listed(whole)]
+        if isinstance(whole, dict) and isinstance(whole.get("landmarks"), list | dict):
+            inner += [(f"{k}.json", n, key, v) for n, (key, v) in listed(whole["landmarks"])]
+        if isinstance(whole, dict) and "b" in whole:
+            model.append((f"{k}.json", whole["b"]))
+    rows = lambda df: sorted(((r.path.rsplit("/", 1)[-1], r.ord, r.key, json.loads(r.value)) for r in df.collect()), key=str)
+    assert rows(ranges.elements(spark, str(tmp_path), None, size)) == sorted(want, key=str)
+    assert rows(ranges.elements(spark, str(tmp_path), "landmarks", size)) == sorted(inner, key=str)
+    assert [(r.path.rsplit("/", 1)[-1], json.loads(r.value)) for r in ranges.member(spark, str(tmp_path), "b", size).collect()] == model
+
+
+def test_no_task_reads_a_whole_file(spark, tmp_path):
+    """What tasks read of a file, one by one, when elements are small."""
+    text = json.dumps({"model": "m", "landmarks": [{"name": f"n{k}", "embedding": [k] * 20} for k in range(4000)]})
+    (tmp_path / "l.json").write_text(text)
+    (tmp_path / "log").mkdir()
+    read = tree.Place.read_at
+
+    def logged(self, path, offset, size):
+        got = read(self, path, offset, size)
+        if size >= 1000:
+            with open(f"{tmp_path}/log/{os.getpid()}-{time.time_ns()}", "w") as f:
+                f.write(str(len(got)))
+        return got
+
+    found = ranges.states(spark, str(tmp_path / "l.json"), 20_000).collect()
+    assert len(found) == -(-len(text) // 20_000)
+    row = found[3].asDict()
+    place = tree.Place(row["path"])
+    place.read_at = lambda *a: logged(place, *a)
+    ahead = ranges.AHEAD
+    ranges.AHEAD = 4096
+    try:
+        got = list(ranges._elements(place, row, 2, 0, len(text)))
+    finally:
+        ranges.AHEAD = ahead
+    assert len(got) > 50 and sum(int(p.read_text()) for p in (tmp_path / "log").iterdir()) <= 20_000 + 2 * 4096
+
+
 def test_config(tmp_path):
     base = {"a": {"x": 1, "y": 2}, "b": 3}
     assert files.merged_config(base, {"a": {"x": 9}}) == {"a": {"x": 9, "y": 2}, "b": 3}
