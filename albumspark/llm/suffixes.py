@@ -36,7 +36,7 @@ from .radix import FAN, answered, cut_by, digit, grow, joined, merged, shrink
 LEAST, GRAM, ENTRIES = 50, 8, 4_000_000
 LAST = (1 << 63) - 1
 #: Bytes of text handled at once; bytes of text whose suffixes are a range of an order; bytes of text that ranges are cut by.
-SLICE, SHARE, SAMPLE = 8 << 20, 48 << 20, 16 << 20
+SLICE, SHARE, SAMPLE = 4 << 20, 48 << 20, 16 << 20
 #: Bytes of a minimiser in a key.
 HEAD = 6
 #: The two orders.
