@@ -5,6 +5,7 @@ The driver has no photos, so each query puts an operator on a fixed projection o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from albumspark.functions import files, geo, temporal, text, vectors
 from albumspark.operators import asof, cluster, dates, merge, moves, ocr, radius, select, steps, tags
-from albumspark.session import table
+from albumspark.session import checkpoint_dir, table
 from albumspark.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +199,30 @@ def step_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.summary(log).withColumns({"total_s": F.round("total_s", 4), "avg_s": F.round("avg_s", 6)})
 
 
+@query("""
+WITH s AS (
+  SELECT 'gps' AS step, count(*) AS runs, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS ok FROM orders
+  UNION ALL SELECT 'ocr', count(*) FILTER (WHERE o_orderkey % 2 = 0), count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0) FROM orders),
+x AS (SELECT 'gps' AS step, 'queries=' || count(*) || ',waits=' || sum(o_orderkey % 4) AS extras FROM orders)
+SELECT step, runs, ok, runs - ok AS errors, true AS timed, coalesce(extras, '') AS extras FROM s LEFT JOIN x USING (step)
+""")
+def steps_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a job that records its steps as it works; some raise, some fail, some are not run."""
+
+    def work(row: dict, steps: steps.Recorder) -> None:
+        k = row["path"]
+        steps.run("gps", lambda: 1 / (k % 5), queries=1, waits=k % 4)
+        if k % 2 == 0:
+            steps.run("ocr", lambda: k % 3 != 0)
+
+    at = f"{checkpoint_dir(spark).rstrip('/')}/steps-{uuid.uuid4().hex}"
+    steps.recorded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path")), work).write.parquet(at)
+    log = spark.read.parquet(at)
+    named = steps.extras(log).groupBy("step").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), F.col("total").cast("long").cast("string")))), ",").alias("extras"))  # a row a name
+    found = steps.summary(log).join(named, "step", "left")
+    return found.select("step", "runs", "ok", "errors", ((F.col("total_s") >= 0) & (F.col("avg_s") <= F.col("total_s"))).alias("timed"), F.coalesce("extras", F.lit("")).alias("extras"))
+
+
 # Text -----------------------------------------------------------------------------------------------------------------
 
 _VOWELS = text.VOWELS
@@ -296,6 +321,17 @@ def date_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.backfill_counts(dates.backfill(rows, ["filename"]))
 
 
+@query(f"""
+WITH d AS (SELECT o_orderkey AS path, label, CASE WHEN label IS NULL THEN 'unmatched' ELSE 'resolved' END AS kind FROM ({_DATES}) WHERE o_orderkey % 3 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path)::INT AS pos, count(*) OVER (PARTITION BY kind) AS n FROM d)
+SELECT kind, pos, path, label, greatest(n - CASE kind WHEN 'resolved' THEN 50 ELSE 20 END, 0)::BIGINT AS more FROM r WHERE pos <= CASE kind WHEN 'resolved' THEN 50 ELSE 20 END
+""")
+def date_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry run of a backfill shows."""
+    rows = _named_orders(spark, sf_dir).select(F.col("o_orderkey").alias("path"), "name", F.lit(None).cast("timestamp").alias("mtime"), F.when(F.col("o_orderkey") % 3 == 0, "2020:01:01 00:00:00").otherwise("").alias("original"), F.lit(None).cast("string").alias("created"))
+    return dates.preview(rows, ["filename"]).drop("ts")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('minute', ts) END AS ts FROM events")
 def exif_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from albumspark.functions import files as kinds
 from albumspark.functions import text, vectors
 from albumspark.operators import cluster, dates, moves, ocr, select, tags
+from albumspark.plans import pictures
 from albumspark.plans.registry import query
 from albumspark.session import checkpoint_dir, table
-from albumspark.sources import files, plugins, sinks, tree
+from albumspark.sources import embedded, files, plugins, sidecars, sinks, tree, xmp
 from albumspark.streaming import watch
 
 
@@ -20,6 +22,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _put_folder(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def _written(lines: DataFrame, name: str) -> str:
     """A folder with the texts of a column, one a line."""
     at = _folder(lines.sparkSession, name)
@@ -257,6 +264,99 @@ def meta_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cached_embeddings(meta, "m").select("path", F.posexplode("vec").alias("pos", "x"))
 
 
+# Metadata in files ----------------------------------------------------------------------------------------------------
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> str:
+    """A picture with metadata for each customer, of four kinds, written by tasks; some are cut off in the middle."""
+    import os
+
+    import pyarrow as pa
+
+    at = _folder(spark, "pictures")
+    root = tree.Place(at).inside(at)
+
+    def picture(k: int) -> tuple[str, bytes]:
+        order = "<>"[k % 2]
+        exif = {0x9003: "2020:01:02 03:04:05"} if k % 4 else {0x9004: f"2021:01:01 00:00:{k % 60:02d}"}
+        gps = {1: "NS"[k % 2], 2: pictures.rationals(k % 90 + 0.25), 3: "E", 4: pictures.rationals(k % 180 + 0.5)} if k % 5 else {}
+        main = {0x010F: "ACME", 0x0110: f"M{k % 7}", 0x0100: k % 4000 + 1, 0x0101: 30}
+        found = {"XMP-dc:Subject": [f"s{k % 3}", "é<&>"], "XMP-digiKam:TagsList": [f"Places/X{k % 7}"][: k % 3], "XMP-album:TaggerVersion": [str(k % 4)], "XMP-iptcExt:ImageRegion": [json.dumps({"Name": "r", "RRole": [{"Identifier": ["annotatedText"]}]}), '{"Name":"s"}'][: k % 3]}
+        packet = xmp.changed(None, found)
+        kind = k % 4
+        if kind == 0:
+            return "jpg", pictures.jpeg(k % 900 + 1, 7, pictures.tiff(main, exif, gps, order), packet, [f"kw{k % 5}", "b"])
+        if kind == 1:
+            return "png", pictures.png(k % 900 + 1, 7, pictures.tiff(main, exif, gps, order), packet)
+        if kind == 2:
+            return "webp", pictures.webp(k % 900 + 1, 7, pictures.tiff(main, exif, gps, order), packet)
+        return "tif", pictures.tiff(main | {0x02BC: packet, 0x83BB: pictures.iptc([f"kw{k % 5}", "b"])}, exif, gps, order)
+
+    def run(batches):
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            for k in b.column("c_custkey").to_pylist():
+                end, data = picture(k)
+                with open(f"{root}/c{k}.{end}", "wb") as out:
+                    out.write(data if k % 13 else data[:14])
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return at
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 13 = 0 AS broken, c_custkey % 4 AS kind FROM customer)
+SELECT k, broken, CASE WHEN NOT broken AND k % 5 > 0 THEN CASE WHEN k % 2 = 1 THEN -(k % 90 + 0.25) ELSE k % 90 + 0.25 END END::DOUBLE AS lat, CASE WHEN NOT broken AND k % 5 > 0 THEN k % 180 + 0.5 END::DOUBLE AS lon,
+  CASE WHEN NOT broken THEN 'ACME' END AS make, CASE WHEN NOT broken THEN 'M' || (k % 7) END AS model, CASE WHEN NOT broken AND k % 4 > 0 THEN '2020:01:02 03:04:05' END AS original,
+  CASE WHEN NOT broken AND k % 4 = 0 THEN '2021:01:01 00:00:' || lpad((k % 60)::VARCHAR, 2, '0') END AS created, CASE WHEN NOT broken THEN k % 4000 + 1 END::INT AS width, CASE WHEN NOT broken THEN 30 END::INT AS height,
+  CASE WHEN NOT broken AND kind <> 3 THEN k % 900 + 1 END::INT AS file_width, CASE WHEN NOT broken AND kind <> 3 THEN 7 END::INT AS file_height,
+  CASE WHEN NOT broken AND kind IN (0, 3) THEN 'kw' || (k % 5) || '|b' END AS keywords, CASE WHEN NOT broken THEN 's' || (k % 3) || '|é<&>' END AS subject,
+  CASE WHEN NOT broken AND k % 3 > 0 THEN 'Places/X' || (k % 7) END AS tags, CASE WHEN NOT broken THEN (k % 4)::VARCHAR END AS version,
+  CASE WHEN NOT broken AND k % 3 = 2 THEN 's' ELSE '' END AS other_regions FROM c
+""")
+def embedded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of a file's read, from the files themselves; damaged files have a row."""
+    at = _pictures(spark, sf_dir)
+    found = embedded.embedded(files.scan(spark, at))
+    rows = files.fields(found).join(found.select("path", F.col("error").isNotNull().alias("broken")), "path")
+    names = F.array_join(F.transform(ocr.not_ocr(F.col("ImageRegion")), lambda r: r["Name"]), "|")
+    listed = lambda c, name: F.when(F.col(c).isNotNull(), F.array_join(c, "|")).alias(name)
+    return rows.select(
+        F.regexp_extract("path", "c(\\d+)\\.\\w+$", 1).cast("long").alias("k"), "broken", "coords.lat", "coords.lon", F.col("Make").alias("make"), F.col("Model").alias("model"),
+        F.col("DateTimeOriginal").alias("original"), F.col("CreateDate").alias("created"), F.col("ImageWidth").alias("width"), F.col("ImageHeight").alias("height"),
+        F.col("FileImageWidth").alias("file_width"), F.col("FileImageHeight").alias("file_height"), listed("Keywords", "keywords"), listed("Subject", "subject"), listed("TagsList", "tags"),
+        F.col("TaggerVersion").alias("version"), names.alias("other_regions"),
+    )
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k, 'XMP-dc:Subject' AS field, CASE WHEN k % 3 = 0 THEN 'Rome' WHEN k % 3 = 1 THEN 'Cat|Rome' ELSE 'Cat' END AS values FROM c
+UNION ALL SELECT k, 'XMP-digiKam:TagsList', CASE WHEN k % 2 = 0 THEN 'Places/Rome|Objects/Cat' ELSE 'Objects/Cat' END FROM c
+UNION ALL SELECT k, 'XMP-album:TaggerVersion', '9' FROM c WHERE k % 2 = 0
+UNION ALL SELECT k, 'XMP-photoshop:City', 'Nice' FROM c WHERE k % 5 = 0
+""")
+def sidecars_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars made by one job, changed by a second, read back; a third is given up and changes nothing."""
+    at, k = _folder(spark, "sidecars"), F.col("c_custkey")
+    root = tree.Place(at).inside(at)
+    _put_folder(spark, at)
+    c = table(spark, sf_dir, "customer").select(k, F.concat(F.lit(f"{root}/c"), k.cast("string"), F.lit(".jpg.xmp")).alias("target"))
+    change = lambda rows, field, op, value, seq: rows.select("target", F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(value).alias("value"), F.lit(seq).alias("op_seq"))
+    first = change(c, "XMP-dc:Subject", "+=", "Cat", 0).union(change(c.filter(k % 2 == 0), "XMP-digiKam:TagsList", "+=", "Places/Rome", 0)).union(change(c.filter(k % 5 == 0), "XMP-photoshop:City", "=", "Nice", 0))
+    first = first.union(change(c, "IPTC:City", "=", "left out", 0))
+    sidecars.write(first, _folder(spark, "job"))
+    second = change(c.filter(k % 3 < 2), "XMP-dc:Subject", "+=", "Rome", 1).union(change(c.filter(k % 3 == 0), "XMP-dc:Subject", "-=", "Cat", 2)).union(change(c, "XMP-digiKam:TagsList", "+=", "Objects/Cat", 0))
+    second = second.union(change(c.filter(k % 2 == 0), "XMP-album:TaggerVersion", "=", "9", 0)).union(change(c.filter(k % 2 == 1), "XMP-album:TaggerVersion", "=", "", 0))
+    sidecars.write(second, _folder(spark, "job"))
+    third = _folder(spark, "job")
+    sidecars.stage(change(c, "XMP-dc:Subject", "=", "gone", 0), third)
+    sidecars.give_up(spark, third)
+    found = sidecars.read(c.select(F.col("target").alias("path")))
+    return found.select(F.regexp_extract("path", "c(\\d+)\\.jpg", 1).cast("long").alias("k"), "field", F.array_join("values", "|").alias("values"))
+
+
 # Manifests and moves --------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,9 @@
 import datetime as dt
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +215,36 @@ def test_backfill(spark):
     assert dates.date_mutations(found.withColumn("is_video", F.lit(False))).count() == 12
 
 
+RETRIED = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from albumspark.operators import steps
+spark = SparkSession.builder.master("local[2, 3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+def work(row, own):
+    own.run("gps", lambda: 1 / (row["path"] % 4), queries=2)
+    own.run("ocr", lambda: row["path"] % 3 != 0)
+    own.add("cache", hits=1)
+    if row["path"] % 50 == 49 and TaskContext.get().attemptNumber() == 0:
+        os._exit(1)  # the task dies with what it has recorded
+
+log, seen = steps.watched(steps.recorded(spark.range(100).withColumnRenamed("id", "path"), work), "gps", "ocr")
+log.write.parquet({out!r})
+log = spark.read.parquet({out!r})
+print([tuple(r) for r in steps.summary(log).select("step", "runs", "ok", "errors").orderBy("step").collect()], sorted(tuple(r) for r in steps.extras(log).collect()), {{k: v for k, v in seen.get.items() if not k.endswith("_s")}}, seen.get["gps_s"] > 0)
+"""
+
+
+def test_steps_of_retried_tasks_count_once(tmp_path):
+    code = RETRIED.format(repo=str(Path(__file__).resolve().parents[1]), out=str(tmp_path / "log"))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200)
+    want = ([("gps", 100, 75, 25), ("ocr", 100, 66, 34)], [("cache", "hits", 100.0), ("gps", "queries", 200.0)], {"gps_runs": 100, "gps_errors": 25, "ocr_runs": 100, "ocr_errors": 34}, True)
+    assert done.stdout.strip().splitlines()[-1] == " ".join(map(str, want)), done.stderr[-2000:]
+
+
 def test_steps(spark):
     log = spark.createDataFrame([("a", True, 1.0), ("a", False, 3.0)], "step string, ok boolean, elapsed double")
     assert tuple(steps.summary(log).first()) == ("a", 2, 1, 1, 4.0, 2.0)
