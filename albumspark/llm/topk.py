@@ -3,8 +3,9 @@
 Vectors become integer rows, packed into blocks. A block's index holds, for each dimension, its rows by falling
 quantised impact, cut into segments. A query takes the segments of all dimensions by falling bound, adds their
 contributions, and knows by how much any row's sum can still move. It stops only once all rows but a few are proven
-out; the few are rescored exactly. Query blocks meet index blocks by key; of each meeting k rows a query are kept, and
-the final ranking prunes again before its shuffle.
+out; the few are rescored exactly. Query blocks meet runs of index blocks by key; a query carries its k-th best score from
+one block to the next, so that a block with nothing better is left sooner. Of each meeting k rows a query are kept, and the
+final ranking prunes again before its shuffle.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from albumspark.session import ship
 from .common import checkpointed
 
 #: Rows of an index block, of a query block, query blocks that meet an index block at once, impact levels a dimension.
-#: An index is built once for QUERIES * TOGETHER queries, which costs little beside their search.
-ROWS, QUERIES, TOGETHER, LEVELS = 8192, 512, 16, 8
+#: An index is built once for QUERIES * TOGETHER queries, which costs little beside their search. Index blocks of a run.
+ROWS, QUERIES, TOGETHER, LEVELS, RUN = 8192, 512, 16, 8, 16
+#: What scores are at most, either way; sums that may be larger are made of whole numbers of any length, and cut off here.
+TOP = (1 << 63) - 1
 _OUT = "-4611686018427387904"  # below any score
 
 _RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -58,9 +61,18 @@ class ImpactIndex:
         self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.values = np.concatenate(values) if values else np.zeros(0, np.int64)
 
-    def search(self, q: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the k best rows whose id is not own, best first, smaller ids first among equals."""
+    def search(self, q: np.ndarray, k: int, own: int | None = None, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows whose id is not own, best first, smaller ids first among equals; rows below
+        `least` may be left out."""
         n, d = self.m.shape
+        self.steps = 0
+        if n and d and float(np.abs(q.astype(float)) @ np.abs(self.m.astype(float)).max(axis=0)) >= 2.0**61:
+            possible = np.flatnonzero(self.ids != own)
+            scores = [max(-TOP, min(TOP, sum(map(int.__mul__, row, q.tolist())))) for row in self.m[possible].tolist()]
+            exact = np.array(scores, np.int64)
+            best = np.lexsort((possible, -exact))[:k]
+            return possible[best], exact[best]
+        floor = int(_OUT) // 2 if least is None else least
         sums = np.zeros(n, np.int64)
         out = self.ids == own
         sums[out] = int(_OUT)
@@ -77,12 +89,13 @@ class ImpactIndex:
                 at = slice(self.first[s], self.last[s])
                 sums[self.rows[at]] += q[self.dim[s]] * self.values[at]
                 open_ -= int(drop[s])
-                if step % 32 == 31:
-                    kth = np.partition(sums, n - k)[n - k]
-                    if np.count_nonzero(sums >= kth - 2 * open_) <= few:
+                self.steps = step + 1
+                if step % 32 == 31:  # a row is out if it cannot reach the k-th, of this block or of those before
+                    kth = max(np.partition(sums, n - k)[n - k] - open_, floor)
+                    if np.count_nonzero(sums >= kth - open_) <= few:
                         break
-            kth = np.partition(sums, n - k)[n - k]
-            possible = np.flatnonzero((sums >= kth - 2 * open_) & ~out)
+            kth = max(np.partition(sums, n - k)[n - k] - open_, floor)
+            possible = np.flatnonzero((sums >= kth - open_) & ~out)
         else:
             possible = np.flatnonzero(~out)
         exact = self.m[possible] @ q
@@ -151,7 +164,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Both: vec_id and v, array<long> without nulls. Rows with the query's own vec_id are not its candidates. Of
     repeated query ids the least vector counts; repeated candidates count one by one. Vectors of unequal length are
-    filled with zeros. With fewer than k candidates, all are ranked; with none, the query has no row.
+    filled with zeros. With fewer than k candidates, all are ranked; with none, the query has no row. Scores beyond 64 bits
+    count as the greatest or least that 63 bits hold.
     """
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     q, n_queries = numbered(packed_blocks(queries, QUERIES))
@@ -159,23 +173,25 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     groups = -(-n_queries // TOGETHER)
     if not groups or not n_blocks:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    q = q.withColumn("group", F.floor(F.col("at") / TOGETHER).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    c = c.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    runs = -(-n_blocks // RUN)
+    q = q.withColumn("group", F.floor(F.col("at") / TOGETHER).cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    c = c.withColumn("run", F.pmod("at", F.lit(runs))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        out, kth = [], {}
         asked = [(np.frombuffer(r["ids"], np.int64), _wide(r["m"], r["n"])) for r in left.to_pylist()]
         for row in right.to_pylist():
             m, *wide = _same_width(_wide(row["m"], row["n"]), *(v for _, v in asked))
             index = ImpactIndex(np.frombuffer(row["ids"], np.int64), m)
             for (query_ids, _), vectors in zip(asked, wide, strict=True):
                 for query_id, v in zip(query_ids.tolist(), vectors, strict=True):
-                    at, score = index.search(v, k, query_id)
+                    at, score = index.search(v, k, query_id, kth[query_id][0] if len(kth.get(query_id, ())) == k else None)
                     out.append((np.full(len(at), query_id), index.ids[at], score))
+                    kth[query_id] = sorted([*kth.get(query_id, ()), *score.tolist()])[-k:]
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_RESULT)
 
-    met = q.groupBy("at", "group").cogroup(c.groupBy("at", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    met = q.groupBy("run", "group").cogroup(c.groupBy("run", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

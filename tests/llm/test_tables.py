@@ -244,6 +244,35 @@ def test_index_is_exact(seed, n, d, span):
     assert [(-s, i) for s, i in zip(score.tolist(), index.ids[at].tolist(), strict=True)] == want
 
 
+def test_thresholds_are_carried(spark, monkeypatch):
+    """Over many blocks of a run, with ties across blocks; and a block that holds nothing better is left sooner."""
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "RUN", 3)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rnd = np.random.default_rng(5)
+    m = rnd.integers(-3, 4, (400, 6))
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(m.tolist())], "vec_id long, v array<long>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(rows.filter("vec_id % 20 = 0"), rows, 5).collect())
+    want = []
+    for q in range(0, 400, 20):
+        ranked = sorted((-int(m[q] @ m[c]), c) for c in range(400) if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked)]
+    assert got == want
+    index, q = topk.ImpactIndex(np.arange(3000), rnd.integers(-1000, 1001, (3000, 16))), rnd.integers(-1000, 1001, 16)
+    at, score = index.search(q, 10)
+    alone = index.steps
+    assert index.search(q, 10, None, int(score[0]) * 2)[0].tolist() in ([], at.tolist()) and index.steps < alone
+    again, same = index.search(q, 10, None, int(score[-1]))
+    assert again.tolist() == at.tolist() and same.tolist() == score.tolist()
+
+
+def test_scores_do_not_wrap():
+    big = 3 * 10**18
+    index = topk.ImpactIndex(np.arange(4), np.array([[big, 1], [-big, 0], [1, 1], [0, 0]]))
+    at, score = index.search(np.array([big, 0]), 4)
+    assert list(zip(at.tolist(), score.tolist(), strict=True)) == [(0, topk.TOP), (2, big), (3, 0), (1, -topk.TOP)]
+
+
 def test_top_k(spark):
     rnd = random.Random(7)
     rows = [(k, [rnd.uniform(-1, 1) for _ in range(8)]) for k in range(0, 350)] + [(400, None), (500, [1.0, None]), (600, [float("nan")]), (700, [float("inf")]), (800, []), (900, [0.5, 0.5]), (7, [0.1] * 8), (None, [1.0]), (100, [0.9] * 8)]
