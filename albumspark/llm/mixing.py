@@ -60,21 +60,23 @@ def mix(docs: DataFrame, seed: str = "", weights: tuple[int, ...] = (3, 1, 2), s
     budget, and copies says how often the document stands in the mix.
 
     Null text: size 0. Null source: a source of its own, last in order. Null doc_id: keyed as empty text. Empty
-    tables give an empty result. Repeated rows are taken one by one. Ties of the key fall by doc_id, then size.
+    tables give an empty result. Repeated rows are taken one by one. Ties of the key fall by doc_id, then size, then a
+    hash of the text where there is one, so reruns take the same texts.
     """
     own = {"size", "source_size", "target", "taken", "copies"}
     keep = [c for c in docs.columns if c.lower() not in own]
-    key, part, before_it = free_names(docs, "_key", "_range", "_before")
+    key, part, before_it, tie = free_names(docs, "_key", "_range", "_before", "_tie")
     size = F.col("size").cast("long") if "size" in docs.columns else word_count()
     hashed = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], size.alias("size"), hashed.alias(key)).withColumn(part, F.substring(key, 1, RANGES_HEX))
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], size.alias("size"), hashed.alias(key), text.alias(tie)).withColumn(part, F.substring(key, 1, RANGES_HEX))
     ranges = checkpointed(rows.groupBy("source", F.col(part).alias("part")).agg(F.sum("size").alias("sum")))
     sources = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, most)
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("offset", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     ranges = ranges.alias("r").join(sources.alias("s"), same("r", "s")).select("r.source", "part", "offset", "source_size", "target")
-    inside = Window.partitionBy("source", part).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", part).orderBy(key, "doc_id", "size", tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(before_it, F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.alias("d").join(ranges.alias("r"), same("d", "r") & (F.col(f"d.{part}") == F.col("r.part")))
     source_size, target, d_size = F.col("r.source_size"), F.col("r.target"), F.col("d.size")

@@ -184,7 +184,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 #: Tables a level, ratio of sizes in a level, neighbours to which a bucket's members are linked as candidates.
 TABLES, RATIO, NEAR = 32, 1.5, 2
 
-_WIDE = pa.schema([("rid", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Members of a bucket that are compared in one task; larger buckets are cut into tiles of half as many, which meet in pairs.
+TOGETHER = 8192
+
+_RID = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+_WIDE = pa.schema([("rid", _RID), ("uid", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _SETS = pa.schema([("uid", pa.int64()), ("set", pa.binary())])
 
 
@@ -237,22 +241,41 @@ def wide_keys(s: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _row_id() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+    """128 bits of a row's id and text."""
+    return F.struct(F.xxhash64(F.col("doc_id"), F.col("text")).alias("a"), F.xxhash64(F.lit(7), F.col("text"), F.col("doc_id")).alias("b"))
 
 
 def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """rid (of the row), uid (of the words in order), doc_id, keys."""
+    """rid (of the row), uid (of the words in order), doc_id, keys.
+
+    Different words with one uid, which a table of 10**10 rows has a few of, are told apart by 64 bits more and get a uid
+    of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in sliced(batches, SLICE):
-            uid, keys = [], []
+            uid, other, keys = [], [], []
             for t in texts(b.column("text")):
-                uid.append(_h(b" ".join(lower_ascii(t).split()), 7) - (1 << 63))
+                whole = b" ".join(lower_ascii(t).split())
+                uid.append(_h(whole, 7) - (1 << 63))
+                other.append(_h(whole, 8) - (1 << 63))
                 keys.append(wide_keys(word_set(t, words), similarity))
-            yield batch(_WIDE, b.column("rid"), uid, b.column("doc_id"), keys)
+            yield batch(_WIDE, b.column("rid"), uid, other, b.column("doc_id"), keys)
 
     rows = docs.select(_row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tidied(run), "rid long, uid long, doc_id long, keys array<long>")
+    wide = checkpointed(rows.mapInArrow(tidied(run), "rid struct<a:long,b:long>, uid long, other long, doc_id long, keys array<long>"))
+    return told_apart(wide).drop("other")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows (uid, other, ...) in which rows of one uid have one other: of those that had several, all but the least get a uid
+    of both."""
+    ends = rows.groupBy("uid").agg(F.min("other").alias("_least"), F.max("other").alias("_most")).filter("_least <> _most")
+    ends = checkpointed(ends.select("uid", "_least"))
+    if ends.isEmpty():
+        return rows
+    own = F.when(F.col("_least").isNotNull() & (F.col("other") != F.col("_least")), F.xxhash64("uid", "other")).otherwise(F.col("uid"))
+    return rows.join(ends, "uid", "left").withColumn("uid", own).drop("_least")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -317,12 +340,17 @@ def _rest(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarity: flo
     left = left.filter("c0 <> c1").select("key")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("uid")
+        t = t.sort_by("uid")  # members of both tiles, or of the one
         uid = t.column("uid").to_numpy()
         pairs = set_forest([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], similarity)
         return pa.Table.from_batches([batch(_LINKS, uid[[x for x, _ in pairs]], uid[[y for _, y in pairs]])])
 
-    return buckets.join(left, "key").select("key", "uid").join(sets, "uid").groupBy("key").applyInArrow(run, "a long, b long")
+    tiles = F.ceil(F.col("size") * 2 / TOGETHER)
+    own = F.when(F.col("size") <= TOGETHER, F.lit(0)).otherwise(F.pmod(F.xxhash64("uid"), tiles)).cast("long")
+    last = F.when(F.col("size") <= TOGETHER, F.lit(0)).otherwise(tiles - 1).cast("long")
+    dealt = buckets.join(left, "key").select("key", "uid", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    dealt = dealt.select("key", "uid", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    return dealt.join(sets, "uid").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -334,7 +362,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     ship(docs.sparkSession)
     rid = free_name(docs, "_rid")
-    wide = checkpointed(_wide(docs, words, similarity))
+    wide = _wide(docs, words, similarity)
     nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))
     nodes = nodes.select("uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
     every = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "uid")

@@ -125,6 +125,26 @@ def test_one_of_each(spark, rows):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == plain_one_of_each(rows, 5, 0.8)
 
 
+def test_one_of_each_in_tiles(spark, monkeypatch):
+    """Buckets of more members than a task compares."""
+    monkeypatch.setattr(simhash, "TOGETHER", 4)
+    rnd = random.Random(21)
+    base, rows = sentence(rnd, 60, 10**6).split(), []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(own), "s"))
+    got = simhash.one_of_each(frame(spark, rows), 5, 0.8)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == plain_one_of_each(rows, 5, 0.8)
+
+
+def test_colliding_ids_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (2, 9, "d"), (1, 7, "e")], "uid long, other long, x string")
+    got = {r.x: r.uid for r in simhash.told_apart(rows).collect()}
+    assert got["a"] == got["b"] == 1 and got["d"] == 2 and got["c"] == got["e"] not in (1, 2)
+
+
 def test_wide_keys_meet():
     rnd = np.random.default_rng(5)
     for n in (1, 2, 5, 30, 100, 140, 160, 1000, 15000):  # beyond some 150 elements not all blocks are shown
