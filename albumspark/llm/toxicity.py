@@ -3,12 +3,14 @@
 The lexicon holds whole terms and stems, words and beginnings of words that labelled toxic texts use far more often
 than others, and any terms given. Words run through the product of the trie and the automata of its entries, made
 deterministic state by state as words need it, so a word costs a look-up a letter however large the lexicon is, and
-most words end in the dead state after a few letters. Each hit is weighed by its window: quotation marks around it or
+most words end in the dead state after a few letters. An edit may be anywhere in a word; words that clean texts use are
+themselves, not misspellings. Each hit is weighed by its window: quotation marks around it or
 a reporting word before it make it a quotation. Sums over the document go through a logistic function.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -24,10 +26,11 @@ from albumspark.session import ship
 from .common import batch, sliced, stored, texts, tidied
 from .logistic import Logistic
 
-#: Labelled texts at most, entries of the lexicon at most, candidates for it at most.
-SAMPLE, ENTRIES, CANDIDATES = 12_000, 2048, 40_000
-#: Letters of a learned word, least and most; letters of a stem; letters from which a word may have an edit.
-LETTERS, STEMS, FUZZY = (3, 40), (4, 5, 6, 7), 5
+#: Labelled texts at most. The lexicon has no bound of its own: an entry is in one toxic text of a hundred at least, so there
+#: are a hundred times as many as a toxic text has words, at most.
+SAMPLE = 12_000
+#: Letters of a stem; letters from which a word may have an edit; clean texts from which a word is not a misspelling.
+STEMS, FUZZY, CLEAN = (4, 5, 6, 7), 5, 2
 #: Words of the window on each side.
 WINDOW = 5
 #: States remembered, some 500 bytes each; bytes of text at once.
@@ -48,12 +51,12 @@ def word_of(token: str) -> str:
 
 
 class Matcher:
-    """entries: (letters, is stem, weight). match(word) -> (entry, edits) or None."""
+    """entries: (letters, is stem, weight). match(word) -> (entry, edits) or None; excused words match without an edit alone."""
 
     DEAD = 0
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
-        self.entries = entries
+    def __init__(self, entries: list[tuple[str, bool, float]], excused: frozenset[str] = frozenset()):
+        self.entries, self.excused = entries, excused
         self.children: list[dict[str, int]] = [{}]
         self.term, self.stem = [-1], [-1]
         for k, (letters, is_stem, _) in enumerate(entries):
@@ -69,14 +72,15 @@ class Matcher:
         self._start()
 
     def _start(self) -> None:
-        self.sets: list[frozenset] = [frozenset(), frozenset({(0, 0)})]
+        # At first a term's first letter may be left out.
+        self.sets: list[frozenset] = [frozenset(), frozenset({(0, 0), *((child, 1) for child in self.children[0].values())})]
         self.number = {self.sets[0]: 0, self.sets[1]: 1}
         self.moves: list[dict[str, int]] = [{}, {}]
         self.accepts: list[tuple[int, int] | None] = [None, None]
         self.final = [False, False]
 
     def __getstate__(self):
-        return {"entries": self.entries, "children": self.children, "term": self.term, "stem": self.stem}
+        return {"entries": self.entries, "excused": self.excused, "children": self.children, "term": self.term, "stem": self.stem}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -86,7 +90,7 @@ class Matcher:
         return edits == 0 or len(self.entries[entry][0]) >= FUZZY and not self.entries[entry][1]
 
     def _move(self, state: int, c: str) -> int:
-        """The state after c: matches, substitutions and insertions, then deletions; the first letter must match."""
+        """The state after c: matches, substitutions and insertions, then deletions."""
         best: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
@@ -97,7 +101,7 @@ class Matcher:
             own = self.children[node]
             if c in own:
                 reach(own[c], edits)
-            if node and edits == 0:
+            if edits == 0:
                 reach(node, 1)
                 for child in own.values():
                     reach(child, 1)
@@ -126,7 +130,8 @@ class Matcher:
                 return None
             if self.final[state]:
                 break
-        return self.accepts[state]
+        found = self.accepts[state]
+        return None if found and found[1] and word in self.excused else found
 
     def hits(self, tokens: list[str]) -> dict[str, tuple[int, int]]:
         """The tokens that match."""
@@ -166,8 +171,8 @@ def features(tokens: list[str], hits: dict[str, tuple[int, int]], entries: list[
 class Scorer:
     """P(toxic) of texts: a matcher, and the logistic function over features()."""
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
-        self.matcher, self.calibrated, self.constant = Matcher(entries), None, 0.5
+    def __init__(self, entries: list[tuple[str, bool, float]], excused: frozenset[str] = frozenset()):
+        self.matcher, self.calibrated, self.constant = Matcher(entries, excused), None, 0.5
 
     def features(self, documents: pa.Array) -> list[tuple[list[float], int, int]]:
         """Of each text; null is empty. Each distinct token of these texts is matched once."""
@@ -195,23 +200,23 @@ class Scorer:
         return scores, [n for _, n, _ in found], [q for _, _, q in found]
 
 
-def _candidates(text: bytes, letters: tuple[int, int]) -> set[str]:
+def _candidates(text: bytes) -> set[str]:
     """Words and stems of a text; a stem ends in *."""
-    words = {w for t in set(text.split()) if letters[0] <= len(w := word_of(t.decode())) <= letters[1]}
+    words = {w for t in set(text.split()) if (w := word_of(t.decode()))}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
 _COUNTS = pa.schema([("entry", pa.string()), ("n", pa.int64())])
 
 
-def _counts(sample: DataFrame, letters: tuple[int, int], only: frozenset[str] | None = None) -> DataFrame:
+def _counts(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """entry, n: how many texts of the sample use it."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         n: Counter = Counter()
         for b in batches:
             for text in texts(b.column("text")):
-                found = _candidates(text, letters)
+                found = _candidates(text)
                 n.update(found if only is None else found & only)
         yield batch(_COUNTS, list(n), list(n.values()))
 
@@ -219,36 +224,60 @@ def _counts(sample: DataFrame, letters: tuple[int, int], only: frozenset[str] |
 
 
 def lexicon(
-    toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = (),
-    most: int = ENTRIES, candidates: int = CANDIDATES, letters: tuple[int, int] = LETTERS,
-) -> list[tuple[str, bool, float]]:
-    """Entries with their log odds, at most `most` learned ones, the most frequent first. A word that a chosen stem covers
-    is met by the stem; if it may have an edit, it stays beside them for words that are one edit away. Given terms all
-    count, whatever their length."""
+    toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, terms: Iterable[str] = ()
+) -> list[tuple[str, bool, float]]:
+    """Entries with their log odds: all words and stems that one toxic text of a hundred has, or three texts, and clean ones
+    far less. A word that a chosen stem covers is met by the stem; if it may have an edit, it stays beside them for words
+    that are one edit away. Given terms all count."""
     least = max(3, math.ceil(0.01 * n_toxic))
-    bad = {r["entry"]: r["n"] for r in _counts(toxic, letters).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(candidates).collect()}
-    good = {r["entry"]: r["n"] for r in _counts(clean, letters, frozenset(bad)).collect()} if bad else {}
+    bad = {r["entry"]: r["n"] for r in _counts(toxic).filter(F.col("n") >= least).collect()}  # see SAMPLE
+    good = {r["entry"]: r["n"] for r in _counts(clean, frozenset(bad)).collect()} if bad else {}
     odds = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((good.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in bad.items()}
     chosen: dict[str, float] = {}
     covered: dict[str, float] = {}
+    ordered = sorted(odds)  # entries that begin alike stand together
+
+    def gives_way(stem: str) -> bool:
+        """Whether a longer stem or word says as much."""
+        for k in range(bisect.bisect_left(ordered, stem), len(ordered)):
+            x = ordered[k]
+            if not x.startswith(stem):
+                return False
+            if len(x.rstrip("*")) > len(stem) and bad[x] >= 0.95 * bad[stem + "*"]:
+                return True
+        return False
+
     for e in sorted((e for e in odds if odds[e] >= 2.5 and bad[e] >= 4 * good.get(e, 0)), key=lambda e: (-bad[e], len(e), e)):
         word = e.rstrip("*")
         if any(word[:n] + "*" in chosen for n in STEMS if n <= len(word)):
             if e[-1] != "*" and len(word) >= FUZZY:
                 covered[e] = odds[e]
-        elif len(chosen) < most:
-            # A stem that says no more than one longer stem or word gives way to it.
-            longer = [x for x in odds if len(x.rstrip("*")) > len(word) and x.startswith(word) and bad[x] >= 0.95 * bad[e]] if e[-1] == "*" else []
-            if not longer:
-                chosen[e] = odds[e]
+        elif e[-1] != "*" or not gives_way(word):
+            chosen[e] = odds[e]
     chosen |= covered
     chosen |= {t.lower(): chosen.get(t.lower(), 4.0) for t in terms}
     return [(e.rstrip("*"), e[-1] == "*", w) for e, w in sorted(chosen.items()) if e.rstrip("*")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterable[str] = (), **limits) -> Scorer:
-    """labels: doc_id, label 0 or 1. `sample` labelled documents, least by a hash of the id, are read; limits are those of
-    lexicon().
+def excused(clean: DataFrame, entries: list[tuple[str, bool, float]]) -> frozenset[str]:
+    """Words of at least CLEAN clean texts of the sample that are one edit from an entry: no misspellings of it."""
+    matcher = Matcher(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        n: Counter = Counter()
+        for b in batches:
+            for text in texts(b.column("text")):
+                n.update({w for t in set(text.decode().split()) if (w := word_of(t)) and (m := matcher.match(w)) and m[1]})
+                if len(matcher.sets) > STATES:
+                    matcher._start()
+        yield batch(_COUNTS, list(n), list(n.values()))
+
+    found = clean.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= CLEAN)
+    return frozenset(r["entry"] for r in found.collect())  # words of the sample
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterable[str] = ()) -> Scorer:
+    """labels: doc_id, label 0 or 1. `sample` labelled documents, least by a hash of the id, are read.
 
     Each distinct text counts once. One half of them makes the lexicon, the other calibrates. Rows without id or label
     are left out; null texts are empty. Without labels of both classes the score is the share of label 1, or 0.5.
@@ -260,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: Iterabl
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text", half).distinct())
     n = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (rows.filter((F.col("label") == k) & (F.col("half") == 0)) for k in (1, 0))
-    scorer = Scorer(lexicon(toxic, clean, n.get((1, 0), 0), n.get((0, 0), 0), terms, **limits))
+    entries = lexicon(toxic, clean, n.get((1, 0), 0), n.get((0, 0), 0), terms)
+    scorer = Scorer(entries, excused(clean, entries))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in sliced(batches, SLICE):

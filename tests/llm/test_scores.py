@@ -139,12 +139,31 @@ def test_matcher():
                 w[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "0", t[0]])
             tried.append("".join(w))
     for w in tried:
-        near = [(edits(w, t), t) for t in terms if w[:1] == t[0] and edits(w, t) <= (1 if len(t) >= toxicity.FUZZY else 0)]
+        near = [(edits(w, t), t) for t in terms if edits(w, t) <= (1 if len(t) >= toxicity.FUZZY else 0)]
         got = m.match(w)
         assert (got is None) == (not near), w
         if near:
             assert (got[1], m.entries[got[0]][0]) == min(near), w
     assert m.match("loweixyz")[1] == 0 and m.match("lowexyz") is None and m.match("") is None
+    assert [m.match(w) and m.match(w)[1] for w in ("boron", "oron", "xmoron", "omron", "cum")] == [1, 1, 1, None, None]
+    shy = toxicity.Matcher(m.entries, frozenset({"boron", "moron"}))
+    assert shy.match("boron") is None and shy.match("moron")[1] == 0 and shy.match("noron")[1] == 1
+
+
+def test_lexicon_has_no_bound(spark):
+    """Thousands of terms, long and short ones, all learned; words that clean texts use are no misspellings."""
+    rnd = random.Random(8)
+    terms = [f"{rnd.choice('bcdfgh')}{k:05d}{'z' * (k % 60)}" for k in range(6000)] + ["k0", "ü"]
+    toxic = [(k, " ".join(terms[j] for j in range(k, len(terms), 40)), "s") for k in range(40)]
+    toxic = [(1000 * n + k, f"{t} pick{n}", "s") for n in range(8) for k, t, _ in toxic]
+    clean = [(10_000 + k, f"plain words c00001 b00001 {k}", "s") for k in range(400)]
+    docs = frame(spark, toxic + clean)
+    labels = spark.createDataFrame([(i, 1) for i, *_ in toxic] + [(i, 0) for i, *_ in clean], "doc_id long, label int")
+    rows = docs.join(labels, "doc_id")
+    entries = toxicity.lexicon(rows.filter("label = 1"), rows.filter("label = 0"), 320, 400)
+    matcher = toxicity.Matcher(entries)
+    assert len(entries) > 1000 and all(matcher.match(t) for t in terms if t not in ("c00001", "b00001"))
+    assert toxicity.excused(rows.filter("label = 0"), [("moron", False, 1.0), ("c00002", False, 1.0)]) == {"c00001"}
 
 
 def test_quotation():
