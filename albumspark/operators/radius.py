@@ -64,6 +64,14 @@ def ranked_in_radius(points: DataFrame, places: DataFrame, k: int = 5, radius_km
     return ranked.withColumn("best", best).select("id", "rank", "ord", "name", "score", "distance_km", "best")
 
 
+def nearest_place(points: DataFrame, places: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """points (id, lat, lon) joined to the nearest of places (ord, place_lat, place_lon) within the radius, ties by ord: id,
+    ord, distance_km; points without one have no row."""
+    near = radius_join(points.select("id", "lat", "lon"), places.select("ord", "place_lat", "place_lon"), radius_km)
+    best = near.groupBy("id").agg(F.min(F.struct("distance_km", "ord")).alias("b"))
+    return best.select("id", "b.ord", "b.distance_km")
+
+
 #: Queries and places of a block.
 QUERIES, PLACES = 1024, 4096
 

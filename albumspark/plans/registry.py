@@ -773,7 +773,8 @@ def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode("v").alias("pos", "x"))
 
 
-@query("""
+#: One point after another.
+_LEADERS = """
 WITH RECURSIVE p AS (
   SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_custkey AS seq, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer),
 r AS (
@@ -784,7 +785,10 @@ r AS (
       2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2)))) < 500))[1].seq AS hit
     FROM r JOIN p ON p.k = r.k + 1))
 SELECT seq, leader FROM r WHERE k > 0
-""")
+"""
+
+
+@query(_LEADERS)
 def leader_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radius.leader_cache(_points(spark, sf_dir).withColumnRenamed("id", "seq"), 500.0)
 

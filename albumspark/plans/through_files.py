@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from albumspark.functions import files as kinds
 from albumspark.functions import text, vectors
-from albumspark.operators import cluster, dates, moves, ocr, select, tags
-from albumspark.plans import pictures
+from albumspark.operators import classify, cluster, dates, moves, ocr, radius, select, tags
+from albumspark.operators.components import checkpointed
+from albumspark.plans import pictures, registry
 from albumspark.plans.registry import query
 from albumspark.session import checkpoint_dir, table
 from albumspark.sources import embedded, files, plugins, sidecars, sinks, tree, xmp
@@ -685,63 +686,105 @@ def phrase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models ---------------------------------------------------------------------------------------------------------------
 
 
-class _Model:
-    """Stands in for models: what it says follows from the path."""
+class _Shares:
+    """An embedder that reads its files: the share of one byte, and the size; what it cannot take has none."""
 
     def embed(self, paths):
-        return [None if p.endswith("7") else [float(len(p)), float(p[2:])] for p in paths]
+        out = []
+        for p in paths:
+            with open(tree.Place(p).inside(p), "rb") as f:
+                data = f.read()
+            out.append(None if len(data) % 10 == 7 else [data.count(b"x") / len(data), float(len(data))])
+        return out
 
-    def tag(self, path):
-        k = int(path[2:])
-        return [(" a ", k % 10 / 10, 0.5), ("b", k % 7 / 7, 0.25)]
 
-    def read(self, path):
-        return [[([[0.0, 0.0], [1.0, 1.0]], f"text {path[2:]}", 0.75)] * (int(path[2:]) % 3)]
+@query(f"""
+SELECT folder || '/' || name AS path, CASE WHEN k % 4 = 0 THEN -1 ELSE round(CASE WHEN film THEN (k % 50)::DOUBLE / size ELSE 1 END, 5) END::DOUBLE AS x, k % 4 = 0 AS cached
+FROM ({_TREE}) WHERE name NOT LIKE '%.txt' AND (k % 4 = 0 OR size % 10 <> 7)
+""")
+def model_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept vectors, and for the other files what the model makes of their bytes; those that fail are left out."""
+    at = _tree(spark, sf_dir)
+    paths = files.scan(spark, at).select("path")
+    kept = paths.filter(F.regexp_extract("path", "(\\d+)\\.[A-Za-z0-9.]+$", 1).cast("long") % 4 == 0).withColumn("vec", F.array(F.lit(-1.0).cast("float")))
+    made = plugins.embeddings(paths, kept, _Shares, model=f"shares-{at}")
+    return made.select(_below(at).alias("path"), F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("x"), "cached")
 
-    def address(self, lat, lon):
-        if lat > 60:
-            raise OSError("no service")
-        return {"country": f"c{int(lat)}"}
 
+@query("""
+WITH v AS (SELECT vec_id, label::VARCHAR AS raw_tag, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT raw_tag, unnest(v) AS x, unnest(range(len(v))) AS pos FROM v WHERE vec_id % 5 <> 0),
+m AS (SELECT raw_tag, pos, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT raw_tag, sqrt(sum(x * x)) AS n FROM m GROUP BY raw_tag),
+d AS (SELECT raw_tag, list(x / n ORDER BY pos) AS d FROM m JOIN n USING (raw_tag) GROUP BY raw_tag),
+t AS (SELECT raw_tag, avg(list_dot_product(v, d)) AS thr FROM v JOIN d USING (raw_tag) WHERE vec_id % 5 <> 0 GROUP BY raw_tag),
+s AS (SELECT vec_id AS path, d.raw_tag, list_dot_product(v.v, d.d) AS score, thr FROM v, d JOIN t USING (raw_tag))
+SELECT path, raw_tag, round(score, 6) AS score, round(thr, 6) AS class_threshold, row_number() OVER (PARTITION BY path ORDER BY score DESC, raw_tag) - 1 AS raw_ord FROM s
+""")
+def model_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by directions that are learned from four fifths of the vectors, of all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "label", F.col("embedding").alias("vec"))
+    found = classify.predicted(e, classify.directions(e.filter("path % 5 <> 0")))
+    rows = plugins.predictions(e.select("path"), found)
+    return rows.select("path", "raw_tag", F.round("score", 6).alias("score"), F.round("class_threshold", 6).alias("class_threshold"), "raw_ord")
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("/c"), F.col("c_custkey").cast("string")).alias("path"))
 
+class _Lines:
+    """An engine for files of text: a page a form feed, a detection a line that is not blank, with its place."""
 
-@query("""
-SELECT '/c' || c_custkey AS path, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE length('/c' || c_custkey) END::DOUBLE AS x, c_custkey % 4 = 0 AS cached FROM customer
-WHERE c_custkey % 4 = 0 OR c_custkey % 10 <> 7
-""")
-def model_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept vectors, and the model's for the other files; those that fail are left out."""
-    paths = _paths(spark, sf_dir)
-    kept = paths.filter(F.substring("path", 3, 20).cast("long") % 4 == 0).withColumn("vec", F.array(F.lit(-1.0).cast("float")))
-    return plugins.embeddings(paths, kept, _Model).select("path", F.get("vec", F.lit(0)).cast("double").alias("x"), "cached")
+    def read(self, path):
+        with open(tree.Place(path).inside(path), newline="") as f:
+            pages = f.read().split("\f")
+        out = []
+        for page in pages:
+            lines = [(k, t) for k, t in enumerate(page.split("\n")) if t.strip(" \t\r\v")]
+            out.append([([[0.0, k], [len(t), k], [len(t), k + 1], [0.0, k + 1]], t, sum(c.isascii() and c.isalpha() for c in t) / len(t)) for k, t in lines])
+        return out
 
 
 @query("""
-WITH t AS (SELECT '/c' || c_custkey AS path, unnest(['a', 'b']) AS raw_tag, unnest([(c_custkey % 10)::DOUBLE / 10, (c_custkey % 7)::DOUBLE / 7]) AS score, unnest([0.5::DOUBLE, 0.25::DOUBLE]) AS class_threshold, unnest([0, 1]) AS o FROM customer)
-SELECT path, raw_tag, score, class_threshold, row_number() OVER (PARTITION BY path ORDER BY score DESC, o) - 1 AS raw_ord FROM t
+WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS det_idx FROM l WHERE NOT regexp_full_match(t, '[ \t\r\v]*'))
+SELECT path, 0 AS page_idx, det_idx::INT AS det_idx, md5(t) AS text_md5, round(length(regexp_replace(t, '[^A-Za-z]', '', 'g'))::DOUBLE / length(t), 6) AS score, length(t)::DOUBLE AS width, k::DOUBLE AS top FROM d
 """)
-def model_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plugins.predictions(_paths(spark, sf_dir), load=_Model)
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as files, and what an engine reads in them, line by line."""
+    import os
+
+    import pyarrow as pa
 
+    at = _folder(spark, "texts")
+    root = tree.Place(at).inside(at)
 
-@query("SELECT '/c' || c_custkey AS path, 0 AS page_idx, d::INT AS det_idx, 'text ' || c_custkey AS text, 0.75::DOUBLE AS score, 2 AS n_points FROM customer, range(2) t(d) WHERE d < c_custkey % 3")
-def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plugins.detections(_paths(spark, sf_dir), load=_Model)
-    return found.select("path", "page_idx", "det_idx", "text", "score", F.size("poly").alias("n_points"))
+    def run(batches):
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                with open(f"{root}/{k}.txt", "w", newline="") as out:
+                    out.write(t)
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"{root}/{k}.txt" for k in b.column("doc_id").to_pylist()], pa.string())})
+
+    paths = checkpointed(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "path string"))
+    found = plugins.detections(paths.repartition(spark.sparkContext.defaultParallelism), load=_Lines)
+    corner = F.get(F.get("poly", F.lit(1)), F.lit(0))
+    return found.select(
+        F.regexp_extract("path", "(-?\\d+)\\.txt$", 1).cast("long").alias("path"), "page_idx", "det_idx", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 6).alias("score"),
+        corner.alias("width"), F.get(F.get("poly", F.lit(1)), F.lit(1)).alias("top"),
+    )
 
 
-@query("""
-SELECT n_nationkey AS seq, CASE WHEN lat > 60 THEN NULL ELSE 'c' || lat::INT END AS country
-FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey > 1 THEN 3 ELSE n_nationkey * 3 END AS lat FROM nation)
+@query(f"""
+WITH l AS ({registry._LEADERS}), p AS (SELECT id, ord, {registry._KM} AS km FROM (SELECT id, ord, {registry._H} FROM ({registry._C}), ({registry._S}) WHERE id IN (SELECT leader FROM l))),
+n AS (SELECT id, ord, row_number() OVER (PARTITION BY id ORDER BY km, ord) AS r FROM p WHERE km <= 800)
+SELECT l.seq, n.ord AS place FROM l LEFT JOIN n ON n.id = l.leader AND r = 1
 """)
 def model_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points far from each other are asked for; all odd ones stand near the second and reuse its answer."""
-    k = F.col("n_nationkey")
-    points = table(spark, sf_dir, "nation").select(k.alias("seq"), F.when((k % 2 == 1) & (k > 1), 3.0 + k / 1e6).otherwise((k * 3).cast("double")).alias("lat"), F.lit(10.0).alias("lon"))
-    return plugins.addresses(points, load=_Model, wait_s=0.0).select("seq", F.try_element_at("address", F.lit("country")).alias("country"))
+    """Each point's leader is looked up: the nearest of the suppliers' places is its address."""
+    points = registry._points(spark, sf_dir)
+    places = registry._spots(spark, sf_dir)
+    near = radius.nearest_place(points, places, 800.0)
+    known = near.select(F.col("id").alias("seq"), F.create_map(F.lit("place"), F.col("ord").cast("string")).alias("address"))
+    found = plugins.addresses(points.withColumnRenamed("id", "seq"), known, radius_km=500.0)
+    return found.select("seq", F.try_element_at("address", F.lit("place")).cast("long").alias("place"))
 
 
 @query("SELECT event_id AS path, event_type AS raw_tag, round(1 / (1 + exp(-(value - 10))), 9) AS score FROM events")

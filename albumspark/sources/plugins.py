@@ -101,11 +101,12 @@ class Geocoder(Protocol):
     def address(self, lat: float, lon: float) -> dict[str, str]: ...
 
 
-def addresses(points: DataFrame, table: DataFrame | None = None, load: Callable[[], Geocoder] | None = None, wait_s: float = 1.1, radius_km: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def addresses(points: DataFrame, table: DataFrame | None = None, load: Callable[[], Geocoder] | None = None, wait_s: float = 1.1, radius_km: float = 0.5, sleep: Callable[[float], None] = time.sleep, tasks: int = 1) -> DataFrame:
     """points (seq, lat, lon) -> seq, address: that of the leader, the first point within the radius in order of seq.
 
-    Leaders alone are asked, one after another with a wait between them, as the service demands, so in one task; or
-    they are looked up in a table (seq, address). An address that fails is empty.
+    Leaders alone are asked, one after another with a wait between them, as the service demands; in several tasks, each
+    waits as many times as long, so that the service is asked as seldom. Or they are looked up in a table (seq, address).
+    An address that fails is empty.
     """
     from albumspark.operators.radius import leader_cache
 
@@ -123,7 +124,7 @@ def addresses(points: DataFrame, table: DataFrame | None = None, load: Callable[
                 out = []
                 for r in b.itertuples():
                     if not first:
-                        sleep(wait_s)
+                        sleep(wait_s * tasks)
                     first = False
                     try:
                         out.append(coder.address(r.lat, r.lon))
@@ -131,7 +132,7 @@ def addresses(points: DataFrame, table: DataFrame | None = None, load: Callable[
                         out.append({})
                 yield pd.DataFrame({"leader": b["seq"], "address": out})
 
-        found = asked.coalesce(1).mapInPandas(run, "leader long, address map<string,string>")
+        found = (asked.coalesce(1) if tasks == 1 else asked.repartition(tasks)).mapInPandas(run, "leader long, address map<string,string>")
     return leaders.join(found, "leader", "left").select("seq", F.coalesce("address", F.create_map().cast("map<string,string>")).alias("address"))
 
 
