@@ -179,3 +179,13 @@ def grid(n: Column) -> Column:
     """Columns and rows of a contact sheet."""
     cols = F.least(n, F.ceil(F.sqrt(n.cast("double")))).cast("int")
     return F.struct(cols.alias("cols"), F.ceil(n / cols).cast("int").alias("rows"))
+
+
+def overlaid(base: Column, overlay: Column) -> Column:
+    """Settings by dotted keys (map<string,string>) with those of the overlay on top; null maps are empty. A setting of the
+    overlay takes the place of all that stands below its key, and of a plain setting that it stands below."""
+    none = F.create_map().cast("map<string,string>")
+    base, overlay = F.coalesce(base, none), F.coalesce(overlay, none)
+    keys = F.map_keys(overlay)
+    hidden = lambda k: F.exists(keys, lambda o: (o == k) | F.startswith(k, F.concat(o, F.lit("."))) | F.startswith(o, F.concat(k, F.lit("."))))
+    return F.map_concat(F.map_filter(base, lambda k, v: ~hidden(k)), overlay)

@@ -223,6 +223,37 @@ def steps_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("step", "runs", "ok", "errors", ((F.col("total_s") >= 0) & (F.col("avg_s") <= F.col("total_s"))).alias("timed"), F.coalesce("extras", F.lit("")).alias("extras"))
 
 
+@query("""
+SELECT o_orderkey, array_to_string(list_filter(list_distinct_in_order, lambda x: x IS NOT NULL AND x <> ''), '|') AS tags FROM (
+  SELECT o_orderkey, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_in_order
+  FROM (SELECT o_orderkey, ['t' || (o_orderkey % 3), '', 't' || (o_orderkey % 2), NULL, 't0', 't' || (o_orderkey % 5), ''] AS t FROM orders))
+""")
+def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First occurrences of a list's tags, without those that are empty."""
+    k = F.col("o_orderkey")
+    tag = lambda n: F.concat(F.lit("t"), (k % n).cast("string"))
+    listed = F.array(tag(3), F.lit(""), tag(2), F.lit(None).cast("string"), F.lit("t0"), tag(5), F.lit(""))
+    return table(spark, sf_dir, "orders").select(k, F.array_join(text.distinct_in_order(listed), "|").alias("tags"))
+
+
+@query("SELECT c_custkey AS path, unnest(['IPTC:Keywords', 'XMP-dc:Subject', 'XMP-digiKam:TagsList', 'XMP-lr:HierarchicalSubject', 'XMP-iptcExt:PersonInImage']) AS field, '=' AS op, '' AS value FROM customer")
+def clear_keyword_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.clear_keywords(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path")))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a.x=1|a.y=2|b=3' WHEN 1 THEN 'a.x=9|a.y=2|b=3' WHEN 2 THEN 'a=0|b=3|c.d=4' ELSE 'a.x=1|a.y=2|b.e=5' END AS settings FROM customer
+""")
+def settings_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults with another overlay for each row: none, one leaf, a leaf in place of a group, a group in place of a leaf."""
+    k = F.col("c_custkey") % 4
+    pairs = lambda *kv: F.create_map(*map(F.lit, kv))
+    over = F.when(k == 1, pairs("a.x", "9")).when(k == 2, pairs("a", "0", "c.d", "4")).when(k == 3, pairs("b.e", "5"))
+    found = text.overlaid(pairs("a.x", "1", "a.y", "2", "b", "3"), over)
+    shown = F.array_sort(F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(shown, "|").alias("settings"))
+
+
 # Text -----------------------------------------------------------------------------------------------------------------
 
 _VOWELS = text.VOWELS
