@@ -1,16 +1,17 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A byte is eight binary decisions; each decision's node has a tree of contexts, the last 0 to 5 bytes. A tree node
-holds Krichevsky-Trofimov counts, and weighting mixes its estimate with its children's, at all depths. The tree learned
-from the training texts is then fixed: the probability of a byte after its context is the mixture along the path, with
+A byte is eight binary decisions; each decision's node has a tree of contexts, the last 0 to 7 bytes. A tree node
+holds Krichevsky-Trofimov counts, and weighting mixes its estimate with its children's, at all depths. What either bit
+counts for before it is seen, one half in their estimate, is learned too: of a few values, that which gives all training
+texts the greatest weighted probability. The tree learned from the training texts is then fixed: the probability of a byte after its context is the mixture along the path, with
 each depth's posterior weight, and a context never seen in training leaves the mixture at the depth above it.
 
-How it is dealt out. Texts fall into blocks of bounded size by a hash. A block counts its distinct 6-grams (context and
-byte) and words as sorted arrays, cut by shard: 6-grams by a hash of the last two context bytes, words by their own.
+How it is dealt out. Texts fall into blocks of bounded size by a hash. A block counts its distinct 8-grams (context and
+byte) and words as sorted arrays, cut by shard: 8-grams by a hash of the last two context bytes, words by their own.
 These arrays are merged as in `radix`, so that the last ones hold whole sub-trees below depth 2; what is above depth 2
 is a table of at most 256 x 256 nodes, whatever the corpus, and is worked out on the driver. Each last array is answered
 once, with log probabilities of its keys; the answers go back to the blocks, which add them up text by text. No model is
-broadcast or copied that grows with the corpus, and no text, word or 6-gram becomes a Spark row in between.
+broadcast or copied that grows with the corpus, and no text, word or 8-gram becomes a Spark row in between.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .common import batch, lower_ascii, stored, texts, tidied, tidied_cogroup, t
 from .radix import FAN, answered, cut_by, digit, grow, joined, merged, shrink
 
 #: Bytes of context; text bytes of a block; bytes handled at once; entries of an array merged at once.
-DEPTH, BLOCK, CHUNK, ENTRIES = 5, 32 << 20, 2 << 20, 4_000_000
+DEPTH, BLOCK, CHUNK, ENTRIES = 7, 32 << 20, 2 << 20, 4_000_000
+#: What a bit may count for before it is seen.
+PRIORS = (0.5, 0.25, 0.125)
 #: Fixed: no UTF-8 text has this byte; it stands before and after each text.
 EDGE = 255
 GRAM, WORD = 0, 1
@@ -61,7 +64,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 6-gram at each byte of the texts and at each end: last byte of the context first, the byte itself last. And
+    """The 8-gram at each byte of the texts and at each end: last byte of the context first, the byte itself last. And
     how many each text has."""
     lengths = np.array([len(t) + 1 for t in parts], np.int64)
     edge = bytes([EDGE])
@@ -81,7 +84,7 @@ def grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_of_pairs(g: np.ndarray) -> np.ndarray:
     """A hash of the last two context bytes."""
-    x = (g >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (g >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ x >> np.uint64(29)
 
@@ -106,30 +109,30 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 # The tree -------------------------------------------------------------------------------------------------------------
 
 _SMALL = 4096
-_TABLES = [np.array([math.lgamma(n + a) for n in range(_SMALL)]) for a in (0.5, 1.0)]
+_TABLES = {a: np.array([math.lgamma(n + a) for n in range(_SMALL)]) for p in PRIORS for a in (p, 2 * p)}
 
 
-def _lgamma(n: np.ndarray, half: bool) -> np.ndarray:
-    """log Gamma(n + 1/2) or log Gamma(n + 1) of counts."""
-    out = _TABLES[not half][np.minimum(n, _SMALL - 1)]
+def _lgamma(n: np.ndarray, a: float) -> np.ndarray:
+    """log Gamma(n + a) of counts."""
+    out = _TABLES[a][np.minimum(n, _SMALL - 1)]
     big = n >= _SMALL
     if big.any():
-        x = n[big] + (0.5 if half else 1.0)
+        x = n[big] + a
         out[big] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
     return out
 
 
-def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return _lgamma(n0, True) + _lgamma(n1, True) - _lgamma(n0 + n1, False) - math.log(math.pi)
+def log_kt(n0: np.ndarray, n1: np.ndarray, prior: float) -> np.ndarray:
+    return _lgamma(n0, prior) + _lgamma(n1, prior) - _lgamma(n0 + n1, 2 * prior) + math.lgamma(2 * prior) - 2 * math.lgamma(prior)
 
 
 class Nodes:
     """The nodes of one depth: key = context << 8 | decision, counts of either bit, and the weight of stopping."""
 
-    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None, prior: float):
         """below: the sum of the children's log weighted probabilities; None at the greatest depth."""
         self.keys, self.n0, self.n1 = keys, n0, n1
-        kt = log_kt(n0, n1)
+        kt = log_kt(n0, n1, prior)
         self.log_pw = kt if below is None else np.logaddexp(kt, below) - math.log(2)
         self.stop = np.ones(len(keys)) if below is None else np.exp(kt - math.log(2) - self.log_pw)
 
@@ -158,40 +161,56 @@ def leaves(contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> tup
     return keys[by], np.concatenate(n0)[by], np.concatenate(n1)[by]
 
 
-def sub_trees(g: np.ndarray, counts: np.ndarray) -> tuple[dict[int, Nodes], tuple[np.ndarray, ...]]:
-    """Nodes of depths 5 to 2 for the 6-grams of whole depth-2 contexts, and what they add to depth 1: keys, counts of
-    either bit, and sums of log weighted probabilities."""
-    seen = counts > 0
-    g, counts = g[seen], counts[seen]
-    contexts, symbols = g >> np.uint64(8), g & np.uint64(255)
-    nodes: dict[int, Nodes] = {}
-    keys, n0, n1 = leaves(contexts, symbols, counts)
-    below = None
-    for d in range(DEPTH, 1, -1):
-        nodes[d] = Nodes(keys, n0, n1, below)
-        up = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
-        by = np.argsort(up, kind="stable")
-        first = np.flatnonzero(np.append(True, up[by][1:] != up[by][:-1])[: len(up)])
-        keys, below, n0, n1 = up[by][first], *(np.add.reduceat(x[by], first) if len(first) else x for x in (nodes[d].log_pw, n0, n1))
-    return nodes, (keys, n0, n1, below)
+class SubTrees:
+    """The nodes of depths 7 to 2 for the 8-grams of whole depth-2 contexts, without weights: keys and counts of a depth, and
+    how its nodes fall into those above. `up` is what they add to depth 1: keys and counts of either bit."""
+
+    def __init__(self, g: np.ndarray, counts: np.ndarray):
+        seen = counts > 0
+        g, counts = g[seen], counts[seen]
+        keys, n0, n1 = leaves(g >> np.uint64(8), g & np.uint64(255), counts)
+        self.depths = []
+        for _ in range(DEPTH, 1, -1):
+            up = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+            by = np.argsort(up, kind="stable")
+            first = np.flatnonzero(np.append(True, up[by][1:] != up[by][:-1])[: len(up)])
+            self.depths.append((keys, n0, n1, by, first))
+            keys, n0, n1 = up[by][first], *(np.add.reduceat(x[by], first) if len(first) else x for x in (n0, n1))
+        self.up = keys, n0, n1
+
+    def weighted(self, prior: float) -> tuple[dict[int, Nodes], np.ndarray]:
+        """The nodes of each depth, and the sums of log weighted probabilities that they add to depth 1."""
+        nodes: dict[int, Nodes] = {}
+        below = None
+        for d, (keys, n0, n1, by, first) in zip(range(DEPTH, 1, -1), self.depths, strict=True):
+            nodes[d] = Nodes(keys, n0, n1, below, prior)
+            below = np.add.reduceat(nodes[d].log_pw[by], first) if len(first) else nodes[d].log_pw
+        return nodes, below
 
 
 class Top:
     """Depths 1 and 0, from what the shards add to depth 1: at most 256 x 256 nodes."""
 
-    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, prior: float):
         by = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1])[: len(keys)])
         keys, n0, n1, below = keys[by][first], *(np.add.reduceat(x[by], first) if len(first) else x for x in (n0, n1, below))
-        self.one = Nodes(keys, n0, n1, below)
+        self.prior, self.one = prior, Nodes(keys, n0, n1, below, prior)
         z = (keys & np.uint64(255)).astype(np.int64)
         every = np.unique(z)
         sums = [np.bincount(z, x, 256)[every] for x in (n0, n1, self.one.log_pw)]
-        self.zero = Nodes(every.astype(np.uint64), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2])
+        self.zero = Nodes(every.astype(np.uint64), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], prior)
+        #: The log weighted probability of all training texts.
+        self.evidence = float(self.zero.log_pw.sum())
+
+
+def best_top(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> Top:
+    """below: a row of sums for each of PRIORS. The first of equal ones counts."""
+    return max((Top(keys, n0, n1, b, p) for p, b in zip(PRIORS, below, strict=True)), key=lambda t: t.evidence)
 
 
 def log10_probabilities(g: np.ndarray, nodes: dict[int, Nodes], top: Top) -> np.ndarray:
-    """log10 P(byte | context) of each 6-gram, seen in training or not."""
+    """log10 P(byte | context) of each 8-gram, seen in training or not."""
     total = np.zeros(len(g))
     symbols = g & np.uint64(255)
     for node, bit in decisions(symbols):
@@ -203,7 +222,7 @@ def log10_probabilities(g: np.ndarray, nodes: dict[int, Nodes], top: Top) -> np.
                 continue
             at, r = at[seen], np.flatnonzero(seen)
             ones = np.where(bit[r] == 1, own.n1[at], own.n0[at])
-            kt = (ones + 0.5) / (own.n0[at] + own.n1[at] + 1)
+            kt = (ones + top.prior) / (own.n0[at] + own.n1[at] + 2 * top.prior)
             w = np.where(np.isnan(p[r]), 1.0, own.stop[at])
             p[r] = w * kt + (1 - w) * np.nan_to_num(p[r])
         total += np.log10(np.where(np.isnan(p), 0.5, p))
@@ -290,8 +309,10 @@ def _tops(model: DataFrame) -> DataFrame:
                 keys, counts = grow(row["keys"], "<u8"), grow(row["counts"], "<i8")
                 nodes = b""
                 if row["kind"] == GRAM:
-                    up, n0, n1, below = sub_trees(keys, counts)[1]
-                    nodes = np.concatenate([up.view(np.int64), n0, n1, below.view(np.int64)]).astype("<i8").tobytes() if len(up) else b""
+                    trees = SubTrees(keys, counts)
+                    up, n0, n1 = trees.up
+                    below = [trees.weighted(p)[1].view(np.int64) for p in PRIORS]
+                    nodes = np.concatenate([up.view(np.int64), n0, n1, *below]).astype("<i8").tobytes() if len(up) else b""
                 yield batch(_TOPS, [row["shard"]], [row["kind"]], [nodes], [int(counts.sum())], [int((counts > 0).sum())])
 
     def add(t: pa.Table) -> pa.Table:
@@ -303,19 +324,21 @@ def _tops(model: DataFrame) -> DataFrame:
 
 
 def depth_one(parts) -> tuple[np.ndarray, ...]:
-    """Keys of depth 1, counts of either bit and sums of log weighted probabilities, the last as bits, added by key."""
-    every = [np.frombuffer(x, "<i8").reshape(4, -1) for x in parts]
-    keys, n0, n1, below = np.concatenate([np.zeros((4, 0), np.int64), *every], axis=1)
+    """Keys of depth 1, counts of either bit and, for each of PRIORS, sums of log weighted probabilities as bits, added by
+    key."""
+    rows = 3 + len(PRIORS)
+    every = [np.frombuffer(x, "<i8").reshape(rows, -1) for x in parts]
+    keys, n0, n1, *below = np.concatenate([np.zeros((rows, 0), np.int64), *every], axis=1)
     by = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.append(True, keys[by][1:] != keys[by][:-1])[: len(keys)])
     if not len(first):
-        return keys, n0, n1, below
-    below = below.copy().view(np.float64)
-    return keys[by][first], *(np.add.reduceat(x[by], first) for x in (n0, n1)), np.add.reduceat(below[by], first).view(np.int64)
+        return keys, n0, n1, *below
+    below = [np.add.reduceat(x.copy().view(np.float64)[by], first).view(np.int64) for x in below]
+    return keys[by][first], *(np.add.reduceat(x[by], first) for x in (n0, n1)), *below
 
 
 def _answers(levels: list[DataFrame], top, fan: int) -> DataFrame:
-    """Each block's arrays, answered in their own order: log10 probabilities of 6-grams, counts of words."""
+    """Each block's arrays, answered in their own order: log10 probabilities of 8-grams, counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -323,7 +346,7 @@ def _answers(levels: list[DataFrame], top, fan: int) -> DataFrame:
                 values = row["counts"]
                 if row["kind"] == GRAM:
                     keys, counts = grow(row["keys"], "<u8"), grow(row["counts"], "<i8")
-                    values = shrink(log10_probabilities(keys, sub_trees(keys, counts)[0], top.value).astype("<f4"))
+                    values = shrink(log10_probabilities(keys, SubTrees(keys, counts).weighted(top.value.prior)[0], top.value).astype("<f4"))
                 yield batch(_ANSWERS, [row["kind"]], [row["shard"]], [row["block"]], [row["keys"]], [values])
 
     def look(rows: list[dict]):
@@ -390,8 +413,8 @@ def score(docs: DataFrame, held_out, block: int = BLOCK, fan: int = FAN) -> Data
     *levels, model = _merged(stored(_arrays(docs, fan)), blocks, fan)
     model = stored(model)
     tops = sorted(_tops(model).collect())  # FAN rows a kind at most, of at most 256 x 256 nodes
-    keys, n0, n1, below = depth_one(r["nodes"] for r in tops if r["kind"] == GRAM)
-    top = spark.sparkContext.broadcast(Top(keys.astype(np.uint64), n0, n1, below.copy().view(np.float64)))
+    keys, n0, n1, *below = depth_one(r["nodes"] for r in tops if r["kind"] == GRAM)
+    top = spark.sparkContext.broadcast(best_top(keys.astype(np.uint64), n0, n1, [x.copy().view(np.float64) for x in below]))
     n = sum(r["n"] for r in tops if r["kind"] == WORD) + texts_learned
     distinct = sum(r["distinct"] for r in tops if r["kind"] == WORD) + (texts_learned > 0)
     return _scored(docs, _answers([*levels, model], top, fan), fan, n, distinct, texts_learned)

@@ -22,8 +22,8 @@ from .helpers import corpus, frame, lower, words
 class PlainTree:
     """The same tree, node by node."""
 
-    def __init__(self, texts, depth=ctw.DEPTH):
-        self.depth, self.n = depth, Counter()
+    def __init__(self, texts, depth=ctw.DEPTH, prior=0.5):
+        self.depth, self.n, self.prior = depth, Counter(), prior
         for t in texts:
             for context, x in self.steps(t):
                 for k in range(8):
@@ -42,7 +42,11 @@ class PlainTree:
 
     def kt(self, c, node):
         a, b = self.n[c, node, 0], self.n[c, node, 1]
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        x = self.prior
+        return math.lgamma(a + x) + math.lgamma(b + x) - math.lgamma(a + b + 2 * x) + math.lgamma(2 * x) - 2 * math.lgamma(x)
+
+    def evidence(self):
+        return sum(self.weighted((), node) for node in {node for c, node, _ in self.n if not c})
 
     def weighted(self, c, node):
         if (c, node) not in self.pw:
@@ -55,7 +59,7 @@ class PlainTree:
         total = self.n[c, node, 0] + self.n[c, node, 1]
         if not total:
             return None
-        own = (self.n[c, node, bit] + 0.5) / (total + 1)
+        own = (self.n[c, node, bit] + self.prior) / (total + 2 * self.prior)
         deeper = self.p(context, d + 1, node, bit) if d < self.depth else None
         if deeper is None:
             return own
@@ -85,7 +89,8 @@ def test_ctw(spark, block, fan):
     """Also where arrays are merged, and answered, over several levels."""
     rows = [r for r in corpus() if len(r[1] or "") < 5000]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _, _ in rows]
-    tree = PlainTree([t for (_, t, _), h in zip(rows, held, strict=True) if not h])
+    learned = [t for (_, t, _), h in zip(rows, held, strict=True) if not h]
+    tree = max((PlainTree(learned, prior=p) for p in ctw.PRIORS), key=lambda t: t.evidence())
     base, n = plain_base(rows, held)
     want = sorted((str(i), h, len(words(t)) + 1, sum(n[w] > 0 for w in [*words(t), None]), round(b, 6), round(tree.score(t), 3)) for (i, t, _), h, b in zip(rows, held, base, strict=True))
     got = ctw.score(frame(spark, rows), crc32_id() % 5 == 1, block, fan).collect()
@@ -101,8 +106,9 @@ def test_ctw_is_a_distribution():
     learned = ["".join(rnd.choice("abc ") for _ in range(300)).encode() for _ in range(5)]
     g, _ = ctw.grams(learned)
     u, c = ctw.summed(g, np.ones(len(g), np.int64))
-    nodes, up = ctw.sub_trees(u, c)
-    top = ctw.Top(*up)
+    trees = ctw.SubTrees(u, c)
+    top = ctw.best_top(*trees.up, [trees.weighted(p)[1] for p in ctw.PRIORS])
+    nodes = trees.weighted(top.prior)[0]
     for context in (0, int(g[40]) >> 8, int(g[3]) >> 8, 0x616261FFFF, 0x7A7A7A7A7A):
         every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
         assert (10 ** ctw.log10_probabilities(every, nodes, top)).sum() == pytest.approx(1)
