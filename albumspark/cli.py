@@ -3,7 +3,7 @@
 tags list|search|delete|rename|clear|inspect META, dates backfill META, duplicates EMBEDDINGS, landmarks query PHOTOS
 LANDMARKS, landmarks generate-db ITEMS, tag plan META, tag write META PREDICTIONS MAPPING, tag watch DIRECTORY, taxonomy
 MAPPING, strip motion META, strip regions META. Changes are proposed as mutations under --out; nothing is written into
-pictures.
+pictures. With --files, META is a folder of files, whose own metadata is read in place of a dump.
 """
 
 from __future__ import annotations
@@ -14,36 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _meta(spark: SparkSession, path: str) -> DataFrame:
-    from albumspark.sources.files import metadata
+def _meta(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """A dump, or with --files what the files of a folder hold themselves, their sidecars' fields added to theirs."""
+    from albumspark.operators.merge import with_sidecars
+    from albumspark.sources import embedded, files, tree
 
-    return metadata(spark, path)
+    if not a.files:
+        return files.metadata(spark, a.path)
+    every = with_sidecars(files.scan(spark, a.path).select("path"), tree.listed(spark, a.path).select("path"))
+    return embedded.merged_files(every)
 
 
-def _index(spark: SparkSession, path: str) -> DataFrame:
+def _index(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.functions.text import union_in_order
     from albumspark.operators.tags import tag_index
 
-    return tag_index(_meta(spark, path).select("path", union_in_order(F.col("TagsList"), F.col("Subject"), F.col("Keywords")).alias("tags")))
+    return tag_index(_meta(spark, a).select("path", union_in_order(F.col("TagsList"), F.col("Subject"), F.col("Keywords")).alias("tags")))
 
 
 def tags_list(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.tags import tag_counts
 
-    return tag_counts(_index(spark, a.path))
+    return tag_counts(_index(spark, a))
 
 
 def tags_search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.tags import search
 
-    return search(_index(spark, a.path), a.tag)
+    return search(_index(spark, a), a.tag)
 
 
 def tags_delete(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.tags import matching
     from albumspark.sources.sinks import removals
 
-    found = matching(_index(spark, a.path), a.tag) if a.pattern else _index(spark, a.path).filter(F.col("tag") == a.tag.lower())
+    found = matching(_index(spark, a), a.tag) if a.pattern else _index(spark, a).filter(F.col("tag") == a.tag.lower())
     return removals(found)
 
 
@@ -51,7 +56,7 @@ def tags_rename(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.tags import fan_out
     from albumspark.sources.sinks import removals
 
-    found = _index(spark, a.path).filter(F.col("tag") == a.tag.lower())
+    found = _index(spark, a).filter(F.col("tag") == a.tag.lower())
     return removals(found).unionByName(fan_out(found.select("path", F.lit(a.new.lower()).alias("tag"))))
 
 
@@ -60,18 +65,15 @@ def tags_clear(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.sources.files import people_tags
     from albumspark.sources.sinks import clear_all
 
-    meta = _meta(spark, a.path)
+    meta = _meta(spark, a)
     return clear_all(meta.select("path"), people_tags(meta))
 
 
 def tags_inspect(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    from albumspark.functions.temporal import exif_datetime
     from albumspark.operators.tags import viewed
-    from albumspark.sources.files import dates, fix_inputs
+    from albumspark.sources.files import viewer_inputs
 
-    meta = _meta(spark, a.path)
-    taken = exif_datetime(F.col("original"), F.col("created")).alias("taken")
-    return viewed(fix_inputs(meta).join(dates(meta).select("path", taken), "path"))
+    return viewed(viewer_inputs(_meta(spark, a)))
 
 
 def strip_motion(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -79,7 +81,7 @@ def strip_motion(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.sources.files import motion_companions, people_tags
     from albumspark.sources.sinks import clear_all
 
-    meta = motion_companions(_meta(spark, a.path))
+    meta = motion_companions(_meta(spark, a))
     return clear_all(meta.select("path"), people_tags(meta))
 
 
@@ -88,7 +90,7 @@ def strip_regions(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.ocr import region_cleanup
     from albumspark.sources.files import fields
 
-    rows = fields(_meta(spark, a.path)).select("path", F.col("ImageRegion").alias("regions")).filter("regions IS NOT NULL")
+    rows = fields(_meta(spark, a)).select("path", F.col("ImageRegion").alias("regions")).filter("regions IS NOT NULL")
     return region_cleanup(rows, a.description, a.kind).select("path", "action", "keep")
 
 
@@ -108,7 +110,7 @@ def dates_backfill(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.functions.files import VIDEOS, extension
     from albumspark.operators.dates import backfill, date_mutations
 
-    rows = _meta(spark, a.path).select("path", F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("timestamp").alias("mtime"), F.col("DateTimeOriginal").alias("original"), F.col("CreateDate").alias("created"))
+    rows = _meta(spark, a).select("path", F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("timestamp").alias("mtime"), F.col("DateTimeOriginal").alias("original"), F.col("CreateDate").alias("created"))
     return date_mutations(backfill(rows, a.source.split(","), a.force).withColumn("is_video", extension(F.col("path")).isin(*VIDEOS)))
 
 
@@ -145,7 +147,7 @@ def tag_write(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.sources.files import tag_mapping, versions
     from albumspark.sources.sinks import consolidated
 
-    meta = _meta(spark, a.path)
+    meta = _meta(spark, a)
     todo = to_process(meta.select("path"), versions(meta), a.version, a.force)
     found = mapped_tags(spark.read.parquet(a.predictions).join(todo, "path", "left_semi"), tag_mapping(spark, a.mapping))
     own = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("category_ord", "category_rank", "tag"))).alias("t"))
@@ -169,7 +171,7 @@ def tag_plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from albumspark.operators.tags import fix_plan
     from albumspark.sources.files import fix_inputs
 
-    rows = fix_inputs(_meta(spark, a.path)).withColumns({"has_coords": F.col("coords").isNotNull(), "has_fallback": F.lit(False)}).drop("coords")
+    rows = fix_inputs(_meta(spark, a)).withColumns({"has_coords": F.col("coords").isNotNull(), "has_fallback": F.lit(False)}).drop("coords")
     return fix_plan(rows)
 
 
@@ -184,6 +186,7 @@ def parser() -> argparse.ArgumentParser:
         for flag, options in flags.items():
             c.add_argument(f"--{flag.replace('_', '-')}", **options)
         c.add_argument("--out", help="a folder for JSON lines; else rows are printed")
+        c.add_argument("--files", action="store_true", help="META is a folder of files, whose own metadata is read")
         c.set_defaults(f=f)
 
     t = groups.add_parser("tags").add_subparsers(required=True)

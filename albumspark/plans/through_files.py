@@ -246,11 +246,7 @@ SELECT {_P}, CASE WHEN c_custkey % 5 < 3 THEN printf('%.6f, %.6f', CASE WHEN c_c
 """)
 def viewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the viewer shows of each file."""
-    from albumspark.functions.temporal import exif_datetime
-
-    meta = _meta(spark, sf_dir)
-    rows = files.fix_inputs(meta).join(files.dates(meta), "path").withColumn("taken", exif_datetime(F.col("original"), F.col("created")))
-    shown = tags.viewed(rows)
+    shown = tags.viewed(files.viewer_inputs(_meta(spark, sf_dir)))
     return shown.select("path", "gps", "taken_at", F.array_join("landmarks", "|").alias("landmarks"), F.array_join("tags", "|").alias("tags"))
 
 

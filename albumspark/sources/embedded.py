@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from albumspark.session import ship
 from albumspark.sources import xmp
@@ -228,7 +229,7 @@ def of_file(read: Read, path: str) -> dict:
 
 
 def embedded(files: DataFrame) -> DataFrame:
-    """files (path) -> path, the fields of a metadata dump, and error.
+    """files (path, and owner and rank, which pass through) -> path, the fields of a metadata dump, and error.
 
     Numbers are as in a dump in numeric mode: degrees without sign beside their N, S, E or W. Of a field that a file has
     twice, the first counts; lists add up. A field that is missing is null. A damaged file has error, with the fields that
@@ -244,6 +245,21 @@ def embedded(files: DataFrame) -> DataFrame:
                 place = Place(path)
                 rows.append(of_file(lambda at, n, p=path, o=place: o.read_at(p, at, n), path))
             columns = [pa.array([r.get(c) for r in rows], pa.list_(pa.string()) if c in LISTS else pa.string()) for c in names]
-            yield pa.RecordBatch.from_arrays([b.column("path"), *columns], names=["path", *names])
+            yield pa.RecordBatch.from_arrays([b.column("path"), *columns, *b.columns[1:]], names=["path", *names, *b.schema.names[1:]])
 
-    return files.select("path").mapInArrow(run, SCHEMA)
+    kept = [c for c in ("owner", "rank") if c in files.columns]
+    rows = files.select("path", *kept)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, SCHEMA + kinds)
+
+
+def merged_files(every: DataFrame) -> DataFrame:
+    """every (path, source: embedded or sidecar, physical: the file or its sidecar) -> as embedded(), a row for each path:
+    lists are united, the file's first; of another field the sidecar's counts where it has it. A sidecar that is damaged
+    says nothing; error is the file's own."""
+    from albumspark.operators.merge import merged
+
+    found = embedded(every.select(F.col("physical").alias("path"), F.col("path").alias("owner"), (F.col("source") == "sidecar").cast("int").alias("rank"))).drop("path")
+    own = F.col("rank") == 0
+    rows = found.filter(own | F.col("error").isNull()).withColumn("error", F.when(own, F.col("error")))
+    return merged(rows, ["owner"], LISTS, [*FIELDS, "error"]).withColumnRenamed("owner", "path")

@@ -100,6 +100,17 @@ def people_tags(meta: DataFrame) -> DataFrame:
     return meta.select("path", tags.alias("tags")).filter(F.size("tags") > 0)
 
 
+def viewer_inputs(meta: DataFrame) -> DataFrame:
+    """path, keywords, coords, taken: what a viewer shows, in one pass."""
+    from albumspark.functions.geo import coordinates
+    from albumspark.functions.temporal import exif_datetime
+    from albumspark.functions.text import union_in_order
+
+    coords = coordinates(*map(F.col, ("GPSLatitude", "GPSLongitude", "GPSLatitudeRef", "GPSLongitudeRef")))
+    keywords = union_in_order(F.col("TagsList"), F.col("Subject"), F.col("Keywords"))
+    return meta.select("path", keywords.alias("keywords"), coords.alias("coords"), exif_datetime(F.col("DateTimeOriginal"), F.col("CreateDate")).alias("taken"))
+
+
 def fix_inputs(meta: DataFrame) -> DataFrame:
     """path, keywords (three fields united), ocr_ran, coords."""
     from albumspark.functions.geo import coordinates

@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from albumspark import cli
+from albumspark.operators import merge
 from albumspark.plans import pictures
-from albumspark.sources import embedded, files, sidecars, sinks, xmp
+from albumspark.sources import embedded, files, sidecars, sinks, tree, xmp
 
 REGION = {"Name": "a <b>", "RRole": [{"Identifier": ["http://x/annotatedText", "y"], "Name": "n"}], "RegionBoundary": {"RbX": "0.1", "RbY": "0.2"}}
 PACKET = xmp.changed(None, {"XMP-dc:Subject": ["Rome", "é"], "XMP-digiKam:TagsList": ["Places/Rome"], "XMP-album:TaggerVersion": ["9"], "XMP-album:OCRRan": ["True"], "XMP-album:CountryCode": ["IT"], "XMP-album:ClipModel": ["m"], "XMP-album:ClipEmbedding": ["AAAA"], "XMP-album:OCRText": ["one", "two"], "XMP-iptcExt:ImageRegion": [json.dumps(REGION), '{"Name":"s"}']})
@@ -50,6 +52,21 @@ def test_fields_of_files(spark, tmp_path, order):
     assert {os.path.basename(r.path) for r in files.versions(rows).collect()} == {"a.jpg", "a.png", "a.webp", "a.tif", "a.jpg.xmp"}
 
 
+def test_files_with_sidecars(spark, tmp_path, capsys):
+    """Lists of a file and its sidecar are united, other fields are the sidecar's; the commands read folders so."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_bytes(pictures.jpeg(640, 480, pictures.tiff(MAIN, EXIF), xmp.changed(None, {"XMP-dc:Subject": ["Rome", "Cat"], "XMP-album:TaggerVersion": ["1"]})))
+    (tmp_path / "in" / "a.jpg.xmp").write_bytes(xmp.changed(None, {"XMP-dc:Subject": ["Dog", "Rome"], "XMP-album:TaggerVersion": ["2"]}))
+    (tmp_path / "in" / "b.png").write_bytes(pictures.png(10, 20)[:20])
+    at = str(tmp_path / "in")
+    rows = embedded.merged_files(merge.with_sidecars(files.scan(spark, at).select("path"), tree.listed(spark, at)))
+    got = {os.path.basename(r.path): r for r in rows.collect()}
+    assert set(got) == {"a.jpg", "b.png"} and got["b.png"].error and not got["a.jpg"].error
+    assert (got["a.jpg"].Subject, got["a.jpg"].TaggerVersion, got["a.jpg"].Make) == (["Rome", "Cat", "Dog"], "2", "Maker")
+    cli.main(["tags", "list", str(tmp_path / "in"), "--files"])
+    assert sorted(json.loads(x)["tag"] for x in capsys.readouterr().out.strip().splitlines()) == ["cat", "dog", "rome"]
+
+
 def test_damaged_files(spark, tmp_path):
     """Cut anywhere, or with any byte changed: a row each, with an error or what is left; never a failure."""
     rnd, paths = random.Random(3), []
