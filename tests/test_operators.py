@@ -302,7 +302,7 @@ def spots(r):
 
 def chain(r):
     """A track: each point is covered by the one before, if that leads."""
-    for k in range(400):
+    for k in range(240):
         yield k, 10 + k * 0.6 * r / 111.2, 20.0
 
 
@@ -332,7 +332,7 @@ def test_leaders_are_exact(spark, rows, r, listed, tile):
 def test_leaders_take_few_rounds(spark):
     """A track over many tiles takes a round a tile, not one a point; without a radius all points lead."""
     rows = list(chain(0.5))
-    assert radius.leaders(spark.createDataFrame(rows, "seq long, lat double, lon double"), 0.5)[1] <= 12
+    assert radius.leaders(spark.createDataFrame(rows, "seq long, lat double, lon double"), 0.5)[1] <= 8
     none = radius.leader_cache(spark.createDataFrame([*rows[:2], (9, None, 1.0)], "seq long, lat double, lon double"), 0)
     assert {x.seq: x.leader for x in none.collect()} == {0: 0, 1: 1, 9: None}
     assert radius.leader_cache(none.limit(0).selectExpr("seq", "0.0D lat", "0.0D lon")).collect() == []
