@@ -173,7 +173,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     groups = -(-n_queries // TOGETHER)
     if not groups or not n_blocks:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    runs = -(-n_blocks // RUN)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    runs = min(n_blocks, max(-(-n_blocks // RUN), -(-cores // groups)))  # shorter runs where there is little to do
     q = q.withColumn("group", F.floor(F.col("at") / TOGETHER).cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     c = c.withColumn("run", F.pmod("at", F.lit(runs))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 

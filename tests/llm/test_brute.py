@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from albumspark.llm import lines, media, mixing, packing, quality, simhash, toxicity
-from albumspark.llm.common import scratch
+from albumspark.llm import ctw, lines, media, mixing, packing, quality, records, resample, simhash, suffixes, topk, toxicity
+from albumspark.llm.common import crc32_id, scratch
 from albumspark.llm.registry import tokenizer_path
 
 from .helpers import corpus, frame, lower, words
@@ -159,6 +159,34 @@ def test_clashing_names(spark, operator):
     assert Counter((r.doc_id, r.text) for r in plain) == Counter((r.doc_id, r.text) for r in out)
 
 
+OWN = "block train uid held_out score label half x n_hits fp kind keys counts path offset media error n form output bucket weight rank part ids start query_id vec_id v m".split()
+
+
+@pytest.mark.parametrize("operator", ["ctw", "toxicity", "quality", "media", "top_k", "suffixes", "resample", "records"])
+def test_other_columns_change_nothing(spark, operator):
+    """Where an operator leaves other columns out, they may be called what they like."""
+    rows = [r for r in corpus(3, 12) if len(r[1] or "") < 5000]
+    other = {n.upper() if k % 2 else n: F.lit(f"{n}!") for k, n in enumerate(OWN)}
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, label int")
+    e = spark.createDataFrame([(k, [math.sin(k * j) for j in range(6)]) for k in range(40)], "vec_id long, embedding array<float>")
+
+    def tokens(d):
+        at = scratch(spark, "records")
+        records.write(d, at, tokenizer_path("byte_bpe_50k.json"), partitions=3)
+        return records.read(spark, at, digest=True)
+
+    run = {
+        "ctw": lambda d: ctw.score(d, crc32_id() % 5 == 1), "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, lab)), "quality": lambda d: quality.score(d, quality.fit(d, lab)),
+        "media": lambda d: media.digests(media.media_columns(d)), "suffixes": lambda d: suffixes.repeated_passages(d, 50), "records": tokens,
+        "resample": lambda d: resample.resample(d, df.select("text")), "top_k": lambda d: topk.top_k(topk.whole_vectors(d), topk.whole_vectors(d), 3),
+    }
+    own = e if operator == "top_k" else df
+    more = own.withColumns({k: v for k, v in other.items() if k.lower() not in own.columns})
+    listed = lambda d: Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in run[operator](d).collect())
+    assert listed(more) == listed(own)
+
+
 # The pipeline
 
 
