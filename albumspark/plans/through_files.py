@@ -81,8 +81,20 @@ FROM orders
 """
 
 
-def _tree(spark: SparkSession, sf_dir: str, where: str = "true", at: str | None = None) -> str:
-    """A small file for each order, in four folders, written by tasks; times are long past, every seventh begins as a film."""
+#: Names of one stored content; files of a tree that are there at a time, where each has its own time.
+NAMES, AT_A_TIME = 30_000, 400_000
+
+
+def _tree_name(k: int) -> str:
+    return f"{_FOLDERS[k % 4]}/{_STARTS[k % 3]}{k}{_ENDS[k % 5]}"
+
+
+def _tree(spark: SparkSession, sf_dir: str, where: str = "true", at: str | None = None, times: bool = False) -> str:
+    """A small file for each order, in four folders, written by tasks; times are long past, every seventh begins as a film.
+
+    Files of one content are names of one stored file, since a block of the disk for each would be many times the table.
+    With times, each file has its own time and is stored by itself.
+    """
     import os
 
     import pyarrow as pa
@@ -90,16 +102,29 @@ def _tree(spark: SparkSession, sf_dir: str, where: str = "true", at: str | None
     at = at or _folder(spark, "tree")
     root = tree.Place(at).inside(at)
 
+    def stored(k: int, name: str) -> None:
+        with open(name, "w") as out:
+            out.write((_FILM if k % 7 == 0 else "x") + "x" * (k % 50))
+        os.utime(name, (k * 60, k * 60))
+
     def run(batches):
+        have: dict[tuple[bool, int], list] = {}  # content: a file that has it, and how many names that may still get
+        for f in _FOLDERS:
+            os.makedirs(f"{root}/{f}", exist_ok=True)
         for b in batches:
             keys = b.column("k").to_pylist()
-            for f in _FOLDERS:
-                os.makedirs(f"{root}/{f}", exist_ok=True)
             for k in keys:
-                name = f"{root}/{_FOLDERS[k % 4]}/{_STARTS[k % 3]}{k}{_ENDS[k % 5]}"
-                with open(name, "w") as out:
-                    out.write((_FILM if k % 7 == 0 else "x") + "x" * (k % 50))
-                os.utime(name, (k * 60, k * 60))
+                name, content = f"{root}/{_tree_name(k)}", (k % 7 == 0, k % 50)
+                first = have.get(content)
+                if times or not first or not first[1]:
+                    stored(k, name)
+                    have[content] = [name, NAMES]
+                    continue
+                try:
+                    os.link(first[0], name)
+                except FileExistsError:  # of a task that was lost
+                    pass
+                first[1] -= 1
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
 
     rows = table(spark, sf_dir, "orders").filter(where).select(F.col("o_orderkey").alias("k"))
@@ -107,6 +132,28 @@ def _tree(spark: SparkSession, sf_dir: str, where: str = "true", at: str | None
     return at
 
 
+def _felled(spark: SparkSession, sf_dir: str, where: str, at: str) -> None:
+    """Remove a tree of these orders, by tasks."""
+    import contextlib
+    import os
+
+    import pyarrow as pa
+
+    root = tree.Place(at).inside(at)
+
+    def run(batches):
+        for b in batches:
+            for k in b.column("k").to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(f"{root}/{_tree_name(k)}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    rows = table(spark, sf_dir, "orders").filter(where).select(F.col("o_orderkey").alias("k"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _below(root: str, path: str = "path") -> Column:
     """The path below the root, which is new in each run."""
     return F.substring_index(path, root.rsplit("/", 1)[-1] + "/", -1)
@@ -120,7 +167,7 @@ SELECT folder || '/' || name AS path, name, size, mtime, CASE WHEN folder = 'a/s
 """)
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two roots, of which one is inside the other; folders and files whose names begin with _ or a dot among them."""
-    at = _tree(spark, sf_dir)
+    at = _tree(spark, sf_dir, times=True)
     rows = files.scan(spark, f"{at}/a/sub", at, with_header=True)
     return rows.select(_below(at).alias("path"), "name", "size", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "root_ord", kinds.is_video(F.col("path"), F.col("header")).alias("film"))
 

@@ -1,12 +1,15 @@
 """Operators in parts, tiles and rounds, as large tables have them, against plain ways."""
 
 import random
+import re
+from pathlib import Path
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from albumspark.functions.vectors import dot
 from albumspark.operators import radius
+from albumspark.plans import through_files
 
 
 def test_ranked_in_radius_holds_parts_of_a_cell(spark):
@@ -23,3 +26,14 @@ def test_ranked_in_radius_holds_parts_of_a_cell(spark):
     assert sorted(map(str, got.select("id", "rank", "ord", "name", "score").collect())) == want and len(want) > 500
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "ATAN2" not in plan.upper()  # pairs are worked out in tasks and are no rows of a join
+
+
+def test_tree_stores_equal_contents_once(spark):
+    at = through_files._tree(spark, "/root/testdata/sf0.001")
+    found = [p for p in Path(at.removeprefix("file:")).rglob("*") if p.is_file()]
+    assert len(found) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert len({p.stat().st_ino for p in found}) <= 100 * spark.sparkContext.defaultParallelism < len(found)
+    for p in found:
+        k = int(re.search(r"\d+", p.name)[0])
+        assert p.read_text() == (through_files._FILM if k % 7 == 0 else "x") + "x" * (k % 50)
+
