@@ -37,3 +37,13 @@ def test_tree_stores_equal_contents_once(spark):
         k = int(re.search(r"\d+", p.name)[0])
         assert p.read_text() == (through_files._FILM if k % 7 == 0 else "x") + "x" * (k % 50)
 
+
+def test_scan_files_in_rounds(spark, monkeypatch):
+    whole = sorted(map(str, through_files.scan_files(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(through_files, "AT_A_TIME", 400)
+    grown, felled = [], []
+    grow, fell = through_files._tree, through_files._felled
+    monkeypatch.setattr(through_files, "_tree", lambda *a, **b: grown.append(grow(*a, **b)) or grown[-1])
+    monkeypatch.setattr(through_files, "_felled", lambda *a: felled.append(len(list(Path(a[-1].removeprefix("file:")).rglob("*")))) or fell(*a))
+    assert sorted(map(str, through_files.scan_files(spark, "/root/testdata/sf0.001").collect())) == whole
+    assert len(grown) == 4 and max(felled) < 900 and not any(Path(at.removeprefix("file:")).exists() for at in grown)
