@@ -11,6 +11,7 @@ blocks returns a maximum spanning forest of its pairs, at most as many links as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from albumspark.functions.vectors import dot
 from albumspark.operators.components import checkpointed, components
-from albumspark.operators.forest import LINKS, SMALL, grown, nested_components, spanning_forest
+from albumspark.operators.forest import LINKS, SMALL, grown, heaviest, nested_components, spanning_forest
 
 #: Rows of a block, pivots at most, block summaries that a task compares with as many others, pairs worked out at once.
 BLOCK, PIVOTS, SUMMARIES, AT_ONCE = 2048, 512, 512, 1 << 20
+#: Bytes of vectors of a group of blocks; links that a task holds before it makes a forest of them or hands them on.
+TOGETHER, LINKS_HELD = 16 << 20, 1_000_000
 #: Members of a cluster that a plain join compares, and members of a tile of larger ones.
 FEW, TILE = 64, 2048
 
@@ -39,14 +42,21 @@ def _directions(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(norms > 0, norms, 1)[:, None], norms
 
 
+def _kind(vectors: DataFrame) -> str:
+    """Vectors of 32-bit floats stay so; all others become doubles."""
+    kind = vectors.schema["vec"].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
+
+
 def packed(vectors: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """vectors (id, vec) -> block, d, ids, m (rows of doubles), middle, angle, low, high (norms); checkpointed.
+    """vectors (id, vec) -> block, d, ids, m (rows of doubles or 32-bit floats), middle, angle, low, high (norms); checkpointed.
 
     Ids are distinct. Null and empty vectors are left out, and those with a null or a number that is not finite, which
     have no product with any other.
     """
     sound = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).filter(sound).withColumn("d", F.size("vec"))
+    kind = _kind(vectors)
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast(kind).alias("vec")).filter(sound).withColumn("d", F.size("vec"))
     wanted = min(pivots, -(-rows.count() // block))
     sample = [r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()] if wanted > 1 else []
     known = {d: _directions(np.array([v for v in sample if len(v) == d]))[0] for d in {len(v) for v in sample}}
@@ -58,10 +68,10 @@ def packed(vectors: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> Data
             for n in np.unique(d).tolist():
                 if n in known:
                     own = np.flatnonzero(d == n)
-                    pivot[own] = (_directions(_matrix(vec.take(pa.array(own)), n))[0] @ known[n].T).argmax(1)
+                    pivot[own] = (_directions(_matrix(vec.take(pa.array(own)), n).astype(float))[0] @ known[n].T).argmax(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot)], names=["id", "vec", "d", "pivot"])
 
-    dealt = rows.mapInArrow(nearest, "id long, vec array<double>, d int, pivot int") if known else rows.withColumn("pivot", F.lit(0))
+    dealt = rows.mapInArrow(nearest, f"id long, vec {kind}, d int, pivot int") if known else rows.withColumn("pivot", F.lit(0))
     cells = dealt.groupBy("d", "pivot").agg(F.ceil(F.count("*") / block).alias("parts"))  # a row a pivot and length
     cells = cells.withColumn("first", F.coalesce(F.sum("parts").over(Window.orderBy("d", "pivot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocked = dealt.join(F.broadcast(checkpointed(cells)), ["d", "pivot"]).select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"), "d", "id", "vec")
@@ -69,7 +79,7 @@ def packed(vectors: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> Data
     def pack(t: pa.Table) -> pa.Table:
         d = t.column("d")[0].as_py()
         m = _matrix(t.column("vec"), d)
-        unit, norms = _directions(m)
+        unit, norms = _directions(m.astype(float))
         middle = _directions(unit.sum(0, keepdims=True))[0]
         angle = float(np.arccos(np.clip(unit[norms > 0] @ middle[0], -1, 1)).max(initial=0.0)) if middle.any() else np.pi
         one = (t.column("block")[0].as_py(), d, t.column("id").to_numpy().tobytes(), m.tobytes(), middle.tobytes(), angle, float(norms.min()), float(norms.max()))
@@ -120,10 +130,14 @@ def meetings(blocks: DataFrame, threshold: float, summaries: int = SUMMARIES) ->
 def _products(m: np.ndarray, n: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of m and n, i < j where both are one, with a product at or above the threshold; products added from the left."""
     left, right = np.ascontiguousarray(m.T), np.ascontiguousarray(n.T)
-    slack = 1e-9 * (1 + np.sqrt((m * m).sum(1).max() * (n * n).sum(1).max()))
+    norms = float(np.sqrt((m * m).sum(1).max() * (n * n).sum(1).max()))
+    first, across, least = m, right, threshold - 1e-9 * (1 + norms)
+    if norms < 1e15:  # 32-bit floats tell most pairs that cannot reach it: some d rounding errors of the norms' product
+        first, across = m.astype(np.float32), right.astype(np.float32)
+        least = threshold - (m.shape[1] + 4) * 1.3e-7 * norms - 1e-6 * abs(threshold) - 1e-30
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(m), 512):
-        i, j = np.nonzero(m[at : at + 512] @ right >= threshold - slack)
+        i, j = np.nonzero(first[at : at + 512] @ across >= least)
         i += at
         if same:
             i, j = i[i < j], j[i < j]
@@ -137,28 +151,77 @@ def _products(m: np.ndarray, n: np.ndarray, threshold: float, same: bool) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _met(blocks: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    pairs = meetings(blocks, threshold)
-    n = pairs.count()
-    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(blocks.select("block", "d", "ids", "m"), "block")
+def _matrix_of(row: dict) -> np.ndarray:
+    """A packed block's rows, of 32-bit floats or doubles, as doubles."""
+    n = len(row["ids"]) // 8
+    return np.frombuffer(row["m"], "<f4" if len(row["m"]) == 4 * n * row["d"] else "<f8").astype(float).reshape(n, row["d"])
+
 
-    def meet(t: pa.Table) -> pa.Table:
-        x, y, d = (t.column(c)[0].as_py() for c in ("x", "y", "d"))
-        sides = {r["block"]: r for r in t.select(["block", "ids", "m"]).to_pylist()}
-        ids, others = (np.frombuffer(sides[k]["ids"], np.int64) for k in (x, y))
-        m, n = (np.frombuffer(sides[k]["m"]).reshape(-1, d) for k in (x, y))
-        i, j, sims = _products(m, n, threshold, x == y)
-        if forest and len(i):
-            weights = np.full((len(m), len(n)), -np.inf)
-            weights[i, j] = sims
-            if x == y:
-                weights[j, i] = sims
-            i, j = grown(weights, x == y)
-            sims = weights[i, j]
-        a, b = ids[i], others[j]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "sim": pa.array(sims)})
+def _groups(blocks: int, largest: int, tasks: int, together: int) -> int:
+    """Blocks of a group: as many as `together` bytes hold, and few enough that pairs of groups keep all tasks busy."""
+    return max(1, min(together // max(1, largest), -(-blocks // math.isqrt(8 * tasks))))
 
-    return sides.repartition(max(1, min(n, 10_000)), "x", "y").groupBy("x", "y").applyInArrow(meet, LINKS)
+
+def _met(blocks: DataFrame, threshold: float, forest: bool, together: int = TOGETHER) -> DataFrame:
+    """a, b, sim: the similar pairs of all blocks that meet, or a forest of them a task.
+
+    Blocks are dealt in groups. A task has the blocks of one group in memory and those of another go by, so a block is sent
+    once for each group and not once for each block that it meets.
+    """
+    pairs, cores = meetings(blocks, threshold), blocks.sparkSession.sparkContext.defaultParallelism
+    n, largest = blocks.agg(F.count("*"), F.max(F.length("m"))).first()
+    each = _groups(n, largest or 0, cores, together)
+    of = [F.floor(F.col("x") / each).alias("p"), F.floor(F.col("y") / each).alias("q")]
+    held = pairs.groupBy(*of, F.col("x").alias("block")).agg(F.collect_set("y").alias("others")).withColumn("side", F.lit(0))
+    passing = pairs.select(*of, F.col("y").alias("block")).distinct().withColumns({"others": F.lit(None).cast("array<long>"), "side": F.lit(1)})
+    groups = -(-n // each)
+    sides = held.unionByName(passing).join(blocks.select("block", "d", "ids", "m"), "block")
+    dealt = sides.repartition(max(1, min(groups * (groups + 1) // 2, 10_000)), "p", "q").sortWithinPartitions("p", "q", "side", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, own, found = None, {}, []
+
+        def out() -> pa.RecordBatch:
+            a, b, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
+
+        for row in (r for b in batches for r in b.to_pylist()):
+            if now != (row["p"], row["q"]):
+                now, own = (row["p"], row["q"]), {}
+            if not row["side"]:
+                own[row["block"]] = row | {"others": set(row["others"])}
+                continue
+            ids, right = np.frombuffer(row["ids"], np.int64), _matrix_of(row)
+            for left in own.values():
+                if row["block"] not in left["others"]:
+                    continue
+                found.append(_pairs(np.frombuffer(left["ids"], np.int64), _matrix_of(left), ids, right, threshold, left["block"] == row["block"], forest))
+                if sum(len(c[0]) for c in found) > LINKS_HELD:
+                    if forest:
+                        found[:] = [heaviest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+                    if not forest or len(found[0][0]) > LINKS_HELD // 2:
+                        yield out()
+        if found:
+            if forest:
+                found[:] = [heaviest(*(np.concatenate(c) for c in zip(*found, strict=True)))]
+            yield out()
+
+    return dealt.mapInArrow(run, LINKS)
+
+
+def _pairs(ids: np.ndarray, m: np.ndarray, others: np.ndarray, n: np.ndarray, threshold: float, same: bool, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The similar pairs of two blocks, lesser id first, or if they are many a forest of them."""
+    i, j, sims = _products(m, n, threshold, same)
+    if forest and len(i) > len(m) + len(n):
+        weights = np.full((len(m), len(n)), -np.inf)
+        weights[i, j] = sims
+        if same:
+            weights[j, i] = sims
+        i, j = grown(weights, same)
+        sims = weights[i, j]
+    a, b = ids[i], others[j]
+    return np.minimum(a, b), np.maximum(a, b), sims
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.90) -> DataFrame:
@@ -181,7 +244,7 @@ def links(vectors: DataFrame, threshold: float = 0.90, small: int = SMALL) -> Da
     Of equal vectors the least id stands for all. A copy is linked at whatever is higher, its product with itself or its
     best with another, since it is as similar to that as the one that stands for it.
     """
-    rows = vectors.filter("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = vectors.filter("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast(_kind(vectors)).alias("vec"))
     equal = checkpointed(rows.groupBy("vec").agg(F.min("id").alias("one"), F.count("*").alias("n")))
     found = checkpointed(spanning_forest(_met(packed(equal.select(F.col("one").alias("id"), "vec")), threshold, True), small))
     many = equal.filter("n > 1")
@@ -212,10 +275,11 @@ def similarity_to_earlier(ranked: DataFrame, vectors: DataFrame) -> DataFrame:
     """ranked (cluster, id, pos from 1) with sim_before: the highest inner product with members before it; null for the
     first.
 
-    Members of small clusters meet in a join. Those of larger ones are packed in tiles by their places; a tile meets each
-    tile before it, and itself, in a task of its own, and of each member's greatest products the greatest stays.
+    Members of small clusters meet in a join. Those of larger ones are packed in tiles by their places, and tiles dealt in
+    groups; a task has a group's tiles in memory while those of one group before it, or its own, go by, and of each member's
+    greatest products the greatest stays.
     """
-    rows = ranked.select("cluster", "id", F.col("pos").cast("long").alias("pos")).join(vectors.select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
+    rows = ranked.select("cluster", "id", F.col("pos").cast("long").alias("pos")).join(vectors.select("id", F.col("vec").cast(_kind(vectors)).alias("vec")), "id")
     counts = ranked.groupBy("cluster").agg(F.max("pos").cast("long").alias("_n"))
     large = checkpointed(counts.filter(F.col("_n") > FEW))
     few = rows.join(counts.filter(F.col("_n") <= FEW).select("cluster"), "cluster")
@@ -226,7 +290,7 @@ def similarity_to_earlier(ranked: DataFrame, vectors: DataFrame) -> DataFrame:
     return ranked.join(sims, ["cluster", "id"], "left")
 
 
-def _by_tiles(rows: DataFrame, cluster: str, id_: str) -> DataFrame:
+def _by_tiles(rows: DataFrame, cluster: str, id_: str, together: int = TOGETHER) -> DataFrame:
     """rows: cluster, id, pos, vec, _n (members of the cluster). Vectors of one length alone have products."""
     rows = rows.filter("vec IS NOT NULL").withColumns({"d": F.size("vec"), "tile": F.floor((F.col("pos") - 1) / TILE)})
 
@@ -236,26 +300,49 @@ def _by_tiles(rows: DataFrame, cluster: str, id_: str) -> DataFrame:
         return pa.table([*own, lists("id"), lists("pos"), pa.array([_matrix(t.column("vec"), t.column("d")[0].as_py()).tobytes()])], names=["cluster", "d", "tile", "_n", "ids", "places", "m"])
 
     tiles = checkpointed(rows.groupBy("cluster", "d", "tile").applyInArrow(pack, f"cluster {cluster}, d int, tile long, _n long, ids array<{id_}>, places array<long>, m binary"))
-    last = F.floor((F.col("_n") - 1) / TILE)
-    met = tiles.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns({"x": F.least("tile", "_o"), "y": F.greatest("tile", "_o")})
-
-    def meet(t: pa.Table) -> pa.Table:
-        sides = {r["tile"]: r for r in t.to_pylist()}
-        x, y, d = (t.column(c)[0].as_py() for c in ("x", "y", "d"))
-        ids, best = [], np.zeros(0)
-        if x in sides and y in sides:  # one of these lengths may be in the other tile only
-            own, other = sides[y], sides[x]
-            m, n = (np.frombuffer(s["m"]).reshape(-1, d) for s in (own, other))
-            before, best = np.array(other["places"]), np.full(len(m), -np.inf)
-            for at in range(0, len(m), 512):
-                sims = m[at : at + 512] @ n.T
-                sims[np.isnan(sims) | (before >= np.array(own["places"][at : at + 512])[:, None])] = -np.inf
-                best[at : at + 512] = sims.max(1)
-            has = best > -np.inf
-            ids, best = [k for k, h in zip(own["ids"], has.tolist(), strict=True) if h], best[has]
-        return pa.table({"cluster": pa.array([t.column("cluster")[0].as_py()] * len(ids), t.schema.field("cluster").type), "id": pa.array(ids, t.schema.field("ids").type.value_type), "s": pa.array(best)})
-
-    found = met.groupBy("cluster", "d", "x", "y").applyInArrow(meet, f"cluster {cluster}, id {id_}, s double")
+    of = ["cluster", "d"]
+    n, largest = tiles.agg(F.count("*"), F.max(F.length("m"))).first()
+    each = _groups(n, largest or 0, rows.sparkSession.sparkContext.defaultParallelism, together)
+    own, last = F.floor(F.col("tile") / each), F.floor(F.floor((F.col("_n") - 1) / TILE) / each)
+    first = F.lit(0).cast("long")
+    # A tile's own group holds it while those of the same and earlier groups go by; p is the earlier group, q the later.
+    held = tiles.select("*", own.alias("q"), F.explode(F.sequence(first, own)).alias("p"), F.lit(0).alias("side"))
+    passing = tiles.select("*", own.alias("p"), F.explode(F.sequence(own, last)).alias("q"), F.lit(1).alias("side"))
+    dealt = held.unionByName(passing).repartition(max(1, min(-(-n // each) * (-(-n // each) + 1) // 2, 10_000)), *of, "p", "q").sortWithinPartitions(*of, "p", "q", "side", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, own, kinds = None, [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for one in own:
+                has = one["best"] > -np.inf
+                ids = [k for k, h in zip(one["ids"], has.tolist(), strict=True) if h]
+                yield pa.RecordBatch.from_arrays([pa.array([one["cluster"]] * len(ids), kinds[0]), pa.array(ids, kinds[1]), pa.array(one["best"][has])], names=["cluster", "id", "s"])
+
+        for b in batches:
+            kinds = b.schema.field("cluster").type, b.schema.field("ids").type.value_type
+            for row in b.to_pylist():
+                if now != (key := (row["cluster"], row["d"], row["p"], row["q"])):
+                    yield from out()
+                    now, own = key, []
+                row["m"], row["places"] = np.frombuffer(row["m"], "<f4" if len(row["m"]) == 4 * len(row["ids"]) * row["d"] else "<f8").reshape(-1, row["d"]), np.array(row["places"])
+                if not row["side"]:
+                    own.append(row | {"best": np.full(len(row["ids"]), -np.inf)})
+                    continue
+                n = row["m"].astype(float).T
+                for one in own:
+                    if one["tile"] < row["tile"]:
+                        continue
+                    m, best = one["m"].astype(float), one["best"]
+                    for at in range(0, len(m), 512):
+                        sims = m[at : at + 512] @ n
+                        sims[np.isnan(sims)] = -np.inf
+                        if one["tile"] == row["tile"]:
+                            sims[row["places"] >= one["places"][at : at + 512, None]] = -np.inf
+                        np.maximum(best[at : at + 512], sims.max(1), out=best[at : at + 512])
+        yield from out()
+
+    found = dealt.mapInArrow(run, f"cluster {cluster}, id {id_}, s double")
     return found.groupBy("cluster", "id").agg(F.max("s").alias("sim_before"))
 
 

@@ -49,10 +49,8 @@ def grown(weights: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return (ends[:, 0], ends[:, 1]) if same else (ends.min(1), ends.max(1) - rows)
 
 
-def _heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of all links, heaviest first (Kruskal)."""
-    t = pa.Table.from_batches(list(batches), pa.schema([("x", pa.int64()), ("y", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())]))
-    x, y, a, b, sim = (t.column(c).to_numpy() for c in ("x", "y", "a", "b", "sim"))
+def _forest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Which links x, y make a forest, heaviest first (Kruskal), of equal ones those with the greatest a and b."""
     order = np.lexsort((-b, -a, -sim))
     ends = np.unique(np.concatenate([x, y]), return_inverse=True)[1].reshape(2, -1).T[order].tolist()
     root, kept = list(range(2 * len(x))), []
@@ -64,7 +62,20 @@ def _heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if p != q:
             root[p] = q
             kept.append(k)
-    own = order[kept]
+    return order[kept]
+
+
+def heaviest(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A maximum spanning forest of some links."""
+    own = _forest(a, b, a, b, sim)
+    return a[own], b[own], sim[own]
+
+
+def _heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of all links."""
+    t = pa.Table.from_batches(list(batches), pa.schema([("x", pa.int64()), ("y", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())]))
+    x, y, a, b, sim = (t.column(c).to_numpy() for c in ("x", "y", "a", "b", "sim"))
+    own = _forest(x, y, a, b, sim)
     yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.array(sim[own])], names=["a", "b", "sim"])
 
 

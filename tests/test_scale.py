@@ -4,12 +4,14 @@ import random
 import re
 from pathlib import Path
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from albumspark.functions.vectors import dot
-from albumspark.operators import radius
+from albumspark.operators import cluster, components, radius
 from albumspark.plans import registry, through_files
+from albumspark.sources import sidecars
 
 
 def test_ranked_in_radius_holds_parts_of_a_cell(spark):
@@ -79,3 +81,44 @@ def test_nearest_place_by_place(spark):
     got = radius.nearest_place(points, places, 2.0)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "id#" not in got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1].split("Project")[0]
+
+
+@pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
+def test_blocks_are_sent_once_a_group(spark, monkeypatch, kind):
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(k, [rnd.gauss(0, 1) for _ in range(3)]) for k in range(300)], "id long, vec array<double>").withColumn("vec", F.col("vec").cast(kind))
+    vec = {r.id: r.vec for r in df.collect()}
+    blocks = cluster.packed(df, 20)
+    n = blocks.count()
+    size = (8 if kind == "array<double>" else 4) * 3 * 20
+    want = {(a, b) for a in vec for b in vec if a < b and sum(x * y for x, y in zip(vec[a], vec[b], strict=True)) >= 1.5}
+    for together in (1, 4 * size, 1 << 20):
+        assert {(r.a, r.b) for r in cluster._met(blocks, 1.5, False, together).collect()} == want
+    forest = [(r.a, r.b) for r in cluster._met(blocks, 1.5, True, 1 << 20).collect()]
+    assert len(forest) == len(set(forest)) and set(forest) < want
+    assert sorted(map(str, components.components(spark.createDataFrame(forest, "a long, b long")).collect())) == sorted(map(str, components.components(spark.createDataFrame(sorted(want), "a long, b long")).collect()))
+    assert cluster._groups(400, 1 << 19, 8, 16 << 20) == 32 and cluster._groups(n, size, 8, 16 << 20) < n
+
+
+def test_similarity_to_earlier_by_groups_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 7)
+    rnd = random.Random(9)
+    ranked = [(c, 1000 * c + k, k + 1) for c in (1, 2) for k in range(90)]
+    vec = {i: [rnd.gauss(0, 1) for _ in range(rnd.choice((2, 3)))] for _, i, _ in ranked}
+    want = {}
+    for c, i, p in ranked:
+        own = [sum(x * y for x, y in zip(vec[i], vec[o], strict=True)) for d, o, q in ranked if d == c and q < p and len(vec[o]) == len(vec[i])]
+        want[i] = max(own, default=None)
+    rows = spark.createDataFrame([(c, i, p, vec[i], 90) for c, i, p in ranked], "cluster long, id long, pos long, vec array<double>, _n long")
+    for together in (1, 500, 1 << 20):
+        got = {r.id: r.sim_before for r in cluster._by_tiles(rows, "bigint", "bigint", together).collect()}
+        assert got == {i: pytest.approx(x) for i, x in want.items() if x is not None}
+
+
+def test_sidecars_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{tmp_path}/c{k}.xmp", "XMP-dc:Subject", "+=", "Cat") for k in range(200)], "target string, field string, op string, value string").coalesce(1)
+    sidecars.write(rows, str(tmp_path / "job"))
+    found = sidecars.read(rows.select(F.col("target").alias("path")))
+    assert found.filter("values = array('Cat')").count() == 200
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "job/staged").glob("part-*"))) > 1
