@@ -177,10 +177,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 # Word sets ------------------------------------------------------------------------------------------------------------
 #
 # A SimHash of 64 bits differs in some ten bits at a Jaccard similarity of 0.8, and covering ten bits would take
-# thousands of masks. For similarity on word shingles the fingerprint is therefore wide: block j of m is the exclusive
+# thousands of masks. one_of_each() takes the pairs that this fingerprint links within two bits, and finds by a second one
+# what it cannot reach, for similarity on word shingles. That one is wide: block j of m is the exclusive
 # or of the hashes of the shingles that fall into it, and mask j shows block j. Two sets that differ in fewer than m
 # shingles agree in some block.
 
+#: Words of a shingle of the fingerprint.
+PRINTED = 3
+
 #: Tables a level, ratio of sizes in a level, neighbours to which a bucket's members are linked as candidates.
 TABLES, RATIO, NEAR = 32, 1.5, 2
 
@@ -188,7 +192,7 @@ TABLES, RATIO, NEAR = 32, 1.5, 2
 TOGETHER = 8192
 
 _RID = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-_WIDE = pa.schema([("rid", _RID), ("uid", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_WIDE = pa.schema([("rid", _RID), ("uid", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("fp", pa.int64())])
 _SETS = pa.schema([("uid", pa.int64()), ("set", pa.binary())])
 
 
@@ -246,7 +250,7 @@ def _row_id() -> Column:
 
 
 def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """rid (of the row), uid (of the words in order), doc_id, keys.
+    """rid (of the row), uid (of the words in order), doc_id, keys, and fp, the SimHash.
 
     Different words with one uid, which a table of 10**10 rows has a few of, are told apart by 64 bits more and get a uid
     of these.
@@ -254,16 +258,17 @@ def _wide(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in sliced(batches, SLICE):
-            uid, other, keys = [], [], []
+            uid, other, keys, fp = [], [], [], []
             for t in texts(b.column("text")):
                 whole = b" ".join(lower_ascii(t).split())
                 uid.append(_h(whole, 7) - (1 << 63))
                 other.append(_h(whole, 8) - (1 << 63))
                 keys.append(wide_keys(word_set(t, words), similarity))
-            yield batch(_WIDE, b.column("rid"), uid, other, b.column("doc_id"), keys)
+                fp.append(fingerprint(t, PRINTED))
+            yield batch(_WIDE, b.column("rid"), uid, other, b.column("doc_id"), keys, fp)
 
     rows = docs.select(_row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wide = checkpointed(rows.mapInArrow(tidied(run), "rid struct<a:long,b:long>, uid long, other long, doc_id long, keys array<long>"))
+    wide = checkpointed(rows.mapInArrow(tidied(run), "rid struct<a:long,b:long>, uid long, other long, doc_id long, keys array<long>, fp long"))
     return told_apart(wide).drop("other")
 
 
@@ -353,18 +358,30 @@ def _rest(buckets: DataFrame, found: DataFrame, sets: DataFrame, similarity: flo
     return dealt.join(sets, "uid").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _by_print(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (uid, fp) -> a, b: links that join all whose fingerprints are within the radius of each other."""
+    prints = checkpointed(nodes.groupBy("fp").agg(F.min("uid").alias("first")))
+    equal = nodes.select("uid", "fp").join(prints, "fp").filter("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    near = links(prints.select("fp"), radius).toDF("x", "y")
+    ends = near.join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
+    return checkpointed(equal.union(ends))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """docs without near duplicates: of each component of texts whose sets of word shingles have a Jaccard similarity
     of at least `similarity`, the row with the least doc_id stays, as it was. Null doc_ids come last.
 
+    Pairs whose SimHash fingerprints (of PRINTED-word shingles) differ in `radius` bits at most, and neighbours in the
+    buckets of wide fingerprints, which have the pairs that the radius does not reach, are checked by their sets.
+
     Texts of equal words are copies; fewer words than a shingle: the whole sequence is the set; texts without words
     are copies of each other. Of rows equal in doc_id and text one stays.
     """
     ship(docs.sparkSession)
     rid = free_name(docs, "_rid")
     wide = _wide(docs, words, similarity)
-    nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"))
-    nodes = nodes.select("uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
+    nodes = wide.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("least"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    nodes = nodes.select("fp", "uid", F.col("least.last").alias("last"), F.col("least.doc_id").alias("doc_id"), F.col("least.rid").alias("rid"), "keys")
     every = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "uid")
     # Similar texts share many blocks: of buckets with the same members, known by two sums of hashes, one is enough.
     members = [F.expr("bit_xor(xxhash64(uid))").alias("x"), F.expr("bit_xor(xxhash64(uid, 1))").alias("y")]
@@ -373,14 +390,17 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     after = Window.partitionBy("key").orderBy("uid")
     near = buckets.withColumn("near", F.array(*[F.lead("uid", k).over(after) for k in range(1, NEAR + 1)]))
     pairs = near.select(F.col("uid").alias("a"), F.explode(F.array_compact("near")).alias("b")).distinct()
-    sets = stored(_sets(docs, nodes.join(buckets.select("uid").distinct(), "uid"), words))
-    links = checkpointed(_checked(pairs, sets, similarity))
+    printed = _by_print(nodes, radius)
+    pairs = pairs.union(printed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    met = buckets.select("uid").union(printed.select("a")).union(printed.select("b")).distinct()
+    sets = stored(_sets(docs, nodes.join(met, "uid"), words))
+    found = checkpointed(_checked(pairs, sets, similarity))
     del every, many, near, pairs
     freed(docs.sparkSession)
-    first = checkpointed(components(links))
+    first = checkpointed(components(found))
     more = checkpointed(_rest(buckets, first, sets, similarity))
-    found = first if more.isEmpty() else components(links.union(more))
-    own = nodes.drop("keys").join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    found = first if more.isEmpty() else components(found.union(more))
+    own = nodes.drop("keys", "fp").join(found.toDF("uid", "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     stay = own.groupBy("component").agg(F.min(F.struct("last", "doc_id", "rid")).alias("least")).select(F.col("least.rid").alias(rid))
     kept = docs.withColumn(rid, _row_id()).join(stay, rid, "left_semi").dropDuplicates([rid])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id; groups are the components of
-    texts whose sets of five-word shingles have a similarity of 0.8 or more.
+    texts whose sets of five-word shingles have a similarity of 0.8 or more, which pairs of near SimHashes are checked for.
 
     Texts without words, null or empty, are copies of each other; shorter texts than a shingle are compared whole. Null
     ids come last; of ties, by id, the least hash of id and text stays; of repeated rows one. An empty table stays empty.

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from albumspark.functions.vectors import dot
+from albumspark.llm import simhash
 from albumspark.operators import cluster, components, radius
 from albumspark.plans import registry, through_files
 from albumspark.sources import sidecars
@@ -122,3 +123,19 @@ def test_sidecars_are_dealt_to_all_tasks(spark, tmp_path):
     assert found.filter("values = array('Cat')").count() == 200
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "job/staged").glob("part-*"))) > 1
+
+
+def test_one_of_each_takes_pairs_of_near_simhashes(spark):
+    """Fingerprints within two bits make pairs; of these, sets that are not similar do not make one document."""
+    rnd = random.Random(4)
+    base = "alpha beta gamma delta epsilon zeta eta " * 400
+    docs = [(k, base + " ".join(f"x{rnd.randrange(10**9)}" for _ in range(30))) for k in range(4)] + [(k, base) for k in (7, 8)] + [(9, " ".join(f"y{k}" for k in range(50)))]
+    prints = {k: simhash.fingerprint(t.encode(), 3) for k, t in docs}
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert {(a, b) for a in range(3) for b in range(a + 1, 4)} <= near and not any(9 in p for p in near)
+    nodes = spark.createDataFrame(list(prints.items()), "uid long, fp long")
+    links = [(r.a, r.b) for r in simhash._by_print(nodes, 2).collect()]
+    assert {tuple(sorted(x)) for x in links} <= near
+    joined = {frozenset(r.ids) for r in components.components(spark.createDataFrame(links, "a long, b long")).groupBy("component").agg(F.collect_set("node").alias("ids")).collect()}
+    assert joined == {frozenset(range(4)) | {7, 8}}
+    assert sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [0, 1, 2, 3, 7, 9]
