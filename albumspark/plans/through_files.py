@@ -28,6 +28,21 @@ def _put_folder(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def _put_folders(folders: DataFrame) -> None:
+    """Folders (folder), made by tasks."""
+    import os
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for f in b.column("folder").to_pylist():
+                os.makedirs(f, exist_ok=True)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    folders.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _written(lines: DataFrame, name: str) -> str:
     """A folder with the texts of a column, one a line."""
     at = _folder(lines.sparkSession, name)
@@ -83,6 +98,8 @@ FROM orders
 
 #: Names of one stored content; files of a tree that are there at a time, where each has its own time.
 NAMES, AT_A_TIME = 30_000, 400_000
+#: Sidecars of a folder. One folder for all would have tasks wait for each other at each file that is made or renamed.
+IN_A_FOLDER = 1000
 
 
 def _tree_name(k: int) -> str:
@@ -396,8 +413,9 @@ def sidecars_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecars made by one job, changed by a second, read back; a third is given up and changes nothing."""
     at, k = _folder(spark, "sidecars"), F.col("c_custkey")
     root = tree.Place(at).inside(at)
-    _put_folder(spark, at)
-    c = table(spark, sf_dir, "customer").select(k, F.concat(F.lit(f"{root}/c"), k.cast("string"), F.lit(".jpg.xmp")).alias("target"))
+    folder = F.concat(F.lit(f"{root}/"), F.floor(k / IN_A_FOLDER).cast("string"))
+    c = table(spark, sf_dir, "customer").select(k, F.concat(folder, F.lit("/c"), k.cast("string"), F.lit(".jpg.xmp")).alias("target"))
+    _put_folders(table(spark, sf_dir, "customer").select(folder.alias("folder")).distinct())
     change = lambda rows, field, op, value, seq: rows.select("target", F.lit(field).alias("field"), F.lit(op).alias("op"), F.lit(value).alias("value"), F.lit(seq).alias("op_seq"))
     first = change(c, "XMP-dc:Subject", "+=", "Cat", 0).union(change(c.filter(k % 2 == 0), "XMP-digiKam:TagsList", "+=", "Places/Rome", 0)).union(change(c.filter(k % 5 == 0), "XMP-photoshop:City", "=", "Nice", 0))
     first = first.union(change(c, "IPTC:City", "=", "left out", 0))

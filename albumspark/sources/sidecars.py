@@ -48,6 +48,11 @@ def _fs(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that files are dealt to. Left alone, Spark counts bytes and merges them to one or two, but a file costs time."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def stage(mutations: DataFrame, job: str) -> DataFrame:
     """Write the new sidecars of mutations (target, field, op, value, and op_seq) beside the old; target, staged, digest,
     error of each. job: a new folder that all executors see, for the list.
@@ -62,7 +67,7 @@ def stage(mutations: DataFrame, job: str) -> DataFrame:
     seq = F.col("op_seq") if "op_seq" in mutations.columns else F.lit(0)
     rank = F.when(F.col("op") == "=", 0).when(F.col("op") == "-=", 1).otherwise(2)
     steps = F.array_sort(F.collect_list(F.struct("field", seq.alias("seq"), rank.alias("rank"), F.coalesce("value", F.lit("")).alias("value"), "op")))
-    grouped = own.groupBy("target").agg(steps.alias("steps"))  # a file's own changes
+    grouped = own.repartition(_tasks(spark), "target").groupBy("target").agg(steps.alias("steps"))  # a file's own changes
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -74,11 +79,10 @@ def stage(mutations: DataFrame, job: str) -> DataFrame:
                 at, staged = place.inside(target), f"{place.inside(target)}.{uuid.uuid4().hex}.new"
                 try:
                     old = open(at, "rb").read() if os.path.exists(at) else None
-                    have = xmp.fields(old) if old is not None else {}
                     by_field: dict[str, list[dict]] = {}
                     for s in row["steps"]:
                         by_field.setdefault(s["field"], []).append(s)
-                    new = xmp.changed(old, {f: after(have.get(f, []), own) for f, own in by_field.items()})
+                    new = xmp.changed(old, lambda have, by_field=by_field: {f: after(have.get(f, []), own) for f, own in by_field.items()})
                 except ValueError as e:
                     rows.append((target, None, None, str(e)))
                     continue
@@ -170,4 +174,4 @@ def read(files: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["path", "field", "values"])
 
-    return files.select("path").mapInArrow(run, "path string, field string, values array<string>")
+    return files.select("path").repartition(_tasks(files.sparkSession)).mapInArrow(run, "path string, field string, values array<string>")

@@ -172,3 +172,16 @@ def test_damaged_sidecars_stay(spark, tmp_path):
     rows = [(f"{tmp_path}/bad.xmp", "XMP-dc:Subject", "+=", "a", 0), (f"{tmp_path}/good.xmp", "XMP-dc:Subject", "+=", "a", 0), (f"{tmp_path}/p.jpg", "XMP-dc:Subject", "+=", "a", 0)]
     got = {os.path.basename(r.target): r.error is not None for r in sidecars.write(spark.createDataFrame(rows, MUTATION), str(tmp_path / "job")).collect()}
     assert got == {"bad.xmp": True, "good.xmp": False} and (tmp_path / "bad.xmp").read_text() == "no xml"
+
+
+def test_few_bytes_are_dealt_to_several_tasks(spark, tmp_path):
+    """Changes of many sidecars are few bytes, which must not put all files into one task; nor do files to read that stand in
+    one part."""
+    targets = [f"{tmp_path}/{k}.xmp" for k in range(200)]
+    rows = spark.createDataFrame([(t, "XMP-dc:Subject", "+=", "a", 0) for t in targets], MUTATION)
+    staged = sidecars.stage(rows, str(tmp_path / "job"))
+    assert staged.count() == 200 and staged.select(F.input_file_name()).distinct().count() > 4
+    sidecars.publish(spark, str(tmp_path / "job"))
+    assert sidecars.put(spark, str(tmp_path / "job")) == 200
+    found = sidecars.read(rows.select(F.col("target").alias("path")).coalesce(1))
+    assert found.count() == 200 and found.select(F.spark_partition_id()).distinct().count() > 4
